@@ -57,3 +57,338 @@ def blank_profile(spark: SparkSession, root: str) -> DataFrame:
 @query("station_dim")
 def station_dim(spark: SparkSession, root: str) -> DataFrame:
     return I.stations(spark, root)
+
+
+# ---------------------------------------------------------------- parameters
+AS_OF = "2001-06-15"  # history queries' "today"
+LOOKBACK_YEARS = 10
+ALERT_THRESHOLD = 5.0
+REAL_SELECTION = ("1996-01-01", "1997-12-31")
+FORECAST_SELECTION = ("2001-01-01", "2002-12-31")
+HISTORY_JSON_COLS = ["ClimateID", "Datetime", "MaxTempC", "MinTempC", "MeanTempC", "TotalPrecipmm"]
+
+
+def _forecast(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.sources.views import forecast_rows
+
+    return forecast_rows(I.table(spark, root, "orders"))
+
+
+def _series(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.sources.views import daily_series
+
+    return daily_series(I.table(spark, root, "orders"))
+
+
+# ------------------------------------------------------------ live / history
+@query("latest_cards")
+def latest_cards(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.live import latest_cards as cards
+
+    return cards(I.live(spark, root)).transform(_round)
+
+
+@query("latest_per_city")
+def latest_per_city(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.live import latest_per_city as per_city
+
+    return per_city(I.live(spark, root))
+
+
+@query("temperature_alert")
+def temperature_alert(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators import live
+
+    current = live.latest_per_city(I.live(spark, root))
+    return live.alert_records(live.absolute_alert(current, ALERT_THRESHOLD)).transform(decimals_to_double)
+
+
+@query("deviation_alert")
+def deviation_alert(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators import live
+
+    current = live.latest_per_city(I.live(spark, root))
+    out = live.deviation_alert(current, I.obs_values(spark, root), AS_OF, ALERT_THRESHOLD, LOOKBACK_YEARS)
+    return out.transform(_round)
+
+
+@query("same_day_history")
+def same_day_history(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.live import same_day_history as sdh
+
+    return sdh(I.obs_values(spark, root), AS_OF, LOOKBACK_YEARS)
+
+
+@query("history_json")
+def history_json(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators import live
+
+    hist = live.same_day_history(I.obs_values(spark, root), AS_OF, LOOKBACK_YEARS)
+    return live.history_json(hist, HISTORY_JSON_COLS)
+
+
+# ------------------------------------------------------------------ measures
+@query("metric_real_axis")
+def metric_real_axis(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.measures import real_series_with_axis
+
+    return real_series_with_axis(I.obs_values(spark, root), 1, *REAL_SELECTION)
+
+
+@query("metric_forecast_axis")
+def metric_forecast_axis(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.measures import forecast_series_with_axis
+
+    return forecast_series_with_axis(
+        _forecast(spark, root), I.obs_values(spark, root), 1, *FORECAST_SELECTION
+    ).transform(_round)
+
+
+@query("max_real_date")
+def max_real_date(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.measures import max_real_date as mrd
+
+    obs = I.obs_values(spark, root)
+    return obs.agg(F.max("Datetime").alias("max_real_date")).select(
+        "max_real_date", mrd(obs).alias("debug")
+    )
+
+
+@query("period_text")
+def period_text(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.ml.features import calendar_for
+    from stratus.operators.measures import in_selection, period_text as text
+
+    dates = calendar_for(I.obs_values(spark, root), "Datetime")
+    sel = dates.filter(in_selection("date", *REAL_SELECTION))
+    n = sel.agg(F.count("day").alias("n_days"))
+    return n.select("n_days", text(F.col("n_days")).alias("textday"))
+
+
+@query("metric_selection")
+def metric_selection(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators import measures as M
+
+    vals = M.history_metrics(I.obs_values(spark, root))
+    params = M.metric_param(spark)  # three fixed rows
+    j = vals.join(F.broadcast(params), "id", "inner")
+    return j.select(
+        "id",
+        "Metric",
+        F.round("metric_real", 6).alias("metric_real"),
+        M.series_title(F.col("Metric")).alias("titletimeseries"),
+        M.metric_icon(F.col("id")).alias("displayIcone"),
+    )
+
+
+@query("mean_rain_measures")
+def mean_rain_measures(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.measures import mean_rain_measures as mrm
+
+    obs = I.obs_values(spark, root).withColumn("year", F.year("Datetime"))
+    return mrm(obs, ["year"])
+
+
+@query("metric_extremes")
+def metric_extremes(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators import measures as M
+
+    real = M.real_series_with_axis(I.obs_values(spark, root), 1, None, None)
+    fc = M.forecast_series_with_axis(_forecast(spark, root), I.obs_values(spark, root), 1, None, None)
+    return M.extremes(real, fc).transform(_round)
+
+
+# ---------------------------------------------------------------- statistics
+@query("describe_precip")
+def describe_precip(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.stats import describe
+
+    return describe(I.obs_values(spark, root), ["MaxTempC", "MinTempC", "TotalPrecipmm"]).transform(_round)
+
+
+@query("zero_precip_count")
+def zero_precip_count(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.stats import zero_profile
+
+    return zero_profile(I.clean_obs(spark, root), "TotalPrecipmm")
+
+
+@query("rain_class_counts")
+def rain_class_counts(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.functions.columns import rain_flag
+    from stratus.operators.stats import class_counts
+
+    obs = I.obs_values(spark, root).withColumn("Rain", rain_flag(F.col("TotalPrecipmm")))
+    return class_counts(obs, "Rain")
+
+
+def _naive_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Real daily values beside a seasonal-naive prediction (the value 7 days before)."""
+    s = _series(spark, root)
+    pred = s.select(F.date_add("ds", 7).alias("ds"), F.col("y").alias("prediction"))
+    return s.join(pred, "ds", "inner").select("ds", F.col("y").alias("label"), "prediction")
+
+
+@query("pred_vs_real")
+def pred_vs_real(spark: SparkSession, root: str) -> DataFrame:
+    return _naive_pairs(spark, root).transform(_round)
+
+
+@query("regression_quality")
+def regression_quality(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.stats import regression_quality as rq
+
+    return rq(_naive_pairs(spark, root)).transform(_round)
+
+
+@query("correlations")
+def correlations(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.stats import correlation_matrix
+
+    return correlation_matrix(
+        I.obs_values(spark, root), ["MaxTempC", "MinTempC", "TotalPrecipmm", "Latitudey"]
+    ).transform(_round)
+
+
+@query("key_influencers")
+def key_influencers(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.functions.columns import rain_flag, season
+    from stratus.operators.stats import key_influencers as ki
+
+    obs = I.obs_values(spark, root).select(
+        "ClimateID",
+        rain_flag(F.col("TotalPrecipmm")).alias("Rain"),
+        F.month("Datetime").alias("month"),
+        season(F.col("Datetime")).alias("season"),
+    )
+    j = star.join_dimension(obs, I.stations(spark, root).select("ClimateID", "Province"), "ClimateID")
+    return ki(j, "Rain", ["Province", "month", "season"]).transform(_round)
+
+
+@query("narrative_facts")
+def narrative_facts(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.stats import narrative_facts as nf
+
+    obs = I.obs_values(spark, root)
+    per_station_day = obs.groupBy("ClimateID", "Datetime").agg(
+        F.sum("MaxTempC").alias("s"), F.count("MaxTempC").alias("n")
+    )
+    j = star.join_dimension(per_station_day, I.stations(spark, root).select("ClimateID", "Province"), "ClimateID")
+    daily = j.groupBy("Province", "Datetime").agg((F.sum("s") / F.sum("n")).alias("value"))
+    return nf(daily, ["Province"], "Datetime", "value").transform(_round)
+
+
+# ------------------------------------------------------- forecasts and runs
+@query("rain_gated")
+def rain_gated(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.ml.models import rain_gate
+
+    return rain_gate(_forecast(spark, root))
+
+
+@query("runs_pivot")
+def runs_pivot(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.ml.runs import metric_evolution
+    from stratus.sources.views import run_metrics
+
+    return metric_evolution(run_metrics(I.table(spark, root, "orders")))
+
+
+# ------------------------------------------------------- splits and set ops
+@query("half_split")
+def half_split(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.sampling import half_split as hs
+
+    s = hs(_series(spark, root), "ds")
+    return s.groupBy("half").agg(
+        F.count(F.lit(1)).alias("n_days"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day")
+    )
+
+
+@query("subtract_distinct")
+def subtract_distinct(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.sampling import date_median, subtract_distinct as sd
+
+    obs = I.obs_values(spark, root).select("ClimateID", "Datetime", "MaxTempC", "TotalPrecipmm")
+    first = obs.filter(F.unix_date("Datetime") <= date_median(obs, "Datetime"))
+    return sd(obs, first)
+
+
+@query("class_union")
+def class_union(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.functions.columns import rain_flag
+    from stratus.operators.sampling import class_union as cu
+
+    obs = I.obs_values(spark, root).select(
+        "ClimateID", "Datetime", "TotalPrecipmm", rain_flag(F.col("TotalPrecipmm")).alias("Rain")
+    )
+    return cu(obs, "Rain")
+
+
+@query("balanced_sample")
+def balanced_sample(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.functions.columns import rain_flag
+    from stratus.operators.sampling import balance_classes
+
+    obs = I.obs_values(spark, root).withColumn("Rain", rain_flag(F.col("TotalPrecipmm")))
+    return balance_classes(obs, "Rain", ["ClimateID", "Datetime", "MaxTempC", "MinTempC", "Latitudey"])
+
+
+@query("hash_split")
+def hash_split(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.operators.sampling import hash_split as hsplit
+
+    obs = I.obs_values(spark, root)
+    return hsplit(obs, ["ClimateID", "Datetime", "MaxTempC", "MinTempC", "Latitudey"])
+
+
+# ---------------------------------------------------------- calendar / star
+@query("forecast_calendar")
+def forecast_calendar(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.functions.columns import season
+    from stratus.ml.features import calendar_for
+
+    return calendar_for(I.obs_values(spark, root), "Datetime", 10).withColumn("season", season(F.col("date")))
+
+
+@query("calendar_features")
+def calendar_features(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.ml.features import calendar_features as cf
+
+    return cf(_series(spark, root), "ds").transform(_round)
+
+
+@query("star_history")
+def star_history(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.ml.features import calendar_for
+
+    obs = I.clean_obs(spark, root)
+    dates = star.date_dimension(calendar_for(obs, "Datetime"))
+    return star.star_history(obs, I.stations(spark, root), dates).transform(decimals_to_double)
+
+
+@query("station_name_match")
+def station_name_match(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.sources.views import external_station_rows
+
+    rows = external_station_rows(I.table(spark, root, "lineitem"))
+    # aggregate per name first: the join then carries one row per name
+    per_name = rows.groupBy("Station").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("TotalPrecip").alias("total_precip")
+    )
+    j = star.join_by_name(per_name, I.stations(spark, root))
+    return j.select("Name", "Province", "n_rows", F.round("total_precip", 6).alias("total_precip"))
+
+
+@query("csv_header_rows")
+def csv_header_rows(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.sources.ingest import clean_headerless_csv
+    from stratus.sources.views import headerless_csv_rows
+
+    return clean_headerless_csv(headerless_csv_rows(I.table(spark, root, "part")))
+
+
+def _round(df: DataFrame) -> DataFrame:
+    from stratus.operators.stats import rounded
+
+    return rounded(df, 6)

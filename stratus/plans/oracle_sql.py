@@ -119,3 +119,360 @@ SELECT """ + ",\n       ".join(
 ORACLE["station_dim"] = with_(STATIONS) + """
 SELECT ClimateID, Name, Province FROM stations
 """
+
+# ------------------------------------------------------------------ shared
+FORECAST = """
+fc AS (
+  SELECT CAST(o_orderdate AS DATE) + 365 AS date,
+         CAST(CASE WHEN o_custkey % 7 > 0 THEN 1 ELSE 0 END AS DOUBLE) AS Rain_predicted,
+         floor(o_totalprice / 1000.0) / 10.0 AS MaxTempC_predicted,
+         floor(o_totalprice / 1000.0) / 10.0 - 10.0 AS MinTempC_predicted,
+         CAST(o_custkey % 7 AS DOUBLE) AS TotalPrecipmm_predicted,
+         CAST(o_orderkey % 13 AS DOUBLE) / 4.0 AS PrecipitationM2_predicted
+  FROM orders
+)"""
+
+SERIES = """
+series AS (
+  SELECT CAST(o_orderdate AS DATE) AS ds, avg(o_totalprice) AS y FROM orders GROUP BY 1
+)"""
+
+LATEST_PER_CITY = """
+latest AS (
+  SELECT City, ObservationTime, Temperature, TemperatureMin, TemperatureMax, Humidity,
+         Pressure, Description, Rain
+  FROM (SELECT *, row_number() OVER (
+          PARTITION BY City
+          ORDER BY ObservationTime DESC, Temperature DESC, TemperatureMin DESC,
+                   TemperatureMax DESC, Humidity DESC, Pressure DESC, Description DESC,
+                   Rain DESC) AS rn
+        FROM live) t
+  WHERE rn = 1
+)"""
+
+AS_OF_DAY = (
+    "Datetime >= DATE '1991-01-01' AND Datetime < DATE '2002-01-01' "
+    "AND month(Datetime) = 6 AND day(Datetime) = 15"
+)
+UNIX_DAY = "date_diff('day', DATE '1970-01-01', {})"
+
+
+def season_sql(d: str) -> str:
+    return (
+        f"CASE WHEN month({d}) IN (12, 1, 2) THEN 'Winter' WHEN month({d}) IN (3, 4, 5) THEN 'Spring' "
+        f"WHEN month({d}) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END"
+    )
+
+
+# ------------------------------------------------------------ live / history
+ORACLE["latest_cards"] = with_(LIVE) + """
+SELECT """ + ",\n       ".join(
+    [
+        f"{dbl(f'sum(CASE WHEN ObservationTime = (SELECT max(ObservationTime) FROM live) THEN {c} END)')} AS card_{c.lower()}"
+        for c in ["Temperature", "Rain", "TemperatureMin", "TemperatureMax"]
+    ]
+    + [
+        f"CAST(sum(CASE WHEN ObservationTime = (SELECT max(ObservationTime) FROM live) THEN {c} END) AS BIGINT) AS card_{c.lower()}"
+        for c in ["Humidity", "Pressure"]
+    ]
+) + """,
+       min(CASE WHEN ObservationTime = (SELECT max(ObservationTime) FROM live) THEN ObservationTime END) AS card_time,
+       min(City) AS card_city,
+       max(Description) AS card_description,
+       max(CASE WHEN ObservationTime = (SELECT max(ObservationTime) FROM live) THEN Description END) AS latest_description
+FROM live
+"""
+
+ORACLE["latest_per_city"] = with_(LIVE, LATEST_PER_CITY) + "SELECT * FROM latest\n"
+
+ORACLE["temperature_alert"] = with_(LIVE, LATEST_PER_CITY) + """
+SELECT City, ObservationTime,
+       CAST(CAST(Temperature AS DECIMAL(10,2)) AS DOUBLE) AS currentTemp,
+       CAST(to_json(struct_pack(ObservationTime := strftime(ObservationTime, '%Y-%m-%d %H:%M:%S'),
+                                Rain := Rain, Temperature := Temperature)) AS VARCHAR) AS text,
+       1 AS go
+FROM latest WHERE Temperature >= 5.0
+"""
+
+ORACLE["deviation_alert"] = with_(LIVE, LATEST_PER_CITY, OBS_VALUES) + f"""
+, normals AS (
+  SELECT ClimateID, avg(MaxTempC) AS normal FROM obs WHERE {AS_OF_DAY} GROUP BY ClimateID
+)
+SELECT c.City, c.ObservationTime, {dbl('c.Temperature')} AS Temperature, {dbl('n.normal')} AS normal,
+       {dbl('c.Temperature - n.normal')} AS deviation
+FROM latest c JOIN normals n ON c.City = n.ClimateID
+WHERE abs(c.Temperature - n.normal) >= 5.0
+"""
+
+ORACLE["same_day_history"] = with_(OBS_VALUES) + f"SELECT * FROM obs WHERE {AS_OF_DAY}\n"
+
+ORACLE["history_json"] = with_(OBS_VALUES) + f"""
+SELECT ClimateID, CAST(count(*) AS BIGINT) AS n_rows,
+       '[' || array_to_string(list_sort(list(CAST(to_json(struct_pack(
+            ClimateID := ClimateID, Datetime := Datetime, MaxTempC := MaxTempC,
+            MinTempC := MinTempC, MeanTempC := MeanTempC, TotalPrecipmm := TotalPrecipmm)) AS VARCHAR))),
+            ', ') || ']' AS history_json
+FROM obs WHERE {AS_OF_DAY} GROUP BY ClimateID
+"""
+
+# ------------------------------------------------------------------ measures
+ORACLE["metric_real_axis"] = with_(OBS_VALUES) + """
+, sel AS (SELECT * FROM obs WHERE Datetime >= DATE '1996-01-01' AND Datetime <= DATE '1997-12-31')
+SELECT Datetime, CAST(max(MaxTempC) AS DOUBLE) AS metric_real,
+       (SELECT CAST(max(MaxTempC) AS DOUBLE) FROM sel) AS axis_real
+FROM sel GROUP BY Datetime
+"""
+
+ORACLE["metric_forecast_axis"] = with_(OBS_VALUES, FORECAST) + f"""
+, sel AS (SELECT * FROM fc WHERE date >= DATE '2001-01-01' AND date <= DATE '2002-12-31')
+SELECT date, {dbl('max(MaxTempC_predicted)')} AS metric_forecast,
+       (SELECT {dbl('max(MaxTempC_predicted)')} FROM sel
+         WHERE date > (SELECT max(Datetime) FROM obs)) AS axis_forecast
+FROM sel GROUP BY date
+"""
+
+ORACLE["max_real_date"] = with_(OBS_VALUES) + """
+SELECT max(Datetime) AS max_real_date, max(Datetime) AS debug FROM obs
+"""
+
+ORACLE["period_text"] = with_(OBS_VALUES) + """
+, cal AS (
+  SELECT CAST(unnest(generate_series(CAST((SELECT min(Datetime) FROM obs) AS TIMESTAMP),
+                                     CAST((SELECT max(Datetime) FROM obs) AS TIMESTAMP),
+                                     INTERVAL 1 DAY)) AS DATE) AS d
+)
+SELECT CAST(count(*) AS BIGINT) AS n_days,
+       'This will cover period of : ' || CAST(count(*) AS VARCHAR)
+         || CASE WHEN count(*) > 1 THEN 'days' ELSE 'day' END AS textday
+FROM cal WHERE d >= DATE '1996-01-01' AND d <= DATE '1997-12-31'
+"""
+
+ORACLE["metric_selection"] = with_(OBS_VALUES) + f"""
+, v AS (SELECT max(MaxTempC) AS m1, min(MinTempC) AS m2, sum(TotalPrecipmm) AS m3 FROM obs)
+SELECT CAST(id AS BIGINT) AS id, Metric, {dbl('val')} AS metric_real,
+       Metric || ' Real and Forecast by date' AS titletimeseries, icon AS displayIcone
+FROM (SELECT 1 AS id, 'MaxTempC' AS Metric, m1 AS val, 'fire' AS icon FROM v
+      UNION ALL SELECT 2, 'MinTempC', m2, 'ice' FROM v
+      UNION ALL SELECT 3, 'TotalPrecipmm', m3, 'rain' FROM v) t
+"""
+
+ORACLE["mean_rain_measures"] = with_(OBS_VALUES) + f"""
+SELECT CAST(year(Datetime) AS INTEGER) AS year, {dbl('avg(MeanTempC)')} AS mean_temp_real,
+       {dbl('avg(TotalPrecipmm)')} AS mean_rain_real, {dbl('sum(TotalPrecipmm)')} AS rain_real
+FROM obs GROUP BY year(Datetime)
+"""
+
+ORACLE["metric_extremes"] = with_(OBS_VALUES, FORECAST) + f"""
+, r AS (SELECT Datetime AS d, CAST(max(MaxTempC) AS DOUBLE) AS v FROM obs GROUP BY Datetime)
+, f AS (SELECT date AS d, CAST(max(MaxTempC_predicted) AS DOUBLE) AS v FROM fc GROUP BY date)
+, rt AS (SELECT max(v) AS v, min(d) AS d FROM r WHERE v = (SELECT max(v) FROM r))
+, ft AS (SELECT max(v) AS v, min(d) AS d FROM f WHERE v = (SELECT max(v) FROM f))
+SELECT CAST(ft.v AS VARCHAR) || ' on ' || CAST(ft.d AS VARCHAR) AS forecast_maximal_value,
+       {dbl('abs(ft.v - (SELECT max(r.v) FROM r WHERE r.d = ft.d))')} AS forecast_maximal_value_error,
+       (SELECT CAST(v AS VARCHAR) || ' on ' || CAST(d AS VARCHAR) FROM rt) AS real_maximal_value
+FROM ft
+"""
+
+# ---------------------------------------------------------------- statistics
+ORACLE["describe_precip"] = with_(OBS_VALUES) + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS "count", {dbl(f'avg({c})')} AS mean,
+       {dbl(f'stddev_samp({c})')} AS stddev, {dbl(f'min({c})')} AS "min", {dbl(f'max({c})')} AS "max" FROM obs"""
+    for c in ["MaxTempC", "MinTempC", "TotalPrecipmm"]
+) + "\n"
+
+ORACLE["zero_precip_count"] = with_(CLEAN_OBS) + """
+SELECT CAST(count_if(TotalPrecipmm = 0) AS BIGINT) AS zero_count,
+       CAST(count_if(TotalPrecipmm <> 0) AS BIGINT) AS nonzero_count,
+       CAST(count_if(TotalPrecipmm IS NULL) AS BIGINT) AS null_count
+FROM clean_obs
+"""
+
+ORACLE["rain_class_counts"] = with_(OBS_VALUES) + """
+, c AS (SELECT CASE WHEN TotalPrecipmm > 0 THEN 1 ELSE 0 END AS Rain, count(*) AS n FROM obs GROUP BY 1)
+SELECT CAST(Rain AS INTEGER) AS Rain, CAST(n AS BIGINT) AS n,
+       CAST((SELECT min(n) FROM c) AS BIGINT) AS minority_n
+FROM c
+"""
+
+PAIRS = (
+    SERIES
+    + """,
+pairs AS (
+  SELECT s.ds, s.y AS label, p.prediction
+  FROM series s JOIN (SELECT ds + 7 AS ds, y AS prediction FROM series) p ON s.ds = p.ds
+)"""
+)
+
+ORACLE["pred_vs_real"] = with_(PAIRS) + f"""
+SELECT ds, {dbl('label')} AS label, {dbl('prediction')} AS prediction FROM pairs
+"""
+
+ORACLE["regression_quality"] = with_(PAIRS) + f"""
+SELECT CAST(count(*) AS BIGINT) AS n,
+       {dbl('sqrt(avg((prediction - label) * (prediction - label)))')} AS rmse,
+       {dbl('avg(abs(prediction - label))')} AS mae,
+       {dbl('1 - avg((prediction - label) * (prediction - label)) / var_pop(label)')} AS r2
+FROM pairs
+"""
+
+_CORR_COLS = ["MaxTempC", "MinTempC", "TotalPrecipmm", "Latitudey"]
+ORACLE["correlations"] = with_(OBS_VALUES) + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {dbl(f'corr({a}, {b})')} AS corr FROM obs"
+    for i, a in enumerate(_CORR_COLS)
+    for b in _CORR_COLS[i + 1:]
+) + "\n"
+
+ORACLE["key_influencers"] = with_(OBS_VALUES, STATIONS) + f"""
+, j AS (
+  SELECT CASE WHEN o.TotalPrecipmm > 0 THEN 1 ELSE 0 END AS Rain, s.Province,
+         CAST(month(o.Datetime) AS VARCHAR) AS month, {season_sql('o.Datetime')} AS season
+  FROM obs o LEFT JOIN stations s ON o.ClimateID = s.ClimateID
+)
+, long AS (
+  SELECT 'Province' AS factor, Province AS value, Rain FROM j
+  UNION ALL SELECT 'month', month, Rain FROM j
+  UNION ALL SELECT 'season', season, Rain FROM j
+)
+, g AS (SELECT factor, value, count(*) AS n, avg(Rain) AS mean_target FROM long GROUP BY factor, value)
+, o AS (SELECT avg(Rain) AS overall FROM j)
+SELECT factor, value, CAST(n AS BIGINT) AS n, {dbl('mean_target')} AS mean_target,
+       {dbl('overall')} AS overall_mean, {dbl('mean_target / overall')} AS lift,
+       CAST(row_number() OVER (PARTITION BY factor ORDER BY mean_target / overall DESC,
+                               value ASC NULLS FIRST) AS INTEGER) AS rank
+FROM g, o
+"""
+
+ORACLE["narrative_facts"] = with_(OBS_VALUES, STATIONS) + f"""
+, daily AS (
+  SELECT s.Province, o.Datetime, avg(o.MaxTempC) AS value
+  FROM obs o LEFT JOIN stations s ON o.ClimateID = s.ClimateID
+  GROUP BY s.Province, o.Datetime
+)
+, d2 AS (
+  SELECT *, min(value) OVER (PARTITION BY Province) AS mv, max(value) OVER (PARTITION BY Province) AS xv
+  FROM daily
+)
+SELECT Province, CAST(count(*) AS BIGINT) AS n_days,
+       {dbl('arg_min(value, Datetime)')} AS first_value, {dbl('arg_max(value, Datetime)')} AS last_value,
+       {dbl('min(value)')} AS min_value, {dbl('max(value)')} AS max_value,
+       min(Datetime) FILTER (WHERE value = mv) AS min_day,
+       min(Datetime) FILTER (WHERE value = xv) AS max_day,
+       {dbl('avg(value)')} AS mean_value,
+       {dbl("regr_slope(value, CAST(" + UNIX_DAY.format('Datetime') + " AS DOUBLE))")} AS slope_per_day
+FROM d2 GROUP BY Province
+"""
+
+# ------------------------------------------------------- forecasts and runs
+ORACLE["rain_gated"] = with_(FORECAST) + """
+SELECT *, TotalPrecipmm_predicted * Rain_predicted AS TotalPrecipmm_predictedRain,
+       PrecipitationM2_predicted * Rain_predicted AS PrecipitationM2_predictedRain
+FROM fc
+"""
+
+ORACLE["runs_pivot"] = """
+WITH runs AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS run_id,
+         CASE WHEN o_orderstatus = 'F' THEN 'MaxTempC' WHEN o_orderstatus = 'O' THEN 'MinTempC'
+              ELSE 'TotalPrecipmm' END AS target,
+         o_orderdate AS ts,
+         o_totalprice / 10000.0 AS RMSE,
+         CASE WHEN o_orderpriority = '5-LOW' THEN NULL
+              ELSE 1.0 - CAST(o_custkey % 100 AS DOUBLE) / 100.0 END AS R2,
+         o_totalprice / 20000.0 AS MAE
+  FROM orders
+)
+SELECT run_id, target, RMSE, R2, MAE, ts,
+       CAST(row_number() OVER (PARTITION BY target ORDER BY ts, run_id) AS BIGINT) AS "index"
+FROM runs WHERE RMSE IS NOT NULL AND R2 IS NOT NULL AND MAE IS NOT NULL
+"""
+
+# ------------------------------------------------------- splits and set ops
+ORACLE["half_split"] = with_(SERIES) + f"""
+, cut AS (SELECT median({UNIX_DAY.format('ds')}) AS c FROM series)
+SELECT CASE WHEN {UNIX_DAY.format('ds')} <= (SELECT c FROM cut) THEN 'first' ELSE 'second' END AS half,
+       CAST(count(*) AS BIGINT) AS n_days, min(ds) AS first_day, max(ds) AS last_day
+FROM series GROUP BY 1
+"""
+
+ORACLE["subtract_distinct"] = with_(OBS_VALUES) + f"""
+SELECT ClimateID, Datetime, MaxTempC, TotalPrecipmm FROM obs
+EXCEPT
+SELECT ClimateID, Datetime, MaxTempC, TotalPrecipmm FROM obs
+WHERE {UNIX_DAY.format('Datetime')} <= (SELECT median({UNIX_DAY.format('Datetime')}) FROM obs)
+"""
+
+ORACLE["class_union"] = with_(OBS_VALUES) + """
+, r AS (SELECT ClimateID, Datetime, TotalPrecipmm,
+               CAST(CASE WHEN TotalPrecipmm > 0 THEN 1 ELSE 0 END AS INTEGER) AS Rain FROM obs)
+SELECT * FROM r WHERE Rain = 0
+UNION ALL
+SELECT * FROM r WHERE Rain = 1
+"""
+
+# ---------------------------------------------------------- calendar / star
+ORACLE["forecast_calendar"] = with_(OBS_VALUES) + f"""
+, cal AS (
+  SELECT CAST(unnest(generate_series(CAST((SELECT min(Datetime) FROM obs) AS TIMESTAMP),
+                                     CAST((SELECT max(Datetime) FROM obs) + INTERVAL 10 YEAR AS TIMESTAMP),
+                                     INTERVAL 1 DAY)) AS DATE) AS date
+)
+SELECT date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+       CAST(day(date) AS INTEGER) AS day, {season_sql('date')} AS season
+FROM cal
+"""
+
+ORACLE["calendar_features"] = with_(SERIES) + f"""
+SELECT ds, {dbl('y')} AS y, CAST(year(ds) AS INTEGER) AS year, CAST(month(ds) AS INTEGER) AS month,
+       CAST(day(ds) AS INTEGER) AS day, CAST(dayofyear(ds) AS INTEGER) AS day_of_year,
+       CAST(dayofweek(ds) + 1 AS INTEGER) AS day_of_week
+FROM series
+"""
+
+ORACLE["star_history"] = with_(CLEAN_OBS, STATIONS) + f"""
+, cal AS (
+  SELECT CAST(unnest(generate_series(CAST((SELECT min(Datetime) FROM clean_obs) AS TIMESTAMP),
+                                     CAST((SELECT max(Datetime) FROM clean_obs) AS TIMESTAMP),
+                                     INTERVAL 1 DAY)) AS DATE) AS date
+)
+SELECT c.ClimateID, c.Datetime,
+       CAST(c.Latitudey AS DOUBLE) AS Latitudey, CAST(c.MaxTempC AS DOUBLE) AS MaxTempC,
+       CAST(c.MinTempC AS DOUBLE) AS MinTempC, CAST(c.MeanTempC AS DOUBLE) AS MeanTempC,
+       CAST(c.TotalPrecipmm AS DOUBLE) AS TotalPrecipmm, CAST(c.Longitudex AS DOUBLE) AS Longitudex,
+       s.Name, s.Province,
+       CAST(year(d.date) AS INTEGER) AS year, CAST(month(d.date) AS INTEGER) AS month,
+       CAST(day(d.date) AS INTEGER) AS day,
+       CASE WHEN d.date IS NULL THEN NULL ELSE {season_sql('d.date')} END AS season
+FROM clean_obs c
+LEFT JOIN stations s ON c.ClimateID = s.ClimateID
+LEFT JOIN cal d ON c.Datetime = d.date
+"""
+
+ORACLE["station_name_match"] = with_(STATIONS) + f"""
+, r AS (
+  SELECT 'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS Station,
+         round(100.0 * l_discount, 2) + 0.0 AS TotalPrecip
+  FROM lineitem
+)
+, p AS (SELECT Station, count(*) AS n_rows, sum(TotalPrecip) AS total FROM r GROUP BY Station)
+SELECT s.Name, s.Province, CAST(p.n_rows AS BIGINT) AS n_rows, {dbl('p.total')} AS total_precip
+FROM p JOIN stations s ON p.Station = s.Name
+"""
+
+ORACLE["csv_header_rows"] = """
+WITH raw AS (
+  SELECT CASE WHEN p_size = 1 THEN 'Date'
+              ELSE strftime(DATE '1995-01-01' + CAST(p_partkey AS INTEGER), '%Y-%m-%d') END AS _c0,
+         CASE WHEN p_size = 1 THEN 'Max Temp (°C)' ELSE CAST(p_size AS VARCHAR) END AS _c1,
+         CASE WHEN p_size = 1 THEN 'Min Temp (°C)' ELSE CAST(p_size - 10 AS VARCHAR) END AS _c2,
+         CASE WHEN p_size = 1 THEN 'Heat Deg Days (°C)'
+              ELSE CAST(floor(p_retailprice / 100.0) AS VARCHAR) END AS _c3,
+         CASE WHEN p_size = 1 THEN 'Total Precip (mm)' WHEN p_brand = 'Brand#11' THEN 'M'
+              ELSE CAST(CAST(p_partkey % 40 AS DOUBLE) / 4.0 AS VARCHAR) END AS _c4,
+         CASE WHEN p_size = 1 THEN 'Station Name' ELSE p_brand END AS _c5
+  FROM part
+)
+SELECT TRY_CAST(_c0 AS DATE) AS "Date", TRY_CAST(_c1 AS DOUBLE) AS "Max Temp",
+       TRY_CAST(_c2 AS DOUBLE) AS "Min Temp", TRY_CAST(_c3 AS DOUBLE) AS "Heat Deg Days",
+       TRY_CAST(_c4 AS DOUBLE) AS "Total Precip (mm)", _c5 AS "Station"
+FROM raw WHERE _c0 IS DISTINCT FROM 'Date'
+"""

@@ -93,3 +93,84 @@ def live_readings(events: DataFrame) -> DataFrame:
         F.col("ts").alias("ObservationTime"),
         F.when(F.col("event_type") == "error", F.lit(1.0)).otherwise(F.lit(0.0)).alias("Rain"),
     )
+
+
+def forecast_rows(orders: DataFrame) -> DataFrame:
+    """A forecast table shaped like the model's output, one row per order
+    moved a year ahead (so part of it lies after the last real day)."""
+    price = F.floor(F.col("o_totalprice") / F.lit(1000.0)) / F.lit(10.0)
+    ck = F.col("o_custkey")
+    return orders.select(
+        F.date_add(F.col("o_orderdate").cast("date"), 365).alias("date"),
+        F.when(F.pmod(ck, F.lit(7)) > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("Rain_predicted"),
+        price.alias("MaxTempC_predicted"),
+        (price - F.lit(10.0)).alias("MinTempC_predicted"),
+        F.pmod(ck, F.lit(7)).cast("double").alias("TotalPrecipmm_predicted"),
+        (F.pmod(F.col("o_orderkey"), F.lit(13)).cast("double") / F.lit(4.0)).alias("PrecipitationM2_predicted"),
+    )
+
+
+def daily_series(orders: DataFrame) -> DataFrame:
+    """Daily series (ds, y): mean order total per order day."""
+    return orders.groupBy(F.col("o_orderdate").cast("date").alias("ds")).agg(
+        F.avg("o_totalprice").alias("y")
+    )
+
+
+def run_metrics(orders: DataFrame) -> DataFrame:
+    """Training-run metrics in long form (run_id, target, metric, value, ts),
+    one run per order; runs of priority 5-LOW have no R2 (incomplete)."""
+    target = (
+        F.when(F.col("o_orderstatus") == "F", F.lit("MaxTempC"))
+        .when(F.col("o_orderstatus") == "O", F.lit("MinTempC"))
+        .otherwise(F.lit("TotalPrecipmm"))
+    )
+    wide = orders.select(
+        F.col("o_orderkey").cast("string").alias("run_id"),
+        target.alias("target"),
+        F.col("o_orderdate").alias("ts"),
+        (F.col("o_totalprice") / F.lit(10000.0)).alias("RMSE"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None).cast("double"))
+        .otherwise(F.lit(1.0) - F.pmod(F.col("o_custkey"), F.lit(100)).cast("double") / F.lit(100.0))
+        .alias("R2"),
+        (F.col("o_totalprice") / F.lit(20000.0)).alias("MAE"),
+    )
+    return wide.unpivot(["run_id", "target", "ts"], ["RMSE", "R2", "MAE"], "metric", "value")
+
+
+def external_station_rows(lineitem: DataFrame) -> DataFrame:
+    """External CSV rows keyed by station *name* (Station, Date, TotalPrecip)."""
+    return lineitem.select(
+        F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0")).alias("Station"),
+        F.col("l_shipdate").cast("date").alias("Date"),
+        _num(F.lit(100.0) * F.col("l_discount")).alias("TotalPrecip"),
+    )
+
+
+# Header texts of the external daily CSV (fixed values).
+CSV_HEADERS = ["Date", "Max Temp (°C)", "Min Temp (°C)", "Heat Deg Days (°C)", "Total Precip (mm)", "Station Name"]
+
+
+def headerless_csv_rows(part: DataFrame) -> DataFrame:
+    """A header-polluted CSV read with ``header=False`` (positional ``_c0``..``_c5``).
+
+    Parts of size 1 stand for repeated header lines (each column holds its
+    header text); brand ``Brand#11`` rows carry ``M`` (missing) precipitation.
+    """
+    is_header = F.col("p_size") == 1
+    values = [
+        F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_partkey").cast("int")), "yyyy-MM-dd"),
+        F.col("p_size").cast("string"),
+        (F.col("p_size") - F.lit(10)).cast("string"),
+        F.floor(F.col("p_retailprice") / F.lit(100.0)).cast("string"),
+        F.when(F.col("p_brand") == "Brand#11", F.lit("M")).otherwise(
+            (F.pmod(F.col("p_partkey"), F.lit(40)).cast("double") / F.lit(4.0)).cast("string")
+        ),
+        F.col("p_brand"),
+    ]
+    return part.select(
+        *[
+            F.when(is_header, F.lit(h)).otherwise(v).alias(f"_c{i}")
+            for i, (h, v) in enumerate(zip(CSV_HEADERS, values))
+        ]
+    )
