@@ -392,3 +392,141 @@ def _round(df: DataFrame) -> DataFrame:
     from stratus.operators.stats import rounded
 
     return rounded(df, 6)
+
+
+# ------------------------------------------------------------ machine learning
+_MODEL_CACHE: dict[tuple, dict] = {}
+
+
+def _training(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.ml.models import training_frame
+
+    return training_frame(I.obs_values(spark, root))
+
+
+def _fitted(spark: SparkSession, root: str, with_precip: bool) -> dict:
+    """Fit (once per data root and session) the rain classifier and the CV regressors."""
+    from stratus.ml import models as MD
+
+    key = (id(spark), root)
+    cache = _MODEL_CACHE.setdefault(key, {})
+    frame = _training(spark, root)
+    if "Rain" not in cache:
+        cache["Rain"] = MD.fit_rain_classifier(frame)
+        cache["MaxTempC"] = MD.fit_temperature(frame, "MaxTempC")
+        cache["MinTempC"] = MD.fit_temperature(frame, "MinTempC")
+    if with_precip and "TotalPrecipmm" not in cache:
+        cache["TotalPrecipmm"] = MD.fit_precipitation(frame, cache["Rain"].model)
+    return cache
+
+
+@query("rain_classifier")
+def rain_classifier(spark: SparkSession, root: str) -> DataFrame:
+    """CLS1: balanced random-forest rain classifier; predictions on the held-out split."""
+    from stratus.ml import models as MD
+    from stratus.operators.sampling import balance_classes, hash_split
+
+    fitted = _fitted(spark, root, False)["Rain"]
+    frame = _training(spark, root)
+    test = hash_split(balance_classes(frame, "Rain", MD.KEY, MD.SEED), MD.KEY, 80, MD.SEED).filter(
+        F.col("split") == "test"
+    )
+    preds = MD.strip_ml(fitted.model.transform(test))
+    return preds.select("ClimateID", "date", "Rain", "prediction").withColumn(
+        "auc", F.lit(fitted.metrics["AUC"])
+    )
+
+
+def _forecast_calendar(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.ml.features import calendar_for
+
+    return calendar_for(I.obs_values(spark, root), "Datetime", 10)
+
+
+@query("temp_forecast")
+def temp_forecast(spark: SparkSession, root: str) -> DataFrame:
+    """REG1 + FOR4: rain, max and min temperature scored over the forecast calendar."""
+    from stratus.ml.models import score_as
+    from stratus.ml.features import calendar_features as cf
+
+    m = _fitted(spark, root, False)
+    cal = cf(_forecast_calendar(spark, root).select("date"), "date")
+    f = score_as(m["Rain"].model, cal, "Rain_predicted")
+    f = score_as(m["MaxTempC"].model, f, "MaxTempC_predicted")
+    f = score_as(m["MinTempC"].model, f, "MinTempC_predicted")
+    return f.select("date", "Rain_predicted", "MaxTempC_predicted", "MinTempC_predicted")
+
+
+@query("precip_forecast")
+def precip_forecast(spark: SparkSession, root: str) -> DataFrame:
+    """REG2 + FOR5 + FOR6: full forecast chain with rain-gated precipitation."""
+    from stratus.ml.models import forecast_frame
+
+    m = _fitted(spark, root, True)
+    return forecast_frame(
+        _forecast_calendar(spark, root), m["Rain"].model, m["MaxTempC"].model, m["MinTempC"].model,
+        m["TotalPrecipmm"].model,
+    )
+
+
+@query("model_quality")
+def model_quality(spark: SparkSession, root: str) -> DataFrame:
+    """AGG13 / AGG14 / RUN1-2: held-out quality of every model, as run rows pivoted."""
+    from stratus.ml.runs import metric_table, run_rows
+    from stratus.operators.sampling import concat_frames
+
+    m = _fitted(spark, root, True)
+    rows = concat_frames([run_rows(spark, t, f.params, f.metrics, run_id=t) for t, f in m.items()])
+    return metric_table(rows.filter(F.col("target") != "Rain")).drop("ts")
+
+
+@query("isolation_scores")
+def isolation_scores(spark: SparkSession, root: str) -> DataFrame:
+    """ANO1: isolation forest over (precipitation, min, max temperature), every row scored."""
+    from stratus.ml.isolation import isolation_forest
+
+    obs = I.obs_values(spark, root).select("ClimateID", "Datetime", "TotalPrecipmm", "MinTempC", "MaxTempC")
+    return isolation_forest(obs, ["TotalPrecipmm", "MinTempC", "MaxTempC"], ["ClimateID", "Datetime"], seed=0)
+
+
+@query("anomaly_counts")
+def anomaly_counts(spark: SparkSession, root: str) -> DataFrame:
+    """ANO2: rows per anomaly label."""
+    from stratus.ml.isolation import anomaly_counts as ac
+
+    return ac(isolation_scores(spark, root))
+
+
+def _daily_weather(spark: SparkSession, root: str) -> DataFrame:
+    from stratus.functions.columns import rain_flag
+
+    obs = I.obs_values(spark, root)
+    return obs.groupBy(F.col("Datetime").alias("ds")).agg(
+        F.avg("MaxTempC").alias("y"), F.max(rain_flag(F.col("TotalPrecipmm"))).cast("double").alias("Rain")
+    )
+
+
+@query("additive_forecast")
+def additive_forecast(spark: SparkSession, root: str) -> DataFrame:
+    """FOR1: additive model fitted on the first half of the days, scored on the second."""
+    from stratus.ml.additive import fit_additive
+    from stratus.operators.sampling import half_split as hs
+
+    s = hs(_daily_weather(spark, root), "ds")
+    score, _ = fit_additive(s.filter(F.col("half") == "first"), "ds", "y", ["Rain"])
+    return score(s.filter(F.col("half") == "second").drop("half"))
+
+
+@query("additive_rain_forecast")
+def additive_rain_forecast(spark: SparkSession, root: str) -> DataFrame:
+    """FOR2: additive model over the future calendar, Rain taken from the classifier."""
+    from stratus.ml.additive import fit_additive
+    from stratus.ml.features import calendar_features as cf
+    from stratus.ml.models import score_as
+
+    daily = _daily_weather(spark, root)
+    score, _ = fit_additive(daily, "ds", "y", ["Rain"])
+    last = daily.select(F.max("ds")).scalar()
+    future = _forecast_calendar(spark, root).filter(F.col("date") > last).select("date")
+    rain = score_as(_fitted(spark, root, False)["Rain"].model, cf(future, "date"), "Rain")
+    return score(rain.select(F.col("date").alias("ds"), "Rain"))
