@@ -530,3 +530,34 @@ def additive_rain_forecast(spark: SparkSession, root: str) -> DataFrame:
     future = _forecast_calendar(spark, root).filter(F.col("date") > last).select("date")
     rain = score_as(_fitted(spark, root, False)["Rain"].model, cf(future, "date"), "Rain")
     return score(rain.select(F.col("date").alias("ds"), "Rain"))
+
+
+# ------------------------------------------------------------------ streaming
+@query("stream_ingest")
+def stream_ingest(spark: SparkSession, root: str) -> DataFrame:
+    """STR1 + SRC8: events landed as nested JSON files, streamed into a table."""
+    from stratus.streaming.live_stream import ingest_stream, replay_events
+
+    p = replay_events(spark, I.table(spark, root, "events"), "stream-ingest")
+    ingest_stream(spark, p["landing"], p["table"], p["checkpoint"])
+    return spark.read.parquet(p["table"])
+
+
+@query("stream_latest_city")
+def stream_latest_city(spark: SparkSession, root: str) -> DataFrame:
+    """STR2: latest reading per city kept as streaming state."""
+    from stratus.streaming.live_stream import latest_state_stream, replay_events
+
+    p = replay_events(spark, I.table(spark, root, "events"), "stream-latest")
+    latest_state_stream(spark, p["landing"], p["table"], p["checkpoint"])
+    return spark.read.parquet(p["table"])
+
+
+@query("stream_alerts")
+def stream_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """STR3-5: absolute alerts per micro-batch, idempotent by batch id."""
+    from stratus.streaming.live_stream import alert_stream, replay_events
+
+    p = replay_events(spark, I.table(spark, root, "events"), "stream-alerts")
+    alert_stream(spark, p["landing"], p["table"], p["checkpoint"], ALERT_THRESHOLD)
+    return spark.read.parquet(p["table"]).drop("batch_id").transform(decimals_to_double)

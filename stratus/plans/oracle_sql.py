@@ -476,3 +476,17 @@ SELECT TRY_CAST(_c0 AS DATE) AS "Date", TRY_CAST(_c1 AS DOUBLE) AS "Max Temp",
        TRY_CAST(_c4 AS DOUBLE) AS "Total Precip (mm)", _c5 AS "Station"
 FROM raw WHERE _c0 IS DISTINCT FROM 'Date'
 """
+
+# ------------------------------------------------------------------ streaming
+ORACLE["stream_ingest"] = with_(LIVE) + "SELECT * FROM live\n"
+
+ORACLE["stream_latest_city"] = ORACLE["latest_per_city"]
+
+ORACLE["stream_alerts"] = with_(LIVE) + """
+SELECT City, ObservationTime,
+       CAST(CAST(Temperature AS DECIMAL(10,2)) AS DOUBLE) AS currentTemp,
+       CAST(to_json(struct_pack(ObservationTime := strftime(ObservationTime, '%Y-%m-%d %H:%M:%S'),
+                                Rain := Rain, Temperature := Temperature)) AS VARCHAR) AS text,
+       1 AS go
+FROM live WHERE Temperature >= 5.0
+"""
