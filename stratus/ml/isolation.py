@@ -6,14 +6,16 @@ grown on a sub-sample of ``psi = min(256, n)`` rows, to height
 anomaly (-1) when ``s > 0.5`` and normal (1) otherwise.
 
 Spark plan:
-1. Sampling: every row decides, by a hash of its columns and the tree id,
-   which trees it feeds (``filter(sequence(0, t-1), ...)``) and is exploded
-   only into those, so the sample is ~``psi * t`` rows, not ``n * t``.
+1. Sampling: one hash of the row's columns puts it in a bucket of [0, n);
+   tree k takes buckets [k psi, (k+1) psi), so each tree gets a uniform
+   sub-sample of ~``psi`` rows at O(1) cost per row (for n < t psi, each row
+   tests its membership per tree instead).  Never ``n * t`` rows.
 2. Growing: ``groupBy(tree_id).applyInPandas`` - one group per tree, each
    ~``psi`` rows, so every task's memory is bounded regardless of ``n``.
 3. The forest (``t * (2 psi - 1)`` nodes at most, independent of ``n``) is
    collected and shipped to the executors with the scoring function.
-4. Scoring: ``mapInPandas`` over all rows, vectorised per batch with numpy.
+4. Scoring: ``mapInPandas`` over all rows; per Arrow batch, all trees are
+   walked together as (rows x trees) numpy arrays, one level per step.
 Rows with a NULL feature are not scored (label NULL), never dropped.
 """
 
@@ -92,51 +94,54 @@ def _tree_builder(features: list[str], max_depth: int, seed: int):
     return build
 
 
-def _pack(nodes: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
-    trees = []
-    for _, t in nodes.sort_values(["tree_id", "node"]).groupby("tree_id"):
-        trees.append(
-            (
-                t["feature"].to_numpy(np.int64),
-                t["threshold"].to_numpy(float),
-                t["left"].to_numpy(np.int64),
-                t["right"].to_numpy(np.int64),
-                _c_vec(t["size"].to_numpy(np.int64)),
-            )
-        )
-    return trees
-
-
-def path_lengths(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
-    """h(x) for every row of ``x`` through one tree (vectorised over rows)."""
-    feature, thr, left, right, leaf_c = tree
-    node = np.zeros(len(x), dtype=np.int64)
-    depth = np.zeros(len(x), dtype=float)
-    active = feature[node] >= 0
-    while active.any():
-        a = np.flatnonzero(active)
-        n = node[a]
-        go_left = x[a, feature[n]] < thr[n]
-        node[a] = np.where(go_left, left[n], right[n])
-        depth[a] += 1.0
-        active[a] = feature[node[a]] >= 0
-    return depth + leaf_c[node]
-
-
-def _scorer(features: list[str], trees, c_psi: float):
+def _pack(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The forest as padded (trees x nodes) arrays; padding nodes are leaves."""
+    groups = [g for _, g in nodes.sort_values(["tree_id", "node"]).groupby("tree_id")]
+    t, m = len(groups), max(len(g) for g in groups)
+    feature = np.full((t, m), -1, dtype=np.int64)
+    thr = np.zeros((t, m))
+    left = np.zeros((t, m), dtype=np.int64)
+    right = np.zeros((t, m), dtype=np.int64)
+    leaf_c = np.zeros((t, m))
+    for i, g in enumerate(groups):
+        k = len(g)
+        feature[i, :k] = g["feature"].to_numpy(np.int64)
+        thr[i, :k] = g["threshold"].to_numpy(float)
+        left[i, :k] = g["left"].to_numpy(np.int64)
+        right[i, :k] = g["right"].to_numpy(np.int64)
+        leaf_c[i, :k] = _c_vec(g["size"].to_numpy(np.int64))
+    return feature, thr, left, right, leaf_c
+
+
+def mean_path_length(x: np.ndarray, forest: tuple[np.ndarray, ...]) -> np.ndarray:
+    """E[h(x)] over all trees; every (row, tree) pair advances one level per step."""
+    feature, thr, left, right, leaf_c = forest
+    trees = np.arange(feature.shape[0])[None, :]
+    rows = np.arange(len(x))[:, None]
+    node = np.zeros((len(x), feature.shape[0]), dtype=np.int64)
+    depth = np.zeros(node.shape)
+    while True:
+        f = feature[trees, node]
+        active = f >= 0
+        if not active.any():
+            break
+        xv = x[rows, np.where(active, f, 0)]
+        nxt = np.where(xv < thr[trees, node], left[trees, node], right[trees, node])
+        node = np.where(active, nxt, node)
+        depth += active
+    return (depth + leaf_c[trees, node]).mean(axis=1)
+
+
+def _scorer(features: list[str], forest, c_psi: float):
     def score(batches):
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
             ok = ~np.isnan(x).any(axis=1)
             s = np.full(len(pdf), np.nan)
             if ok.any():
-                h = np.zeros(int(ok.sum()))
-                for tree in trees:
-                    h += path_lengths(x[ok], tree)
-                s[ok] = np.power(2.0, -(h / len(trees)) / c_psi)
+                s[ok] = np.power(2.0, -mean_path_length(x[ok], forest) / c_psi)
             label = np.where(np.isnan(s), np.nan, np.where(s > 0.5, -1.0, 1.0))
-            pdf = pdf.assign(score=s, anomaly_score=pd.array(label, dtype="Int32"))
-            yield pdf
+            yield pdf.assign(score=s, anomaly_score=pd.array(label, dtype="Int32"))
 
     return score
 
@@ -145,19 +150,28 @@ def fit_forest(
     df: DataFrame, features: list[str], key_cols: list[str], n_trees: int = 100, max_samples: int = 256,
     seed: int = 0,
 ):
-    """Grow the forest; returns (packed trees, psi)."""
+    """Grow the forest; returns (packed forest, psi)."""
     clean = df.select(*[F.col(c).cast("double").alias(c) for c in features], *key_cols).dropna(subset=features)
     n = clean.count()
     if n == 0:
-        return [], 0
+        return None, 0
     psi = min(max_samples, n)
     depth = max(1, math.ceil(math.log2(max(psi, 2))))
-    h = F.xxhash64(*[F.col(c) for c in features + key_cols])
-    member = F.filter(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda k: F.pmod(F.xxhash64(h, k, F.lit(seed)), F.lit(n)) < F.lit(psi),
-    )
-    sample = clean.select(F.explode(member).alias("tree_id"), *features)
+    h = F.xxhash64(*[F.col(c) for c in features + key_cols], F.lit(seed))
+    if n >= n_trees * psi:
+        # bucket in [0, n); tree k takes buckets [k psi, (k+1) psi): uniform, ~psi rows each
+        bucket = F.pmod(h, F.lit(n))
+        sample = clean.select(F.floor(bucket / F.lit(psi)).cast("int").alias("tree_id"), *features).filter(
+            F.col("tree_id") < F.lit(n_trees)
+        )
+    else:
+        # small input: independent membership of every row in every tree
+        hashed = clean.select(h.alias("_h"), *features)
+        member = F.filter(
+            F.sequence(F.lit(0), F.lit(n_trees - 1)),
+            lambda k: F.pmod(F.xxhash64(F.col("_h"), k), F.lit(n)) < F.lit(psi),
+        )
+        sample = hashed.select(F.explode(member).alias("tree_id"), *features)
     nodes = sample.groupBy("tree_id").applyInPandas(_tree_builder(features, depth, seed), NODE_SCHEMA)
     return _pack(nodes.toPandas()), psi
 
@@ -168,14 +182,16 @@ def isolation_forest(
 ) -> DataFrame:
     """ANO1: every row of ``df`` with ``score`` and ``anomaly_score`` (-1 / 1)."""
     key_cols = key_cols or []
-    trees, psi = fit_forest(df, features, key_cols, n_trees, max_samples, seed)
+    forest, psi = fit_forest(df, features, key_cols, n_trees, max_samples, seed)
+    if psi == 0:
+        return df.withColumns({"score": F.lit(None).cast("double"), "anomaly_score": F.lit(None).cast("int")})
     out_schema = T.StructType(
         df.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("anomaly_score", T.IntegerType())]
     )
-    if not trees:
-        return df.withColumns({"score": F.lit(None).cast("double"), "anomaly_score": F.lit(None).cast("int")})
-    scorer = _scorer(features, trees, c_factor(psi))
-    return df.mapInPandas(scorer, out_schema)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # few input splits: spread the CPU-bound scoring
+        df = df.repartition(cores)
+    return df.mapInPandas(_scorer(features, forest, c_factor(psi)), out_schema)
 
 
 def anomaly_counts(scored: DataFrame) -> DataFrame:

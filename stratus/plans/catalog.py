@@ -396,6 +396,7 @@ def _round(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ machine learning
 _MODEL_CACHE: dict[tuple, dict] = {}
+ALL_TARGETS = ("Rain", "MaxTempC", "MinTempC", "TotalPrecipmm")
 
 
 def _training(spark: SparkSession, root: str) -> DataFrame:
@@ -404,19 +405,21 @@ def _training(spark: SparkSession, root: str) -> DataFrame:
     return training_frame(I.obs_values(spark, root))
 
 
-def _fitted(spark: SparkSession, root: str, with_precip: bool) -> dict:
-    """Fit (once per data root and session) the rain classifier and the CV regressors."""
+def _fitted(spark: SparkSession, root: str, targets: tuple[str, ...]) -> dict:
+    """Fit each requested model once per data root and session."""
     from stratus.ml import models as MD
 
-    key = (id(spark), root)
-    cache = _MODEL_CACHE.setdefault(key, {})
+    cache = _MODEL_CACHE.setdefault((id(spark), root), {})
     frame = _training(spark, root)
-    if "Rain" not in cache:
-        cache["Rain"] = MD.fit_rain_classifier(frame)
-        cache["MaxTempC"] = MD.fit_temperature(frame, "MaxTempC")
-        cache["MinTempC"] = MD.fit_temperature(frame, "MinTempC")
-    if with_precip and "TotalPrecipmm" not in cache:
-        cache["TotalPrecipmm"] = MD.fit_precipitation(frame, cache["Rain"].model)
+    for t in targets:
+        if t in cache:
+            continue
+        if t == "Rain":
+            cache[t] = MD.fit_rain_classifier(frame)
+        elif t == "TotalPrecipmm":
+            cache[t] = MD.fit_precipitation(frame, _fitted(spark, root, ("Rain",))["Rain"].model)
+        else:
+            cache[t] = MD.fit_temperature(frame, t)
     return cache
 
 
@@ -426,7 +429,7 @@ def rain_classifier(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml import models as MD
     from stratus.operators.sampling import balance_classes, hash_split
 
-    fitted = _fitted(spark, root, False)["Rain"]
+    fitted = _fitted(spark, root, ("Rain",))["Rain"]
     frame = _training(spark, root)
     test = hash_split(balance_classes(frame, "Rain", MD.KEY, MD.SEED), MD.KEY, 80, MD.SEED).filter(
         F.col("split") == "test"
@@ -449,7 +452,7 @@ def temp_forecast(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml.models import score_as
     from stratus.ml.features import calendar_features as cf
 
-    m = _fitted(spark, root, False)
+    m = _fitted(spark, root, ("Rain", "MaxTempC", "MinTempC"))
     cal = cf(_forecast_calendar(spark, root).select("date"), "date")
     f = score_as(m["Rain"].model, cal, "Rain_predicted")
     f = score_as(m["MaxTempC"].model, f, "MaxTempC_predicted")
@@ -462,7 +465,7 @@ def precip_forecast(spark: SparkSession, root: str) -> DataFrame:
     """REG2 + FOR5 + FOR6: full forecast chain with rain-gated precipitation."""
     from stratus.ml.models import forecast_frame
 
-    m = _fitted(spark, root, True)
+    m = _fitted(spark, root, ALL_TARGETS)
     return forecast_frame(
         _forecast_calendar(spark, root), m["Rain"].model, m["MaxTempC"].model, m["MinTempC"].model,
         m["TotalPrecipmm"].model,
@@ -475,7 +478,7 @@ def model_quality(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml.runs import metric_table, run_rows
     from stratus.operators.sampling import concat_frames
 
-    m = _fitted(spark, root, True)
+    m = _fitted(spark, root, ALL_TARGETS)
     rows = concat_frames([run_rows(spark, t, f.params, f.metrics, run_id=t) for t, f in m.items()])
     return metric_table(rows.filter(F.col("target") != "Rain")).drop("ts")
 
@@ -528,7 +531,7 @@ def additive_rain_forecast(spark: SparkSession, root: str) -> DataFrame:
     score, _ = fit_additive(daily, "ds", "y", ["Rain"])
     last = daily.select(F.max("ds")).scalar()
     future = _forecast_calendar(spark, root).filter(F.col("date") > last).select("date")
-    rain = score_as(_fitted(spark, root, False)["Rain"].model, cf(future, "date"), "Rain")
+    rain = score_as(_fitted(spark, root, ("Rain",))["Rain"].model, cf(future, "date"), "Rain")
     return score(rain.select(F.col("date").alias("ds"), "Rain"))
 
 
