@@ -564,3 +564,57 @@ def stream_alerts(spark: SparkSession, root: str) -> DataFrame:
     p = replay_events(spark, I.table(spark, root, "events"), "stream-alerts")
     alert_stream(spark, p["landing"], p["table"], p["checkpoint"], ALERT_THRESHOLD)
     return spark.read.parquet(p["table"]).drop("batch_id").transform(decimals_to_double)
+
+
+# ------------------------------------------------------------ file ingestion
+CSV_HEADER_NAMES = {
+    "ClimateID": "Climate ID",
+    "DateTime": "Date/Time",
+    "Latitudey": "Latitude (y)",
+    "MaxTempC": "Max Temp (°C)",
+    "MinTempC": "Min Temp (°C)",
+    "MeanTempC": "Mean Temp (°C)",
+    "TotalPrecipmm": "Total Precip (mm)",
+    "Longitudex": "Longitude (x)",
+}
+
+
+@query("csv_ingest")
+def csv_ingest(spark: SparkSession, root: str) -> DataFrame:
+    """SRC4 + PRJ2 + SNK2 + SRC5: observations landed as symbol-headed CSV,
+    loaded in one scan, names sanitised, appended as Year/Month parquet and
+    read back through the partition filter."""
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+
+    base = shared_dir(spark, "csv-ingest")
+    raw = I.raw_obs(spark, root)
+    landed = raw.select([F.col(c).alias(h) for c, h in CSV_HEADER_NAMES.items()])
+    ingest.land_csv(landed, f"{base}/csv")
+    loaded = ingest.load_daily_csv(spark, f"{base}/csv")
+    parts = loaded.withColumns(
+        {"Year": F.substring("DateTime", 1, 4).cast("int"), "Month": F.substring("DateTime", 6, 2).cast("int")}
+    )
+    ingest.append_partitioned(parts, f"{base}/landed", ["Year", "Month"])
+    return ingest.load_partitioned(spark, f"{base}/landed", years=(1900, 2100))
+
+
+@query("api_pages")
+def api_pages(spark: SparkSession, root: str) -> DataFrame:
+    """SRC1 + SRC2 + SNK1: orders landed as API pages of <= 1000 results,
+    exploded back to rows with years/months, appended partitioned by years."""
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+
+    base = shared_dir(spark, "api-pages")
+    orders = I.table(spark, root, "orders")
+    rows = orders.select(
+        "o_orderkey",
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        F.col("o_totalprice").alias("value"),
+        F.col("o_custkey").cast("string").alias("station"),
+    )
+    ingest.land_api_pages(rows, f"{base}/pages", "o_orderkey", 1000)
+    loaded = ingest.load_api_pages(spark, f"{base}/pages", multi_line=False)
+    ingest.append_partitioned(loaded, f"{base}/landed", ["years"])
+    return spark.read.parquet(f"{base}/landed")

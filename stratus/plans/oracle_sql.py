@@ -18,7 +18,7 @@ raw_obs AS (
          CAST(round(l_quantity - 50.0 * l_discount, 2) + 0.0 AS VARCHAR) AS MeanTempC,
          CASE WHEN l_linenumber = 3 THEN ' ' WHEN l_linenumber = 4 THEN NULL
               ELSE CAST(round(100.0 * l_discount, 2) + 0.0 AS VARCHAR) END AS TotalPrecipmm,
-         CAST(CAST(-floor(l_extendedprice / 1000.0) AS DOUBLE) AS VARCHAR) AS Longitudex
+         CAST(CAST(-CAST(floor(l_extendedprice / 1000.0) AS BIGINT) AS DOUBLE) AS VARCHAR) AS Longitudex
   FROM lineitem
 )"""
 
@@ -56,7 +56,7 @@ obs AS (
          round(l_quantity - 100.0 * l_discount, 2) + 0.0 AS MinTempC,
          round(l_quantity - 50.0 * l_discount, 2) + 0.0 AS MeanTempC,
          round(100.0 * l_discount, 2) + 0.0 AS TotalPrecipmm,
-         CAST(-floor(l_extendedprice / 1000.0) AS DOUBLE) AS Longitudex
+         CAST(-CAST(floor(l_extendedprice / 1000.0) AS BIGINT) AS DOUBLE) AS Longitudex
   FROM lineitem
 )"""
 
@@ -490,3 +490,16 @@ SELECT City, ObservationTime,
        1 AS go
 FROM live WHERE Temperature >= 5.0
 """
+
+# ------------------------------------------------------------ file ingestion
+ORACLE["csv_ingest"] = with_(RAW_OBS) + """
+SELECT *, CAST(substr(DateTime, 1, 4) AS INTEGER) AS Year, CAST(substr(DateTime, 6, 2) AS INTEGER) AS Month
+FROM raw_obs
+"""
+
+ORACLE["api_pages"] = """
+SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date, o_totalprice AS value,
+       CAST(o_custkey AS VARCHAR) AS station,
+       CAST(year(o_orderdate) AS INTEGER) AS years, CAST(month(o_orderdate) AS INTEGER) AS months
+FROM orders
+"""

@@ -20,12 +20,13 @@ from stratus.sources.views import CSV_HEADERS
 
 
 # ------------------------------------------------------------------ sources
-def load_api_pages(spark: SparkSession, path: str | Iterable[str]) -> DataFrame:
+def load_api_pages(spark: SparkSession, path: str | Iterable[str], multi_line: bool = True) -> DataFrame:
     """SRC1 + SRC2: landed API page documents ``{results: [...]}`` -> one row per
     result, with ``years``/``months`` from the ISO ``date``.  A page without
-    ``results`` contributes nothing."""
+    ``results`` contributes nothing.  ``multi_line=False`` reads one page per
+    line (JSON Lines)."""
     paths = [path] if isinstance(path, str) else list(path)
-    pages = spark.read.option("multiLine", "true").json(paths)
+    pages = spark.read.option("multiLine", str(multi_line).lower()).json(paths)
     if "results" not in pages.columns:
         return spark.createDataFrame([], "date string, value double, years int, months int")
     rows = pages.select(F.explode("results").alias("r")).select("r.*")
@@ -43,11 +44,25 @@ def load_station_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(API_STATION).option("multiLine", "true").json(path)
 
 
-def load_daily_csv(spark: SparkSession, paths: str | Iterable[str], sanitize: bool = True) -> DataFrame:
+NULL_MARK = "\\N"
+
+
+def load_daily_csv(spark: SparkSession, paths: str | Iterable[str], sanitize: bool = True,
+                   null_value: str = NULL_MARK) -> DataFrame:
     """SRC4 (+PRJ2): all daily climate CSV files in one scan, header row,
-    every column a string; names cleaned of symbols."""
+    every column a string; names cleaned of symbols.
+
+    An empty field stays the empty string (as a CSV dictionary reader gives
+    it), so the blank rules of the cleaning step apply; only ``null_value``
+    text reads as NULL.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.option("header", "true").option("inferSchema", "false").csv(paths)
+    df = (
+        spark.read.option("header", "true")
+        .option("inferSchema", "false")
+        .option("nullValue", null_value)
+        .csv(paths)
+    )
     return sanitize_columns(df) if sanitize else df
 
 
@@ -122,6 +137,32 @@ def clean_headerless_csv(df: DataFrame) -> DataFrame:
     return retype(named, CSV_TYPES)
 
 
+def land_csv(df: DataFrame, path: str, files: int = 4, null_value: str = NULL_MARK) -> str:
+    """Write rows as header CSV files exactly (blanks and spaces kept, NULL as ``null_value``)."""
+    (
+        df.repartition(files)
+        .write.mode("overwrite")
+        .option("header", "true")
+        .option("nullValue", null_value)
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
+        .csv(path)
+    )
+    return path
+
+
+def land_api_pages(rows: DataFrame, path: str, page_key: str, page_size: int = 1000) -> str:
+    """Write rows as API page documents ``{"results": [...]}`` of at most
+    ``page_size`` results, pages keyed by ``floor(page_key / page_size)`` of a
+    dense integer key (so no page grows with the data)."""
+    page = F.floor(F.col(page_key) / F.lit(page_size))
+    docs = rows.groupBy(page.alias("page")).agg(
+        F.collect_list(F.struct(*[c for c in rows.columns if c != page_key])).alias("results")
+    )
+    docs.select("results").write.mode("overwrite").json(path)
+    return path
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
     """SRC10: literal rows with a schema."""
     return spark.createDataFrame(rows, schema)
@@ -133,15 +174,18 @@ def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 # -------------------------------------------------------------------- sinks
-def append_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
+def append_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", spread: int = 8) -> None:
     """SNK1 / SNK2: append, partitioned by ``by``.
 
-    Rows are clustered by the partition columns first, so each task writes
-    few folders (no small-file explosion); ``maxRecordsPerFile`` bounds file
-    size in place of the vendor's optimize-write bins.
+    Rows are clustered by the partition columns plus a hash salt of
+    ``spread`` values: each folder is written by at most ``spread`` tasks
+    (few files, no small-file explosion), and a hot folder (one month with a
+    third of the rows) is still split over ``spread`` tasks.
+    ``maxRecordsPerFile`` bounds file size in place of optimize-write bins.
     """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread))
     (
-        df.repartition(*[F.col(c) for c in by])
+        df.repartition(*[F.col(c) for c in by], salt)
         .write.format(fmt)
         .mode("append")
         .option("maxRecordsPerFile", 5_000_000)
