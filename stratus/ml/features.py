@@ -34,7 +34,8 @@ def calendar_between(spark: SparkSession, start: Column, end: Column) -> DataFra
     The day list is one ``sequence`` (bounded by the number of days in the
     span, ~36,500 per century), exploded into rows.
     """
-    one = spark.range(1).select(F.explode(F.sequence(start, end, F.expr("INTERVAL 1 DAY"))).alias("date"))
+    days = F.sequence(start, end, F.expr("INTERVAL 1 DAY"))
+    one = spark.range(1).select(F.explode(days).alias("date"))
     return one.select(
         "date",
         F.year("date").alias("year"),
@@ -49,7 +50,21 @@ def forecast_calendar(spark: SparkSession, start: str = "2003-01-01", end: str =
 
 
 def calendar_for(df: DataFrame, date_col: str, years_ahead: int = 0) -> DataFrame:
-    """A calendar covering the days of ``df`` plus ``years_ahead`` years."""
-    lo = df.select(F.min(date_col)).scalar()
-    hi = df.select(F.add_months(F.max(date_col), 12 * years_ahead)).scalar()
-    return calendar_between(df.sparkSession, lo, hi)
+    """A calendar covering the days of ``df`` plus ``years_ahead`` years.
+
+    Both bounds come from one aggregate (one scalar subquery, referenced
+    once), so ``df`` is evaluated a single time for them.
+    """
+    bounds = df.select(
+        F.struct(
+            F.min(date_col).alias("lo"), F.add_months(F.max(date_col), 12 * years_ahead).alias("hi")
+        )
+    ).scalar()
+    b = df.sparkSession.range(1).select(bounds.alias("b"))
+    days = b.select(F.explode(F.sequence(F.col("b.lo"), F.col("b.hi"), F.expr("INTERVAL 1 DAY"))).alias("date"))
+    return days.select(
+        "date",
+        F.year("date").alias("year"),
+        F.month("date").alias("month"),
+        F.dayofmonth("date").alias("day"),
+    )

@@ -32,12 +32,17 @@ def latest_rows(df: DataFrame, time_col: str = TIME) -> DataFrame:
 def latest_cards(df: DataFrame, time_col: str = TIME) -> DataFrame:
     """AGG7-9 in one pass: sums over the latest row(s); min City and max
     Description over all rows (as the report's unfiltered cards do); plus the
-    description of the latest reading itself (``max_by``, our addition)."""
-    is_latest = F.col(time_col) == latest_time(df, time_col)
+    description of the latest reading itself (``max_by``, our addition).
+
+    The latest time is one scalar subquery, projected once into a flag
+    column, so the table is scanned twice in total (max, then the cards).
+    """
+    flagged = df.withColumn("_latest", F.col(time_col) == latest_time(df, time_col))
+    is_latest = F.col("_latest")
     sums = [
         F.sum(F.when(is_latest, F.col(c))).alias(f"card_{c.lower()}") for c in CARD_SUMS
     ]
-    return df.agg(
+    return flagged.agg(
         *sums,
         F.min(F.when(is_latest, F.col(time_col))).alias("card_time"),
         F.min("City").alias("card_city"),

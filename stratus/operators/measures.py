@@ -139,7 +139,9 @@ def extremes(
     The extreme is the largest value; ties go to the earliest day
     (``max`` over a struct of (value, -day)).  The error is
     |forecast - real| on the forecast's extreme day (NULL if no real value
-    that day).  One row; every step is an aggregate or a scalar subquery.
+    that day): the one-row forecast extreme is left-joined to the real
+    series on the day (a one-row probe side), and the real extreme's text is
+    one scalar subquery.
     """
     def top(df: DataFrame, val: str, d: str) -> DataFrame:
         t = F.max(F.struct(F.col(val), (-F.unix_date(F.col(d))).alias("nd"))).alias("t")
@@ -147,11 +149,12 @@ def extremes(
             F.col("t." + val).alias("v"), F.date_from_unix_date(-F.col("t.nd")).alias("d")
         )
 
-    r = top(real_daily, "metric_real", real_date)
+    r_text = top(real_daily, "metric_real", real_date).select(extreme_text(F.col("v"), F.col("d"))).scalar()
     f = top(forecast_daily, "metric_forecast", fc_date)
-    f_day = f.select("d").scalar()
-    real_on_f_day = real_daily.filter(F.col(real_date) == f_day).select(F.max("metric_real")).scalar()
-    return f.select(
+    real = real_daily.select(F.col(real_date).alias("_rd"), F.col("metric_real").alias("_rv"))
+    j = f.join(real, f["d"] == real["_rd"], "left")
+    return j.select(
         extreme_text(F.col("v"), F.col("d")).alias("forecast_maximal_value"),
-        F.abs(F.col("v") - real_on_f_day).alias("forecast_maximal_value_error"),
-    ).withColumn("real_maximal_value", r.select(extreme_text(F.col("v"), F.col("d"))).scalar())
+        F.abs(F.col("v") - F.col("_rv")).alias("forecast_maximal_value_error"),
+        r_text.alias("real_maximal_value"),
+    )

@@ -7,7 +7,7 @@ task after an executor loss.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratus.operators.stats import uniform
@@ -22,7 +22,7 @@ def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int =
     reference's per-class ``sample``).
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    counts = counts.withColumn("_frac", counts.select(F.min("_class_n")).scalar() / F.col("_class_n"))
+    counts = counts.withColumn("_frac", F.min("_class_n").over(Window.partitionBy()) / F.col("_class_n"))
     u = uniform([F.col(c) for c in key_cols], seed)
     return (
         df.join(F.broadcast(counts.select(label, "_frac")), label, "inner")

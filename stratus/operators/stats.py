@@ -46,9 +46,13 @@ def zero_profile(df: DataFrame, col: str) -> DataFrame:
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
-    """AGG2 + AGG4: rows per class and the minority-class size on every row."""
+    """AGG2 + AGG4: rows per class and the minority-class size on every row.
+
+    The minimum is taken over the counts table (one row per label, so the
+    un-partitioned window holds a handful of rows), not by re-scanning ``df``.
+    """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("minority_n", counts.select(F.min("n")).scalar())
+    return counts.withColumn("minority_n", F.min("n").over(Window.partitionBy()))
 
 
 def regression_quality(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -79,24 +83,28 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def key_influencers(df: DataFrame, target: str, factors: list[str]) -> DataFrame:
     """AGG17: for each factor value, rows, mean target, overall mean and lift.
 
-    Factors are unpivoted to (factor, value) and grouped once; the overall
-    mean is a scalar subquery.  The rank is a window per factor, whose
-    partition holds one row per distinct factor value (low-cardinality by
-    the visual's design), not the raw rows.
+    Factors are unpivoted to (factor, value) and grouped once.  Every factor
+    partitions all rows, so the overall mean is the sum over one factor's
+    groups - a window over the grouped table (one row per factor value), not
+    a second pass over the data.  The rank is a window over the same small
+    table.
     """
     long = df.select(
         F.col(target).cast("double").alias("_t"),
         *[F.col(f).cast("string").alias(f) for f in factors],
     ).unpivot("_t", factors, "factor", "value")
-    overall = df.select(F.avg(F.col(target).cast("double"))).scalar()
     g = long.groupBy("factor", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_t").alias("mean_target")
-    )
-    g = g.withColumn("overall_mean", overall).withColumn(
-        "lift", F.col("mean_target") / F.col("overall_mean")
+        F.count(F.lit(1)).alias("n"), F.sum("_t").alias("_s"), F.count("_t").alias("_nt")
     )
+    per_factor = Window.partitionBy("factor")
+    g = g.withColumns(
+        {
+            "mean_target": F.col("_s") / F.col("_nt"),
+            "overall_mean": F.sum("_s").over(per_factor) / F.sum("_nt").over(per_factor),
+        }
+    ).withColumn("lift", F.col("mean_target") / F.col("overall_mean"))
     w = Window.partitionBy("factor").orderBy(F.desc("lift"), F.asc_nulls_first("value"))
-    return g.withColumn("rank", F.row_number().over(w))
+    return g.withColumn("rank", F.row_number().over(w)).drop("_s", "_nt")
 
 
 def narrative_facts(series: DataFrame, by: list[str], date_col: str, value_col: str) -> DataFrame:
