@@ -70,9 +70,12 @@ def absolute_alert(df: DataFrame, threshold: float = 5.0, temp_col: str = "Tempe
     return df.filter(F.col(temp_col) >= F.lit(threshold))
 
 
-def alert_records(df: DataFrame, temp_col: str = "Temperature", time_col: str = TIME) -> DataFrame:
+def alert_records(
+    df: DataFrame, temp_col: str = "Temperature", time_col: str = TIME, extra: list[str] | None = None
+) -> DataFrame:
     """STR4 / STR5: alert rows with decimal(10,2) temperature, the evidence
-    JSON of the reading and the pipeline flag ``go``."""
+    JSON of the reading (time, rain, temperature) and the pipeline flag
+    ``go``; ``extra`` columns (e.g. normal, deviation) are carried along."""
     evidence = F.to_json(
         F.struct(
             F.date_format(F.col(time_col), "yyyy-MM-dd HH:mm:ss").alias(time_col),
@@ -86,6 +89,7 @@ def alert_records(df: DataFrame, temp_col: str = "Temperature", time_col: str =
         F.col(temp_col).cast("decimal(10,2)").alias("currentTemp"),
         evidence.alias("text"),
         F.lit(1).alias("go"),
+        *(extra or []),
     )
 
 
@@ -122,12 +126,10 @@ def deviation_alert(
     the join's build side is bounded by the number of stations, not by the
     history's size.  Works unchanged when ``current`` is a stream.
     """
-    normals = day_normals(history, as_of, years, value_col)
-    joined = current.join(normals, current["City"] == normals["ClimateID"], "inner")
+    normals = day_normals(history, as_of, years, value_col).select("ClimateID", "normal")
+    joined = current.join(normals, current["City"] == normals["ClimateID"], "inner").drop("ClimateID")
     dev = F.col("Temperature") - F.col("normal")
-    return joined.select(
-        "City", TIME, "Temperature", "normal", dev.alias("deviation")
-    ).filter(F.abs(F.col("deviation")) >= F.lit(threshold))
+    return joined.withColumn("deviation", dev).filter(F.abs(F.col("deviation")) >= F.lit(threshold))
 
 
 def history_json(history: DataFrame, cols: list[str], key: str = "ClimateID") -> DataFrame:

@@ -109,7 +109,7 @@ def deviation_alert(spark: SparkSession, root: str) -> DataFrame:
 
     current = live.latest_per_city(I.live(spark, root))
     out = live.deviation_alert(current, I.obs_values(spark, root), AS_OF, ALERT_THRESHOLD, LOOKBACK_YEARS)
-    return out.transform(_round)
+    return out.select("City", "ObservationTime", "Temperature", "normal", "deviation").transform(_round)
 
 
 @query("same_day_history")
@@ -618,3 +618,32 @@ def api_pages(spark: SparkSession, root: str) -> DataFrame:
     loaded = ingest.load_api_pages(spark, f"{base}/pages", multi_line=False)
     ingest.append_partitioned(loaded, f"{base}/landed", ["years"])
     return spark.read.parquet(f"{base}/landed")
+
+
+@query("stream_deviation_alerts")
+def stream_deviation_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """STR3 deviation mode + JON7 on a stream: every reading joined to its
+    station's same-day normal (static side, one row per station)."""
+    from stratus.streaming.live_stream import alert_stream, replay_events
+
+    p = replay_events(spark, I.table(spark, root, "events"), "stream-deviation")
+    alert_stream(spark, p["landing"], p["table"], p["checkpoint"], ALERT_THRESHOLD,
+                 history=I.obs_values(spark, root), as_of=AS_OF)
+    out = spark.read.parquet(p["table"]).drop("batch_id").transform(decimals_to_double)
+    return out.transform(_round)
+
+
+@query("forecast_stats")
+def forecast_stats(spark: SparkSession, root: str) -> DataFrame:
+    """FOR8: describe of the forecast for days before 2024."""
+    from stratus.ml.models import forecast_statistics
+
+    return forecast_statistics(precip_forecast(spark, root))
+
+
+@query("forecast_vs_real")
+def forecast_vs_real(spark: SparkSession, root: str) -> DataFrame:
+    """EVL1 / JON6: forecast beside the real daily means, joined on the date."""
+    from stratus.ml.models import predicted_vs_real
+
+    return predicted_vs_real(precip_forecast(spark, root), I.obs_values(spark, root))

@@ -503,3 +503,16 @@ SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date, o_totalprice AS value
        CAST(year(o_orderdate) AS INTEGER) AS years, CAST(month(o_orderdate) AS INTEGER) AS months
 FROM orders
 """
+
+ORACLE["stream_deviation_alerts"] = with_(LIVE, OBS_VALUES) + f"""
+, normals AS (
+  SELECT ClimateID, avg(MaxTempC) AS normal FROM obs WHERE {AS_OF_DAY} GROUP BY ClimateID
+)
+SELECT l.City, l.ObservationTime,
+       CAST(CAST(l.Temperature AS DECIMAL(10,2)) AS DOUBLE) AS currentTemp,
+       CAST(to_json(struct_pack(ObservationTime := strftime(l.ObservationTime, '%Y-%m-%d %H:%M:%S'),
+                                Rain := l.Rain, Temperature := l.Temperature)) AS VARCHAR) AS text,
+       1 AS go, {dbl('n.normal')} AS normal, {dbl('l.Temperature - n.normal')} AS deviation
+FROM live l JOIN normals n ON l.City = n.ClimateID
+WHERE abs(l.Temperature - n.normal) >= 5.0
+"""

@@ -99,11 +99,7 @@ def alert_batches(batch: DataFrame, threshold: float, history: DataFrame | None,
     """STR3-5 on one micro-batch: absolute (no history) or deviation alerts."""
     if history is None:
         return L.alert_records(L.absolute_alert(batch, threshold))
-    dev = L.deviation_alert(batch, history, as_of, threshold)
-    return dev.select(
-        "City", L.TIME, F.col("Temperature").cast("decimal(10,2)").alias("currentTemp"),
-        F.to_json(F.struct("Temperature", "normal", "deviation")).alias("text"), F.lit(1).alias("go"),
-    )
+    return L.alert_records(L.deviation_alert(batch, history, as_of, threshold), extra=["normal", "deviation"])
 
 
 def alert_stream(
