@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -62,15 +63,40 @@ def build_session(
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply stratus' runtime SQL settings to an existing session."""
+    """Apply stratus' runtime SQL settings to an existing session and make the
+    package importable by the executors' Python workers."""
     for key, value in RUNTIME_CONF.items():
         try:
             spark.conf.set(key, value)
         except Exception:  # static or locked conf on a managed cluster
             pass
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the ``stratus`` sources to the executors once per application
+    (what ``spark-submit --py-files`` does), so Arrow UDFs defined in the
+    package deserialize on any worker, whatever its working directory."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    archive = os.path.join(tempfile.mkdtemp(prefix="stratus-pyfiles-"), "stratus.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
