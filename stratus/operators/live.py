@@ -132,13 +132,28 @@ def deviation_alert(
     return joined.withColumn("deviation", dev).filter(F.abs(F.col("deviation")) >= F.lit(threshold))
 
 
-def history_json(history: DataFrame, cols: list[str], key: str = "ClimateID") -> DataFrame:
+def history_json(history: DataFrame, cols: list[str], key: str = "ClimateID", day: str = "Datetime") -> DataFrame:
     """AGG6: per station, the history rows as one sorted JSON array text.
 
-    Each group is one station's same-day rows over a bounded year window,
-    so the fold per group is small; stations are spread over tasks.
+    Two levels, so no single task folds a whole station: (1) per station
+    and day, the day's row texts sorted and joined; (2) per station, the
+    (at most years + 1) day pieces joined in day order.  ``cols`` must start
+    with ``key`` and ``day``: every text then begins with the station and
+    the ISO day, so day order followed by in-day order equals sorting all
+    of the station's texts.  Empty input gives no row; an empty group's
+    fold is ``[]`` (``json_array``).
     """
+    if cols[:2] != [key, day]:
+        raise ValueError(f"cols must start with {key!r}, {day!r}")
     row_json = F.to_json(F.struct(*[F.col(c) for c in cols]))
-    return history.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_rows"), json_array(row_json).alias("history_json")
+    per_day = history.groupBy(key, day).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.concat_ws(", ", F.array_sort(F.collect_list(row_json))).alias("_piece"),
+    )
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(day), F.col("_piece"))))
+    return per_day.groupBy(key).agg(
+        F.sum("_n").alias("n_rows"),
+        F.concat(F.lit("["), F.concat_ws(", ", F.transform(pieces, lambda p: p["_piece"])), F.lit("]")).alias(
+            "history_json"
+        ),
     )

@@ -61,8 +61,18 @@ def class_union(df: DataFrame, label: str) -> DataFrame:
 
 
 def subtract_distinct(df: DataFrame, other: DataFrame) -> DataFrame:
-    """SET2: rows of ``df`` not in ``other``, duplicates collapsed (EXCEPT DISTINCT)."""
-    return df.subtract(other)
+    """SET2: rows of ``df`` not in ``other``, duplicates collapsed (EXCEPT DISTINCT).
+
+    Both sides are de-duplicated first (hash aggregates, combined map-side,
+    so a row repeated a billion times shrinks to one before any shuffle),
+    then the unique rows are anti-joined null-safely on every column.
+    """
+    left, right = df.distinct(), other.distinct()
+    cond = None
+    for c in df.columns:
+        term = left[c].eqNullSafe(right[c])
+        cond = term if cond is None else cond & term
+    return left.join(right, cond, "left_anti")
 
 
 def concat_frames(frames: list[DataFrame]) -> DataFrame:

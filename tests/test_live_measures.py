@@ -64,10 +64,11 @@ def test_same_day_history_window_and_leap_day(spark):
 
 def test_history_json_sorted_and_empty(spark):
     h = hist(spark, [("1", dt.date(2001, 6, 15), 20.0, 1.0), ("1", dt.date(1995, 6, 15), 10.0, 0.0)])
-    out = L.history_json(h, ["Datetime", "MaxTempC"]).first()
-    assert out.history_json.startswith('[{"Datetime":"1995-06-15"')
-    assert len(json.loads(out.history_json)) == 2
-    empty = L.history_json(h.filter(F.lit(False)), ["Datetime"]).agg(F.count("*")).first()[0]
+    h = h.unionByName(h.limit(1))  # a duplicated row stays twice
+    out = L.history_json(h, ["ClimateID", "Datetime", "MaxTempC"]).first()
+    assert out.history_json.startswith('[{"ClimateID":"1","Datetime":"1995-06-15"')
+    assert len(json.loads(out.history_json)) == 3 and out.n_rows == 3
+    empty = L.history_json(h.filter(F.lit(False)), ["ClimateID", "Datetime"]).agg(F.count("*")).first()[0]
     assert empty == 0
     one = h.filter(F.lit(False)).agg(json_array(F.lit("x")).alias("j"))
     assert one.first().j == "[]"
