@@ -647,3 +647,16 @@ def forecast_vs_real(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml.models import predicted_vs_real
 
     return predicted_vs_real(precip_forecast(spark, root), I.obs_values(spark, root))
+
+
+@query("default_summary")
+def default_summary(spark: SparkSession, root: str) -> DataFrame:
+    """AGG10: every measure column by its default aggregation (sum), per province
+    and year; summed per station first, so the join carries one row per
+    station-year."""
+    obs = I.clean_obs(spark, root).select(
+        "ClimateID", F.year("Datetime").alias("year"), "MaxTempC", "MinTempC", "MeanTempC", "TotalPrecipmm"
+    )
+    per_station = star.summarize(obs, ["ClimateID", "year"])
+    j = star.join_dimension(per_station, I.stations(spark, root).select("ClimateID", "Province"), "ClimateID")
+    return star.summarize(j.drop("ClimateID"), ["Province", "year"]).transform(decimals_to_double)

@@ -516,3 +516,11 @@ SELECT l.City, l.ObservationTime,
 FROM live l JOIN normals n ON l.City = n.ClimateID
 WHERE abs(l.Temperature - n.normal) >= 5.0
 """
+
+ORACLE["default_summary"] = with_(CLEAN_OBS, STATIONS) + """
+SELECT s.Province, CAST(year(c.Datetime) AS INTEGER) AS year,
+       CAST(sum(c.MaxTempC) AS DOUBLE) AS MaxTempC, CAST(sum(c.MinTempC) AS DOUBLE) AS MinTempC,
+       CAST(sum(c.MeanTempC) AS DOUBLE) AS MeanTempC, CAST(sum(c.TotalPrecipmm) AS DOUBLE) AS TotalPrecipmm
+FROM clean_obs c LEFT JOIN stations s ON c.ClimateID = s.ClimateID
+GROUP BY s.Province, year(c.Datetime)
+"""

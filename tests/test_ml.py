@@ -94,3 +94,17 @@ def test_runs_pivot_and_index(spark):
     assert set(ev) == {"r1", "r3"}  # r2 has no R2
     assert ev["r1"]["index"] == 1 and ev["r3"]["index"] == 1
     assert ev["r1"].RMSE == pytest.approx(1.0)
+
+
+def test_save_best_model(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from stratus.ml import models as MD
+    from stratus.ml.runs import save_model
+
+    rows = [(str(i % 3), dt.date(2000, 1, 1) + dt.timedelta(days=i), 10.0, 5.0, float(i % 2)) for i in range(300)]
+    obs = spark.createDataFrame(rows, "ClimateID string, Datetime date, MaxTempC double, MinTempC double, TotalPrecipmm double")
+    fitted = MD.fit_rain_classifier(MD.training_frame(obs))
+    path = save_model(fitted.model, str(tmp_path / "rain"))
+    again = PipelineModel.load(path)
+    assert again.transform(MD.training_frame(obs)).count() > 0
