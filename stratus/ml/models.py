@@ -158,7 +158,9 @@ def forecast_frame(calendar: DataFrame, rain: PipelineModel, tmax: PipelineModel
     return f.withColumn(
         "TotalPrecipmm_predictedRain", F.col("TotalPrecipmm_predicted") * F.col("Rain_predicted")
     ).select(
-        "date", "Rain_predicted", "MaxTempC_predicted", "MinTempC_predicted",
+        "date",
+        F.lit("all").alias("ClimateID"),  # PRJ10: one forecast for all stations
+        "Rain_predicted", "MaxTempC_predicted", "MinTempC_predicted",
         "TotalPrecipmm_predicted", "TotalPrecipmm_predictedRain",
     )
 

@@ -29,6 +29,11 @@ def latest_rows(df: DataFrame, time_col: str = TIME) -> DataFrame:
     return df.filter(F.col(time_col) == latest_time(df, time_col))
 
 
+def sort_by_aggregate(df: DataFrame, col: str, direction: int = 2) -> DataFrame:
+    """SRT2: a visual's sort on its aggregate; direction 2 = descending, 1 = ascending."""
+    return df.orderBy(F.col(col).desc() if direction == 2 else F.col(col).asc())
+
+
 def latest_cards(df: DataFrame, time_col: str = TIME) -> DataFrame:
     """AGG7-9 in one pass: sums over the latest row(s); min City and max
     Description over all rows (as the report's unfiltered cards do); plus the

@@ -47,6 +47,7 @@ def build_session(
         {
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
             "spark.sql.session.timeZone": "UTC",
             "spark.driver.memory": os.environ.get("STRATUS_DRIVER_MEMORY", "16g"),
         }

@@ -104,3 +104,9 @@ def test_star_left_join_keeps_unknown_and_name_join_doubles(spark):
     j = star.join_dimension(facts, dim.drop("Name"), "ClimateID").collect()
     assert {(x.ClimateID, x.Province) for x in j} == {("1", "BC"), ("9", None)}
     assert star.join_by_name(facts.drop("ClimateID"), dim).count() == 2
+
+
+def test_sort_by_aggregate_directions(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (2.0,)], "v double")
+    assert [r.v for r in L.sort_by_aggregate(df, "v", 2).collect()] == [3.0, 2.0, 1.0]
+    assert [r.v for r in L.sort_by_aggregate(df, "v", 1).collect()] == [1.0, 2.0, 3.0]
