@@ -46,9 +46,10 @@ def events_as_documents(events: DataFrame) -> DataFrame:
     )
 
 
-def land_documents(docs: DataFrame, folder: str, files: int = 4) -> str:
-    """Write documents as JSON files (several files -> several micro-batches)."""
-    docs.repartition(files).write.mode("overwrite").json(folder)
+def land_documents(docs: DataFrame, folder: str, files: int = 4, mode: str = "overwrite") -> str:
+    """Write documents as JSON files (several files -> several micro-batches);
+    ``mode="append"`` adds new files next to already-landed ones."""
+    docs.repartition(files).write.mode(mode).json(folder)
     return folder
 
 

@@ -116,3 +116,35 @@ def test_managed_table_append_literal_and_sample(spark):
     assert spark.table(name).count() == 6
     assert ingest.sample_rows(spark.table(name), 4).count() == 4
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_latest_state_survives_restart(spark, tmp_path):
+    from stratus.sources.views import live_readings
+
+    events = read_table(spark, SF_SMALL, "events")
+    cut = events.selectExpr("percentile_approx(event_id, 0.5)").first()[0]
+    landing, state, ckpt = (str(tmp_path / k) for k in ("landing", "state", "ckpt"))
+    LS.land_documents(LS.events_as_documents(events.filter(F.col("event_id") <= cut)), landing, files=2)
+    LS.latest_state_stream(spark, landing, state, ckpt)
+    LS.land_documents(LS.events_as_documents(events.filter(F.col("event_id") > cut)), landing, files=2, mode="append")
+    LS.latest_state_stream(spark, landing, state, ckpt)  # restart: state comes from the checkpoint
+    latest = spark.read.parquet(state)
+    expect = L.latest_per_city(live_readings(events))
+    assert latest.count() == expect.count()
+    assert latest.exceptAll(expect.select(*latest.columns)).count() == 0
+
+
+def test_deviation_alert_stream_equals_batch(spark, tmp_path):
+    from stratus.sources.views import live_readings, observation_values
+
+    events = read_table(spark, SF_SMALL, "events")
+    hist = observation_values(read_table(spark, SF_SMALL, "lineitem"))
+    landing, out, ckpt = (str(tmp_path / k) for k in ("landing", "alerts", "ckpt"))
+    LS.land_documents(LS.events_as_documents(events), landing, files=3)
+    LS.alert_stream(spark, landing, out, ckpt, 5.0, history=hist, as_of="2001-06-15")
+    streamed = spark.read.parquet(out).drop("batch_id")
+    batch = L.alert_records(
+        L.deviation_alert(live_readings(events), hist, "2001-06-15", 5.0), extra=["normal", "deviation"]
+    )
+    assert streamed.count() == batch.count()
+    assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
