@@ -474,13 +474,16 @@ def precip_forecast(spark: SparkSession, root: str) -> DataFrame:
 
 @query("model_quality")
 def model_quality(spark: SparkSession, root: str) -> DataFrame:
-    """AGG13 / AGG14 / RUN1-2: held-out quality of every model, as run rows pivoted."""
-    from stratus.ml.runs import metric_table, run_rows
-    from stratus.operators.sampling import concat_frames
+    """AGG13 / AGG14 / RUN1-2: every model's held-out quality appended to a
+    ``model_runs`` table in the shared folder, read back and pivoted."""
+    from stratus.ml.runs import log_run, metric_table
+    from stratus.session import shared_dir
 
     m = _fitted(spark, root, ALL_TARGETS)
-    rows = concat_frames([run_rows(spark, t, f.params, f.metrics, run_id=t) for t, f in m.items()])
-    return metric_table(rows.filter(F.col("target") != "Rain")).drop("ts")
+    path = shared_dir(spark, "model-runs")
+    for target, fitted in m.items():
+        log_run(spark, path, target, fitted.params, fitted.metrics)
+    return metric_table(spark.read.parquet(path)).drop("run_id", "ts")
 
 
 @query("isolation_scores")
