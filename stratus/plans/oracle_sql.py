@@ -70,7 +70,7 @@ live AS (
          event_id AS Pressure,
          event_type AS Description,
          ts AS ObservationTime,
-         CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS Rain
+         CAST(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS Rain
   FROM events
 )"""
 

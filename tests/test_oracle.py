@@ -17,7 +17,7 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else repr(round(v, 6))
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6) + 0.0
     if isinstance(v, dt.datetime):
@@ -47,6 +47,12 @@ ORACLE = oracle_sql()
 CHEAP = [k for k in ORACLE]
 
 
+SPARK_TO_DUCK = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 @pytest.mark.parametrize("name", CHEAP)
 def test_query_matches_oracle(spark, duck, name):
     df = queries()[name](spark, SF_SMALL)
@@ -56,6 +62,11 @@ def test_query_matches_oracle(spark, duck, name):
     want = _rows(cols, cur.fetchall())
     assert sorted(df.columns) == sorted(cols)
     assert got == want
+    rel = duck.sql(ORACLE[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        spark_type = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(spark_type, spark_type) == duck_types[f.name], (f.name, spark_type)
 
 
 def test_entry_smoke(spark):
