@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.operators.stats import uniform
+from stratus.operators.stats import row_hash32, uniform
 
 
 def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int = 42) -> DataFrame:
@@ -33,7 +33,7 @@ def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int =
 
 def hash_split(df: DataFrame, key_cols: list[str], train_pct: int = 80, seed: int = 42) -> DataFrame:
     """SPL2: stable 80/20 split; adds ``split`` = 'train' | 'test'."""
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(100))
+    bucket = F.pmod(row_hash32([*[F.col(c) for c in key_cols], F.lit(seed)]), F.lit(100))
     return df.withColumn("split", F.when(bucket < train_pct, F.lit("train")).otherwise(F.lit("test")))
 
 

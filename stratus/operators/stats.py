@@ -134,7 +134,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def row_hash32(cols: list[Column]) -> Column:
+    """A 32-bit hash of a row's columns: the first 8 hex digits of the MD5 of
+    their ``|``-joined text (NULL spelled ``\\N``).  Built-in and JVM-side,
+    and the same in any SQL engine with md5, so samples can be re-derived."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def uniform(cols: list[Column], seed: int) -> Column:
     """A deterministic U[0,1) per row from a hash of its columns and a seed."""
-    h = F.xxhash64(*cols, F.lit(seed))
-    return F.pmod(h, F.lit(1 << 30)).cast("double") / F.lit(float(1 << 30))
+    return row_hash32([*cols, F.lit(seed)]).cast("double") / F.lit(4294967296.0)

@@ -524,3 +524,24 @@ SELECT s.Province, CAST(year(c.Datetime) AS INTEGER) AS year,
 FROM clean_obs c LEFT JOIN stations s ON c.ClimateID = s.ClimateID
 GROUP BY s.Province, year(c.Datetime)
 """
+
+
+def hash32_sql(cols: list[str], seed: int) -> str:
+    parts = ", ".join([f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols] + [f"'{seed}'"])
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8)) AS BIGINT)"
+
+
+_SPLIT_KEY = ["ClimateID", "Datetime", "MaxTempC", "MinTempC", "Latitudey"]
+
+ORACLE["hash_split"] = with_(OBS_VALUES) + f"""
+SELECT *, CASE WHEN {hash32_sql(_SPLIT_KEY, 42)} % 100 < 80 THEN 'train' ELSE 'test' END AS split
+FROM obs
+"""
+
+ORACLE["balanced_sample"] = with_(OBS_VALUES) + f"""
+, r AS (SELECT *, CASE WHEN TotalPrecipmm > 0 THEN 1 ELSE 0 END AS Rain FROM obs)
+, c AS (SELECT Rain, count(*) AS n FROM r GROUP BY Rain)
+, f AS (SELECT Rain, CAST((SELECT min(n) FROM c) AS DOUBLE) / n AS frac FROM c)
+SELECT r.* FROM r JOIN f ON r.Rain = f.Rain
+WHERE CAST({hash32_sql(_SPLIT_KEY, 42)} AS DOUBLE) / CAST(4294967296.0 AS DOUBLE) < f.frac
+"""

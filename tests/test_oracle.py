@@ -78,7 +78,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_learned():
     learned = {
-        "balanced_sample", "hash_split", "rain_classifier", "temp_forecast", "precip_forecast",
+        "rain_classifier", "temp_forecast", "precip_forecast",
         "model_quality", "isolation_scores", "anomaly_counts", "additive_forecast", "additive_rain_forecast",
         "forecast_stats", "forecast_vs_real",
     }
