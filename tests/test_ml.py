@@ -108,3 +108,50 @@ def test_save_best_model(spark, tmp_path):
     path = save_model(fitted.model, str(tmp_path / "rain"))
     again = PipelineModel.load(path)
     assert again.transform(MD.training_frame(obs)).count() > 0
+
+
+def test_vectorised_paths_equal_per_row_walk():
+    """The all-trees-at-once traversal equals walking each tree for each row."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    rows = []
+    for t in range(7):
+        sub = x[rng.choice(300, 64, replace=False)]
+        for node in isolation._grow(sub, np.random.default_rng(t), 6):
+            rows.append((t, *node))
+    nodes = pd.DataFrame(rows, columns=["tree_id", "node", "feature", "threshold", "left", "right", "size"])
+    forest = isolation._pack(nodes)
+    got = isolation.mean_path_length(x[:50], forest)
+
+    def walk(row, t):
+        tree = nodes[nodes.tree_id == t].set_index("node")
+        n, depth = 0, 0
+        while tree.loc[n, "feature"] >= 0:
+            f, thr = tree.loc[n, "feature"], tree.loc[n, "threshold"]
+            n = tree.loc[n, "left"] if row[f] < thr else tree.loc[n, "right"]
+            depth += 1
+        return depth + isolation.c_factor(tree.loc[n, "size"])
+
+    want = [np.mean([walk(r, t) for t in range(7)]) for r in x[:50]]
+    assert np.allclose(got, want)
+
+
+def test_additive_fit_equals_least_squares(spark):
+    """Without regularisation the Spark fit equals numpy least squares on the same design."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from stratus.ml.additive import design, fit_additive
+
+    rows = [(dt.date(2001, 1, 1) + dt.timedelta(days=i), float((i * 37) % 23) + 0.1 * i) for i in range(400)]
+    df = spark.createDataFrame(rows, "ds date, y double")
+    score, info = fit_additive(df, "ds", "y", [], reg_param=0.0)
+    pred = np.array([r.yhat for r in score(df).orderBy("ds").collect()])
+    x, names = design(df, "ds", F.lit(info["t0"]), F.lit(info["t1"]), [])
+    pdf = x.orderBy("ds").select(*names, "y").toPandas()
+    a = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy()])
+    coef, *_ = np.linalg.lstsq(a, pdf["y"].to_numpy(), rcond=None)
+    assert np.allclose(pred, a @ coef, atol=1e-4)
