@@ -14,8 +14,10 @@ PLANNED = [k for k in oracle_sql() if k not in FILE_QUERIES]
 
 
 def plan_of(df) -> str:
-    df.write.format("noop").mode("overwrite").save()  # final adaptive plan
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The final adaptive plan: run the DataFrame's own query execution first."""
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    return qe.executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", PLANNED)
@@ -33,10 +35,9 @@ def test_scans_are_pruned(spark):
 
 
 def test_partial_aggregation_before_shuffle(spark):
-    df = queries()["monthly_summary"](spark, SF_SMALL)
-    df.write.format("noop").mode("overwrite").save()
-    p = df._jdf.queryExecution().executedPlan().toString()
+    p = plan_of(queries()["monthly_summary"](spark, SF_SMALL))
     assert "partial_sum" in p and "partial_count" in p
+    assert "BroadcastHashJoin" in p  # the small station side is broadcast after its runtime size check
 
 
 def test_hot_station_is_pre_aggregated(spark):
