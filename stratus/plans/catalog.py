@@ -663,3 +663,11 @@ def default_summary(spark: SparkSession, root: str) -> DataFrame:
     per_station = star.summarize(obs, ["ClimateID", "year"])
     j = star.join_dimension(per_station, I.stations(spark, root).select("ClimateID", "Province"), "ClimateID")
     return star.summarize(j.drop("ClimateID"), ["Province", "year"]).transform(decimals_to_double)
+
+
+@query("latest_rows")
+def latest_rows(spark: SparkSession, root: str) -> DataFrame:
+    """JON5 / SRT1: every reading at the latest observation time (ties kept)."""
+    from stratus.operators.live import latest_rows as lr
+
+    return lr(I.live(spark, root))

@@ -545,3 +545,7 @@ ORACLE["balanced_sample"] = with_(OBS_VALUES) + f"""
 SELECT r.* FROM r JOIN f ON r.Rain = f.Rain
 WHERE CAST({hash32_sql(_SPLIT_KEY, 42)} AS DOUBLE) / CAST(4294967296.0 AS DOUBLE) < f.frac
 """
+
+ORACLE["latest_rows"] = with_(LIVE) + """
+SELECT * FROM live WHERE ObservationTime = (SELECT max(ObservationTime) FROM live)
+"""
