@@ -83,7 +83,7 @@ def alert_records(
     ``go``; ``extra`` columns (e.g. normal, deviation) are carried along."""
     evidence = F.to_json(
         F.struct(
-            F.date_format(F.col(time_col), "yyyy-MM-dd HH:mm:ss").alias(time_col),
+            F.substring(F.col(time_col).cast("timestamp_ntz").cast("string"), 1, 19).alias(time_col),
             F.col("Rain"),
             F.col(temp_col),
         )

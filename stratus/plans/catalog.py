@@ -613,7 +613,7 @@ def api_pages(spark: SparkSession, root: str) -> DataFrame:
     orders = I.table(spark, root, "orders")
     rows = orders.select(
         "o_orderkey",
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
+        F.translate(F.col("o_orderdate").cast("timestamp_ntz").cast("string"), " ", "T").alias("date"),
         F.col("o_totalprice").alias("value"),
         F.col("o_custkey").cast("string").alias("station"),
     )

@@ -57,7 +57,7 @@ def raw_observations(lineitem: DataFrame) -> DataFrame:
 
     return lineitem.select(
         s(F.col("l_suppkey")).alias("ClimateID"),
-        F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("DateTime"),
+        F.col("l_shipdate").cast("date").cast("string").alias("DateTime"),
         s(_num(F.lit(40.0) + F.lit(100.0) * F.col("l_tax"))).alias("Latitudey"),
         F.when(ln == 1, F.lit("")).otherwise(s(q)).alias("MaxTempC"),
         F.when(ln == 2, F.lit(" ")).otherwise(s(_num(q - F.lit(100.0) * d))).alias("MinTempC"),
@@ -159,7 +159,7 @@ def headerless_csv_rows(part: DataFrame) -> DataFrame:
     """
     is_header = F.col("p_size") == 1
     values = [
-        F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_partkey").cast("int")), "yyyy-MM-dd"),
+        F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_partkey").cast("int")).cast("string"),
         F.col("p_size").cast("string"),
         (F.col("p_size") - F.lit(10)).cast("string"),
         F.floor(F.col("p_retailprice") / F.lit(100.0)).cast("string"),

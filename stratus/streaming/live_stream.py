@@ -42,7 +42,7 @@ def events_as_documents(events: DataFrame) -> DataFrame:
         ).alias("main"),
         F.array(F.struct(F.col("event_type").alias("description"))).alias("weather"),
         F.when(F.col("event_type") == "error", F.struct(F.lit(1.0).alias("1h"))).alias("rain"),
-        F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("observed_at"),
+        F.col("ts").cast("timestamp_ntz").cast("string").alias("observed_at"),  # no time-zone shift
     )
 
 
