@@ -56,3 +56,42 @@ def test_hot_station_is_pre_aggregated(spark):
     out = monthly_summary(hot, I.stations(spark, SF_SMALL))
     total = out.agg(F.sum("n_obs")).first()[0]
     assert total == obs.count()
+
+
+def test_hot_station_row_join_is_split_when_not_broadcast(spark):
+    """The row-level star join (no pre-aggregation possible) with a station
+    holding a third of the rows and a dimension too big to broadcast: AQE's
+    skew join splits the hot partition.  Several input splits are simulated
+    with a round-robin repartition (the test file has one row group)."""
+    from pyspark.sql import functions as F
+
+    from stratus.operators.star import join_dimension
+    from stratus.plans import inputs as I
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        obs = I.obs_values(spark, SF_SMALL).repartition(4)
+        hot = obs.withColumn(
+            "ClimateID",
+            F.when(F.pmod(F.xxhash64("Datetime", "MaxTempC", "Longitudex"), F.lit(3)) == 0, F.lit("7"))
+            .otherwise(F.col("ClimateID")),
+        )
+        joined = join_dimension(hot, I.stations(spark, SF_SMALL), "ClimateID")
+        p = plan_of(joined)
+        assert "SortMergeJoin(skew=true)" in p
+        assert joined.count() == obs.count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
