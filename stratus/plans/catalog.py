@@ -363,7 +363,9 @@ def star_history(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml.features import calendar_for
 
     obs = I.clean_obs(spark, root)
-    dates = star.date_dimension(calendar_for(obs, "Datetime"))
+    # calendar bounds from the one-column day scan, not from the de-duplicated frame: the span
+    # can only be wider, which a left join from the facts ignores
+    dates = star.date_dimension(calendar_for(I.obs_values(spark, root).select("Datetime"), "Datetime"))
     return star.star_history(obs, I.stations(spark, root), dates).transform(decimals_to_double)
 
 
