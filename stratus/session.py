@@ -98,6 +98,29 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def size_for_input(
+    spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 200_000
+) -> int:
+    """Size shuffles for an input of ``input_bytes``.
+
+    Sets ``spark.sql.shuffle.partitions`` so the largest shuffle (at most the
+    input size) gets ~``partition_bytes`` per partition, with scan splits and
+    AQE's advisory size matched to it; AQE then coalesces the smaller
+    shuffles.  100 TB at 256 MiB gives ~400,000 -> capped at
+    ``max_partitions`` (AQE splits skewed ones further).
+    """
+    n = max(spark.sparkContext.defaultParallelism, -(-input_bytes // partition_bytes))
+    n = min(n, max_partitions)
+    for key, value in {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+    }.items():
+        spark.conf.set(key, value)
+    return n
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

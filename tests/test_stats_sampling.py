@@ -81,3 +81,19 @@ def test_sequential_index_matches_row_number(spark):
     for rows in by_g.values():
         rows.sort()
         assert [x[2] for x in rows] == list(range(1, len(rows) + 1))
+
+
+def test_size_for_input(spark):
+    from stratus.session import size_for_input
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_for_input(spark, 100 << 40) == 200_000
+        assert size_for_input(spark, 10 << 30) == 40
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 << 20)
+        assert size_for_input(spark, 1 << 20) == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
