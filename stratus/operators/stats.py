@@ -145,3 +145,27 @@ def row_hash32(cols: list[Column]) -> Column:
 def uniform(cols: list[Column], seed: int) -> Column:
     """A deterministic U[0,1) per row from a hash of its columns and a seed."""
     return row_hash32([*cols, F.lit(seed)]).cast("double") / F.lit(4294967296.0)
+
+
+def profile_text(described: DataFrame, data: DataFrame, col: str, digits: int = 6) -> DataFrame:
+    """AGG15: the statistics payload as one text: each ``describe`` row as a JSON
+    line (sorted by column name), then `` Count <col> = 0 : <n>``.
+
+    The described table has one row per column, so the fold is small; the
+    zero count is one aggregate over ``data`` (a scalar subquery).
+    """
+    stats = [c for c in described.columns if c != "column"]
+    rows = described.select(
+        F.to_json(
+            F.struct(F.col("column"), *[F.round(F.col(c), digits).alias(c) if c != "count" else F.col(c)
+                                        for c in stats])
+        ).alias("j")
+    )
+    zeros = data.select(F.count_if(F.col(col) == 0)).scalar()
+    return rows.agg(
+        F.concat(
+            F.concat_ws("\n", F.array_sort(F.collect_list("j"))),
+            F.lit(f"\n Count {col} = 0 : "),
+            zeros.cast("string"),
+        ).alias("profile_text")
+    )

@@ -673,3 +673,12 @@ def latest_rows(spark: SparkSession, root: str) -> DataFrame:
     from stratus.operators.live import latest_rows as lr
 
     return lr(I.live(spark, root))
+
+
+@query("precip_profile_text")
+def precip_profile_text(spark: SparkSession, root: str) -> DataFrame:
+    """AGG15: describe of the cleaned observations plus the zero-precipitation count, as text."""
+    from stratus.operators.stats import describe, profile_text
+
+    obs = I.clean_obs(spark, root)
+    return profile_text(describe(obs, ["MaxTempC", "MinTempC", "TotalPrecipmm"]), obs, "TotalPrecipmm")

@@ -549,3 +549,20 @@ WHERE CAST({hash32_sql(_SPLIT_KEY, 42)} AS DOUBLE) / CAST(4294967296.0 AS DOUBLE
 ORACLE["latest_rows"] = with_(LIVE) + """
 SELECT * FROM live WHERE ObservationTime = (SELECT max(ObservationTime) FROM live)
 """
+
+_PROFILE_COLS = ["MaxTempC", "MinTempC", "TotalPrecipmm"]
+ORACLE["precip_profile_text"] = with_(CLEAN_OBS) + """
+, d AS (
+""" + "\nUNION ALL\n".join(
+    f"""  SELECT '{c}' AS col, CAST(count({c}) AS BIGINT) AS n, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+         round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS sd, round(min(CAST({c} AS DOUBLE)), 6) AS mn,
+         round(max(CAST({c} AS DOUBLE)), 6) AS mx FROM clean_obs"""
+    for c in _PROFILE_COLS
+) + """
+)
+SELECT array_to_string(list_sort(list(CAST(to_json(struct_pack("column" := col, "count" := n, mean := mean,
+         stddev := sd, "min" := mn, "max" := mx)) AS VARCHAR))), chr(10))
+       || chr(10) || ' Count TotalPrecipmm = 0 : '
+       || CAST((SELECT count_if(TotalPrecipmm = 0) FROM clean_obs) AS VARCHAR) AS profile_text
+FROM d
+"""
