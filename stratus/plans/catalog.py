@@ -682,3 +682,28 @@ def precip_profile_text(spark: SparkSession, root: str) -> DataFrame:
 
     obs = I.clean_obs(spark, root)
     return profile_text(describe(obs, ["MaxTempC", "MinTempC", "TotalPrecipmm"]), obs, "TotalPrecipmm")
+
+
+@query("staging_table")
+def staging_table(spark: SparkSession, root: str) -> DataFrame:
+    """SNK4 + SNK6: the cleaned table written by overwrite, then rewritten as a new
+    table with the added ``DatetimeStrg`` column (a Parquet table cannot
+    overwrite itself while being read)."""
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+
+    base = shared_dir(spark, "staging")
+    ingest.overwrite_path(I.clean_obs(spark, root), f"{base}/clean")
+    out = ingest.rewrite_with_column(spark, f"{base}/clean", f"{base}/clean_v2", clean.with_date_string)
+    return out.transform(decimals_to_double)
+
+
+@query("forecast_table")
+def forecast_table(spark: SparkSession, root: str) -> DataFrame:
+    """FOR7 / SNK4: the gated forecast written to its table and read back."""
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+
+    path = f"{shared_dir(spark, 'forecast')}/weather_forecast"
+    ingest.overwrite_path(precip_forecast(spark, root), path)
+    return spark.read.parquet(path)

@@ -566,3 +566,5 @@ SELECT array_to_string(list_sort(list(CAST(to_json(struct_pack("column" := col,
        || CAST((SELECT count_if(TotalPrecipmm = 0) FROM clean_obs) AS VARCHAR) AS profile_text
 FROM d
 """
+
+ORACLE["staging_table"] = ORACLE["clean_observations"]

@@ -80,7 +80,7 @@ def test_every_query_has_oracle_or_is_learned():
     learned = {
         "rain_classifier", "temp_forecast", "precip_forecast",
         "model_quality", "isolation_scores", "anomaly_counts", "additive_forecast", "additive_rain_forecast",
-        "forecast_stats", "forecast_vs_real",
+        "forecast_stats", "forecast_vs_real", "forecast_table",
     }
     assert set(queries()) - set(ORACLE) == learned
     assert os.path.exists(os.path.join(SF_SMALL, "lineitem.parquet"))

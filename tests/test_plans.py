@@ -9,7 +9,7 @@ from __spark_entry__ import oracle_sql, queries
 from tests.conftest import SF_SMALL
 
 FILE_QUERIES = {"stream_ingest", "stream_latest_city", "stream_alerts", "csv_ingest", "api_pages",
-                "stream_deviation_alerts"}
+                "stream_deviation_alerts", "staging_table"}
 PLANNED = [k for k in oracle_sql() if k not in FILE_QUERIES]
 
 
