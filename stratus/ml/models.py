@@ -117,31 +117,37 @@ def quality(preds: DataFrame, label: str) -> dict:
 
 
 def fit_temperature(frame: DataFrame, target: str) -> Fitted:
-    """REG1 for MaxTempC / MinTempC on calendar features."""
-    split = hash_split(frame.filter(F.col(target).isNotNull()), KEY, 80, SEED)
-    train = split.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    """REG1 for MaxTempC / MinTempC on calendar features.
+
+    The split frame is persisted once; cross-validation (12 fits + refit) and
+    the held-out evaluation all read it instead of re-scanning the input.
+    """
+    split = hash_split(frame.filter(F.col(target).isNotNull()), KEY, 80, SEED).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     try:
-        model, params = _cv_regressor(train, target, BASE_FEATURES)
+        model, params = _cv_regressor(split.filter(F.col("split") == "train"), target, BASE_FEATURES)
+        preds = model.transform(split.filter(F.col("split") == "test"))
+        metrics = quality(preds, target)
     finally:
-        train.unpersist()
-    preds = model.transform(split.filter(F.col("split") == "test"))
-    return Fitted(target, model, quality(preds, target), params)
+        split.unpersist()
+    return Fitted(target, model, metrics, params)
 
 
 def fit_precipitation(frame: DataFrame, rain_model: PipelineModel) -> Fitted:
     """REG2: trained on rainy rows; evaluated on test rows predicted rainy and truly rainy."""
-    split = hash_split(frame.filter(F.col("TotalPrecipmm").isNotNull()), KEY, 80, SEED)
-    train = split.filter((F.col("split") == "train") & (F.col("TotalPrecipmm") > 0)).persist(
+    split = hash_split(frame.filter(F.col("TotalPrecipmm").isNotNull()), KEY, 80, SEED).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
+        train = split.filter((F.col("split") == "train") & (F.col("TotalPrecipmm") > 0))
         model, params = _cv_regressor(train, "TotalPrecipmm", PRECIP_FEATURES)
+        test = split.filter(F.col("split") == "test")
+        rainy = strip_ml(rain_model.transform(test)).filter(F.col("prediction") == 1).drop("prediction")
+        metrics = quality(model.transform(rainy.filter(F.col("TotalPrecipmm") > 0)), "TotalPrecipmm")
     finally:
-        train.unpersist()
-    test = split.filter(F.col("split") == "test")
-    rainy = strip_ml(rain_model.transform(test)).filter(F.col("prediction") == 1).drop("prediction")
-    preds = model.transform(rainy.filter(F.col("TotalPrecipmm") > 0))
-    return Fitted("TotalPrecipmm", model, quality(preds, "TotalPrecipmm"), params)
+        split.unpersist()
+    return Fitted("TotalPrecipmm", model, metrics, params)
 
 
 def strip_ml(df: DataFrame) -> DataFrame:
