@@ -131,7 +131,12 @@ def deviation_alert(
     the join's build side is bounded by the number of stations, not by the
     history's size.  Works unchanged when ``current`` is a stream.
     """
-    normals = day_normals(history, as_of, years, value_col).select("ClimateID", "normal")
+    return deviation_from_normals(current, day_normals(history, as_of, years, value_col), threshold)
+
+
+def deviation_from_normals(current: DataFrame, normals: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """The join and test of ``deviation_alert`` against already computed normals."""
+    normals = normals.select("ClimateID", "normal")
     joined = current.join(normals, current["City"] == normals["ClimateID"], "inner").drop("ClimateID")
     dev = F.col("Temperature") - F.col("normal")
     return joined.withColumn("deviation", dev).filter(F.abs(F.col("deviation")) >= F.lit(threshold))

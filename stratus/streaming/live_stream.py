@@ -10,7 +10,8 @@
 * STR3-5 ``alert_stream``: per micro-batch, absolute or deviation alerts
   appended to an alert table partitioned by batch id; a replayed batch
   overwrites its own partition instead of adding duplicates (idempotent
-  ``foreachBatch``).
+  ``foreachBatch``).  Deviation normals are computed once per start and
+  checkpointed, not re-derived from the history for every micro-batch.
 * SNK7: the sink is a ``format`` parameter of ``foreachBatch`` writers.
 
 Landing helpers write the driver's ``events`` table as nested live JSON
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stratus.operators import live as L
 from stratus.schema import LIVE_JSON
-from stratus.session import shared_dir
+from stratus.session import checkpoint_root, shared_dir
 from stratus.sources.ingest import flatten_live
 
 
@@ -96,21 +97,31 @@ def latest_state_stream(spark: SparkSession, source: str, target: str, checkpoin
     return q
 
 
-def alert_batches(batch: DataFrame, threshold: float, history: DataFrame | None, as_of: str | None) -> DataFrame:
-    """STR3-5 on one micro-batch: absolute (no history) or deviation alerts."""
-    if history is None:
+def alert_batches(batch: DataFrame, threshold: float, normals: DataFrame | None) -> DataFrame:
+    """STR3-5 on one micro-batch: absolute (no normals) or deviation alerts."""
+    if normals is None:
         return L.alert_records(L.absolute_alert(batch, threshold))
-    return L.alert_records(L.deviation_alert(batch, history, as_of, threshold), extra=["normal", "deviation"])
+    return L.alert_records(L.deviation_from_normals(batch, normals, threshold), extra=["normal", "deviation"])
 
 
 def alert_stream(
     spark: SparkSession, source: str, target: str, checkpoint: str, threshold: float = 5.0,
-    history: DataFrame | None = None, as_of: str | None = None, fmt: str = "parquet",
+    history: DataFrame | None = None, as_of: str | None = None, fmt: str = "parquet", years: int = 10,
 ):
-    """STR3-STR5 + SNK7: alerts appended per micro-batch, idempotent by batch id."""
+    """STR3-STR5 + SNK7: alerts appended per micro-batch, idempotent by batch id.
+
+    In deviation mode the same-day normals (one row per station) are
+    computed once when the stream starts and checkpointed to the shared
+    folder: a stream-static join would otherwise re-read the whole history
+    for every micro-batch.
+    """
+    normals = None
+    if history is not None:
+        checkpoint_root(spark)
+        normals = L.day_normals(history, as_of, years).select("ClimateID", "normal").checkpoint(eager=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = alert_batches(batch, threshold, history, as_of).withColumn("batch_id", F.lit(batch_id))
+        out = alert_batches(batch, threshold, normals).withColumn("batch_id", F.lit(batch_id))
         (
             out.write.format(fmt)
             .mode("overwrite")
