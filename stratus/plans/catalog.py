@@ -707,3 +707,23 @@ def forecast_table(spark: SparkSession, root: str) -> DataFrame:
     path = f"{shared_dir(spark, 'forecast')}/weather_forecast"
     ingest.overwrite_path(precip_forecast(spark, root), path)
     return spark.read.parquet(path)
+
+
+@query("live_star")
+def live_star(spark: SparkSession, root: str) -> DataFrame:
+    """JON2 for the live fact: readings aggregated per city and day first, then
+    joined to the Station (left, by id) and Date (left, by day) dimensions."""
+    from stratus.ml.features import calendar_for
+
+    readings = I.live(spark, root).withColumn("Date", F.col("ObservationTime").cast("date"))
+    per_city_day = readings.groupBy("City", "Date").agg(
+        F.count(F.lit(1)).alias("n_readings"),
+        F.round(F.avg("Temperature"), 6).alias("avg_temperature"),
+        F.round(F.sum("Rain"), 6).alias("total_rain"),
+    )
+    dates = star.date_dimension(calendar_for(readings.select("Date"), "Date")).select(
+        F.col("date").alias("_day"), "season"
+    )
+    stations = I.stations(spark, root)
+    j = star.join_dimension(per_city_day, stations, "City", "ClimateID").drop("ClimateID")
+    return j.join(dates, j["Date"] == dates["_day"], "left").drop("_day")

@@ -568,3 +568,14 @@ FROM d
 """
 
 ORACLE["staging_table"] = ORACLE["clean_observations"]
+
+ORACLE["live_star"] = with_(LIVE, STATIONS) + f"""
+, per_city_day AS (
+  SELECT City, CAST(ObservationTime AS DATE) AS "Date", CAST(count(*) AS BIGINT) AS n_readings,
+         {dbl('avg(Temperature)')} AS avg_temperature, {dbl('sum(Rain)')} AS total_rain
+  FROM live GROUP BY City, CAST(ObservationTime AS DATE)
+)
+SELECT p.City, p."Date", p.n_readings, p.avg_temperature, p.total_rain, s.Name, s.Province,
+       {season_sql('p."Date"')} AS season
+FROM per_city_day p LEFT JOIN stations s ON p.City = s.ClimateID
+"""
