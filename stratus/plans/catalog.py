@@ -727,3 +727,17 @@ def live_star(spark: SparkSession, root: str) -> DataFrame:
     stations = I.stations(spark, root)
     j = star.join_dimension(per_city_day, stations, "City", "ClimateID").drop("ClimateID")
     return j.join(dates, j["Date"] == dates["_day"], "left").drop("_day")
+
+
+@query("forecast_star")
+def forecast_star(spark: SparkSession, root: str) -> DataFrame:
+    """JON2 for the forecast fact: forecast rows joined to the Date dimension,
+    summed per year and season with the default aggregation (AGG10)."""
+    from stratus.ml.features import calendar_for
+
+    fc = _forecast(spark, root)
+    dates = star.date_dimension(calendar_for(fc.select("date"), "date")).select(
+        F.col("date").alias("_day"), "year", "season"
+    )
+    j = fc.join(dates, fc["date"] == dates["_day"], "left").drop("_day", "date")
+    return star.summarize(j, ["year", "season"]).transform(_round)

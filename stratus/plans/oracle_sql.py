@@ -579,3 +579,11 @@ SELECT p.City, p."Date", p.n_readings, p.avg_temperature, p.total_rain, s.Name,
        {season_sql('p."Date"')} AS season
 FROM per_city_day p LEFT JOIN stations s ON p.City = s.ClimateID
 """
+
+ORACLE["forecast_star"] = with_(FORECAST) + f"""
+SELECT CAST(year(date) AS INTEGER) AS year, {season_sql('date')} AS season,
+       {dbl('sum(Rain_predicted)')} AS Rain_predicted, {dbl('sum(MaxTempC_predicted)')} AS MaxTempC_predicted,
+       {dbl('sum(MinTempC_predicted)')} AS MinTempC_predicted,
+       {dbl('sum(TotalPrecipmm_predicted)')} AS TotalPrecipmm_predicted
+FROM fc GROUP BY 1, 2
+"""
