@@ -148,3 +148,33 @@ def test_deviation_alert_stream_equals_batch(spark, tmp_path):
     )
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
+
+
+def test_api_pages_are_bounded(spark, tmp_path):
+    rows = spark.range(2500).select(
+        F.col("id").alias("k"), F.lit("2024-01-01T00:00:00").alias("date"), F.col("id").cast("double").alias("value")
+    )
+    path = str(tmp_path / "pages")
+    ingest.land_api_pages(rows, path, "k", 1000)
+    pages = spark.read.json(path)
+    sizes = [r.n for r in pages.select(F.size("results").alias("n")).collect()]
+    assert sorted(sizes) == [500, 1000, 1000]
+    assert ingest.load_api_pages(spark, path, multi_line=False).count() == 2500
+
+
+def test_hot_partition_folder_is_spread(spark, tmp_path):
+    """A hot folder is written by up to ``spread`` tasks.  AQE would merge the
+    salted pieces of this tiny input into one (each is far below the advisory
+    size, as a real hot folder is not), so coalescing is off for the check."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(20000).select(F.lit(2001).alias("Year"), F.col("id"))  # one hot folder
+        out = str(tmp_path / "hot")
+        ingest.append_partitioned(df, out, ["Year"], spread=4)
+    finally:
+        spark.conf.set(key, old)
+    files = [f for f in os.listdir(os.path.join(out, "Year=2001")) if f.endswith(".parquet")]
+    assert 1 < len(files) <= 4
+    assert spark.read.parquet(out).count() == 20000
