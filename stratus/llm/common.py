@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +9,10 @@ from stratus.session import checkpoint_root, configure
 
 
 def start(spark: SparkSession) -> None:
-    """Ship the package to the executors and make sure a checkpoint folder is set."""
+    """Ship the package to the executors, bound the rows of an Arrow batch (texts
+    may be long) and make sure a checkpoint folder is set."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     checkpoint_root(spark)
 
 
@@ -33,8 +34,3 @@ def text_key(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def batches(schema: pa.Schema, columns: dict[str, list], rows: int = 0):
-    """One Arrow batch of the given columns."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import simhash
+from stratus.llm import bpe, simhash
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, links of at most 4 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> bpe.Tokenizer:
+    import public_tokenizers
+
+    return bpe.Tokenizer(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by the 50k byte-level ranks, and the decoded bytes."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(spark))
