@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, simhash
+from stratus.llm import bpe, quality, simhash
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def tokenizer(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> bpe.T
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the 50k byte-level ranks, and the decoded bytes."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(spark))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the rules learned from the labels outside fold 0."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
