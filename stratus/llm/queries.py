@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, decontaminate, quality, simhash
+from stratus.llm import bpe, decontaminate, linededup, quality, simhash
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word windows of benchmark items, and the items they belong to."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+@query("op9_line_dedup", linededup.ORACLE_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier three-line window: counts and digest of the text."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
