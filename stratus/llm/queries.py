@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, decontaminate, linededup, quality, simhash
+from stratus.llm import bpe, chat, decontaminate, linededup, quality, simhash
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier three-line window: counts and digest of the text."""
     found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op6_chat_format", chat.ORACLE_SQL)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and a hostile one, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
+    return chat.digests(chat.format_chats(rows.unionByName(probe)))
