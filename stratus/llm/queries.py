@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, chat, decontaminate, linededup, quality, simhash, urlfilter
+from stratus.llm import bpe, chat, decontaminate, linededup, quality, secrets, simhash, urlfilter
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's url; hosts no rule decides are judged by their labelled pages."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base patterns and spans of the trained field."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(secrets.find_secrets(docs, secrets.learn(docs)))
