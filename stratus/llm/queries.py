@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import bpe, chat, decontaminate, linededup, quality, secrets, simhash, urlfilter
+from stratus.llm import ann, bpe, chat, decontaminate, linededup, quality, secrets, simhash, urlfilter
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base patterns and spans of the trained field."""
     docs = table(spark, sf_dir, "documents")
     return secrets.digests(secrets.find_secrets(docs, secrets.learn(docs)))
+
+
+@query("op2_nearest")
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found by cosine of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
