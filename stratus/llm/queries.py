@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import ann, bpe, chat, decontaminate, linededup, quality, secrets, simhash, urlfilter
+from stratus.llm import ann, bpe, chat, decontaminate, htmltext, linededup, quality, secrets, simhash, urlfilter
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found by cosine of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.main_text(pages, htmltext.learn(pages))
