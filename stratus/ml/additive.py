@@ -74,9 +74,13 @@ def fit_additive(train: DataFrame, ds: str = "ds", y: str = "y", regressors: lis
 
     def score(frame: DataFrame) -> DataFrame:
         f, _ = design(frame, ds, t0, t1, regressors)
-        out = model.transform(assembler.transform(f)).withColumnRenamed("prediction", "yhat")
+        whole = F.col(ds).isNotNull()
+        for r in regressors:
+            whole = whole & F.col(r).isNotNull()
+        rest = f.filter(~whole).select(*frame.columns, F.lit(None).cast("double").alias("yhat"))  # scored NULL, not dropped
+        out = model.transform(assembler.transform(f.filter(whole))).withColumnRenamed("prediction", "yhat")
         keep = [c for c in frame.columns] + ["yhat"]
-        return out.select(*keep).withColumns(
+        return out.select(*keep).unionByName(rest).withColumns(
             {
                 "yhat_lower": F.col("yhat") - F.lit(Z80 * sigma),
                 "yhat_upper": F.col("yhat") + F.lit(Z80 * sigma),

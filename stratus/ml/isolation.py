@@ -6,10 +6,11 @@ grown on a sub-sample of ``psi = min(256, n)`` rows, to height
 anomaly (-1) when ``s > 0.5`` and normal (1) otherwise.
 
 Spark plan:
-1. Sampling: one hash of the row's columns puts it in a bucket of [0, n);
-   tree k takes buckets [k psi, (k+1) psi), so each tree gets a uniform
-   sub-sample of ~``psi`` rows at O(1) cost per row (for n < t psi, each row
-   tests its membership per tree instead).  Never ``n * t`` rows.
+1. Sampling: each row joins ``floor(t psi / n + u)`` of the ``t`` trees, ``u``
+   a random number of the row (not of its values: equal rows are drawn apart),
+   and which trees is a random choice; so each tree gets a uniform sub-sample
+   of ~``psi`` different rows.  The sample (``t psi`` rows, whatever ``n``) is
+   checkpointed, so a recomputed task can't draw again.
 2. Growing: ``groupBy(tree_id).applyInPandas`` - one group per tree, each
    ~``psi`` rows, so every task's memory is bounded regardless of ``n``.
 3. The forest (``t * (2 psi - 1)`` nodes at most, independent of ``n``) is
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratus.session import checkpoint_root
+
 EULER = 0.5772156649015329
 NODE_SCHEMA = (
     "tree_id int, node int, feature int, threshold double, left int, right int, size long"
@@ -146,51 +149,43 @@ def _scorer(features: list[str], forest, c_psi: float):
     return score
 
 
-def fit_forest(
-    df: DataFrame, features: list[str], key_cols: list[str], n_trees: int = 100, max_samples: int = 256,
-    seed: int = 0,
-):
+def tree_sample(clean: DataFrame, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """Rows with the ``tree_id`` they are drawn for; ~``psi`` rows a tree."""
+    checkpoint_root(clean.sparkSession)
+    drawn = clean.withColumn("_m", F.floor(F.rand(seed) + F.lit(n_trees * psi / n)).cast("int")).filter("_m > 0")
+    trees = F.slice(F.shuffle(F.sequence(F.lit(0), F.lit(n_trees - 1)), seed + 1), F.lit(1), F.col("_m"))
+    return drawn.withColumn("tree_id", F.explode(trees)).drop("_m").checkpoint(eager=True)
+
+
+def fit_forest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, seed: int = 0):
     """Grow the forest; returns (packed forest, psi)."""
-    clean = df.select(*[F.col(c).cast("double").alias(c) for c in features], *key_cols).dropna(subset=features)
+    clean = df.select(*[F.col(c).cast("double").alias(c) for c in features]).dropna(subset=features)
     n = clean.count()
     if n == 0:
         return None, 0
     psi = min(max_samples, n)
     depth = max(1, math.ceil(math.log2(max(psi, 2))))
-    h = F.xxhash64(*[F.col(c) for c in features + key_cols], F.lit(seed))
-    if n >= n_trees * psi:
-        # bucket in [0, n); tree k takes buckets [k psi, (k+1) psi): uniform, ~psi rows each
-        bucket = F.pmod(h, F.lit(n))
-        sample = clean.select(F.floor(bucket / F.lit(psi)).cast("int").alias("tree_id"), *features).filter(
-            F.col("tree_id") < F.lit(n_trees)
-        )
-    else:
-        # small input: independent membership of every row in every tree
-        hashed = clean.select(h.alias("_h"), *features)
-        member = F.filter(
-            F.sequence(F.lit(0), F.lit(n_trees - 1)),
-            lambda k: F.pmod(F.xxhash64(F.col("_h"), k), F.lit(n)) < F.lit(psi),
-        )
-        sample = hashed.select(F.explode(member).alias("tree_id"), *features)
+    sample = tree_sample(clean, n, n_trees, psi, seed)
     nodes = sample.groupBy("tree_id").applyInPandas(_tree_builder(features, depth, seed), NODE_SCHEMA)
     return _pack(nodes.toPandas()), psi
 
 
 def isolation_forest(
-    df: DataFrame, features: list[str], key_cols: list[str] | None = None, n_trees: int = 100,
-    max_samples: int = 256, seed: int = 0,
+    df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, seed: int = 0,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """ANO1: every row of ``df`` with ``score`` and ``anomaly_score`` (-1 / 1)."""
-    key_cols = key_cols or []
-    forest, psi = fit_forest(df, features, key_cols, n_trees, max_samples, seed)
+    """ANO1: every row of ``df`` with ``score`` and ``anomaly_score`` (-1 / 1).
+
+    ``partitions`` deals the rows anew before the CPU-bound scoring, for
+    inputs of few large splits."""
+    forest, psi = fit_forest(df, features, n_trees, max_samples, seed)
     if psi == 0:
         return df.withColumns({"score": F.lit(None).cast("double"), "anomaly_score": F.lit(None).cast("int")})
     out_schema = T.StructType(
         df.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("anomaly_score", T.IntegerType())]
     )
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:  # few input splits: spread the CPU-bound scoring
-        df = df.repartition(cores)
+    if partitions:
+        df = df.repartition(partitions)
     return df.mapInPandas(_scorer(features, forest, c_factor(psi)), out_schema)
 
 

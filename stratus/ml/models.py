@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from stratus.functions.columns import rain_flag
 from stratus.ml.features import BASE_FEATURES, calendar_features
 from stratus.operators.sampling import balance_classes, hash_split
-from stratus.operators.stats import regression_quality
+from stratus.operators.stats import regression_quality, row_hash60
+from stratus.session import checkpoint_root
 
 # Grid of the reference (fixed values): numTrees x maxDepth, 3 folds, RMSE.
 NUM_TREES = [10, 20]
@@ -48,6 +49,7 @@ class Fitted:
     model: object
     metrics: dict = field(default_factory=dict)
     params: dict = field(default_factory=dict)
+    held_out: DataFrame | None = None  # predictions on the test split, checkpointed
 
 
 def training_frame(obs: DataFrame, date_col: str = "Datetime") -> DataFrame:
@@ -67,6 +69,15 @@ def _assembler(cols: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip")
 
 
+def score_all(model: PipelineModel, df: DataFrame, cols: list[str]) -> DataFrame:
+    """Predictions for every row; NULL where a feature is NULL (rows a model skips stay)."""
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rest = df.filter(~whole).withColumn("prediction", F.lit(None).cast("double"))
+    return strip_ml(model.transform(df.filter(whole))).unionByName(rest)
+
+
 def fit_rain_classifier(frame: DataFrame) -> Fitted:
     """CLS1 + AGG14: balanced rain classifier (random forest defaults), AUC on the test split.
 
@@ -74,7 +85,7 @@ def fit_rain_classifier(frame: DataFrame) -> Fitted:
     bagging and the evaluation would otherwise each recompute the class
     counts and the row hashes over the full input.
     """
-    split = hash_split(balance_classes(frame, "Rain", KEY, SEED), KEY, 80, SEED).persist(
+    split = hash_split(balance_classes(frame, "Rain", KEY, SEED), KEY, 80).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
@@ -86,9 +97,11 @@ def fit_rain_classifier(frame: DataFrame) -> Fitted:
         pipeline = PipelineModel(stages=[assembler, fitted])
         preds = pipeline.transform(test)
         auc = BinaryClassificationEvaluator(labelCol="Rain", rawPredictionCol="rawPrediction").evaluate(preds)
+        checkpoint_root(frame.sparkSession)
+        held_out = strip_ml(preds).select(*KEY, "Rain", "prediction").checkpoint(eager=True)
     finally:
         split.unpersist()
-    return Fitted("Rain", pipeline, {"AUC": auc})
+    return Fitted("Rain", pipeline, {"AUC": auc}, held_out=held_out)
 
 
 def _cv_regressor(train: DataFrame, label: str, features: list[str], parallelism: int = 4) -> tuple[PipelineModel, dict]:
@@ -101,10 +114,11 @@ def _cv_regressor(train: DataFrame, label: str, features: list[str], parallelism
         estimatorParamMaps=grid,
         evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
         numFolds=FOLDS,
-        seed=SEED,
+        foldCol="fold",
         parallelism=parallelism,
     )
-    cv_model = cv.fit(assembler.transform(train))
+    fold = F.pmod(row_hash60([*[F.col(c) for c in KEY], F.lit(SEED + 2000)]), F.lit(FOLDS)).cast("int")  # the same folds after a lost task
+    cv_model = cv.fit(assembler.transform(train.withColumn("fold", fold)))
     best = cv_model.bestModel
     params = {"numTrees": best.getNumTrees, "maxDepth": best.getOrDefault("maxDepth")}
     return PipelineModel(stages=[assembler, best]), params
@@ -122,7 +136,7 @@ def fit_temperature(frame: DataFrame, target: str) -> Fitted:
     The split frame is persisted once; cross-validation (12 fits + refit) and
     the held-out evaluation all read it instead of re-scanning the input.
     """
-    split = hash_split(frame.filter(F.col(target).isNotNull()), KEY, 80, SEED).persist(
+    split = hash_split(frame.filter(F.col(target).isNotNull()), KEY, 80).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
@@ -136,7 +150,7 @@ def fit_temperature(frame: DataFrame, target: str) -> Fitted:
 
 def fit_precipitation(frame: DataFrame, rain_model: PipelineModel) -> Fitted:
     """REG2: trained on rainy rows; evaluated on test rows predicted rainy and truly rainy."""
-    split = hash_split(frame.filter(F.col("TotalPrecipmm").isNotNull()), KEY, 80, SEED).persist(
+    split = hash_split(frame.filter(F.col("TotalPrecipmm").isNotNull()), KEY, 80).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
@@ -156,27 +170,28 @@ def strip_ml(df: DataFrame) -> DataFrame:
 
 
 def score_as(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    """Score with ``model`` and keep only its prediction, renamed to ``name``."""
-    return strip_ml(model.transform(df)).withColumnRenamed("prediction", name)
+    """Score every row with ``model`` and keep only its prediction, renamed to ``name``."""
+    return score_all(model, df, model.stages[0].getInputCols()).withColumnRenamed("prediction", name)
 
 
 def forecast_frame(calendar: DataFrame, rain: PipelineModel, tmax: PipelineModel, tmin: PipelineModel,
-                   precip: PipelineModel) -> DataFrame:
-    """FOR4-FOR6: calendar -> Rain, MaxTempC, MinTempC -> precipitation from the
-    predicted temperatures -> rain gating.  One frame, a chain of transforms."""
+                   precip: PipelineModel, additive) -> DataFrame:
+    """FOR2 + FOR4-FOR6: calendar -> Rain, MaxTempC, MinTempC -> precipitation from the
+    predicted temperatures, and from the additive model with the predicted rain ->
+    both gated by the rain prediction.  One frame, a chain of transforms."""
     cal = calendar_features(calendar.select("date"), "date")
     f = score_as(rain, cal, "Rain_predicted")
     f = score_as(tmax, f, "MaxTempC_predicted")
     f = score_as(tmin, f, "MinTempC_predicted")
     f = f.withColumns({"MaxTempC": F.col("MaxTempC_predicted"), "MinTempC": F.col("MinTempC_predicted")})
     f = score_as(precip, f, "TotalPrecipmm_predicted").drop("MaxTempC", "MinTempC")
-    return f.withColumn(
-        "TotalPrecipmm_predictedRain", F.col("TotalPrecipmm_predicted") * F.col("Rain_predicted")
-    ).select(
+    f = additive(f.withColumns({"ds": F.col("date"), "Rain": F.col("Rain_predicted")})).withColumnRenamed("yhat", "PrecipitationM2_predicted")
+    return rain_gate(f).select(
         "date",
         F.lit("all").alias("ClimateID"),  # PRJ10: one forecast for all stations
         "Rain_predicted", "MaxTempC_predicted", "MinTempC_predicted",
         "TotalPrecipmm_predicted", "TotalPrecipmm_predictedRain",
+        "PrecipitationM2_predicted", "PrecipitationM2_predictedRain",
     )
 
 

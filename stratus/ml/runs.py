@@ -41,15 +41,12 @@ def log_run(spark: SparkSession, path: str, target: str, params: dict, metrics:
 
 
 def metric_table(runs: DataFrame) -> DataFrame:
-    """RUN2: one row per (run, target) with RMSE / R2 / MAE; incomplete runs dropped."""
-    wide = (
-        runs.filter(F.col("metric").isin(METRIC_NAMES))
-        .groupBy("run_id", "target")
-        .pivot("metric", METRIC_NAMES)
-        .agg(F.first("value"))
-    )
-    ts = runs.groupBy("run_id", "target").agg(F.min("ts").alias("ts"))
-    return drop_incomplete(wide.join(ts, ["run_id", "target"], "inner"), METRIC_NAMES)
+    """RUN2: one row per (run, target) with RMSE / R2 / MAE and the run's first
+    time; a metric logged twice counts by its last time; incomplete runs
+    dropped.  One aggregate, one shuffle."""
+    last = [F.max_by(F.when(F.col("metric") == m, F.col("value")), F.when(F.col("metric") == m, F.struct("ts", "value"))).alias(m) for m in METRIC_NAMES]
+    wide = runs.groupBy("run_id", "target").agg(*last, F.min("ts").alias("ts"))
+    return drop_incomplete(wide, METRIC_NAMES)
 
 
 def metric_evolution(runs: DataFrame) -> DataFrame:

@@ -80,14 +80,13 @@ def alert_records(
 ) -> DataFrame:
     """STR4 / STR5: alert rows with decimal(10,2) temperature, the evidence
     JSON of the reading (time, rain, temperature) and the pipeline flag
-    ``go``; ``extra`` columns (e.g. normal, deviation) are carried along."""
-    evidence = F.to_json(
-        F.struct(
-            F.substring(F.col(time_col).cast("timestamp_ntz").cast("string"), 1, 19).alias(time_col),
-            F.col("Rain"),
-            F.col(temp_col),
-        )
-    )
+    ``go``; ``extra`` columns (e.g. normal, deviation) are carried along.
+    With a ``history`` column the evidence holds the current reading and the
+    history both."""
+    current = F.to_json(F.struct(F.col(time_col).cast("timestamp_ntz").cast("string").alias(time_col), F.col("Rain"), F.col(temp_col)))
+    evidence = current
+    if "history" in df.columns:
+        evidence = F.concat(F.lit('{"current": '), current, F.lit(', "history": '), F.coalesce("history", F.lit("[]")), F.lit("}"))
     return df.select(
         "City",
         F.col(time_col),
@@ -108,38 +107,56 @@ def same_day_history(
     return out
 
 
-def day_normals(history: DataFrame, as_of: str, years: int = 10, value_col: str = "MaxTempC") -> DataFrame:
-    """Per-station normal of the ``as_of`` calendar day: mean over the window."""
-    return (
-        same_day_history(history, as_of, years)
-        .groupBy("ClimateID")
-        .agg(F.avg(value_col).alias("normal"), F.count(F.lit(1)).alias("n_years_obs"))
+def station_days(history: DataFrame, value_col: str = "MaxTempC", date_col: str = "Datetime") -> DataFrame:
+    """Per station and day: sum and count of the value, and the day's rows as sorted JSON texts."""
+    row = F.to_json(F.struct(F.col(date_col), F.col(value_col)))
+    return history.groupBy(F.col("ClimateID"), F.col(date_col).alias("day")).agg(
+        F.sum(value_col).alias("_s"), F.count(value_col).alias("_n"),
+        F.max_by(row, F.coalesce(F.col(value_col), F.lit(float("-inf")))).alias("_text"),
+    )
+
+
+def reading_normals(readings: DataFrame, days: DataFrame, years: int = 10, time_col: str = TIME) -> DataFrame:
+    """JON7: for each city and day of ``readings``, the mean of the same calendar
+    day in the ``years`` years up to it, and those days' texts as JSON array.
+
+    Distinct (city, day) pairs meet at most ``years + 1`` station days each;
+    the join is on station, month and day of month.
+    """
+    asked = readings.select("City", F.col(time_col).cast("date").alias("on")).filter("on is not null").distinct()
+    days = days.withColumns({"_m": F.month("day"), "_d": F.dayofmonth("day")})
+    met = asked.join(
+        days,
+        (F.col("City") == F.col("ClimateID")) & (F.month("on") == F.col("_m")) & (F.dayofmonth("on") == F.col("_d"))
+        & (F.col("day") <= F.col("on")) & (F.year("day") >= F.year("on") - F.lit(years)),
+    )
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("day", "_text"))), lambda t: t["_text"])
+    return met.groupBy("City", "on").agg(
+        (F.sum("_s") / F.sum("_n")).alias("normal"), F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")).alias("history")
     )
 
 
 def deviation_alert(
     current: DataFrame,
     history: DataFrame,
-    as_of: str,
     threshold: float = 5.0,
     years: int = 10,
     value_col: str = "MaxTempC",
 ) -> DataFrame:
-    """STR3 deviation mode + JON7: |reading - same-day normal| >= threshold.
+    """STR3 deviation mode + JON7: |reading - normal of the reading's own day| >= threshold."""
+    return deviation_from_days(current, station_days(history, value_col), threshold, years)
 
-    The normals are one row per station (aggregated before the join), so
-    the join's build side is bounded by the number of stations, not by the
-    history's size.  Works unchanged when ``current`` is a stream.
-    """
-    return deviation_from_normals(current, day_normals(history, as_of, years, value_col), threshold)
 
+def deviation_from_days(current: DataFrame, days: DataFrame, threshold: float = 5.0, years: int = 10) -> DataFrame:
+    """The join and test of ``deviation_alert`` against already summed station days.
 
-def deviation_from_normals(current: DataFrame, normals: DataFrame, threshold: float = 5.0) -> DataFrame:
-    """The join and test of ``deviation_alert`` against already computed normals."""
-    normals = normals.select("ClimateID", "normal")
-    joined = current.join(normals, current["City"] == normals["ClimateID"], "inner").drop("ClimateID")
-    dev = F.col("Temperature") - F.col("normal")
-    return joined.withColumn("deviation", dev).filter(F.abs(F.col("deviation")) >= F.lit(threshold))
+    Readings of a city or day without history are reported too, with NULL
+    normal and deviation: no reading vanishes unseen.
+    """
+    normals = reading_normals(current, days, years).withColumnRenamed("City", "_city")
+    joined = current.join(normals, (F.col("City") == F.col("_city")) & (F.col(TIME).cast("date") == F.col("on")), "left").drop("_city", "on")
+    joined = joined.withColumn("deviation", F.col("Temperature") - F.col("normal"))
+    return joined.filter(F.col("deviation").isNull() | (F.abs("deviation") >= F.lit(threshold)))
 
 
 def history_json(history: DataFrame, cols: list[str], key: str = "ClimateID", day: str = "Datetime") -> DataFrame:

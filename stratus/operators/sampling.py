@@ -2,7 +2,8 @@
 
 Random choices are hashes of the row's own columns, so a split or sample
 is the same however the data is partitioned and survives a recomputed
-task after an executor loss.
+task after an executor loss.  Where a rate has to hold although rows repeat,
+equal rows are counted first and the draw decides how many of them stay.
 """
 
 from __future__ import annotations
@@ -10,30 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.operators.stats import row_hash32, uniform
+from stratus.operators.stats import row_hash60, uniform
 
 
 def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int = 42) -> DataFrame:
-    """SPL1: undersample every class to (about) the minority size, in one pass.
-
-    Class sizes come from one grouped count (one row per class, so the
-    table joined back is bounded by the number of labels); each row is kept
-    with probability ``min_count / class_count`` (Bernoulli, as the
-    reference's per-class ``sample``).
+    """SPL1: undersample every class to (about) the minority size.
+
+    Equal rows are counted once (combined map-side, so a row repeated a
+    billion times is one row of the shuffle); of ``c`` equal rows
+    ``floor(c * rate + u)`` stay, ``u`` a hash of the row's ``key_cols`` in
+    [0, 1).  The expected number of a class is exact whatever repeats.  Rows
+    without a label belong to no class and all stay.  The class sizes come
+    from the counted rows, one row per class.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    counts = counts.withColumn("_frac", F.min("_class_n").over(Window.partitionBy()) / F.col("_class_n"))
+    counted = df.groupBy(*[F.col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counted.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_label")).agg(F.sum("_n").alias("_class_n"))
+    sizes = sizes.withColumn("_rate", F.min("_class_n").over(Window.partitionBy()) / F.col("_class_n"))
+    rated = counted.join(sizes, F.col(label) == F.col("_label"), "left")
     u = uniform([F.col(c) for c in key_cols], seed)
-    return (
-        df.join(F.broadcast(counts.select(label, "_frac")), label, "inner")
-        .filter(u < F.col("_frac"))
-        .drop("_frac")
-    )
+    keep = F.floor(F.col("_n") * F.coalesce(F.col("_rate"), F.lit(1.0)) + F.when(F.col("_rate").isNull(), F.lit(0.0)).otherwise(u))
+    kept = rated.withColumn("_keep", keep.cast("long")).filter("_keep > 0")
+    return kept.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_keep")))).select(*df.columns)
 
 
-def hash_split(df: DataFrame, key_cols: list[str], train_pct: int = 80, seed: int = 42) -> DataFrame:
-    """SPL2: stable 80/20 split; adds ``split`` = 'train' | 'test'."""
-    bucket = F.pmod(row_hash32([*[F.col(c) for c in key_cols], F.lit(seed)]), F.lit(100))
+def hash_split(df: DataFrame, key_cols: list[str], train_pct: int = 80, seed: int = 1042) -> DataFrame:
+    """SPL2: stable 80/20 split; adds ``split`` = 'train' | 'test'.  Its seed
+    differs from the balancing draw's, so the two are independent."""
+    bucket = F.pmod(row_hash60([*[F.col(c) for c in key_cols], F.lit(seed)]), F.lit(100))
     return df.withColumn("split", F.when(bucket < train_pct, F.lit("train")).otherwise(F.lit("test")))
 
 

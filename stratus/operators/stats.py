@@ -80,21 +80,24 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.selectExpr(f"stack({len(pairs)}, {parts}) AS (col_a, col_b, corr)")
 
 
-def key_influencers(df: DataFrame, target: str, factors: list[str]) -> DataFrame:
+def key_influencers(df: DataFrame, target: str, factors: list[str], weight: str | None = None) -> DataFrame:
     """AGG17: for each factor value, rows, mean target, overall mean and lift.
 
     Factors are unpivoted to (factor, value) and grouped once.  Every factor
     partitions all rows, so the overall mean is the sum over one factor's
     groups - a window over the grouped table (one row per factor value), not
     a second pass over the data.  The rank is a window over the same small
-    table.
+    table.  With ``weight`` a row of ``df`` stands for that many rows and
+    ``target`` is their sum (rows counted beforehand, before a join).
     """
+    n = F.col(weight) if weight else F.lit(1)
+    nt = F.when(F.col(target).isNotNull(), n)
     long = df.select(
-        F.col(target).cast("double").alias("_t"),
+        F.col(target).cast("double").alias("_t"), n.alias("_w"), nt.alias("_wt"),
         *[F.col(f).cast("string").alias(f) for f in factors],
-    ).unpivot("_t", factors, "factor", "value")
+    ).unpivot(["_t", "_w", "_wt"], factors, "factor", "value")
     g = long.groupBy("factor", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_t").alias("_s"), F.count("_t").alias("_nt")
+        F.sum("_w").cast("bigint").alias("n"), F.sum("_t").alias("_s"), F.sum("_wt").alias("_nt")
     )
     per_factor = Window.partitionBy("factor")
     g = g.withColumns(
@@ -134,17 +137,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def row_hash32(cols: list[Column]) -> Column:
-    """A 32-bit hash of a row's columns: the first 8 hex digits of the MD5 of
+def row_hash60(cols: list[Column]) -> Column:
+    """A 60-bit hash of a row's columns: the first 15 hex digits of the MD5 of
     their ``|``-joined text (NULL spelled ``\\N``).  Built-in and JVM-side,
     and the same in any SQL engine with md5, so samples can be re-derived."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(cols: list[Column], seed: int) -> Column:
     """A deterministic U[0,1) per row from a hash of its columns and a seed."""
-    return row_hash32([*cols, F.lit(seed)]).cast("double") / F.lit(4294967296.0)
+    return row_hash60([*cols, F.lit(seed)]).cast("double") / F.lit(float(1 << 60))
 
 
 def profile_text(described: DataFrame, data: DataFrame, col: str, digits: int = 6) -> DataFrame:

@@ -62,6 +62,7 @@ def station_dim(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- parameters
 AS_OF = "2001-06-15"  # history queries' "today"
 LOOKBACK_YEARS = 10
+DEVIATION_YEARS = 30  # readings are of 2024, the history ends in 2001
 ALERT_THRESHOLD = 5.0
 REAL_SELECTION = ("1996-01-01", "1997-12-31")
 FORECAST_SELECTION = ("2001-01-01", "2002-12-31")
@@ -108,7 +109,7 @@ def deviation_alert(spark: SparkSession, root: str) -> DataFrame:
     from stratus.operators import live
 
     current = live.latest_per_city(I.live(spark, root))
-    out = live.deviation_alert(current, I.obs_values(spark, root), AS_OF, ALERT_THRESHOLD, LOOKBACK_YEARS)
+    out = live.deviation_alert(current, I.obs_values(spark, root), ALERT_THRESHOLD, DEVIATION_YEARS)
     return out.select("City", "ObservationTime", "Temperature", "normal", "deviation").transform(_round)
 
 
@@ -255,14 +256,14 @@ def key_influencers(spark: SparkSession, root: str) -> DataFrame:
     from stratus.functions.columns import rain_flag, season
     from stratus.operators.stats import key_influencers as ki
 
-    obs = I.obs_values(spark, root).select(
-        "ClimateID",
-        rain_flag(F.col("TotalPrecipmm")).alias("Rain"),
-        F.month("Datetime").alias("month"),
-        season(F.col("Datetime")).alias("season"),
+    # counted per station and month first: the join and the unpivot carry those few rows
+    month = F.trunc("Datetime", "month")
+    obs = I.obs_values(spark, root).groupBy("ClimateID", month.alias("start")).agg(
+        F.sum(rain_flag(F.col("TotalPrecipmm"))).alias("Rain"), F.count(F.lit(1)).alias("rows")
     )
-    j = star.join_dimension(obs, I.stations(spark, root).select("ClimateID", "Province"), "ClimateID")
-    return ki(j, "Rain", ["Province", "month", "season"]).transform(_round)
+    counted = obs.select("ClimateID", "Rain", "rows", F.month("start").alias("month"), season(F.col("start")).alias("season"))
+    j = star.join_dimension(counted, I.stations(spark, root).select("ClimateID", "Province"), "ClimateID")
+    return ki(j, "Rain", ["Province", "month", "season"], weight="rows").transform(_round)
 
 
 @query("narrative_facts")
@@ -382,12 +383,33 @@ def station_name_match(spark: SparkSession, root: str) -> DataFrame:
     return j.select("Name", "Province", "n_rows", F.round("total_precip", 6).alias("total_precip"))
 
 
+def _external_csv(spark: SparkSession, root: str) -> DataFrame:
+    """The 26-column external CSV landed as files without header line, loaded by position and cleaned."""
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+    from stratus.sources.views import headerless_csv_rows
+
+    path = f"{shared_dir(spark, 'external-csv')}/csv"
+    ingest.land_csv(headerless_csv_rows(I.table(spark, root, "part")), path, null_value="", header=False)
+    return ingest.clean_headerless_csv(ingest.load_headerless_csv(spark, path, ingest.CSV_WIDTH))
+
+
 @query("csv_header_rows")
 def csv_header_rows(spark: SparkSession, root: str) -> DataFrame:
-    from stratus.sources.ingest import clean_headerless_csv
-    from stratus.sources.views import headerless_csv_rows
+    """SRC9 + FLT7 + PRJ12 through files."""
+    return _external_csv(spark, root)
+
+
+@query("csv_dates")
+def csv_dates(spark: SparkSession, root: str) -> DataFrame:
+    """JON4: external CSV rows left-joined to the Date dimension, summed per year and season."""
+    from stratus.ml.features import calendar_for
 
-    return clean_headerless_csv(headerless_csv_rows(I.table(spark, root, "part")))
+    rows = _external_csv(spark, root)
+    dates = star.date_dimension(calendar_for(rows.select("Date"), "Date")).select(F.col("date").alias("_day"), "year", "season")
+    per_day = rows.groupBy("Date").agg(F.count(F.lit(1)).alias("n"), F.sum("Total Precip (mm)").alias("s"))
+    joined = per_day.join(dates, per_day["Date"] == dates["_day"], "left")
+    return joined.groupBy("year", "season").agg(F.sum("n").alias("n_rows"), F.round(F.sum("s"), 6).alias("total_precip"))
 
 
 def _round(df: DataFrame) -> DataFrame:
@@ -408,10 +430,12 @@ def _training(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, root: str, targets: tuple[str, ...]) -> dict:
-    """Fit each requested model once per data root and session."""
+    """Fit each requested model once per application and state of the table:
+    a changed file (name, size or time) gives new models."""
     from stratus.ml import models as MD
+    from stratus.session import table_state
 
-    cache = _MODEL_CACHE.setdefault((id(spark), root), {})
+    cache = _MODEL_CACHE.setdefault((spark.sparkContext.applicationId, table_state(spark, f"{root}/lineitem.parquet")), {})
     frame = _training(spark, root)
     for t in targets:
         if t in cache:
@@ -428,16 +452,8 @@ def _fitted(spark: SparkSession, root: str, targets: tuple[str, ...]) -> dict:
 @query("rain_classifier")
 def rain_classifier(spark: SparkSession, root: str) -> DataFrame:
     """CLS1: balanced random-forest rain classifier; predictions on the held-out split."""
-    from stratus.ml import models as MD
-    from stratus.operators.sampling import balance_classes, hash_split
-
     fitted = _fitted(spark, root, ("Rain",))["Rain"]
-    frame = _training(spark, root)
-    test = hash_split(balance_classes(frame, "Rain", MD.KEY, MD.SEED), MD.KEY, 80, MD.SEED).filter(
-        F.col("split") == "test"
-    )
-    preds = MD.strip_ml(fitted.model.transform(test))
-    return preds.select("ClimateID", "date", "Rain", "prediction").withColumn(
+    return fitted.held_out.select("ClimateID", "date", "Rain", "prediction").withColumn(
         "auc", F.lit(fitted.metrics["AUC"])
     )
 
@@ -465,12 +481,14 @@ def temp_forecast(spark: SparkSession, root: str) -> DataFrame:
 @query("precip_forecast")
 def precip_forecast(spark: SparkSession, root: str) -> DataFrame:
     """REG2 + FOR5 + FOR6: full forecast chain with rain-gated precipitation."""
+    from stratus.ml.additive import fit_additive
     from stratus.ml.models import forecast_frame
 
     m = _fitted(spark, root, ALL_TARGETS)
+    additive, _ = fit_additive(_daily_weather(spark, root).persist(), "ds", "y", ["Rain"])
     return forecast_frame(
         _forecast_calendar(spark, root), m["Rain"].model, m["MaxTempC"].model, m["MinTempC"].model,
-        m["TotalPrecipmm"].model,
+        m["TotalPrecipmm"].model, additive,
     )
 
 
@@ -494,7 +512,7 @@ def isolation_scores(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml.isolation import isolation_forest
 
     obs = I.obs_values(spark, root).select("ClimateID", "Datetime", "TotalPrecipmm", "MinTempC", "MaxTempC")
-    return isolation_forest(obs, ["TotalPrecipmm", "MinTempC", "MaxTempC"], ["ClimateID", "Datetime"], seed=0)
+    return isolation_forest(obs, ["TotalPrecipmm", "MinTempC", "MaxTempC"], seed=0)
 
 
 @query("anomaly_counts")
@@ -510,8 +528,8 @@ def _daily_weather(spark: SparkSession, root: str) -> DataFrame:
 
     obs = I.obs_values(spark, root)
     return obs.groupBy(F.col("Datetime").alias("ds")).agg(
-        F.avg("MaxTempC").alias("y"), F.max(rain_flag(F.col("TotalPrecipmm"))).cast("double").alias("Rain")
-    )
+        F.avg("TotalPrecipmm").alias("y"), F.max(rain_flag(F.col("TotalPrecipmm"))).cast("double").alias("Rain")
+    ).filter("ds is not null")
 
 
 @query("additive_forecast")
@@ -520,7 +538,7 @@ def additive_forecast(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml.additive import fit_additive
     from stratus.operators.sampling import half_split as hs
 
-    s = hs(_daily_weather(spark, root), "ds")
+    s = hs(_daily_weather(spark, root).persist(), "ds")
     score, _ = fit_additive(s.filter(F.col("half") == "first"), "ds", "y", ["Rain"])
     return score(s.filter(F.col("half") == "second").drop("half"))
 
@@ -532,7 +550,7 @@ def additive_rain_forecast(spark: SparkSession, root: str) -> DataFrame:
     from stratus.ml.features import calendar_features as cf
     from stratus.ml.models import score_as
 
-    daily = _daily_weather(spark, root)
+    daily = _daily_weather(spark, root).persist()
     score, _ = fit_additive(daily, "ds", "y", ["Rain"])
     last = daily.select(F.max("ds")).scalar()
     future = _forecast_calendar(spark, root).filter(F.col("date") > last).select("date")
@@ -554,21 +572,21 @@ def stream_ingest(spark: SparkSession, root: str) -> DataFrame:
 @query("stream_latest_city")
 def stream_latest_city(spark: SparkSession, root: str) -> DataFrame:
     """STR2: latest reading per city kept as streaming state."""
-    from stratus.streaming.live_stream import latest_state_stream, replay_events
+    from stratus.streaming.live_stream import latest_state_stream, read_latest, replay_events
 
     p = replay_events(spark, I.table(spark, root, "events"), "stream-latest")
     latest_state_stream(spark, p["landing"], p["table"], p["checkpoint"])
-    return spark.read.parquet(p["table"])
+    return read_latest(spark, p["table"])
 
 
 @query("stream_alerts")
 def stream_alerts(spark: SparkSession, root: str) -> DataFrame:
     """STR3-5: absolute alerts per micro-batch, idempotent by batch id."""
-    from stratus.streaming.live_stream import alert_stream, replay_events
+    from stratus.streaming.live_stream import alert_stream, read_alerts, replay_events
 
     p = replay_events(spark, I.table(spark, root, "events"), "stream-alerts")
     alert_stream(spark, p["landing"], p["table"], p["checkpoint"], ALERT_THRESHOLD)
-    return spark.read.parquet(p["table"]).drop("batch_id").transform(decimals_to_double)
+    return read_alerts(spark, p["table"]).drop("batch_id", "audit").transform(decimals_to_double)
 
 
 # ------------------------------------------------------------ file ingestion
@@ -586,22 +604,39 @@ CSV_HEADER_NAMES = {
 
 @query("csv_ingest")
 def csv_ingest(spark: SparkSession, root: str) -> DataFrame:
-    """SRC4 + PRJ2 + SNK2 + SRC5: observations landed as symbol-headed CSV,
-    loaded in one scan, names sanitised, appended as Year/Month parquet and
-    read back through the partition filter."""
+    """SRC4 + PRJ2 + SNK2 + SRC5: observations landed as symbol-headed CSV in two
+    column orders (with NULL, bad and very old dates among them), each file
+    read by its own header, names sanitised, appended as Year/Month parquet
+    and read back whole."""
     from stratus.session import shared_dir
     from stratus.sources import ingest
 
     base = shared_dir(spark, "csv-ingest")
-    raw = I.raw_obs(spark, root)
-    landed = raw.select([F.col(c).alias(h) for c, h in CSV_HEADER_NAMES.items()])
-    ingest.land_csv(landed, f"{base}/csv")
+    station = F.col("ClimateID").cast("int")
+    day = F.when(station % 7 == 0, F.lit(None)).when(station % 7 == 1, "1850-06-15").when(station % 7 == 2, "no day").otherwise(F.col("DateTime"))
+    raw = I.raw_obs(spark, root).withColumn("DateTime", day)
+    heads = list(CSV_HEADER_NAMES.items())
+    ingest.land_csv(raw.filter(station % 2 == 0).select([F.col(c).alias(h) for c, h in heads]), f"{base}/csv")
+    ingest.land_csv(raw.filter(station % 2 == 1).select([F.col(c).alias(h) for c, h in heads[::-1]]), f"{base}/csv", mode="append")
     loaded = ingest.load_daily_csv(spark, f"{base}/csv")
     parts = loaded.withColumns(
-        {"Year": F.substring("DateTime", 1, 4).cast("int"), "Month": F.substring("DateTime", 6, 2).cast("int")}
+        {"Year": F.substring("DateTime", 1, 4).try_cast("int"), "Month": F.substring("DateTime", 6, 2).try_cast("int")}
     )
     ingest.append_partitioned(parts, f"{base}/landed", ["Year", "Month"])
-    return ingest.load_partitioned(spark, f"{base}/landed", years=(1900, 2100))
+    return ingest.load_partitioned(spark, f"{base}/landed").select(*CSV_HEADER_NAMES, "Year", "Month")
+
+
+@query("csv_partition_range")
+def csv_partition_range(spark: SparkSession, root: str) -> DataFrame:
+    """SRC5: the range of partitions 1995-1996, quarter two, of the Year/Month tree (pruned folders)."""
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+
+    base = shared_dir(spark, "csv-range")
+    obs = I.obs_values(spark, root).select("ClimateID", "Datetime", "MaxTempC", F.year("Datetime").alias("Year"), F.month("Datetime").alias("Month"))
+    ingest.append_partitioned(obs, f"{base}/landed", ["Year", "Month"])
+    found = ingest.load_partitioned(spark, f"{base}/landed", years=(1995, 1996), months=(4, 6))
+    return found.select("ClimateID", "Datetime", "MaxTempC", "Year", "Month")
 
 
 @query("api_pages")
@@ -620,21 +655,21 @@ def api_pages(spark: SparkSession, root: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("station"),
     )
     ingest.land_api_pages(rows, f"{base}/pages", "o_orderkey", 1000)
-    loaded = ingest.load_api_pages(spark, f"{base}/pages", multi_line=False)
+    loaded = ingest.load_api_pages(spark, f"{base}/pages", multi_line=False, schema="results array<struct<date: string, value: double, station: string>>")
     ingest.append_partitioned(loaded, f"{base}/landed", ["years"])
     return spark.read.parquet(f"{base}/landed")
 
 
 @query("stream_deviation_alerts")
 def stream_deviation_alerts(spark: SparkSession, root: str) -> DataFrame:
-    """STR3 deviation mode + JON7 on a stream: every reading joined to its
-    station's same-day normal (static side, one row per station)."""
-    from stratus.streaming.live_stream import alert_stream, replay_events
+    """STR3 deviation mode + JON7 on a stream: every reading beside the normal of
+    its own station and calendar day; evidence holds reading and history."""
+    from stratus.streaming.live_stream import alert_stream, read_alerts, replay_events
 
     p = replay_events(spark, I.table(spark, root, "events"), "stream-deviation")
     alert_stream(spark, p["landing"], p["table"], p["checkpoint"], ALERT_THRESHOLD,
-                 history=I.obs_values(spark, root), as_of=AS_OF)
-    out = spark.read.parquet(p["table"]).drop("batch_id").transform(decimals_to_double)
+                 history=I.obs_values(spark, root), years=DEVIATION_YEARS)
+    out = read_alerts(spark, p["table"], deviation=True).drop("batch_id", "audit").transform(decimals_to_double)
     return out.transform(_round)
 
 
@@ -741,3 +776,87 @@ def forecast_star(spark: SparkSession, root: str) -> DataFrame:
     )
     j = fc.join(dates, fc["date"] == dates["_day"], "left").drop("_day", "date")
     return star.summarize(j, ["year", "season"]).transform(_round)
+
+
+# ------------------------------------------------- operators one by one
+@query("station_catalogue")
+def station_catalogue(spark: SparkSession, root: str) -> DataFrame:
+    """SRC3 + SNK3: suppliers landed as station catalogue documents in two appends, loaded with the all-string schema."""
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+
+    path = f"{shared_dir(spark, 'stations')}/json"
+    docs = I.table(spark, root, "supplier").select(
+        F.concat(F.lit("ST:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("string").alias("elevation")
+    )
+    low = F.col("elevation").cast("double") < 0
+    ingest.append_files(docs.filter(low), path, "json")
+    ingest.append_files(docs.filter(~low), path, "json")
+    return ingest.load_station_catalogue(spark, path, multi_line=False)
+
+
+@query("province_stations")
+def province_stations(spark: SparkSession, root: str) -> DataFrame:
+    """FLT1: the stations of one province."""
+    from stratus.operators.clean import station_dimension
+
+    return station_dimension(I.stations_raw(spark, root), "CANADA")
+
+
+@query("metric_axes")
+def metric_axes(spark: SparkSession, root: str) -> DataFrame:
+    """MEA1, MEA2, MEA12, MEA13: every metric id on the real and the forecast axis."""
+    from stratus.operators import measures as M
+
+    parts = []
+    for mid in M.METRICS:
+        real = M.real_series_with_axis(I.obs_values(spark, root), mid, *REAL_SELECTION)
+        fc = M.forecast_series_with_axis(_forecast(spark, root), I.obs_values(spark, root), mid, *FORECAST_SELECTION)
+        parts.append(real.select(F.lit(mid).alias("id"), F.lit("real").alias("axis"), F.col("Datetime").alias("day"), F.col("metric_real").alias("metric"), F.col("axis_real").alias("axis_value")))
+        parts.append(fc.select(F.lit(mid).alias("id"), F.lit("forecast").alias("axis"), F.col("date").alias("day"), F.col("metric_forecast").alias("metric"), F.col("axis_forecast").alias("axis_value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.transform(_round)
+
+
+@query("selected_title")
+def selected_title(spark: SparkSession, root: str) -> DataFrame:
+    """MEA15 with SELECTEDVALUE: the title for each region's selection of metrics
+    (region r selects the metrics with id <= r): blank name for none or several."""
+    from stratus.operators import measures as M
+
+    regions = I.table(spark, root, "region").select(F.col("r_regionkey").cast("long").alias("region"))
+    ids = F.filter(F.array(*[F.lit(i).cast("long") for i in M.METRICS]), lambda i: i <= F.col("region"))
+    chosen = regions.withColumn("id", F.explode_outer(ids)).join(M.metric_param(spark), "id", "left")
+    return chosen.groupBy("region").agg(M.series_title(M.selected_value(F.col("Metric"))).alias("titletimeseries"))
+
+
+@query("run_union")
+def run_union(spark: SparkSession, root: str) -> DataFrame:
+    """SET4 + RUN3: per-target metric tables put together; the MAE column is missing in one of them."""
+    from stratus.ml.runs import metric_table, union_targets
+    from stratus.sources.views import run_metrics
+
+    runs = run_metrics(I.table(spark, root, "orders"))
+    tables = [metric_table(runs.filter(F.col("target") == t)) for t in ("MaxTempC", "MinTempC", "TotalPrecipmm")]
+    tables[1] = tables[1].drop("MAE")
+    return union_targets(tables).drop("ts")
+
+
+@query("forecast_stats_cut")
+def forecast_stats_cut(spark: SparkSession, root: str) -> DataFrame:
+    """FLT6 + FOR8: describe of the mapped forecast for the days before a cut within its span."""
+    from stratus.ml.models import forecast_statistics
+
+    return forecast_statistics(_forecast(spark, root), before="1999-01-01").transform(_round)
+
+
+@query("forecast_stations")
+def forecast_stations(spark: SparkSession, root: str) -> DataFrame:
+    """JON2, Forecast -> Station: forecast rows per station id (the order's clerk stands
+    for it), left-joined to the Station dimension; counted per province."""
+    orders = I.table(spark, root, "orders")
+    per_station = orders.groupBy(F.pmod(F.col("o_custkey"), F.lit(120)).cast("string").alias("ClimateID")).agg(F.count(F.lit(1)).alias("n"))
+    j = star.join_dimension(per_station, I.stations(spark, root), "ClimateID")
+    return j.groupBy("Province").agg(F.sum("n").alias("n_days"))

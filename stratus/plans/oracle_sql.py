@@ -188,20 +188,25 @@ ORACLE["latest_per_city"] = with_(LIVE, LATEST_PER_CITY) + "SELECT * FROM latest
 ORACLE["temperature_alert"] = with_(LIVE, LATEST_PER_CITY) + """
 SELECT City, ObservationTime,
        CAST(CAST(Temperature AS DECIMAL(10,2)) AS DOUBLE) AS currentTemp,
-       CAST(to_json(struct_pack(ObservationTime := strftime(ObservationTime, '%Y-%m-%d %H:%M:%S'),
+       CAST(to_json(struct_pack(ObservationTime := regexp_replace(strftime(ObservationTime, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0*$', ''),
                                 Rain := Rain, Temperature := Temperature)) AS VARCHAR) AS text,
        1 AS go
 FROM latest WHERE Temperature >= 5.0
 """
 
-ORACLE["deviation_alert"] = with_(LIVE, LATEST_PER_CITY, OBS_VALUES) + f"""
-, normals AS (
-  SELECT ClimateID, avg(MaxTempC) AS normal FROM obs WHERE {AS_OF_DAY} GROUP BY ClimateID
-)
+NORMALS = """
+normals AS (
+  SELECT r.City, r.day, avg(o.MaxTempC) AS normal
+  FROM (SELECT DISTINCT City, CAST(ObservationTime AS DATE) AS day FROM live) r
+  JOIN obs o ON o.ClimateID = r.City AND month(o.Datetime) = month(r.day) AND day(o.Datetime) = day(r.day)
+            AND o.Datetime <= r.day AND year(o.Datetime) >= year(r.day) - 30
+  GROUP BY r.City, r.day)"""
+
+ORACLE["deviation_alert"] = with_(LIVE, LATEST_PER_CITY, OBS_VALUES, NORMALS) + f"""
 SELECT c.City, c.ObservationTime, {dbl('c.Temperature')} AS Temperature, {dbl('n.normal')} AS normal,
        {dbl('c.Temperature - n.normal')} AS deviation
-FROM latest c JOIN normals n ON c.City = n.ClimateID
-WHERE abs(c.Temperature - n.normal) >= 5.0
+FROM latest c LEFT JOIN normals n ON c.City = n.City AND CAST(c.ObservationTime AS DATE) = n.day
+WHERE n.normal IS NULL OR abs(c.Temperature - n.normal) >= 5.0
 """
 
 ORACLE["same_day_history"] = with_(OBS_VALUES) + f"SELECT * FROM obs WHERE {AS_OF_DAY}\n"
@@ -458,23 +463,20 @@ SELECT s.Name, s.Province, CAST(p.n_rows AS BIGINT) AS n_rows, {dbl('p.total')}
 FROM p JOIN stations s ON p.Station = s.Name
 """
 
-ORACLE["csv_header_rows"] = """
-WITH raw AS (
-  SELECT CASE WHEN p_size = 1 THEN 'Date'
-              ELSE strftime(DATE '1995-01-01' + CAST(p_partkey AS INTEGER), '%Y-%m-%d') END AS _c0,
-         CASE WHEN p_size = 1 THEN 'Max Temp (°C)' ELSE CAST(p_size AS VARCHAR) END AS _c1,
-         CASE WHEN p_size = 1 THEN 'Min Temp (°C)' ELSE CAST(p_size - 10 AS VARCHAR) END AS _c2,
-         CASE WHEN p_size = 1 THEN 'Heat Deg Days (°C)'
-              ELSE CAST(floor(p_retailprice / 100.0) AS VARCHAR) END AS _c3,
-         CASE WHEN p_size = 1 THEN 'Total Precip (mm)' WHEN p_brand = 'Brand#11' THEN 'M'
-              ELSE CAST(CAST(p_partkey % 40 AS DOUBLE) / 4.0 AS VARCHAR) END AS _c4,
-         CASE WHEN p_size = 1 THEN 'Station Name' ELSE p_brand END AS _c5
-  FROM part
-)
-SELECT TRY_CAST(_c0 AS DATE) AS "Date", TRY_CAST(_c1 AS DOUBLE) AS "Max Temp",
-       TRY_CAST(_c2 AS DOUBLE) AS "Min Temp", TRY_CAST(_c3 AS DOUBLE) AS "Heat Deg Days",
-       TRY_CAST(_c4 AS DOUBLE) AS "Total Precip (mm)", _c5 AS "Station"
-FROM raw WHERE _c0 IS DISTINCT FROM 'Date'
+EXTERNAL = """
+external AS (
+  SELECT p_brand AS "Station", DATE '1995-01-01' + CAST(p_partkey AS INTEGER) AS "Date", CAST(p_size AS DOUBLE) AS "Max Temp",
+         CAST(p_size - 10 AS DOUBLE) AS "Min Temp", CAST(floor(p_retailprice / 100.0) AS DOUBLE) AS "Heat Deg Days",
+         CASE WHEN p_brand = 'Brand#11' THEN NULL ELSE CAST(p_partkey % 40 AS DOUBLE) / 4.0 END AS "Total Precip (mm)"
+  FROM part WHERE p_size <> 1
+)"""
+
+ORACLE["csv_header_rows"] = with_(EXTERNAL) + "SELECT * FROM external\n"
+
+ORACLE["csv_dates"] = with_(EXTERNAL) + f"""
+SELECT CAST(year("Date") AS INTEGER) AS year, {season_sql('"Date"')} AS season, count(*) AS n_rows,
+       {dbl('sum("Total Precip (mm)")')} AS total_precip
+FROM external GROUP BY 1, 2
 """
 
 # ------------------------------------------------------------------ streaming
@@ -485,7 +487,7 @@ ORACLE["stream_latest_city"] = ORACLE["latest_per_city"]
 ORACLE["stream_alerts"] = with_(LIVE) + """
 SELECT City, ObservationTime,
        CAST(CAST(Temperature AS DECIMAL(10,2)) AS DOUBLE) AS currentTemp,
-       CAST(to_json(struct_pack(ObservationTime := strftime(ObservationTime, '%Y-%m-%d %H:%M:%S'),
+       CAST(to_json(struct_pack(ObservationTime := regexp_replace(strftime(ObservationTime, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0*$', ''),
                                 Rain := Rain, Temperature := Temperature)) AS VARCHAR) AS text,
        1 AS go
 FROM live WHERE Temperature >= 5.0
@@ -493,8 +495,13 @@ FROM live WHERE Temperature >= 5.0
 
 # ------------------------------------------------------------ file ingestion
 ORACLE["csv_ingest"] = with_(RAW_OBS) + """
-SELECT *, CAST(substr(DateTime, 1, 4) AS INTEGER) AS Year, CAST(substr(DateTime, 6, 2) AS INTEGER) AS Month
-FROM raw_obs
+SELECT * EXCLUDE (d) REPLACE (d AS DateTime), TRY_CAST(substr(d, 1, 4) AS INTEGER) AS Year, TRY_CAST(substr(d, 6, 2) AS INTEGER) AS Month
+FROM (SELECT *, CASE CAST(ClimateID AS INTEGER) % 7 WHEN 0 THEN NULL WHEN 1 THEN '1850-06-15' WHEN 2 THEN 'no day' ELSE DateTime END AS d FROM raw_obs)
+"""
+
+ORACLE["csv_partition_range"] = with_(OBS_VALUES) + """
+SELECT ClimateID, Datetime, MaxTempC, CAST(year(Datetime) AS INTEGER) AS Year, CAST(month(Datetime) AS INTEGER) AS Month
+FROM obs WHERE year(Datetime) BETWEEN 1995 AND 1996 AND month(Datetime) BETWEEN 4 AND 6
 """
 
 ORACLE["api_pages"] = """
@@ -504,17 +511,24 @@ SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date, o_totalprice AS value
 FROM orders
 """
 
-ORACLE["stream_deviation_alerts"] = with_(LIVE, OBS_VALUES) + f"""
-, normals AS (
-  SELECT ClimateID, avg(MaxTempC) AS normal FROM obs WHERE {AS_OF_DAY} GROUP BY ClimateID
-)
+ORACLE["stream_deviation_alerts"] = with_(LIVE, OBS_VALUES, NORMALS) + f"""
+, days AS (
+  SELECT ClimateID, Datetime AS day, max(MaxTempC) AS v FROM obs GROUP BY ClimateID, Datetime)
+, texts AS (
+  SELECT r.City, r.day, '[' || string_agg(CAST(to_json(struct_pack(Datetime := d.day, MaxTempC := d.v)) AS VARCHAR), ', ' ORDER BY d.day) || ']' AS history
+  FROM (SELECT DISTINCT City, CAST(ObservationTime AS DATE) AS day FROM live) r
+  JOIN days d ON d.ClimateID = r.City AND month(d.day) = month(r.day) AND day(d.day) = day(r.day)
+            AND d.day <= r.day AND year(d.day) >= year(r.day) - 30
+  GROUP BY r.City, r.day)
 SELECT l.City, l.ObservationTime,
        CAST(CAST(l.Temperature AS DECIMAL(10,2)) AS DOUBLE) AS currentTemp,
-       CAST(to_json(struct_pack(ObservationTime := strftime(l.ObservationTime, '%Y-%m-%d %H:%M:%S'),
-                                Rain := l.Rain, Temperature := l.Temperature)) AS VARCHAR) AS text,
+       '{{"current": ' || CAST(to_json(struct_pack(ObservationTime := regexp_replace(strftime(l.ObservationTime, '%Y-%m-%d %H:%M:%S.%f'), '\\.?0*$', ''),
+                                Rain := l.Rain, Temperature := l.Temperature)) AS VARCHAR)
+         || ', "history": ' || coalesce(t.history, '[]') || '}}' AS text,
        1 AS go, {dbl('n.normal')} AS normal, {dbl('l.Temperature - n.normal')} AS deviation
-FROM live l JOIN normals n ON l.City = n.ClimateID
-WHERE abs(l.Temperature - n.normal) >= 5.0
+FROM live l LEFT JOIN normals n ON l.City = n.City AND CAST(l.ObservationTime AS DATE) = n.day
+LEFT JOIN texts t ON l.City = t.City AND CAST(l.ObservationTime AS DATE) = t.day
+WHERE n.normal IS NULL OR abs(l.Temperature - n.normal) >= 5.0
 """
 
 ORACLE["default_summary"] = with_(CLEAN_OBS, STATIONS) + """
@@ -526,24 +540,27 @@ GROUP BY s.Province, year(c.Datetime)
 """
 
 
-def hash32_sql(cols: list[str], seed: int) -> str:
+def hash60_sql(cols: list[str], seed: int) -> str:
     parts = ", ".join([f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols] + [f"'{seed}'"])
-    return f"CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 15)) AS BIGINT)"
 
 
 _SPLIT_KEY = ["ClimateID", "Datetime", "MaxTempC", "MinTempC", "Latitudey"]
 
 ORACLE["hash_split"] = with_(OBS_VALUES) + f"""
-SELECT *, CASE WHEN {hash32_sql(_SPLIT_KEY, 42)} % 100 < 80 THEN 'train' ELSE 'test' END AS split
+SELECT *, CASE WHEN {hash60_sql(_SPLIT_KEY, 1042)} % 100 < 80 THEN 'train' ELSE 'test' END AS split
 FROM obs
 """
 
 ORACLE["balanced_sample"] = with_(OBS_VALUES) + f"""
-, r AS (SELECT *, CASE WHEN TotalPrecipmm > 0 THEN 1 ELSE 0 END AS Rain FROM obs)
-, c AS (SELECT Rain, count(*) AS n FROM r GROUP BY Rain)
-, f AS (SELECT Rain, CAST((SELECT min(n) FROM c) AS DOUBLE) / n AS frac FROM c)
-SELECT r.* FROM r JOIN f ON r.Rain = f.Rain
-WHERE CAST({hash32_sql(_SPLIT_KEY, 42)} AS DOUBLE) / CAST(4294967296.0 AS DOUBLE) < f.frac
+, r AS (SELECT *, CASE WHEN TotalPrecipmm > 0 THEN 1 ELSE 0 END AS Rain, count(*) AS n FROM obs GROUP BY ALL)
+, c AS (SELECT Rain, sum(n) AS class_n FROM r GROUP BY Rain)
+, f AS (SELECT Rain, CAST((SELECT min(class_n) FROM c) AS DOUBLE) / class_n AS rate FROM c)
+, k AS (
+  SELECT r.*, CAST(floor(r.n * f.rate + CAST({hash60_sql(_SPLIT_KEY, 42)} AS DOUBLE) / CAST({1 << 60}.0 AS DOUBLE)) AS BIGINT) AS keep
+  FROM r JOIN f ON r.Rain = f.Rain)
+SELECT ClimateID, Datetime, Latitudey, MaxTempC, MinTempC, MeanTempC, TotalPrecipmm, Longitudex, Rain
+FROM (SELECT *, unnest(range(keep)) AS i FROM k WHERE keep > 0)
 """
 
 ORACLE["latest_rows"] = with_(LIVE) + """
@@ -587,3 +604,52 @@ SELECT CAST(year(date) AS INTEGER) AS year, {season_sql('date')} AS season,
        {dbl('sum(TotalPrecipmm_predicted)')} AS TotalPrecipmm_predicted
 FROM fc GROUP BY 1, 2
 """
+
+ORACLE["station_catalogue"] = """
+SELECT s_acctbal::VARCHAR AS elevation, NULL::VARCHAR AS mindate, NULL::VARCHAR AS maxdate, NULL::VARCHAR AS latitude,
+       s_name AS name, NULL::VARCHAR AS datacoverage, 'ST:' || s_suppkey AS id, NULL::VARCHAR AS "elevationUnit", NULL::VARCHAR AS longitude
+FROM supplier
+"""
+
+ORACLE["province_stations"] = with_(STATIONS) + "SELECT * FROM stations WHERE Province = 'CANADA'\n"
+
+_METRIC_SQL = {1: ("max", "MaxTempC"), 2: ("min", "MinTempC"), 3: ("sum", "TotalPrecipmm")}
+ORACLE["metric_axes"] = with_(OBS_VALUES, FORECAST) + """
+, rs AS (SELECT * FROM obs WHERE Datetime >= DATE '1996-01-01' AND Datetime <= DATE '1997-12-31')
+, fs AS (SELECT * FROM fc WHERE date >= DATE '2001-01-01' AND date <= DATE '2002-12-31')
+""" + "UNION ALL\n".join(
+    f"""SELECT {i} AS id, 'real' AS axis, Datetime AS day, {dbl(f'{agg}({c})')} AS metric, (SELECT {dbl(f'{agg}({c})')} FROM rs) AS axis_value
+FROM rs GROUP BY Datetime
+UNION ALL
+SELECT {i}, 'forecast', date, {dbl(f'{agg}({c}_predicted)')},
+       (SELECT {dbl(f'{agg}({c}_predicted)')} FROM fs WHERE date > (SELECT max(Datetime) FROM obs))
+FROM fs GROUP BY date
+""" for i, (agg, c) in _METRIC_SQL.items()
+)
+
+ORACLE["selected_title"] = """
+SELECT CAST(r_regionkey AS BIGINT) AS region,
+       CASE WHEN r_regionkey = 1 THEN 'MaxTempC' ELSE '' END || ' Real and Forecast by date' AS titletimeseries
+FROM region
+"""
+
+ORACLE["run_union"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS run_id,
+       CASE o_orderstatus WHEN 'F' THEN 'MaxTempC' WHEN 'O' THEN 'MinTempC' ELSE 'TotalPrecipmm' END AS target,
+       o_totalprice / 10000.0 AS "RMSE", 1.0 - CAST(o_custkey % 100 AS DOUBLE) / 100.0 AS "R2",
+       CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice / 20000.0 END AS "MAE"
+FROM orders WHERE o_orderpriority <> '5-LOW'
+"""
+
+_CUT_COLS = ["Rain_predicted", "MaxTempC_predicted", "MinTempC_predicted", "TotalPrecipmm_predicted", "PrecipitationM2_predicted"]
+ORACLE["forecast_stats_cut"] = with_(FORECAST) + "UNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS "count", {dbl(f'avg({c})')} AS mean, {dbl(f'stddev_samp({c})')} AS stddev,
+       {dbl(f'min({c})')} AS "min", {dbl(f'max({c})')} AS "max" FROM fc WHERE date < DATE '1999-01-01'
+""" for c in _CUT_COLS
+)
+
+ORACLE["forecast_stations"] = with_(STATIONS) + """
+SELECT Province, CAST(sum(n) AS BIGINT) AS n_days
+FROM (SELECT CAST(o_custkey % 120 AS VARCHAR) AS ClimateID, count(*) AS n FROM orders GROUP BY 1) f
+LEFT JOIN stations s USING (ClimateID) GROUP BY Province
+"""

@@ -95,19 +95,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def size_for_input(
-    spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 200_000
-) -> int:
+def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20) -> int:
     """Size shuffles for an input of ``input_bytes``.
 
     Sets ``spark.sql.shuffle.partitions`` so the largest shuffle (at most the
     input size) gets ~``partition_bytes`` per partition, with scan splits and
     AQE's advisory size matched to it; AQE then coalesces the smaller
-    shuffles.  100 TB at 256 MiB gives ~400,000 -> capped at
-    ``max_partitions`` (AQE splits skewed ones further).
+    shuffles.  100 TB at 256 MiB gives ~400,000; a larger ``partition_bytes``
+    gives fewer.
     """
     n = max(spark.sparkContext.defaultParallelism, -(-input_bytes // partition_bytes))
-    n = min(n, max_partitions)
     for key, value in {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
@@ -118,12 +115,45 @@ def size_for_input(
     return n
 
 
+def input_bytes(spark: SparkSession, root: str) -> int:
+    """Size of all files below ``root``, asked of the file system by Spark's own client."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def table_state(spark: SparkSession, root: str) -> tuple:
+    """Names, sizes and times of the files at ``root``: changes when the table does."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+
+
+def raise_shuffles(spark: SparkSession, root: str, partition_bytes: int = 256 << 20) -> int:
+    """At least one shuffle partition per ``partition_bytes`` of the tables at
+    ``root``; a larger setting of the session stays.  AQE coalesces what a
+    small stage doesn't need, but can't split an aggregate's partitions, so
+    the count must follow the input."""
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    need = -(-input_bytes(spark, root) // partition_bytes)
+    if need > now:
+        spark.conf.set("spark.sql.shuffle.partitions", str(need))
+    return max(now, need)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only if unset."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local session without one gets a private folder: on a cluster each
+    executor would write to its own disk, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stratus-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     elif spark.sparkContext.getCheckpointDir() is None:

@@ -8,40 +8,50 @@ parameter: Parquet by default; Delta works where its package is installed.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions.columns import col_of
 from stratus.operators.clean import drop_header_rows, retype, sanitize_columns
+from stratus.operators.sampling import concat_frames
 from stratus.schema import API_STATION, LIVE_JSON
 from stratus.sources.views import CSV_HEADERS
 
 
 # ------------------------------------------------------------------ sources
-def load_api_pages(spark: SparkSession, path: str | Iterable[str], multi_line: bool = True) -> DataFrame:
+API_PAGE = "results array<struct<date: string, value: double, station: string, datatype: string, attributes: string>>"
+
+
+def load_api_pages(spark: SparkSession, path: str | Iterable[str], multi_line: bool = True, schema: str = API_PAGE) -> DataFrame:
     """SRC1 + SRC2: landed API page documents ``{results: [...]}`` -> one row per
     result, with ``years``/``months`` from the ISO ``date``.  A page without
     ``results`` contributes nothing.  ``multi_line=False`` reads one page per
-    line (JSON Lines)."""
+    line (JSON Lines).  The stated ``schema`` saves an inference pass and keeps
+    types the same from batch to batch; a field a page lacks is NULL."""
     paths = [path] if isinstance(path, str) else list(path)
-    pages = spark.read.option("multiLine", str(multi_line).lower()).json(paths)
-    if "results" not in pages.columns:
-        return spark.createDataFrame([], "date string, value double, years int, months int")
-    rows = pages.select(F.explode("results").alias("r")).select("r.*")
-    return with_year_month(rows, "date")
+    pages = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(paths)
+    return with_year_month(pages.select(F.inline("results")), "date")
+
+
+def iso_day(text: Column) -> Column:
+    """Day of an ISO date or date-time text; NULL for anything else."""
+    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), day)
 
 
 def with_year_month(df: DataFrame, date_col: str = "date") -> DataFrame:
     """SRC2: ``years`` and ``months`` of an ISO date text."""
-    d = F.try_to_date(F.substring(F.col(date_col).cast("string"), 1, 10), "yyyy-MM-dd")
+    d = iso_day(F.col(date_col).cast("string"))
     return df.withColumns({"years": F.year(d), "months": F.month(d)})
 
 
-def load_station_catalogue(spark: SparkSession, path: str) -> DataFrame:
+def load_station_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """SRC3: station catalogue JSON with an explicit all-string schema."""
-    return spark.read.schema(API_STATION).option("multiLine", "true").json(path)
+    return spark.read.schema(API_STATION).option("multiLine", str(multi_line).lower()).json(path)
 
 
 NULL_MARK = "\\N"
@@ -49,21 +59,32 @@ NULL_MARK = "\\N"
 
 def load_daily_csv(spark: SparkSession, paths: str | Iterable[str], sanitize: bool = True,
                    null_value: str = NULL_MARK) -> DataFrame:
-    """SRC4 (+PRJ2): all daily climate CSV files in one scan, header row,
-    every column a string; names cleaned of symbols.
-
-    An empty field stays the empty string (as a CSV dictionary reader gives
-    it), so the blank rules of the cleaning step apply; only ``null_value``
-    text reads as NULL.
+    """SRC4 (+PRJ2): daily climate CSV files, header row, every column a
+    string; names cleaned of symbols.
+
+    Each file is read by its own header: files are grouped by their header
+    line, one scan per distinct header, and united by name; a column that a
+    file lacks is NULL there.  An empty field stays the empty string (as a CSV
+    dictionary reader gives it), so the blank rules of the cleaning step apply;
+    only ``null_value`` text reads as NULL.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = (
-        spark.read.option("header", "true")
-        .option("inferSchema", "false")
-        .option("nullValue", null_value)
-        .csv(paths)
-    )
-    return sanitize_columns(df) if sanitize else df
+    lines = spark.read.option("wholetext", "false").text(paths).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()  # file names, one list per header
+    frames = []
+    for group in sorted(groups, key=lambda g: g["header"]):
+        names = next(csv.reader([group["header"].lstrip("\ufeff")]))
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        files = [unquote(f) for f in sorted(group["files"])]
+        frames.append(spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").option("escape", '"').csv(files))
+    if not frames:
+        raise ValueError("no CSV files to read")
+    # Spark's reader gives NULL for an empty field
+    frames = [f.select(*[F.when(col_of(c) == null_value, None).otherwise(F.coalesce(col_of(c), F.lit(""))).alias(c) for c in f.columns]) for f in frames]
+    if sanitize:
+        frames = [sanitize_columns(f) for f in frames]
+    return concat_frames(frames)
 
 
 def load_partitioned(
@@ -89,13 +110,11 @@ def flatten_live(df: DataFrame) -> DataFrame:
     """SRC8: nested current-weather documents -> the nine live columns.
 
     First ``weather`` element gives the description; a missing ``rain.1h``
-    gives 0.
+    gives 0.  The time is ``observed_at``, or ``dt`` (epoch seconds) where that
+    is absent or no time; NULL where neither is.
     """
-    rain = F.col("rain").getField("1h") if "rain" in df.columns else F.lit(None)
-    if "observed_at" in df.columns:
-        obs_time = F.to_timestamp_ntz(F.col("observed_at"))
-    else:
-        obs_time = F.to_timestamp_ntz(F.from_unixtime(F.col("dt")))
+    seconds = F.timestamp_seconds("dt")
+    utc = F.to_utc_timestamp(seconds, F.current_timezone()).cast("timestamp_ntz")
     return df.select(
         F.col("name").alias("City"),
         F.col("main.temp").cast("double").alias("Temperature"),
@@ -104,8 +123,8 @@ def flatten_live(df: DataFrame) -> DataFrame:
         F.col("main.humidity").cast("long").alias("Humidity"),
         F.col("main.pressure").cast("long").alias("Pressure"),
         F.get(F.col("weather"), 0).getField("description").alias("Description"),
-        obs_time.alias("ObservationTime"),
-        F.coalesce(rain.cast("double"), F.lit(0.0)).alias("Rain"),
+        F.coalesce(F.col("observed_at").try_cast("timestamp_ntz"), utc).alias("ObservationTime"),
+        F.coalesce(F.col("rain").getField("1h").cast("double"), F.lit(0.0)).alias("Rain"),
     )
 
 
@@ -114,12 +133,17 @@ def load_live_json(spark: SparkSession, path: str) -> DataFrame:
     return flatten_live(spark.read.schema(LIVE_JSON).json(path))
 
 
-def load_headerless_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC9: CSV read with ``header=False``; columns are ``_c0``.."""
-    return spark.read.option("header", "false").csv(path)
+def load_headerless_csv(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """SRC9: CSV read with ``header=False``; columns are ``_c0``.. (of ``width``, or of Spark's first file)."""
+    reader = spark.read.option("header", "false")
+    if width:
+        reader = reader.schema(", ".join(f"_c{i} string" for i in range(width)))
+    return reader.csv(path)
 
 
-CSV_NAMES = ["Date", "Max Temp", "Min Temp", "Heat Deg Days", "Total Precip (mm)", "Station"]
+# Places of the used columns in the external file, from 0 (fixed values).
+CSV_PLACES = {"Station": 2, "Date": 4, "Max Temp": 9, "Min Temp": 11, "Heat Deg Days": 15, "Total Precip (mm)": 23}
+CSV_WIDTH = 26
 CSV_TYPES = {
     "Date": "date",
     "Max Temp": "double",
@@ -130,19 +154,20 @@ CSV_TYPES = {
 
 
 def clean_headerless_csv(df: DataFrame) -> DataFrame:
-    """SRC9 + FLT7 + PRJ3 + PRJ12: drop repeated header lines (NULLs kept),
-    name the positional columns, type them (bad text -> NULL)."""
-    kept = drop_header_rows(df, {"_c0": CSV_HEADERS[0]})
-    named = kept.select([col_of(f"_c{i}").alias(n) for i, n in enumerate(CSV_NAMES)])
+    """SRC9 + FLT7 + PRJ3 + PRJ12: drop repeated header lines (those whose
+    precipitation column holds its header; NULLs kept), name the positional
+    columns, type them (bad text -> NULL)."""
+    precip = CSV_PLACES["Total Precip (mm)"]
+    kept = drop_header_rows(df, {f"_c{precip}": CSV_HEADERS[precip]})
+    named = kept.select([col_of(f"_c{i}").alias(n) for n, i in CSV_PLACES.items()])
     return retype(named, CSV_TYPES)
 
 
-def land_csv(df: DataFrame, path: str, files: int = 4, null_value: str = NULL_MARK) -> str:
-    """Write rows as header CSV files exactly (blanks and spaces kept, NULL as ``null_value``)."""
+def land_csv(df: DataFrame, path: str, null_value: str = NULL_MARK, header: bool = True, mode: str = "overwrite") -> str:
+    """Write rows as CSV files exactly (blanks and spaces kept, NULL as ``null_value``), one per task."""
     (
-        df.repartition(files)
-        .write.mode("overwrite")
-        .option("header", "true")
+        df.write.mode(mode)
+        .option("header", str(header).lower())
         .option("nullValue", null_value)
         .option("ignoreLeadingWhiteSpace", "false")
         .option("ignoreTrailingWhiteSpace", "false")
@@ -174,18 +199,16 @@ def sample_rows(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 # -------------------------------------------------------------------- sinks
-def append_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", spread: int = 8) -> None:
+def append_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
     """SNK1 / SNK2: append, partitioned by ``by``.
 
-    Rows are clustered by the partition columns plus a hash salt of
-    ``spread`` values: each folder is written by at most ``spread`` tasks
-    (few files, no small-file explosion), and a hot folder (one month with a
-    third of the rows) is still split over ``spread`` tasks.
+    ``REBALANCE`` clusters rows by the partition columns and lets AQE split a
+    hot folder over as many tasks as its size asks for and merge small ones:
+    few files per folder, no bound on a folder's writers.
     ``maxRecordsPerFile`` bounds file size in place of optimize-write bins.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread))
     (
-        df.repartition(*[F.col(c) for c in by], salt)
+        df.hint("rebalance", *[F.col(c) for c in by])
         .write.format(fmt)
         .mode("append")
         .option("maxRecordsPerFile", 5_000_000)

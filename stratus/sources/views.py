@@ -147,30 +147,27 @@ def external_station_rows(lineitem: DataFrame) -> DataFrame:
     )
 
 
-# Header texts of the external daily CSV (fixed values).
-CSV_HEADERS = ["Date", "Max Temp (°C)", "Min Temp (°C)", "Heat Deg Days (°C)", "Total Precip (mm)", "Station Name"]
+# Header texts of the external daily CSV, the used ones at their places (fixed values).
+CSV_HEADERS = [f"Column {i}" for i in range(26)]
+for _place, _text in {2: "Station Name", 4: "Date", 9: "Max Temp (°C)", 11: "Min Temp (°C)", 15: "Heat Deg Days (°C)", 23: "Total Precip (mm)"}.items():
+    CSV_HEADERS[_place] = _text
 
 
 def headerless_csv_rows(part: DataFrame) -> DataFrame:
-    """A header-polluted CSV read with ``header=False`` (positional ``_c0``..``_c5``).
+    """Rows of a header-polluted 26-column external CSV (positional ``_c0``..``_c25``).
 
     Parts of size 1 stand for repeated header lines (each column holds its
     header text); brand ``Brand#11`` rows carry ``M`` (missing) precipitation.
     """
     is_header = F.col("p_size") == 1
-    values = [
-        F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_partkey").cast("int")).cast("string"),
-        F.col("p_size").cast("string"),
-        (F.col("p_size") - F.lit(10)).cast("string"),
-        F.floor(F.col("p_retailprice") / F.lit(100.0)).cast("string"),
-        F.when(F.col("p_brand") == "Brand#11", F.lit("M")).otherwise(
-            (F.pmod(F.col("p_partkey"), F.lit(40)).cast("double") / F.lit(4.0)).cast("string")
-        ),
-        F.col("p_brand"),
-    ]
+    used = {
+        2: F.col("p_brand"),
+        4: F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_partkey").cast("int")).cast("string"),
+        9: F.col("p_size").cast("string"),
+        11: (F.col("p_size") - F.lit(10)).cast("string"),
+        15: F.floor(F.col("p_retailprice") / F.lit(100.0)).cast("string"),
+        23: F.when(F.col("p_brand") == "Brand#11", F.lit("M")).otherwise((F.pmod(F.col("p_partkey"), F.lit(40)).cast("double") / F.lit(4.0)).cast("string")),
+    }
     return part.select(
-        *[
-            F.when(is_header, F.lit(h)).otherwise(v).alias(f"_c{i}")
-            for i, (h, v) in enumerate(zip(CSV_HEADERS, values))
-        ]
+        *[F.when(is_header, F.lit(h)).otherwise(used.get(i, F.lit(str(i)))).alias(f"_c{i}") for i, h in enumerate(CSV_HEADERS)]
     )

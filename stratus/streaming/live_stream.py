@@ -5,13 +5,13 @@
   file count once.
 * STR2 ``latest_state_stream``: latest reading per city kept as streaming
   state (one ``max(struct(time, ...))`` per city: state bounded by the
-  number of cities, so no watermark is needed); each trigger rewrites the
-  small latest table.
+  number of cities, so no watermark is needed); each trigger merges the
+  changed cities into a new version of the table.
 * STR3-5 ``alert_stream``: per micro-batch, absolute or deviation alerts
   appended to an alert table partitioned by batch id; a replayed batch
   overwrites its own partition instead of adding duplicates (idempotent
-  ``foreachBatch``).  Deviation normals are computed once per start and
-  checkpointed, not re-derived from the history for every micro-batch.
+  ``foreachBatch``).  The history is summed to station days once per start
+  and checkpointed, not read again for every micro-batch.
 * SNK7: the sink is a ``format`` parameter of ``foreachBatch`` writers.
 
 Landing helpers write the driver's ``events`` table as nested live JSON
@@ -47,27 +47,27 @@ def events_as_documents(events: DataFrame) -> DataFrame:
     )
 
 
-def land_documents(docs: DataFrame, folder: str, files: int = 4, mode: str = "overwrite") -> str:
-    """Write documents as JSON files (several files -> several micro-batches);
+def land_documents(docs: DataFrame, folder: str, files: int | None = None, mode: str = "overwrite") -> str:
+    """Write documents as JSON files, one per task (``files`` tasks if given);
     ``mode="append"`` adds new files next to already-landed ones."""
-    docs.repartition(files).write.mode(mode).json(folder)
+    (docs.repartition(files) if files else docs).write.mode(mode).json(folder)
     return folder
 
 
-def read_live_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    """STR1 source: JSON snapshot files with a fixed schema, flattened."""
-    raw = (
-        spark.readStream.schema(LIVE_JSON)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(folder)
-    )
-    return flatten_live(raw)
+def read_live_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """STR1 source: JSON snapshot files with a fixed schema, flattened.
+    ``files_per_trigger`` bounds a micro-batch; by default a trigger takes all new files."""
+    raw = spark.readStream.schema(LIVE_JSON)
+    if files_per_trigger:
+        raw = raw.option("maxFilesPerTrigger", files_per_trigger)
+    return flatten_live(raw.json(folder))
 
 
-def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, fmt: str = "parquet"):
+def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, fmt: str = "parquet",
+                  files_per_trigger: int | None = None):
     """STR1 + SNK7: append flattened readings to ``target`` until the landed files are consumed."""
     q = (
-        read_live_stream(spark, source)
+        read_live_stream(spark, source, files_per_trigger)
         .writeStream.format(fmt)
         .option("checkpointLocation", checkpoint)
         .option("path", target)
@@ -79,15 +79,30 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
     return q
 
 
-def latest_state_stream(spark: SparkSession, source: str, target: str, checkpoint: str, fmt: str = "parquet"):
-    """STR2: per-city latest reading as streaming state; each trigger writes the table."""
-    state = L.latest_per_city(read_live_stream(spark, source))
+def latest_state_stream(spark: SparkSession, source: str, target: str, checkpoint: str, fmt: str = "parquet",
+                        files_per_trigger: int | None = None):
+    """STR2: per-city latest reading as streaming state, in update mode.
+
+    Each trigger merges the changed cities with the last version of the table
+    and writes version ``batch_id`` beside it; readers take the newest whole
+    version (``read_latest``), so there is always one to read, and a replayed
+    batch writes its own version again.  The version before the last is kept
+    for readers under way, older ones are deleted.
+    """
+    state = L.latest_per_city(read_live_stream(spark, source, files_per_trigger))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.format(fmt).mode("overwrite").save(target)
+        known = [v for v in versions(spark, target) if v < batch_id]
+        out = batch
+        if known:
+            old = spark.read.format(fmt).load(f"{target}/v={known[-1]}")
+            out = old.join(batch, old["City"].eqNullSafe(batch["City"]), "left_anti").unionByName(batch)
+        out.write.format(fmt).mode("overwrite").save(f"{target}/v={batch_id}")
+        for v in known[:-1]:
+            _path(spark, target)[1].delete(_path(spark, f"{target}/v={v}")[0], True)
 
     q = (
-        state.writeStream.outputMode("complete")
+        state.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -97,31 +112,64 @@ def latest_state_stream(spark: SparkSession, source: str, target: str, checkpoin
     return q
 
 
-def alert_batches(batch: DataFrame, threshold: float, normals: DataFrame | None) -> DataFrame:
-    """STR3-5 on one micro-batch: absolute (no normals) or deviation alerts."""
-    if normals is None:
+def _path(spark: SparkSession, text: str):
+    """Hadoop path of ``text`` and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """Whole versions below ``target`` (those whose writer has committed), ascending."""
+    path, fs = _path(spark, target)
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_path(spark, f"{target}/{n}/_SUCCESS")[0]))
+
+
+def read_latest(spark: SparkSession, target: str, fmt: str = "parquet") -> DataFrame:
+    """The newest whole version written by ``latest_state_stream``."""
+    return spark.read.format(fmt).load(f"{target}/v={versions(spark, target)[-1]}")
+
+
+def alert_batches(batch: DataFrame, threshold: float, days: DataFrame | None, years: int = 10) -> DataFrame:
+    """STR3-5 on one micro-batch: absolute (no station days) or deviation alerts."""
+    if days is None:
         return L.alert_records(L.absolute_alert(batch, threshold))
-    return L.alert_records(L.deviation_from_normals(batch, normals, threshold), extra=["normal", "deviation"])
+    return L.alert_records(L.deviation_from_days(batch, days, threshold, years), extra=["normal", "deviation"])
+
+
+def alert_schema(deviation: bool) -> str:
+    """Columns of the alert table, so that it can be read before any alert was written."""
+    base = "City string, ObservationTime timestamp_ntz, currentTemp decimal(10,2), text string, go int"
+    return base + (", normal double, deviation double" if deviation else "") + ", audit timestamp, batch_id bigint"
+
+
+def read_alerts(spark: SparkSession, target: str, deviation: bool = False, fmt: str = "parquet") -> DataFrame:
+    """The alert table; empty where no alert was written."""
+    path, fs = _path(spark, target)
+    if not fs.exists(path):
+        return spark.createDataFrame([], alert_schema(deviation))
+    return spark.read.format(fmt).schema(alert_schema(deviation)).load(target)
 
 
 def alert_stream(
     spark: SparkSession, source: str, target: str, checkpoint: str, threshold: float = 5.0,
-    history: DataFrame | None = None, as_of: str | None = None, fmt: str = "parquet", years: int = 10,
+    history: DataFrame | None = None, fmt: str = "parquet", years: int = 10, files_per_trigger: int | None = None,
 ):
-    """STR3-STR5 + SNK7: alerts appended per micro-batch, idempotent by batch id.
+    """STR3-STR5 + SNK7: alerts appended per micro-batch with their audit time, idempotent by batch id.
 
-    In deviation mode the same-day normals (one row per station) are
-    computed once when the stream starts and checkpointed to the shared
-    folder: a stream-static join would otherwise re-read the whole history
-    for every micro-batch.
+    In deviation mode the history is summed to station days once, when the
+    stream starts, and checkpointed to the shared folder: a stream-static join
+    would otherwise re-read the whole history for every micro-batch.
     """
-    normals = None
+    days = None
     if history is not None:
         checkpoint_root(spark)
-        normals = L.day_normals(history, as_of, years).select("ClimateID", "normal").checkpoint(eager=True)
+        days = L.station_days(history).checkpoint(eager=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = alert_batches(batch, threshold, normals).withColumn("batch_id", F.lit(batch_id))
+        out = alert_batches(batch, threshold, days, years).withColumns({"audit": F.current_timestamp(), "batch_id": F.lit(batch_id)})
         (
             out.write.format(fmt)
             .mode("overwrite")
@@ -131,7 +179,7 @@ def alert_stream(
         )
 
     q = (
-        read_live_stream(spark, source)
+        read_live_stream(spark, source, files_per_trigger)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

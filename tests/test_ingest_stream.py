@@ -76,7 +76,7 @@ def test_stream_equals_batch_and_restart(spark, tmp_path):
     events = read_table(spark, SF_SMALL, "events")
     landing, table, ckpt = (str(tmp_path / k) for k in ("landing", "table", "ckpt"))
     LS.land_documents(LS.events_as_documents(events), landing, files=3)
-    LS.ingest_stream(spark, landing, table, ckpt)
+    LS.ingest_stream(spark, landing, table, ckpt, files_per_trigger=1)
     from stratus.sources.views import live_readings
 
     batch = live_readings(events)
@@ -88,8 +88,9 @@ def test_stream_equals_batch_and_restart(spark, tmp_path):
     assert spark.read.parquet(table).count() == batch.count()
     # per-city state equals the batch operator
     state, sckpt = str(tmp_path / "state"), str(tmp_path / "sckpt")
-    LS.latest_state_stream(spark, landing, state, sckpt)
-    latest = spark.read.parquet(state)
+    LS.latest_state_stream(spark, landing, state, sckpt, files_per_trigger=1)
+    latest = LS.read_latest(spark, state)
+    assert 1 <= len(LS.versions(spark, state)) <= 2
     expect = L.latest_per_city(batch)
     assert latest.exceptAll(expect.select(*latest.columns)).count() == 0
     assert latest.count() == expect.count()
@@ -127,8 +128,13 @@ def test_latest_state_survives_restart(spark, tmp_path):
     LS.land_documents(LS.events_as_documents(events.filter(F.col("event_id") <= cut)), landing, files=2)
     LS.latest_state_stream(spark, landing, state, ckpt)
     LS.land_documents(LS.events_as_documents(events.filter(F.col("event_id") > cut)), landing, files=2, mode="append")
+    before = LS.read_latest(spark, state)
+    n = before.count()
+    os.makedirs(f"{state}/v=77")  # a version whose writer was killed before it committed
+    assert LS.read_latest(spark, state).count() == n
     LS.latest_state_stream(spark, landing, state, ckpt)  # restart: state comes from the checkpoint
-    latest = spark.read.parquet(state)
+    assert before.count() == n  # a reader under way still has its version
+    latest = LS.read_latest(spark, state)
     expect = L.latest_per_city(live_readings(events))
     assert latest.count() == expect.count()
     assert latest.exceptAll(expect.select(*latest.columns)).count() == 0
@@ -141,11 +147,12 @@ def test_deviation_alert_stream_equals_batch(spark, tmp_path):
     hist = observation_values(read_table(spark, SF_SMALL, "lineitem"))
     landing, out, ckpt = (str(tmp_path / k) for k in ("landing", "alerts", "ckpt"))
     LS.land_documents(LS.events_as_documents(events), landing, files=3)
-    LS.alert_stream(spark, landing, out, ckpt, 5.0, history=hist, as_of="2001-06-15")
-    streamed = spark.read.parquet(out).drop("batch_id")
+    LS.alert_stream(spark, landing, out, ckpt, 5.0, history=hist, years=30, files_per_trigger=1)
+    streamed = LS.read_alerts(spark, out, deviation=True).drop("batch_id", "audit")
     batch = L.alert_records(
-        L.deviation_alert(live_readings(events), hist, "2001-06-15", 5.0), extra=["normal", "deviation"]
+        L.deviation_alert(live_readings(events), hist, 5.0, years=30), extra=["normal", "deviation"]
     )
+    assert batch.filter("normal is not null").count() > 0
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
 
@@ -163,18 +170,52 @@ def test_api_pages_are_bounded(spark, tmp_path):
 
 
 def test_hot_partition_folder_is_spread(spark, tmp_path):
-    """A hot folder is written by up to ``spread`` tasks.  AQE would merge the
-    salted pieces of this tiny input into one (each is far below the advisory
-    size, as a real hot folder is not), so coalescing is off for the check."""
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    """A folder larger than the advisory size is written by several tasks."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     old = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, "64k")
     try:
-        df = spark.range(20000).select(F.lit(2001).alias("Year"), F.col("id"))  # one hot folder
+        df = spark.range(0, 200000, 1, 6).select(F.lit(2001).alias("Year"), F.col("id"))  # one hot folder
         out = str(tmp_path / "hot")
-        ingest.append_partitioned(df, out, ["Year"], spread=4)
+        ingest.append_partitioned(df, out, ["Year"])
     finally:
         spark.conf.set(key, old)
     files = [f for f in os.listdir(os.path.join(out, "Year=2001")) if f.endswith(".parquet")]
-    assert 1 < len(files) <= 4
-    assert spark.read.parquet(out).count() == 20000
+    assert len(files) > 2
+    assert spark.read.parquet(out).count() == 200000
+
+
+def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Climate ID,Max Temp (°C),Min Temp (°C)\n1,10,"a, b"\n')
+    (tmp_path / "b c.csv").write_text("Min Temp (°C),Max Temp (°C),Climate ID,Extra\n-5,20,2,e\n")
+    (tmp_path / "d.csv").write_text("Climate ID,Max Temp (°C),Min Temp (°C)\n3,30,\n")
+    got = {r.ClimateID: r for r in ingest.load_daily_csv(spark, str(tmp_path)).collect()}
+    assert (got["1"].MaxTempC, got["1"].MinTempC, got["1"].Extra) == ("10", "a, b", None)
+    assert (got["2"].MaxTempC, got["2"].MinTempC, got["2"].Extra) == ("20", "-5", "e")
+    assert (got["3"].MaxTempC, got["3"].MinTempC) == ("30", "")
+
+
+def test_live_time_from_epoch_seconds_and_bad_text(spark, tmp_path):
+    docs = [{"name": "A", "dt": 1704103200}, {"name": "B", "observed_at": "no time", "dt": 1704103200}, {"name": "C", "observed_at": "no time"}, {"name": "D", "observed_at": "2024-01-01 10:00:00.5"}]
+    (tmp_path / "l.json").write_text("\n".join(json.dumps(d) for d in docs))
+    got = {r.City: str(r.ObservationTime) for r in ingest.load_live_json(spark, str(tmp_path / "l.json")).collect()}
+    assert got == {"A": "2024-01-01 10:00:00", "B": "2024-01-01 10:00:00", "C": "None", "D": "2024-01-01 10:00:00.500000"}
+
+
+def test_alerts_can_be_read_when_there_are_none(spark, tmp_path):
+    events = read_table(spark, SF_SMALL, "events")
+    landing, out, ckpt = (str(tmp_path / k) for k in ("landing", "alerts", "ckpt"))
+    LS.land_documents(LS.events_as_documents(events), landing)
+    LS.alert_stream(spark, landing, out, ckpt, 1e9)
+    assert LS.read_alerts(spark, out).count() == 0
+    assert LS.read_alerts(spark, str(tmp_path / "nothing"), deviation=True).count() == 0
+
+
+def test_deviation_uses_the_reading_s_own_day(spark):
+    import datetime as dt
+
+    hist = spark.createDataFrame([("S", dt.date(2020, 1, 10), -30.0), ("S", dt.date(2021, 1, 10), -28.0), ("S", dt.date(2020, 6, 15), 25.0), ("S", dt.date(2005, 1, 10), 99.0)], "ClimateID string, Datetime date, MaxTempC double")
+    rows = [("S", dt.datetime(2023, 1, 10, 8), -29.0), ("S", dt.datetime(2023, 6, 15, 8), 10.0), ("T", dt.datetime(2023, 1, 10), 0.0)]
+    current = spark.createDataFrame(rows, "City string, ObservationTime timestamp_ntz, Temperature double")
+    got = {(r.City, r.ObservationTime.month): (r.normal, r.deviation) for r in L.deviation_alert(current, hist, 5.0).collect()}
+    assert got == {("S", 6): (25.0, -15.0), ("T", 1): (None, None)}

@@ -75,10 +75,11 @@ def test_history_json_sorted_and_empty(spark):
 
 
 def test_deviation_alert(spark):
-    h = hist(spark, [("a", dt.date(2000, 6, 15), 10.0, 0.0), ("a", dt.date(1999, 6, 15), 12.0, 0.0)])
+    h = hist(spark, [("a", dt.date(2000, 1, 1), 10.0, 0.0), ("a", dt.date(1999, 1, 1), 12.0, 0.0)])
     cur = readings(spark, [r("a", T1, 20.0), r("b", T1, 30.0)])
-    out = L.deviation_alert(cur, h, "2001-06-15", 5.0).collect()
-    assert len(out) == 1 and out[0].normal == 11.0 and out[0].deviation == 9.0
+    out = {x.City: x for x in L.deviation_alert(cur, h, 5.0, years=30).collect()}
+    assert out["a"].normal == 11.0 and out["a"].deviation == 9.0
+    assert out["b"].normal is None  # no history: reported, not dropped
 
 
 def test_measures_text_and_axis(spark):

@@ -27,7 +27,7 @@ def test_isolation_forest_flags_planted_outliers(spark):
     rows = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(3000)]
     rows += [(10_000 + i, 12.0 + i, -12.0, 15.0) for i in range(5)]
     df = spark.createDataFrame(rows, "k long, a double, b double, c double")
-    scored = isolation.isolation_forest(df, ["a", "b", "c"], ["k"], n_trees=100, seed=0)
+    scored = isolation.isolation_forest(df, ["a", "b", "c"], n_trees=100, seed=0)
     out = {r.k: r for r in scored.collect()}
     assert len(out) == 3005
     assert all(out[10_000 + i].anomaly_score == -1 for i in range(5))
@@ -40,9 +40,19 @@ def test_isolation_forest_flags_planted_outliers(spark):
     assert sum(counts.values()) == 3005
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_samples_stay_bounded_when_a_third_of_the_rows_are_equal(spark, seed):
+    df = spark.range(60_000).select(F.when(F.col("id") < 20_000, F.lit(1.0)).otherwise(F.col("id").cast("double")).alias("a"))
+    sizes = [r["count"] for r in isolation.tree_sample(df, 60_000, 100, 256, seed).groupBy("tree_id").count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 2 * 256 and 25_600 * 0.9 < sum(sizes) < 25_600 * 1.1
+    small = df.filter("a > 1").limit(150)
+    again = [r["count"] for r in isolation.tree_sample(small, 150, 100, 150, seed).groupBy("tree_id").count().collect()]
+    assert again == [150] * 100
+
+
 def test_isolation_null_features_not_dropped(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0), (4, 1.5)], "k long, a double")
-    out = {r.k: r.anomaly_score for r in isolation.isolation_forest(df, ["a"], ["k"], n_trees=10).collect()}
+    out = {r.k: r.anomaly_score for r in isolation.isolation_forest(df, ["a"], n_trees=10).collect()}
     assert len(out) == 4 and out[2] is None
 
 

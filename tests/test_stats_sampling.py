@@ -57,6 +57,16 @@ def test_balance_classes_hash_split_stable(spark):
     assert a1 == a2 and 1500 < a1 < 1700
 
 
+def test_balance_classes_with_repeated_rows_and_no_label(spark):
+    """27,000 rows of one class share 5 keys; 3,000 rows of the other; some have no label."""
+    df = spark.range(30_100).select(
+        F.when(F.col("id") < 27_000, F.col("id") % 5).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") < 27_000, 0).when(F.col("id") < 30_000, 1).alias("label"),
+    )
+    counts = {r.label: r["count"] for r in S.balance_classes(df, "label", ["k"], 42).groupBy("label").count().collect()}
+    assert counts[1] == 3000 and 2700 <= counts[0] <= 3300 and counts[None] == 100
+
+
 def test_half_split_subtract_union(spark):
     days = spark.createDataFrame([(dt.date(2000, 1, d),) for d in range(1, 11)], "d date")
     h = {r.half: r["count"] for r in S.half_split(days, "d").groupBy("half").count().collect()}
@@ -88,7 +98,7 @@ def test_size_for_input(spark):
 
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        assert size_for_input(spark, 100 << 40) == 200_000
+        assert size_for_input(spark, 100 << 40) == 409_600
         assert size_for_input(spark, 10 << 30) == 40
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 << 20)
         assert size_for_input(spark, 1 << 20) == spark.sparkContext.defaultParallelism
