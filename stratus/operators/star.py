@@ -13,34 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.functions.columns import rain_flag, season
-
-# Default aggregation of each warehouse column (fixed values, "none" columns
-# are grouping keys or descriptive text and are not aggregated).
-DEFAULT_AGGREGATION = {
-    "MaxTempC": "sum",
-    "MinTempC": "sum",
-    "MeanTempC": "sum",
-    "TotalPrecipmm": "sum",
-    "Rain_predicted": "sum",
-    "MaxTempC_predicted": "sum",
-    "MinTempC_predicted": "sum",
-    "TotalPrecipmm_predicted": "sum",
-    "Precipitation_predicted_fbp": "sum",
-    "Temperature": "sum",
-    "TemperatureMin": "sum",
-    "TemperatureMax": "sum",
-    "Humidity": "sum",
-    "Pressure": "sum",
-    "Rain": "sum",
-    "year": "none",
-    "month": "none",
-    "day": "none",
-    "ClimateID": "none",
-    "Name": "none",
-    "Province": "none",
-    "Description": "none",
-    "season": "none",
+from stratus.functions.columns import col_of, rain_flag, season
+
+# Columns summed by default in each table of the model (fixed values); all other columns are not aggregated.
+DEFAULT_SUMS = {
+    "forecast": ["Rain_predicted", "MaxTempC_predicted", "MinTempC_predicted", "TotalPrecipmm_predicted", "Precipitation_predicted_fbp"],
+    "history": ["MaxTempC", "MinTempC", "MeanTempC", "TotalPrecipmm"],
+    "live": ["Temperature", "TemperatureMin", "TemperatureMax", "Humidity", "Pressure", "Rain"],
+    "station": [],
+    "date": ["year", "month", "day"],
+    "metric": ["id"],
+    "external": ["Max Temp", "Min Temp", "Heat Deg Days", "Total Precip (mm)"],
+    "anomalies": ["currentTemp"],
 }
 
 
@@ -72,14 +56,9 @@ def star_history(obs: DataFrame, stations: DataFrame, dates: DataFrame) -> DataF
     return with_station.join(dates, with_station["Datetime"] == dates["date"], "left").drop("date")
 
 
-def summarize(df: DataFrame, by: list[str], aggregation: dict[str, str] | None = None) -> DataFrame:
-    """AGG10: aggregate each column by its default aggregation, grouped by ``by``."""
-    aggregation = aggregation or DEFAULT_AGGREGATION
-    exprs = [
-        F.sum(c).alias(c)
-        for c in df.columns
-        if c not in by and aggregation.get(c) == "sum"
-    ]
+def summarize(df: DataFrame, by: list[str], table: str) -> DataFrame:
+    """AGG10: the columns that ``table`` of the model sums by default, grouped by ``by``."""
+    exprs = [F.sum(col_of(c)).alias(c) for c in DEFAULT_SUMS[table] if c in df.columns and c not in by]
     return df.groupBy(*by).agg(*exprs)
 
 

@@ -697,9 +697,9 @@ def default_summary(spark: SparkSession, root: str) -> DataFrame:
     obs = I.clean_obs(spark, root).select(
         "ClimateID", F.year("Datetime").alias("year"), "MaxTempC", "MinTempC", "MeanTempC", "TotalPrecipmm"
     )
-    per_station = star.summarize(obs, ["ClimateID", "year"])
+    per_station = star.summarize(obs, ["ClimateID", "year"], "history")
     j = star.join_dimension(per_station, I.stations(spark, root).select("ClimateID", "Province"), "ClimateID")
-    return star.summarize(j.drop("ClimateID"), ["Province", "year"]).transform(decimals_to_double)
+    return star.summarize(j.drop("ClimateID"), ["Province", "year"], "history").transform(decimals_to_double)
 
 
 @query("latest_rows")
@@ -775,7 +775,7 @@ def forecast_star(spark: SparkSession, root: str) -> DataFrame:
         F.col("date").alias("_day"), "year", "season"
     )
     j = fc.join(dates, fc["date"] == dates["_day"], "left").drop("_day", "date")
-    return star.summarize(j, ["year", "season"]).transform(_round)
+    return star.summarize(j, ["year", "season"], "forecast").transform(_round)
 
 
 # ------------------------------------------------- operators one by one
@@ -860,3 +860,21 @@ def forecast_stations(spark: SparkSession, root: str) -> DataFrame:
     per_station = orders.groupBy(F.pmod(F.col("o_custkey"), F.lit(120)).cast("string").alias("ClimateID")).agg(F.count(F.lit(1)).alias("n"))
     j = star.join_dimension(per_station, I.stations(spark, root), "ClimateID")
     return j.groupBy("Province").agg(F.sum("n").alias("n_days"))
+
+
+@query("model_default_sums")
+def model_default_sums(spark: SparkSession, root: str) -> DataFrame:
+    """AGG10 table by table: default sums of the live fact per city, of the date
+    dimension per season and of the external CSV per station, in one long table."""
+    from stratus.ml.features import calendar_for
+
+    dates = star.date_dimension(calendar_for(I.obs_values(spark, root), "Datetime"))
+    parts = [("live", I.live(spark, root), "City"), ("date", dates, "season"), ("external", _external_csv(spark, root), "Station")]
+    out = None
+    for name, frame, by in parts:
+        sums = star.summarize(frame, [by], name)
+        names = [c for c in sums.columns if c != by]
+        sums = sums.select(F.col(by).alias("key"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
+        rows = sums.unpivot("key", [F.col(f"`{c}`") for c in names], "column", "total").select(F.lit(name).alias("table"), "key", "column", "total")
+        out = rows if out is None else out.unionByName(rows)
+    return out.transform(_round)

@@ -653,3 +653,16 @@ SELECT Province, CAST(sum(n) AS BIGINT) AS n_days
 FROM (SELECT CAST(o_custkey % 120 AS VARCHAR) AS ClimateID, count(*) AS n FROM orders GROUP BY 1) f
 LEFT JOIN stations s USING (ClimateID) GROUP BY Province
 """
+
+ORACLE["model_default_sums"] = with_(LIVE, OBS_VALUES, EXTERNAL) + """
+, cal AS (
+  SELECT CAST(unnest(generate_series(CAST((SELECT min(Datetime) FROM obs) AS TIMESTAMP),
+                                     CAST((SELECT max(Datetime) FROM obs) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d)
+""" + "UNION ALL\n".join(
+    f"""SELECT '{t}' AS "table", {key} AS key, '{name}' AS "column", {dbl(f'sum({expr})')} AS total FROM {src} GROUP BY {key}
+""" for t, src, key, cols in (
+        ("live", "live", "City", [(c, c) for c in ("Temperature", "TemperatureMin", "TemperatureMax", "Humidity", "Pressure", "Rain")]),
+        ("date", "cal", season_sql("d"), [("year", "year(d)"), ("month", "month(d)"), ("day", "day(d)")]),
+        ("external", "external", '"Station"', [(c, f'"{c}"') for c in ("Max Temp", "Min Temp", "Heat Deg Days", "Total Precip (mm)")]),
+    ) for name, expr in cols
+)
