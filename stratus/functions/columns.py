@@ -74,12 +74,3 @@ def json_array(json_rows: Column) -> Column:
     return F.concat(
         F.lit("["), F.concat_ws(", ", F.array_sort(F.collect_list(json_rows))), F.lit("]")
     )
-
-
-def metric_for(metric_id: Column) -> Column:
-    """Name of the metric selected by a Metric_Param id (1, 2, 3)."""
-    return (
-        F.when(metric_id == 1, F.lit("MaxTempC"))
-        .when(metric_id == 2, F.lit("MinTempC"))
-        .when(metric_id == 3, F.lit("TotalPrecipmm"))
-    )

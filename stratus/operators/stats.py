@@ -12,6 +12,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -35,6 +36,25 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+def describe_all(df: DataFrame) -> DataFrame:
+    """AGG5 over every column: numbers as in ``describe``, texts by count and least and
+    greatest text (``min_text``, ``max_text``); dates and times by count alone."""
+    aggs, rows = [], []
+    for f in df.schema.fields:
+        c, x = f.name, F.col(f"`{f.name}`")
+        aggs.append(F.count(x).alias(f"{c}__n"))
+        if isinstance(f.dataType, T.NumericType):
+            v = x.cast("double")
+            aggs += [F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__sd"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
+            rows.append(f"'{c}', `{c}__n`, `{c}__mean`, `{c}__sd`, `{c}__min`, `{c}__max`, cast(null as string), cast(null as string)")
+        elif isinstance(f.dataType, T.StringType):
+            aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+            rows.append(f"'{c}', `{c}__n`, cast(null as double), cast(null as double), cast(null as double), cast(null as double), `{c}__min`, `{c}__max`")
+        else:
+            rows.append(f"'{c}', `{c}__n`, cast(null as double), cast(null as double), cast(null as double), cast(null as double), cast(null as string), cast(null as string)")
+    return df.agg(*aggs).selectExpr(f"stack({len(rows)}, {', '.join(rows)}) AS (column, count, mean, stddev, min, max, min_text, max_text)")
+
+
 def zero_profile(df: DataFrame, col: str) -> DataFrame:
     """AGG15 / FLT9: rows where ``col`` is zero, non-zero and NULL."""
     c = F.col(col)

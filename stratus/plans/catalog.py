@@ -878,3 +878,11 @@ def model_default_sums(spark: SparkSession, root: str) -> DataFrame:
         rows = sums.unpivot("key", [F.col(f"`{c}`") for c in names], "column", "total").select(F.lit(name).alias("table"), "key", "column", "total")
         out = rows if out is None else out.unionByName(rows)
     return out.transform(_round)
+
+
+@query("describe_all")
+def describe_all(spark: SparkSession, root: str) -> DataFrame:
+    """AGG5 over all columns of the cleaned observations and their date text."""
+    from stratus.operators.stats import describe_all as da
+
+    return da(I.clean_obs(spark, root).transform(clean.with_date_string)).transform(_round)

@@ -666,3 +666,23 @@ ORACLE["model_default_sums"] = with_(LIVE, OBS_VALUES, EXTERNAL) + """
         ("external", "external", '"Station"', [(c, f'"{c}"') for c in ("Max Temp", "Min Temp", "Heat Deg Days", "Total Precip (mm)")]),
     ) for name, expr in cols
 )
+
+_ALL_COLS = [("ClimateID", "text"), ("Datetime", ""), ("Latitudey", "number"), ("MaxTempC", "number"), ("MinTempC", "number"),
+             ("MeanTempC", "number"), ("TotalPrecipmm", "number"), ("Longitudex", "number"), ("DatetimeStrg", "text")]
+_NUMBER = "{mean} AS mean, {sd} AS stddev, {mn} AS \"min\", {mx} AS \"max\", {tmn} AS min_text, {tmx} AS max_text"
+
+
+def _described(c: str, kind: str) -> str:
+    null, text = "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)"
+    d = f"CAST({c} AS DOUBLE)"
+    num = kind == "number"
+    return f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", " + _NUMBER.format(
+        mean=dbl(f"avg({d})") if num else null, sd=dbl(f"stddev_samp({d})") if num else null,
+        mn=dbl(f"min({d})") if num else null, mx=dbl(f"max({d})") if num else null,
+        tmn=f"min({c})" if kind == "text" else text, tmx=f"max({c})" if kind == "text" else text,
+    ) + " FROM described\n"
+
+
+ORACLE["describe_all"] = with_(CLEAN_OBS) + """
+, described AS (SELECT *, strftime(Datetime, '%Y-%m-%d') AS DatetimeStrg FROM clean_obs)
+""" + "UNION ALL\n".join(_described(c, k) for c, k in _ALL_COLS)
