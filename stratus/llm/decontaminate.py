@@ -59,16 +59,28 @@ def bitmap(words: DataFrame, column: str) -> Column:
     return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BITMAP // 64))), ",").cast("array<bigint>")
 
 
-def in_bitmap(word: Column, bits: Column) -> Column:
-    h = F.xxhash64(lowered(word)).bitwiseAND(F.lit(BITMAP - 1))
-    return F.getbit(F.get(bits, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+def places(hashes: str, bits: Column) -> Column:
+    """Positions (from 0) of the words whose hash bit is set."""
+
+    def known(h, i):
+        return F.when(F.getbit(F.get(bits, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1, i)
+
+    return F.array_compact(F.transform(hashes, known))
+
+
+def with_hashes(docs: DataFrame, text_col: str, kept: list[Column]) -> DataFrame:
+    """``kept`` columns, the words of each text, and each word's hash within the bitmap."""
+    rows = docs.select(*kept, raw_words(F.col(text_col)).alias("words"))
+    return rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(lowered(w)).bitwiseAND(F.lit(BITMAP - 1))))
 
 
 def anchors(wins: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """``(win, anchor, offset)``: the word of each distinct window that is rarest over all documents (ties: the lesser word, then the first place)."""
     vocabulary = cut(wins.select(F.explode("win").alias("word")).distinct())
     bits = bitmap(vocabulary, "word")
-    counts = docs.select(F.explode(F.filter(raw_words(F.col(text_col)), lambda w: in_bitmap(w, bits))).alias("word")).groupBy("word").count()
+    # outer: a plain explode adds a filter on the array's size, which computes the array twice
+    found = with_hashes(docs, text_col, []).select(F.explode_outer(F.transform(places("hashes", bits), lambda i: F.get("words", i))).alias("word"))
+    counts = found.filter("word is not null").groupBy("word").count()
     counts = counts.groupBy(lowered(F.col("word")).alias("word")).agg(F.sum("count").alias("n"))
     rarity = vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     placed = wins.select("win", F.posexplode("win").alias("offset", "word")).join(rarity, "word")
@@ -82,12 +94,12 @@ def hits(docs: DataFrame, items: DataFrame, text_col: str, item_text: str, item_
     found = cut(anchors(wins, docs, text_col))
     bits = bitmap(found.select("anchor").distinct(), "anchor")
     names = [f"__k{i}" for i in range(len(keys))]
-    scan = docs.select(*[k.alias(n) for k, n in zip(keys, names)], raw_words(F.col(text_col)).alias("words"))
-    at = F.array_compact(F.transform("words", lambda w, i: F.when(in_bitmap(w, bits), i)))
+    scan = with_hashes(docs, text_col, [k.alias(n) for k, n in zip(keys, names)])
+    at = places("hashes", bits)
     first = lambda p: F.greatest(p - (WINDOW - 1), F.lit(0))
     around = F.transform(at, lambda p: F.struct(p.alias("at"), first(p).alias("first"), F.transform(F.slice("words", first(p) + 1, p - first(p) + WINDOW), lowered).alias("near")))
-    rows = scan.select(*names, F.size("words").alias("n_words"), around.alias("around")).select(*names, "n_words", F.explode("around").alias("c"))
-    rows = rows.select(*names, "n_words", "c.at", "c.first", "c.near", F.expr("c.near[c.at - c.first]").alias("anchor"))
+    rows = scan.select(*names, F.size("words").alias("n_words"), around.alias("around")).select(*names, "n_words", F.explode_outer("around").alias("c"))
+    rows = rows.filter("c is not null").select(*names, "n_words", "c.at", "c.first", "c.near", F.expr("c.near[c.at - c.first]").alias("anchor"))
     start = F.col("at") - F.col("offset")
     size = F.size("win")
     same = F.slice("near", F.greatest(start - F.col("first") + 1, F.lit(1)), size) == F.col("win")
