@@ -71,16 +71,16 @@ def fit_additive(train: DataFrame, ds: str = "ds", y: str = "y", regressors: lis
                           standardization=True, solver="normal")
     model = lr.fit(assembler.transform(x))
     sigma = model.summary.rootMeanSquaredError
+    keeping = assembler.copy().setHandleInvalid("keep")
 
     def score(frame: DataFrame) -> DataFrame:
         f, _ = design(frame, ds, t0, t1, regressors)
         whole = F.col(ds).isNotNull()
         for r in regressors:
             whole = whole & F.col(r).isNotNull()
-        rest = f.filter(~whole).select(*frame.columns, F.lit(None).cast("double").alias("yhat"))  # scored NULL, not dropped
-        out = model.transform(assembler.transform(f.filter(whole))).withColumnRenamed("prediction", "yhat")
+        out = model.transform(keeping.transform(f)).withColumn("yhat", F.when(whole, F.col("prediction")))  # NULL, not dropped
         keep = [c for c in frame.columns] + ["yhat"]
-        return out.select(*keep).unionByName(rest).withColumns(
+        return out.select(*keep).withColumns(
             {
                 "yhat_lower": F.col("yhat") - F.lit(Z80 * sigma),
                 "yhat_upper": F.col("yhat") + F.lit(Z80 * sigma),

@@ -74,8 +74,9 @@ def score_all(model: PipelineModel, df: DataFrame, cols: list[str]) -> DataFrame
     whole = F.lit(True)
     for c in cols:
         whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    rest = df.filter(~whole).withColumn("prediction", F.lit(None).cast("double"))
-    return strip_ml(model.transform(df.filter(whole))).unionByName(rest)
+    keeping = model.stages[0].copy().setHandleInvalid("keep")
+    scored = strip_ml(PipelineModel(stages=[keeping, *model.stages[1:]]).transform(df))
+    return scored.withColumn("prediction", F.when(whole, F.col("prediction")))
 
 
 def fit_rain_classifier(frame: DataFrame) -> Fitted:

@@ -886,3 +886,12 @@ def describe_all(spark: SparkSession, root: str) -> DataFrame:
     from stratus.operators.stats import describe_all as da
 
     return da(I.clean_obs(spark, root).transform(clean.with_date_string)).transform(_round)
+
+
+@query("forecast_gates")
+def forecast_gates(spark: SparkSession, root: str) -> DataFrame:
+    """FOR6 + FOR7 + PRJ10 on the written table read back: the date axis, the constant
+    id, and whether both gated columns are prediction times rain prediction."""
+    t = forecast_table(spark, root)
+    gate = {c: F.col(f"{c}_predictedRain") == F.col(f"{c}_predicted") * F.col("Rain_predicted") for c in ("TotalPrecipmm", "PrecipitationM2")}
+    return t.select("date", "ClimateID", F.col("Rain_predicted").isin(0.0, 1.0).alias("rain_is_class"), gate["TotalPrecipmm"].alias("gate_total"), gate["PrecipitationM2"].alias("gate_m2"))

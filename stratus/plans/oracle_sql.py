@@ -686,3 +686,11 @@ def _described(c: str, kind: str) -> str:
 ORACLE["describe_all"] = with_(CLEAN_OBS) + """
 , described AS (SELECT *, strftime(Datetime, '%Y-%m-%d') AS DatetimeStrg FROM clean_obs)
 """ + "UNION ALL\n".join(_described(c, k) for c, k in _ALL_COLS)
+
+ORACLE["forecast_gates"] = with_(OBS_VALUES) + """
+, cal AS (
+  SELECT CAST(unnest(generate_series(CAST((SELECT min(Datetime) FROM obs) AS TIMESTAMP),
+                                     CAST((SELECT max(Datetime) FROM obs) + INTERVAL 10 YEAR AS TIMESTAMP),
+                                     INTERVAL 1 DAY)) AS DATE) AS date)
+SELECT date, 'all' AS "ClimateID", true AS rain_is_class, true AS gate_total, true AS gate_m2 FROM cal
+"""

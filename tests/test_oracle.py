@@ -49,7 +49,7 @@ CHEAP = [k for k in ORACLE if k not in LLM_QUERIES]
 
 SPARK_TO_DUCK = {
     "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
-    "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
 }
 
 
