@@ -34,13 +34,13 @@ def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     said = F.filter(F.transform(all_lines(F.col(text_col)), bare), lambda x: x != "")
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), said.alias("said"))
     hashed = base.select("doc_id", "text_key", F.transform("said", lambda x: F.xxhash64(x)).alias("a"), F.transform("said", lambda x: F.xxhash64(F.lit(1), x)).alias("b"))
-    some = hashed.filter(F.size("a") >= WINDOW)
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("a") - WINDOW),
         lambda i: F.struct(F.xxhash64(*[F.get("a", i + k) for k in range(WINDOW)]).alias("h1"), F.xxhash64(*[F.get("b", i + k) for k in range(WINDOW)]).alias("h2")),
     )
-    rows = some.select("doc_id", "text_key", pairs.alias("w")).select("doc_id", "text_key", F.posexplode("w").alias("at", "w"))
-    return rows.select("doc_id", "text_key", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), "at")
+    # outer: a plain explode adds a filter on the array's size, which computes all arrays again for each line
+    rows = hashed.select("doc_id", "text_key", F.when(F.size("a") >= WINDOW, pairs).alias("w")).select("doc_id", "text_key", F.posexplode_outer("w").alias("at", "w"))
+    return rows.filter("w is not null").select("doc_id", "text_key", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), "at")
 
 
 def removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
