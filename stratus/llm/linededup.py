@@ -73,7 +73,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull() | F.lit(counts), all_lines(F.col(text_col))))
     said = F.array_compact(F.transform("__lines", lambda x, i: F.when(bare(x) != "", i)))
     joined = joined.withColumn("__said", said)
-    drop = F.transform("__gone", lambda k: F.get("__said", k))
+    # the second use of __said keeps the optimizer from computing it anew for every removed line
+    drop = F.when(F.size("__said") > 0, F.transform("__gone", lambda k: F.get("__said", k)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), drop)
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
     out = joined.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in names], *([F.size("__said").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []))
