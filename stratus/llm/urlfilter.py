@@ -49,14 +49,13 @@ def last_labels(host: Column, n: int) -> Column:
     return F.substring_index(host, ".", -n)
 
 
-def shrunk(children: DataFrame, parent: DataFrame, up: str) -> DataFrame:
+def shrunk(rows: DataFrame) -> DataFrame:
     """Posterior mean of each child under its parent's mean.
 
-    ``children(up, n, bad)``, ``parent(up, mean)`` -> with ``mean``,
+    ``rows(n, bad, prior)``, ``prior`` the parent's mean -> with ``mean`` and
     ``strength`` (prior pages) added.  The strength solves the moments of the
     beta-binomial over all children: between 2 and 1,000 pages.
     """
-    rows = children.join(parent.select(up, F.col("mean").alias("prior")), up)
     p, n = F.col("bad") / F.col("n"), F.col("n")
     spread = F.sum(n * F.pow(p - F.col("prior"), 2)) / F.sum(n)
     noise = F.sum(F.col("prior") * (1 - F.col("prior"))) / F.sum(n)
@@ -77,13 +76,14 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     hosts = outcomes.groupBy("host").agg(F.sum("times").cast("double").alias("n"), F.sum(F.col("times") * F.col("bad")).cast("double").alias("bad"))
-    hosts = hosts.withColumns({"domain": last_labels(F.col("host"), 2), "suffix": last_labels(F.col("host"), 1)})
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
-    top = suffixes.groupBy("all").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("mean"))
-    suffixes = shrunk(suffixes, top, "all")
-    domains = shrunk(domains, suffixes, "suffix")
-    hosts = shrunk(hosts, domains, "domain")
+    hosts = cut(hosts.withColumns({"domain": last_labels(F.col("host"), 2), "suffix": last_labels(F.col("host"), 1)}))
+    domains = cut(hosts.groupBy("domain", "suffix").agg(*sums))
+    suffixes = domains.groupBy("suffix").agg(*sums)
+    total = suffixes.agg(*sums).first()
+    top = ((total["bad"] or 0.0) + 0.5) / ((total["n"] or 0.0) + 1)
+    suffixes = cut(shrunk(suffixes.withColumn("prior", F.lit(top))))
+    domains = cut(shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix")))
+    hosts = shrunk(hosts.join(domains.select("domain", F.col("mean").alias("prior")), "domain"))
     size = F.col("n") + F.col("strength") + 1
     lower = F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / size)
     parts = [df.select(F.lit(level).alias("level"), F.col(level).alias("name"), "n", "bad", "mean", lower.alias("lower")) for level, df in (("host", hosts), ("domain", domains), ("suffix", suffixes))]
