@@ -167,5 +167,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
     """``docs`` without the rows that score below ``threshold``; columns unchanged.
     Null and empty texts are scored like any other text."""
     model = learn(docs, labels, id_col=id_col, text_col=text_col)
-    names = docs.columns
-    return scored(docs, model, text_col, out="__score").filter(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in names])
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    score = model.score([F.col(PREFIX + s) for s in STATS])
+    # the score leaves through a generator: a filter on a plain column would be pushed below the
+    # statistics, and compute each of them anew for every rule that speaks of it
+    rows = with_statistics(docs, text_col).select(*kept, F.explode(F.array(score)).alias("__score"))
+    return rows.filter(F.col("__score") >= threshold).select(*kept)
