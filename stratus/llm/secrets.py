@@ -38,7 +38,7 @@ _KEY = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _DIGIT = re.compile("[0-9]")
 _SEPARATORS = "\"'`=:;,|(){}<>[]"
 _TOKEN = re.compile(r"""["'`=:;,|(){}<>\[\]]|[^\s"'`=:;,|(){}<>\[\]]+""")
-_SEED = re.compile(r"""[0-9=:"']|(?i:password|passwd|secret|token|api_?key)|(?<![^\s"'`=:;,|(){}<>\[\]])[^\s"'`=:;,|(){}<>\[\]]{24,}""", re.A)
+_SEED = re.compile(r"""[0-9=:"']|(?i:password|passwd|secret|token|api_?key)|(?<![^\s"'`=:;,|(){}<>\[\]])[^\s"'`=:;,|(){}<>\[\]]{20,}""", re.A)
 REACH = 4  # tokens over which a key word is seen
 SAMPLE = 1_000  # texts the field is trained on, at most (about)
 PER_TEXT = 40  # windows for training from each of them, at most
@@ -59,7 +59,7 @@ def shape(token: str) -> str:
         return token if token in "=:\"'" else "sep"
     core = token.rstrip(".!?") or token
     if core.isalpha():
-        kind = "word" if core[0].islower() else "Word"
+        kind = "word" if core[0].islower() else "CAPS" if core.isupper() else "Word"
     elif not core.strip("0123456789"):
         kind = "num9"
     elif not _DIGIT.search(core):
@@ -134,8 +134,8 @@ class Field:
 
     def proven(self) -> bool:
         """Whether every token of a text without digits, key words, quotes, signs of
-        assignment and long tokens is outside for sure, in each context it can have."""
-        plain = [k + c for k in ("word", "Word", "mark") for c in "abcd"] + ["sep"]
+        assignment and tokens of 20 characters is outside for sure, in each context it can have."""
+        plain = [k + c for k in ("word", "Word", "CAPS", "mark") for c in "abc"] + ["sep"]
         files = ["--|", "---"]
         contexts = ((own, p, n, "0", f) for own in plain for p in [*plain, ""] for n in [*plain, ""] for f in files)
         return all(self.seen(c)[1] for c in contexts)
