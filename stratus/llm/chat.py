@@ -6,9 +6,10 @@ Template, one turn after the other::
 
 Grammar of the reader: turns end at ``<|im_end|>\\n``; a turn starts with
 ``<|im_start|>``; the role reaches to the first line break, the text to the
-end.  Roles are percent-encoded where they hold other characters than a role
-name does.  In a text the reader takes one backslash out of every ``<``,
-backslashes, ``|``; the writer puts one in.
+end.  A bare mark starts or ends a turn wherever it stands, so a text that
+holds one is outside the grammar.  Roles are percent-encoded where they hold
+other characters than a role name does.  In a text the reader takes one
+backslash out of every ``<``, backslashes, ``|``; the writer puts one in.
 
 Each turn is first rendered as it is and read back; where the reader doesn't
 recover role and text exactly, the conflicting content is escaped and the turn
@@ -43,7 +44,8 @@ def turns(formatted: Column) -> Column:
     pieces = F.split(formatted, r"<\|im_end\|>\n", -1)
     n = F.size(pieces) - 1
     bodies = F.slice(pieces, F.lit(1), n)
-    good = (F.element_at(pieces, -1) == "") & F.forall(bodies, lambda b: F.startswith(b, F.lit(START)) & F.contains(b, F.lit("\n")))
+    whole = lambda b: F.startswith(b, F.lit(START)) & F.contains(b, F.lit("\n")) & ~F.contains(b, F.lit(END)) & ~F.contains(F.substr(b, F.lit(2)), F.lit(START))
+    good = (F.element_at(pieces, -1) == "") & F.forall(bodies, whole)
     return F.when(good, F.transform(bodies, lambda b: F.substring(b, F.lit(len(START) + 1), F.char_length(b))))
 
 
