@@ -108,17 +108,18 @@ def same_day_history(
 
 
 def station_days(history: DataFrame, value_col: str = "MaxTempC", date_col: str = "Datetime") -> DataFrame:
-    """Per station and day: sum and count of the value, and the day's rows as sorted JSON texts."""
-    row = F.to_json(F.struct(F.col(date_col), F.col(value_col)))
+    """Per station and day: sum and count of the value, and the day's rows, all of
+    them with all columns, as sorted JSON texts joined to one piece."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in history.columns]))
     return history.groupBy(F.col("ClimateID"), F.col(date_col).alias("day")).agg(
         F.sum(value_col).alias("_s"), F.count(value_col).alias("_n"),
-        F.max_by(row, F.coalesce(F.col(value_col), F.lit(float("-inf")))).alias("_text"),
+        F.concat_ws(", ", F.array_sort(F.collect_list(row))).alias("_text"),
     )
 
 
 def reading_normals(readings: DataFrame, days: DataFrame, years: int = 10, time_col: str = TIME) -> DataFrame:
     """JON7: for each city and day of ``readings``, the mean of the same calendar
-    day in the ``years`` years up to it, and those days' texts as JSON array.
+    day in the ``years`` years up to it, and those days' rows as JSON array.
 
     Distinct (city, day) pairs meet at most ``years + 1`` station days each;
     the join is on station, month and day of month.

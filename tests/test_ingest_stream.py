@@ -219,3 +219,28 @@ def test_deviation_uses_the_reading_s_own_day(spark):
     current = spark.createDataFrame(rows, "City string, ObservationTime timestamp_ntz, Temperature double")
     got = {(r.City, r.ObservationTime.month): (r.normal, r.deviation) for r in L.deviation_alert(current, hist, 5.0).collect()}
     assert got == {("S", 6): (25.0, -15.0), ("T", 1): (None, None)}
+
+
+def test_evidence_holds_every_history_row_with_all_columns(spark, tmp_path):
+    from stratus.sources.views import live_readings, observation_values
+
+    events = read_table(spark, SF_SMALL, "events")
+    hist = observation_values(read_table(spark, SF_SMALL, "lineitem"))
+    hist = hist.unionByName(hist.limit(500)).unionByName(hist.limit(500).withColumn("MaxTempC", F.lit(None).cast("double")))  # days of several rows, some equal, some without value
+    landing, out, ckpt = (str(tmp_path / k) for k in ("landing", "alerts", "ckpt"))
+    LS.land_documents(LS.events_as_documents(events), landing, files=2)
+    LS.alert_stream(spark, landing, out, ckpt, 5.0, history=hist, years=30, files_per_trigger=1)
+    by_day = {}
+    for r in hist.collect():
+        row = {k: str(v) if k == "Datetime" else v for k, v in r.asDict().items() if v is not None}
+        by_day.setdefault((r.ClimateID, r.Datetime.month, r.Datetime.day), []).append((r.Datetime, row))
+    key = lambda row: json.dumps(row, sort_keys=True)
+    alerts, several = LS.read_alerts(spark, out, deviation=True).collect(), 0
+    for a in alerts:
+        on = a.ObservationTime.date()
+        met = [(d, r) for d, r in by_day.get((a.City, on.month, on.day), []) if d <= on and d.year >= on.year - 30]
+        got = json.loads(a.text)["history"]
+        assert sorted(map(key, got)) == sorted(key(r) for _, r in met)
+        assert [r["Datetime"] for r in got] == sorted(r["Datetime"] for r in got)
+        several += len(met) > len({d for d, _ in met})
+    assert len(alerts) == L.deviation_alert(live_readings(events), hist, 5.0, years=30).count() and several > 0
