@@ -208,11 +208,10 @@ def rain_gate(forecast: DataFrame) -> DataFrame:
 
 
 def forecast_statistics(forecast: DataFrame, before: str = "2024-01-01") -> DataFrame:
-    """FOR8: describe of the forecast for days before ``before`` (a date range, pushable)."""
-    from stratus.operators.stats import describe
+    """FOR8: describe of all columns of the forecast for days before ``before`` (a date range, pushable)."""
+    from stratus.operators.stats import describe_all
 
-    cols = [c for c in forecast.columns if c.endswith("_predicted") or c.endswith("_predictedRain")]
-    return describe(forecast.filter(F.col("date") < F.lit(before).cast("date")), cols)
+    return describe_all(forecast.filter(F.col("date") < F.lit(before).cast("date")))
 
 
 def predicted_vs_real(forecast: DataFrame, history: DataFrame) -> DataFrame:

@@ -177,13 +177,7 @@ def profile_text(described: DataFrame, data: DataFrame, col: str, digits: int =
     The described table has one row per column, so the fold is small; the
     zero count is one aggregate over ``data`` (a scalar subquery).
     """
-    stats = [c for c in described.columns if c != "column"]
-    rows = described.select(
-        F.to_json(
-            F.struct(F.col("column"), *[F.round(F.col(c), digits).alias(c) if c != "count" else F.col(c)
-                                        for c in stats])
-        ).alias("j")
-    )
+    rows = rounded(described, digits).select(F.to_json(F.struct("column", *[c for c in described.columns if c != "column"])).alias("j"))
     zeros = data.select(F.count_if(F.col(col) == 0)).scalar()
     return rows.agg(
         F.concat(

@@ -712,11 +712,12 @@ def latest_rows(spark: SparkSession, root: str) -> DataFrame:
 
 @query("precip_profile_text")
 def precip_profile_text(spark: SparkSession, root: str) -> DataFrame:
-    """AGG15: describe of the cleaned observations plus the zero-precipitation count, as text."""
-    from stratus.operators.stats import describe, profile_text
+    """AGG15: describe of all columns of the cleaned observations, text ones too, plus
+    the zero-precipitation count, as text."""
+    from stratus.operators.stats import describe_all as da, profile_text
 
     obs = I.clean_obs(spark, root)
-    return profile_text(describe(obs, ["MaxTempC", "MinTempC", "TotalPrecipmm"]), obs, "TotalPrecipmm")
+    return profile_text(da(obs.transform(clean.with_date_string)), obs, "TotalPrecipmm")
 
 
 @query("staging_table")

@@ -107,3 +107,35 @@ def test_size_for_input(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+
+
+def test_profile_text_and_forecast_statistics_describe_all_columns(spark):
+    import json
+
+    from stratus.ml.models import forecast_statistics
+
+    day = dt.date(2020, 1, 1)
+    df = spark.createDataFrame([("b", day, 1.0, 0.0), ("a", None, 2.0, 3.0), (None, day, None, 0.0)], "ClimateID string, date date, Rain_predicted double, p double")
+    lines = ST.profile_text(ST.describe_all(df), df, "p").first()[0].split("\n")
+    got = {r["column"]: r for r in map(json.loads, lines[:-1])}
+    assert lines[-1] == " Count p = 0 : 2" and sorted(got) == sorted(df.columns)
+    assert got["ClimateID"] == {"column": "ClimateID", "count": 2, "min_text": "a", "max_text": "b"} and got["date"] == {"column": "date", "count": 2}
+    assert got["p"] == {"column": "p", "count": 3, "mean": 1.0, "stddev": 1.732051, "min": 0.0, "max": 3.0}
+    stats = {r["column"]: r for r in forecast_statistics(df).collect()}
+    assert sorted(stats) == sorted(df.columns)
+    assert (stats["ClimateID"]["count"], stats["ClimateID"]["min_text"], stats["Rain_predicted"]["mean"], stats["p"]["max"]) == (1, "b", 1.0, 0.0)
+
+
+def test_profile_query_holds_every_column(spark):
+    import json
+
+    from __spark_entry__ import queries
+    from tests.conftest import SF_SMALL
+
+    lines = queries()["precip_profile_text"](spark, SF_SMALL).first()[0].split("\n")
+    described = {r["column"]: r for r in queries()["describe_all"](spark, SF_SMALL).collect()}
+    got = {r["column"]: r for r in map(json.loads, lines[:-1])}
+    assert got.keys() == described.keys() and "ClimateID" in got
+    for c, r in described.items():
+        want = {k: pytest.approx(v, abs=1e-4) if isinstance(v, float) else v for k, v in r.asDict().items() if v is not None}
+        assert got[c] == want
