@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-1. Equal vectors become one point with its least ids; only a point's first
-   ``k + 1`` ids can be among anybody's k nearest, so nothing is lost.
+1. Vectors of one direction (equal once scaled by their largest component) have
+   one cosine with anything and become one point with its least ids; only a
+   point's first ``k + 1`` ids can be among anybody's k nearest, so nothing is lost.
 2. Points are dealt to shards of bounded size by a hash.
 3. A task per shard builds the graph: greedy searches from the shard's centre
    propose neighbours, and pruning keeps a neighbour only if no kept one is
    closer to it by the factor ``alpha``, so edges are diverse.
 4. Blocks of queries search each shard by beam search; the best of all shards
-   are ranked by their exact cosine on the original vectors.
+   are ranked by their exact cosine, which the scaled vectors give as well.
 
 A task holds one shard and one block of queries, both of bounded size; more
 data give more tasks.
@@ -156,9 +157,14 @@ def shard_counts(sizes: dict[int, int], shard: int) -> F.Column:
 
 
 def points_of(vectors: DataFrame, id_col: str, vector_col: str, k: int, shard: int) -> tuple[DataFrame, dict[int, int]]:
-    """Distinct vectors with their least ``k + 1`` ids, dealt to shards: ``(dim, shard, v, ids)``; points by vector length."""
+    """Distinct directions with their least ``k + 1`` ids, dealt to shards: ``(dim, shard, v, ids)``; points by vector length.
+
+    A direction is the vector divided by its largest component, as ``unit``
+    does first: the cosine comes out the same to the last bit.
+    """
     rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))  # -0.0 equals 0.0
+    rows = rows.withColumn("most", F.array_max(F.transform("v", F.abs)))
+    rows = rows.select("id", F.transform("v", lambda c: c / F.col("most") + F.lit(0.0)).alias("v"))  # -0.0 equals 0.0
     # Spark cuts each task's rows of a vector to k + 1 before they are dealt by vector
     least = Window.partitionBy("v").orderBy("id")
     few = rows.distinct().withColumn("n", F.row_number().over(least)).filter(F.col("n") <= k + 1)

@@ -85,3 +85,25 @@ def test_recall_of_the_query(spark):
         total += 5
         assert all(abs(score - s[np.flatnonzero(ids == v)[0]]) < 1e-12 for v, score in got[int(ids[q])].items())
     assert hits / total >= 0.95
+
+
+def scaled_copies():
+    """Two directions with 300 unequal multiples each, ids in no order of size, among 400 others."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), "x") for i in range(400)]
+    for base in (10_000, 20_000):
+        v = rng.integers(-40, 40, size=16)
+        rows += [(base + int(i), (v * j).astype(np.float32).tolist(), "scaled") for i, j in zip(rng.permutation(300), range(1, 301))]
+    return rows
+
+
+def test_scaled_copies_tie_to_the_smaller_id(spark):
+    rows = scaled_copies()
+    vectors = spark.createDataFrame(rows, VECTORS)
+    ids = {10_000, 10_002, 10_150, 10_299, 20_000, 20_077, 20_250}
+    got = {}
+    for r in ann.search(vectors, vectors.filter(vectors.vec_id.isin(*ids)), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = brute(rows, ids, 5)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+    assert all(len({s for _, s in x}) == 1 for x in got.values())
