@@ -15,6 +15,7 @@ for all contexts such a text can have; else it is decoded like the others.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -232,7 +233,8 @@ def train(windows: list[tuple[list[tuple], list[int]]], rounds: int = 120, rate:
 
 
 def training_windows(text: str, size: int = 16) -> list[tuple[list[tuple], list[int]]]:
-    """Windows of a text that hold a base span or a token with a digit, and its first plain one."""
+    """Windows of a text that hold a base span or a token with a digit, and two plain
+    ones; at most ``PER_TEXT``.  Which ones, a hash of place and text decides."""
     matches = [m.span() for m in _TOKEN.finditer(text)]
     seen = contexts([text[a:b] for a, b in matches], file_features(text))
     inner = [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -244,13 +246,13 @@ def training_windows(text: str, size: int = 16) -> list[tuple[list[tuple], list[
         else:
             merged.append([a, b])
     tags = tags_of(matches, [tuple(m) for m in merged])
-    out, plain = [], 2
+    some, plain = [], []
     for i in range(0, len(seen), size):
-        some = any(tags[i : i + size]) or any("9" in c[0] or c[3] != "0" for c in seen[i : i + size])
-        if some or plain > 0:
-            plain -= not some
-            out.append((seen[i : i + size], tags[i : i + size]))
-    return out[:PER_TEXT]
+        held = any(tags[i : i + size]) or any("9" in c[0] or c[3] != "0" for c in seen[i : i + size])
+        said = text[matches[i][0] : matches[min(i + size, len(seen)) - 1][1]]
+        (some if held else plain).append((hashlib.blake2b(f"{i} {said}".encode(errors="replace"), digest_size=8).digest(), i))
+    drawn = sorted(some + sorted(plain)[:2])[:PER_TEXT]
+    return [(seen[i : i + size], tags[i : i + size]) for i in sorted(i for _, i in drawn)]
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> Field:

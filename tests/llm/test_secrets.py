@@ -123,3 +123,32 @@ def test_query_finds_base_spans_of_whole_texts(spark):
         base = plain(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(b[0] == k for b in base) for k in secrets.KINDS[:3])
+
+
+def test_field_adds_planted_secrets_and_nothing_on_clean_texts():
+    # the key word stands within REACH, another word between it and the sign: no base pattern fits
+    rng = random.Random(7)
+    words = ["alpha", "Beta", "gamma,", "delta.", "see", "44", "1999"]
+    planted = 0
+    for _ in range(60):
+        value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") + rng.choice("0123456789") for _ in range(rng.randint(18, 24)))
+        before, after = (" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(2))
+        text = f'{before} {rng.choice(["token", "password", "api_key"])} value = "{value}" {after}'
+        assert plain(text) == []
+        at = text.index(value)
+        planted += secrets.all_spans(text, FIELD) == [("crf", at, at + len(value))]
+        clean = " ".join(rng.choice([*words, "token", "password"]) for _ in range(40))
+        assert secrets.all_spans(clean, FIELD) == []
+    assert planted >= 57
+
+
+def test_windows_are_drawn_from_the_whole_text():
+    words = [f"w{i}" if i % 16 else "77" for i in range(16 * 400)]
+    text = " ".join(words)
+    seen = secrets.contexts(words, secrets.file_features(text))
+    windows = secrets.training_windows(text)
+    assert len(windows) == secrets.PER_TEXT and windows == secrets.training_windows(text)
+    marked = " ".join(words[: 16 * 200]) + " " + " ".join(["1234567"] * 16 * 200)  # the second half has another shape
+    late = [w for w, _ in secrets.training_windows(marked) if w[1][0] == "num9b"]
+    assert 8 <= len(late) <= 32
+    assert all(list(w) in [seen[i : i + 16] for i in range(0, len(seen), 16)] for w, _ in windows)
