@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import ann, bpe, chat, decontaminate, htmltext, linededup, quality, secrets, simhash, urlfilter
+from stratus.llm import ann, bpe, chat, decontaminate, htmltext, linededup, periodic, phrases, quality, secrets, simhash, urlfilter
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return htmltext.main_text(pages, htmltext.learn(pages))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document (a tenth of them with a repeated tail): number, longest, digests."""
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), least=6, times=4, edit=periodic.planted))
+
+
+@query("op13_collocations", phrases.ORACLE_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, threshold=10, share=50, top=2000)
