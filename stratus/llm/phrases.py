@@ -260,6 +260,11 @@ def _part(phrase: str, first: Column, many: Column) -> Column:
     return F.array_join(F.slice(F.split(F.col(phrase), " ", -1), first, many), " ")
 
 
+def cut_score() -> Column:
+    """``floor(10^6 a a / (l r))``, exact: the products are decimals of 38 digits."""
+    return F.expr("cast((cast(a as decimal(38, 0)) * cast(a as decimal(19, 0)) * 1000000) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0))) as long)")
+
+
 def collocations(docs: DataFrame, longest: int = 3, threshold: int = 10, share: int = 50, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: each language's ``top`` phrases of 2 to ``longest`` words.
 
@@ -288,9 +293,7 @@ def collocations(docs: DataFrame, longest: int = 3, threshold: int = 10, share:
     asked = wide.select("lang", "phrase", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.k", "c.side", "c.part")
     known = counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias("of"))
     sides = asked.join(known, ["lang", "part"]).groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == 0, F.col("of"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("of"))).alias("r"))
-    whole = "cast({} as decimal(38, 0))"
-    score = F.expr(f"{whole.format('a')} * cast(a as decimal(19, 0)) * 1000000 div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
-    scored = sides.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
+    scored = sides.withColumn("score", cut_score()).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     inside = F.flatten(
         F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: _part("phrase", i, m)))
     )

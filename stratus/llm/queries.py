@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import ann, bpe, chat, decontaminate, htmltext, linededup, periodic, phrases, quality, secrets, simhash, urlfilter
+from stratus.llm import ann, bpe, chat, decontaminate, embdedup, htmltext, linededup, periodic, phrases, quality, secrets, simhash, urlfilter
 from stratus.llm.common import start, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two and three words of each language."""
     return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, threshold=10, share=50, top=2000)
+
+
+@query("op11_embedding_dedup", embdedup.ORACLE_SQL)
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more among vectors of one label: their number and component for every vector."""
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
