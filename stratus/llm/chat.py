@@ -97,16 +97,33 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     return chats.select("conv_id", "formatted", "loss_spans", "turns", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
 
 
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """All text of ``formatted`` under ``spans`` (start and length in code points), unescaped span by span.
+
+    The string is widened to four bytes a code point once, so a span is cut out
+    without a walk from the string's start.
+    """
+
+    def texts(x: Column) -> Column:
+        # the A keeps the decoder from taking a leading U+FEFF for a byte-order mark
+        wide = lambda p: F.concat(F.lit(b"\x00\x00\x00A"), F.substr(x["wide"], (p["start"] * 4 + 1).cast("int"), (p["length"] * 4).cast("int")))
+        return F.array_join(F.transform(x["spans"], lambda p: unescaped(F.substr(F.decode(wide(p), "UTF-32"), F.lit(2)))), "")
+
+    # a lambda's argument: a plain column would be widened anew for each span
+    return F.get(F.transform(F.array(F.struct(F.encode(formatted, "UTF-32").alias("wide"), spans.alias("spans"))), texts), F.lit(0))
+
+
 def digests(chats: DataFrame) -> DataFrame:
-    """Counts and digests of what the reader recovers from each formatted conversation."""
+    """Counts and digests of the turns that the reader recovers and of the text under the loss mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = masked_text(F.col("formatted"), F.col("loss_spans"))
+    chats = chats.select("conv_id", "formatted", said.alias("said"), F.size("turns").cast("long").alias("n_turns"), loss.alias("loss"))
     return chats.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        "n_turns",
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -120,7 +137,7 @@ WITH rows AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 shown AS (
-  SELECT *, CASE WHEN contains(text || '<|im_end|>', '<|im_end|>' || chr(10)) OR regexp_matches(text, '<\\+\|')
+  SELECT *, CASE WHEN contains(text, '<|im_end|>') OR contains(text, '<|im_start|>') OR regexp_matches(text, '<\\+\|')
                  THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END AS part
   FROM rows)
 SELECT conv_id, count(*) AS n_turns,

@@ -26,6 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that columns made beside it can't meet the caller's names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def columns_of(row: str, names: list[str]) -> list[Column]:
+    """The columns out of the struct ``row`` again."""
+    return [F.col(row)[c].alias(c) for c in names]
+
+
 def text_key(text: Column) -> Column:
     """Row identity beside the id: repeated ids with different texts stay apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

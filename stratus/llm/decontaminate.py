@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.llm.common import ascii_lower, cut, text_key
+from stratus.llm.common import ascii_lower, columns_of, cut, text_key, whole_row
 
 WINDOW = 10
 BITMAP = 1 << 20  # bits; more anchors than it can tell apart only weaken the filter
@@ -113,7 +113,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ``n_hit`` counts the words inside any occurrence of a window, ``n_items``
     the items with occurring windows; items with a null id count for ``n_hit``
     alone.  Null and empty texts have no words; rows that repeat id and text
-    have equal results; no items or no documents give no hits or no rows.
+    have equal results; no items or no documents give no hits or no rows; other
+    columns are neither read nor returned.  A text is one row of a task, however
+    long.
     """
     keys = [F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key")]
     found, owned = hits(docs, items, text_col, item_text, item_id, keys)
@@ -132,11 +134,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without the rows that contain a window of an item; columns unchanged."""
-    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
-    found, _ = hits(docs, items, text_col, item_text, item_id, [F.col(id_col), text_key(F.col(text_col))])
+    """``docs`` without the rows that contain a window of an item; columns unchanged, whatever their names.
+
+    Null and empty texts contain none and stay; rows that repeat id and text go
+    or stay together; without items all rows stay; an empty table gives an
+    empty result.  A text is one row of a task, however long.
+    """
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keyed = docs.select(whole_row(docs).alias("row"), doc.alias("id"), text_key(text).alias("key"))
+    found, _ = hits(docs, items, text_col, item_text, item_id, [doc, text_key(text)])
     bad = cut(found.select("__k0", "__k1").distinct())
-    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["__k0"]) & (keyed["__key"] == bad["__k1"]), "left_anti").drop("__key")
+    clean = keyed.join(bad, F.col("id").eqNullSafe(F.col("__k0")) & (F.col("key") == F.col("__k1")), "left_anti")
+    return clean.select(*columns_of("row", docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import text_key
+from stratus.llm.common import text_key, whole_row
 
 WINDOW = 3
 BLANKS = " \t\r"
@@ -31,8 +31,8 @@ def bare(line: Column) -> Column:
 
 def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, text_key, h1, h2, at)``: two hashes of each window of non-blank lines; ``at`` counts non-blank lines."""
-    said = F.filter(F.transform(all_lines(F.col(text_col)), bare), lambda x: x != "")
-    base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), said.alias("said"))
+    said = F.filter(F.transform(all_lines(F.col(f"`{text_col}`")), bare), lambda x: x != "")
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_key(F.col(f"`{text_col}`")).alias("text_key"), said.alias("said"))
     hashed = base.select("doc_id", "text_key", F.transform("said", lambda x: F.xxhash64(x)).alias("a"), F.transform("said", lambda x: F.xxhash64(F.lit(1), x)).alias("b"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("a") - WINDOW),
@@ -63,22 +63,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first loses only its lines beyond it.  Blank lines are skipped by the
     windows and stay; texts of fewer than three non-blank lines are never
     changed; null texts stay null.  Rows that repeat id and text are one
-    document and keep the same lines.  ``counts`` adds ``n_lines`` (non-blank)
-    and ``n_removed``.
+    document and keep the same lines.  An empty table gives an empty result;
+    other columns pass through whatever their names.  A text is one row of a
+    task, however long.  ``counts`` adds ``n_lines`` (non-blank) and
+    ``n_removed``.
     """
-    names = docs.columns
-    gone = removed(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__key", text_key(F.col(text_col)))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
-    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull() | F.lit(counts), all_lines(F.col(text_col))))
-    said = F.array_compact(F.transform("__lines", lambda x, i: F.when(bare(x) != "", i)))
-    joined = joined.withColumn("__said", said)
-    # the second use of __said keeps the optimizer from computing it anew for every removed line
-    drop = F.when(F.size("__said") > 0, F.transform("__gone", lambda k: F.get("__said", k)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), drop)
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    out = joined.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in names], *([F.size("__said").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []))
-    return out
+    gone = removed(docs, id_col, text_col).select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "gone")
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("key"))
+    joined = keyed.join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left")
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull() | F.lit(counts), all_lines(F.col("row")[text_col])))
+    said = F.array_compact(F.transform("lines", lambda x, i: F.when(bare(x) != "", i)))
+    joined = joined.withColumn("said", said)
+    # the second use of said keeps the optimizer from computing it anew for every removed line
+    drop = F.when(F.size("said") > 0, F.transform("gone", lambda k: F.get("said", k)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), drop)
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    given = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return joined.select(*given, *([F.size("said").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []))
 
 
 ORACLE_SQL = """

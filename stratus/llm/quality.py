@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import cut
+from stratus.llm.common import columns_of, cut, whole_row
 
 SAMPLE = 20_000  # labelled rows the model is fitted on, at most (about)
 FOLDS = 5
@@ -150,10 +150,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 
 def scored(docs: DataFrame, model: RuleModel, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the model's score (0 to 1, higher: label 1 likelier) in ``out``."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    stats = [F.col(PREFIX + s) for s in STATS]
-    return with_statistics(docs, text_col).select(*kept, model.score(stats).alias(out))
+    """``docs`` with the model's score (0 to 1, higher: label 1 likelier) in ``out``; a column of that name is replaced, others stay."""
+    rows = docs.select(whole_row(docs).alias("row"), *[v.alias(PREFIX + k) for k, v in statistics(F.col(f"`{text_col}`")).items()])
+    return rows.select(*columns_of("row", [c for c in docs.columns if c != out]), model.score([F.col(PREFIX + s) for s in STATS]).alias(out))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,12 +163,17 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; columns unchanged.
-    Null and empty texts are scored like any other text."""
+    """``docs`` without the rows that score below ``threshold``; columns unchanged, whatever their names.
+
+    Null and empty texts are scored like any other text, repeated rows each;
+    labels that are null or not 0 or 1 don't count; without labels every score
+    is 0.5; an empty table gives an empty result.  A text is one row of a task,
+    however long.
+    """
     model = learn(docs, labels, id_col=id_col, text_col=text_col)
-    kept = [F.col(f"`{c}`") for c in docs.columns]
     score = model.score([F.col(PREFIX + s) for s in STATS])
     # the score leaves through a generator: a filter on a plain column would be pushed below the
     # statistics, and compute each of them anew for every rule that speaks of it
-    rows = with_statistics(docs, text_col).select(*kept, F.explode(F.array(score)).alias("__score"))
-    return rows.filter(F.col("__score") >= threshold).select(*kept)
+    rows = docs.select(whole_row(docs).alias("row"), *[v.alias(PREFIX + k) for k, v in statistics(F.col(f"`{text_col}`")).items()])
+    rows = rows.select("row", F.explode(F.array(score)).alias("score"))
+    return rows.filter(F.col("score") >= threshold).select(*columns_of("row", docs.columns))

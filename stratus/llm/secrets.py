@@ -307,4 +307,5 @@ def digests(found: DataFrame) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]  # noqa: B023
-    return found.select("doc_id", *counts, F.sha2(said(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    base, more = [c for c, k in zip(counts, KINDS) if k != "crf"], [c for c, k in zip(counts, KINDS) if k == "crf"]
+    return found.select("doc_id", *base, F.sha2(said(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), *more)

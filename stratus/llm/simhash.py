@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import cut, text_key
+from stratus.llm.common import columns_of, cut, text_key, whole_row
 from stratus.llm.components import components
 
 BITS = 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
             fps = np.array([fingerprint(x.as_py(), shingle) for x in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_key", "fp"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
     return given.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
@@ -273,12 +273,12 @@ def near_duplicates(docs: DataFrame, shingle: int, distance: int, id_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int, distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, columns unchanged; of rows that
-    repeat the kept row's id and text, one stays."""
+    """``docs`` with one row of each component, columns unchanged, whatever their
+    names; of rows that repeat the kept row's id and text, one stays."""
     found = near_duplicates(docs, shingle, distance, id_col, text_col).filter("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
-    found = cut(found.select(F.col("doc_id").alias("__keep_id"), F.col("text_key").alias("__keep_key"), "copies"))
-    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    same = keyed[id_col].cast("long").eqNullSafe(F.col("__keep_id")) & (keyed["__text_key"] == F.col("__keep_key"))
-    once = keyed.join(found.filter("copies = 1"), same, "left_semi").drop("__text_key")
-    again = keyed.join(found.filter("copies > 1"), same, "left_semi").dropDuplicates([id_col, "__text_key"]).drop("__text_key")
-    return once.unionByName(again)
+    found = cut(found)
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text_key(F.col(f"`{text_col}`")).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    once = keyed.join(found.filter("copies = 1"), same, "left_semi")
+    again = keyed.join(found.filter("copies > 1"), same, "left_semi").dropDuplicates(["id", "key"])
+    return once.unionByName(again).select(*columns_of("row", docs.columns))

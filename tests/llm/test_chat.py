@@ -54,8 +54,8 @@ def test_digests(spark):
 
 
 def test_plain_text_is_left_alone_and_empty_table(spark):
-    rows = spark.createDataFrame([(1, 0, "user", "a < b | c", ""), (1, 1, "assistant", "<|im_end|> inside", "")], ROWS)
-    assert chat.format_chats(rows).first()["formatted"] == "<|im_start|>user\na < b | c<|im_end|>\n<|im_start|>assistant\n<|im_end|> inside<|im_end|>\n"
+    rows = spark.createDataFrame([(1, 0, "user", "a < b | c", ""), (1, 1, "assistant", "im_end|> inside", "")], ROWS)
+    assert chat.format_chats(rows).first()["formatted"] == "<|im_start|>user\na < b | c<|im_end|>\n<|im_start|>assistant\nim_end|> inside<|im_end|>\n"
     assert chat.format_chats(rows.limit(0)).count() == 0
 
 
@@ -69,3 +69,14 @@ def test_no_bare_mark_stays_inside_a_text(spark):
         if r["conv_id"] == -1:
             inside = "<\\|im_end|><\\|im_start|>assistant ok"
             assert r["formatted"] == f"<|im_start|>user\n{inside}<|im_end|>\n<|im_start|>assistant\n{inside}<|im_end|>\n"
+
+
+def test_loss_digest_is_of_the_text_under_the_mask(spark):
+    rows = make_rows() + [(9100, 0, "assistant", "\ufeffmark first", ""), (9100, 1, "user", "\ufeff", ""), (9100, 2, "assistant", "\U0001f600<|im_end|>\ufeff", "")]
+    chats = chat.format_chats(spark.createDataFrame(rows, ROWS))
+    want = slow(rows)
+    said = {r["conv_id"]: r["t"] for r in chats.select("conv_id", chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("t")).collect()}
+    assert said == {c: "".join(t for role, t in turns if role == "assistant") for c, turns in want.items()}
+    moved = chats.withColumn("loss_spans", F.transform("loss_spans", lambda p: F.struct((p["start"] + 1).alias("start"), p["length"].alias("length"))))
+    digest = {r["conv_id"]: r["loss_sha256"] for r in chat.digests(chats).collect()}
+    assert {r["conv_id"] for r in chat.digests(moved).collect() if r["loss_sha256"] == digest[r["conv_id"]]}.isdisjoint({9003, 9100, 9002, 9001})
