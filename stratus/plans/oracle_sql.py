@@ -513,9 +513,11 @@ FROM orders
 
 ORACLE["stream_deviation_alerts"] = with_(LIVE, OBS_VALUES, NORMALS) + f"""
 , days AS (
-  SELECT ClimateID, Datetime AS day, max(MaxTempC) AS v FROM obs GROUP BY ClimateID, Datetime)
+  SELECT ClimateID, Datetime AS day, CAST(to_json(struct_pack(ClimateID := ClimateID, Datetime := Datetime, Latitudey := Latitudey,
+         MaxTempC := MaxTempC, MinTempC := MinTempC, MeanTempC := MeanTempC, TotalPrecipmm := TotalPrecipmm, Longitudex := Longitudex)) AS VARCHAR) AS line
+  FROM obs)
 , texts AS (
-  SELECT r.City, r.day, '[' || string_agg(CAST(to_json(struct_pack(Datetime := d.day, MaxTempC := d.v)) AS VARCHAR), ', ' ORDER BY d.day) || ']' AS history
+  SELECT r.City, r.day, '[' || string_agg(d.line, ', ' ORDER BY d.day, d.line) || ']' AS history
   FROM (SELECT DISTINCT City, CAST(ObservationTime AS DATE) AS day FROM live) r
   JOIN days d ON d.ClimateID = r.City AND month(d.day) = month(r.day) AND day(d.day) = day(r.day)
             AND d.day <= r.day AND year(d.day) >= year(r.day) - 30
@@ -567,23 +569,6 @@ ORACLE["latest_rows"] = with_(LIVE) + """
 SELECT * FROM live WHERE ObservationTime = (SELECT max(ObservationTime) FROM live)
 """
 
-_PROFILE_COLS = ["MaxTempC", "MinTempC", "TotalPrecipmm"]
-ORACLE["precip_profile_text"] = with_(CLEAN_OBS) + """
-, d AS (
-""" + "\nUNION ALL\n".join(
-    f"""  SELECT '{c}' AS col, CAST(count({c}) AS BIGINT) AS n, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
-         round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS sd, round(min(CAST({c} AS DOUBLE)), 6) AS mn,
-         round(max(CAST({c} AS DOUBLE)), 6) AS mx FROM clean_obs"""
-    for c in _PROFILE_COLS
-) + """
-)
-SELECT array_to_string(list_sort(list(CAST(to_json(struct_pack("column" := col, "count" := n, mean := mean,
-         stddev := sd, "min" := mn, "max" := mx)) AS VARCHAR))), chr(10))
-       || chr(10) || ' Count TotalPrecipmm = 0 : '
-       || CAST((SELECT count_if(TotalPrecipmm = 0) FROM clean_obs) AS VARCHAR) AS profile_text
-FROM d
-"""
-
 ORACLE["staging_table"] = ORACLE["clean_observations"]
 
 ORACLE["live_star"] = with_(LIVE, STATIONS) + f"""
@@ -644,9 +629,12 @@ FROM orders WHERE o_orderpriority <> '5-LOW'
 _CUT_COLS = ["Rain_predicted", "MaxTempC_predicted", "MinTempC_predicted", "TotalPrecipmm_predicted", "PrecipitationM2_predicted"]
 ORACLE["forecast_stats_cut"] = with_(FORECAST) + "UNION ALL\n".join(
     f"""SELECT '{c}' AS "column", count({c}) AS "count", {dbl(f'avg({c})')} AS mean, {dbl(f'stddev_samp({c})')} AS stddev,
-       {dbl(f'min({c})')} AS "min", {dbl(f'max({c})')} AS "max" FROM fc WHERE date < DATE '1999-01-01'
+       {dbl(f'min({c})')} AS "min", {dbl(f'max({c})')} AS "max", CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text
+FROM fc WHERE date < DATE '1999-01-01'
 """ for c in _CUT_COLS
-)
+) + """UNION ALL
+SELECT 'date', count(date), NULL, NULL, NULL, NULL, NULL, NULL FROM fc WHERE date < DATE '1999-01-01'
+"""
 
 ORACLE["forecast_stations"] = with_(STATIONS) + """
 SELECT Province, CAST(sum(n) AS BIGINT) AS n_days
@@ -687,6 +675,27 @@ ORACLE["describe_all"] = with_(CLEAN_OBS) + """
 , described AS (SELECT *, strftime(Datetime, '%Y-%m-%d') AS DatetimeStrg FROM clean_obs)
 """ + "UNION ALL\n".join(_described(c, k) for c, k in _ALL_COLS)
 
+
+def _profile_line(c: str, kind: str) -> str:
+    """A described column as Spark writes it to JSON: fields without value are left out."""
+    d = f"CAST({c} AS DOUBLE)"
+    fields = {
+        "number": f', mean := round(avg({d}), 6), stddev := round(stddev_samp({d}), 6), "min" := round(min({d}), 6), "max" := round(max({d}), 6)',
+        "text": f", min_text := min({c}), max_text := max({c})",
+    }.get(kind, "")
+    return f"""  SELECT CAST(to_json(struct_pack("column" := '{c}', "count" := CAST(count({c}) AS BIGINT){fields})) AS VARCHAR) AS line FROM described
+"""
+
+
+ORACLE["precip_profile_text"] = with_(CLEAN_OBS) + """
+, described AS (SELECT *, strftime(Datetime, '%Y-%m-%d') AS DatetimeStrg FROM clean_obs)
+, d AS (
+""" + "UNION ALL\n".join(_profile_line(c, k) for c, k in _ALL_COLS) + """)
+SELECT array_to_string(list_sort(list(line)), chr(10)) || chr(10) || ' Count TotalPrecipmm = 0 : '
+       || CAST((SELECT count_if(TotalPrecipmm = 0) FROM clean_obs) AS VARCHAR) AS profile_text
+FROM d
+"""
+
 ORACLE["forecast_gates"] = with_(OBS_VALUES) + """
 , cal AS (
   SELECT CAST(unnest(generate_series(CAST((SELECT min(Datetime) FROM obs) AS TIMESTAMP),
