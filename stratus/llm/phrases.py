@@ -1,7 +1,8 @@
 """Phrase collocations by mergeable Misra-Gries summaries.
 
-First pass: tasks count the n-grams of their texts by a 64-bit hash and deal
-the counts to hash partitions.  A partition's task adds up its mass first and
+First pass: tasks count the n-grams of their texts by a hash and deal the
+counts to hash partitions; within one, 32 bits of the hash name the n-gram, a
+few thousand times more than a partition holds.  A partition's task adds up its mass first and
 then merges the counts into one Misra-Gries summary whose capacity exceeds
 mass divided by threshold, so what is subtracted from a counter in all stays
 below the threshold and every n-gram that reaches it survives.  (Two n-grams
@@ -30,7 +31,7 @@ from stratus.llm.common import cut
 
 MASS = 4_000_000  # n-gram occurrences of a hash partition, about
 SLACK = 4  # capacity, in multiples of the least one: a larger summary lets fewer rare n-grams survive
-CHUNK = 24 << 20  # bytes of text counted together, about
+CHUNK = 10 << 20  # bytes of text counted together, about
 BITS = 26  # the bitmap has 2^BITS bits (8 MiB), whatever the input
 
 #: A-Z to a-z; ends of pieces to \n.
@@ -89,6 +90,20 @@ def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
     yield from ((k, Words(v)) for k, v in held.items())
 
 
+def named(x: np.ndarray, partitions: int) -> np.ndarray:
+    """The hash partition (high) and the 32 bits within it (low) of 64-bit hashes."""
+    return (x % np.uint64(partitions)) << np.uint64(32) | (x // np.uint64(partitions)) & np.uint64(0xFFFFFFFF)
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, all first bytes first: small ones leave long runs of zeros to the shuffle's compression."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with their summed counts."""
     order = np.argsort(keys)
@@ -139,16 +154,22 @@ def _counted(partitions: int, longest: int):
     def run(parts):
         for lang, words in chunks(parts):
             gram = words.hashes(lang, longest)
-            keys, counts = np.unique(np.concatenate([gram[n - 1][words.whole(n)] for n in range(1, longest + 1)]), return_counts=True)
-            part = (keys % np.uint64(partitions)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, keys, counts = part[order], keys[order], counts[order].astype(np.uint32)
-            some, first = np.unique(part, return_index=True)
-            ends = [*first[1:].tolist(), len(part)]
-            mass = [int(counts[a:b].sum(dtype=np.int64)) for a, b in zip(first.tolist(), ends)]
+            found = np.concatenate([gram[n - 1][words.whole(n)] for n in range(1, longest + 1)])
+            del gram
+            found = named(found, partitions)
+            found.sort()
+            new = np.flatnonzero(np.diff(found, prepend=~found[:1]) != 0)
+            counts = np.diff(np.append(new, len(found))).astype(np.uint32)
+            found = found[new]
+            some, first = np.unique(found >> np.uint64(32), return_index=True)
+            some, ends = some.astype(np.int64), [*first[1:].tolist(), len(found)]
+            spans = list(zip(first.tolist(), ends))
+            mass = [int(counts[a:b].sum(dtype=np.int64)) for a, b in spans]
             n = len(some)
+            low = found.astype(np.uint32)  # sorted within a partition: kept as differences
+            keys = [squeezed(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in spans]
             out = [(some, 0, None, mass, None, None)]
-            out.append((some, 1, None, [0] * n, [keys[a:b].tobytes() for a, b in zip(first.tolist(), ends)], [counts[a:b].tobytes() for a, b in zip(first.tolist(), ends)]))
+            out.append((some, 1, None, [0] * n, keys, [squeezed(counts[a:b]) for a, b in spans]))
             out.append((some[:1], 2, lang, [len(words.codes)], None, None))
             for part_, kind, lang_, many, k, c in out:
                 m = len(part_)
@@ -163,9 +184,9 @@ def _counted(partitions: int, longest: int):
 def _summarised(threshold: int):
     """mapInArrow function over rows sorted by (part, kind): surviving hashes, and the words of each language."""
 
-    def done(summary: Summary | None):
+    def done(part: int | None, summary: Summary | None):
         if summary is not None:
-            keys = summary.possible(threshold).view(np.int64)
+            keys = (summary.possible(threshold) | np.uint64(part << 32)).view(np.int64)
             for lo in range(0, len(keys), 1 << 16):
                 some = keys[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64())], names=["h", "lang", "n"])
@@ -175,16 +196,16 @@ def _summarised(threshold: int):
         for batch in parts:
             for row in batch.to_pylist():
                 if row["part"] != now:
-                    yield from done(summary)
+                    yield from done(now, summary)
                     now, mass, summary = row["part"], 0, None
                 if row["kind"] == 0:
                     mass += row["mass"]
                 elif row["kind"] == 1:
                     summary = summary or Summary(SLACK * (mass // threshold + 1))
-                    summary.add(np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.uint32).astype(np.int64))
+                    summary.add(np.cumsum(unsqueezed(row["keys"]), dtype=np.uint64), unsqueezed(row["counts"]).astype(np.int64))
                 else:
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([row["lang"]], pa.string()), pa.array([row["mass"]], pa.int64())], names=["h", "lang", "n"])
-        yield from done(summary)
+        yield from done(now, summary)
 
     return run
 
@@ -193,11 +214,15 @@ def given(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
-def survivors(texts: DataFrame, longest: int, threshold: int) -> DataFrame:
-    """``(h, lang, n)``: hashes of n-grams that may occur ``threshold`` times (lang and n null), and word counts of languages (h null)."""
+def hash_partitions(texts: DataFrame, longest: int) -> int:
+    """As many as the input asks for; a word takes about 6 bytes."""
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    partitions = max(1, -(-longest * size // (6 * MASS)))  # a word takes about 6 bytes
-    counted = texts.mapInArrow(_counted(int(partitions), longest), "part long, kind int, lang string, mass long, keys binary, counts binary")
+    return int(max(1, -(-longest * size // (6 * MASS))))
+
+
+def survivors(texts: DataFrame, longest: int, threshold: int, partitions: int) -> DataFrame:
+    """``(h, lang, n)``: hashes of n-grams that may occur ``threshold`` times (lang and n null), and word counts of languages (h null)."""
+    counted = texts.mapInArrow(_counted(partitions, longest), "part long, kind int, lang string, mass long, keys binary, counts binary")
     return cut(counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_summarised(threshold), "h long, lang string, n long"))
 
 
@@ -211,7 +236,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _exact(bits, longest: int):
+def _exact(bits, longest: int, partitions: int):
     """mapInArrow function: exact counts, by their words, of each chunk's n-grams whose hash has its bit."""
 
     def run(parts):
@@ -221,12 +246,13 @@ def _exact(bits, longest: int):
             text, base = words.known.cast(pa.large_string()), len(words.known)
             for n in range(1, longest + 1):
                 at = words.whole(n)
-                h = gram[n - 1][at]
+                h = named(gram[n - 1][at], partitions)
                 low = h & np.uint64((1 << BITS) - 1)
-                at = at[(held[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1]
+                kept = (held[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+                at, h = at[kept], h[kept]
                 if not len(at):
                     continue
-                key, first = words.codes[at], None
+                key = words.codes[at]
                 for k in range(1, n):  # one number for equal word sequences
                     key = np.unique(key, return_inverse=True)[1] * base + words.codes[at + k]
                 _, first, many = np.unique(key, return_index=True, return_counts=True)
@@ -236,7 +262,7 @@ def _exact(bits, longest: int):
                     hi = min(lo + (1 << 16), len(place))
                     m = hi - lo
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram[n - 1][place[lo:hi]].view(np.int64)), pa.array([lang] * m, pa.string()), pa.array([n] * m, pa.int32()), phrase[lo:hi].cast(pa.string()), pa.array(many[lo:hi].astype(np.int64))],
+                        [pa.array(h[first[lo:hi]].view(np.int64)), pa.array([lang] * m, pa.string()), pa.array([n] * m, pa.int32()), phrase[lo:hi].cast(pa.string()), pa.array(many[lo:hi].astype(np.int64))],
                         names=["h", "lang", "size", "phrase", "f"],
                     )
 
@@ -247,10 +273,11 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, threshold: int = 10, lan
     """``(lang, size, phrase, f)`` of every phrase of 1 to ``longest`` words that occurs
     ``threshold`` times in its language, with its exact count, and ``(lang, n)``, the words of each language."""
     spark, texts = docs.sparkSession, given(docs, lang_col, text_col)
-    found = survivors(texts, longest, threshold)
+    partitions = hash_partitions(texts, longest)
+    found = survivors(texts, longest, threshold, partitions)
     hashes = found.filter("h is not null").select("h")
     bits = spark.sparkContext.broadcast(bitmap(hashes))
-    rows = texts.mapInArrow(_exact(bits, longest), "h long, lang string, size int, phrase string, f long")
+    rows = texts.mapInArrow(_exact(bits, longest, partitions), "h long, lang string, size int, phrase string, f long")
     counts = rows.join(hashes, "h", "left_semi").groupBy("h", "lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= threshold)
     return cut(counts.select("lang", "size", "phrase", "f")), found.filter("h is null").groupBy("lang").agg(F.sum("n").alias("n"))
 

@@ -60,7 +60,7 @@ def test_equals_plain_counting(spark, longest, threshold, share, top):
 def test_reductions_and_small_chunks_lose_nothing(spark, monkeypatch):
     rows = make_rows(8, 200)
     want = slow([(r[1], r[2]) for r in rows], 3, 10, 50, 2000)
-    found = phrases.survivors(phrases.given(spark.createDataFrame(rows, DOCS), "lang", "text"), 3, 10)
+    found = phrases.survivors(phrases.given(spark.createDataFrame(rows, DOCS), "lang", "text"), 3, 10, 7)
     assert found.filter("h is not null").count() >= len(want)
     rng = np.random.default_rng(3)
     keys = rng.zipf(1.3, 60_000).astype(np.uint64) % np.uint64(20_000)
@@ -75,6 +75,12 @@ def test_reductions_and_small_chunks_lose_nothing(spark, monkeypatch):
         assert all(true[k] - s.lost <= n <= true[k] for k, n in zip(s.keys.tolist(), s.counts.tolist()))
 
 
+def test_squeezed_numbers_come_back():
+    for numbers in ([], [0], [1, 255, 256, 2**32 - 1, 7]):
+        x = np.array(numbers, dtype=np.uint32)
+        assert phrases.unsqueezed(phrases.squeezed(x)).tolist() == numbers
+
+
 def test_merged_summaries_keep_the_bound():
     rng = np.random.default_rng(5)
     keys = rng.integers(0, 9000, 50_000).astype(np.uint64)
