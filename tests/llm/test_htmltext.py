@@ -60,3 +60,34 @@ def test_query_gives_the_articles(spark):
         article = re.search(r"<article>(.*?)(</article>|\Z)", pages[r["page_id"]], re.S)[1]
         plain = re.sub(r"</?b>", "", article)
         assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", plain)).split())
+
+
+def test_class_names_alone_do_not_take_article_text():
+    page = '''<article><div class="article-header"><p>Lead of the story</p></div><p class="share-price">Shares rose</p><p id="ad-hoc">T</p>
+    <p class="notice">Cookies!</p><div class="comments"><p>first</p></div><p>Body</p></article><div class="sidebar-left"><p>More of this and that</p></div>'''
+    for weights in (WEIGHTS, htmltext.Weights({})):
+        assert htmltext.extract(page, weights) == "Lead of the story Shares rose T Body"
+
+
+def test_counts_go_by_the_true_side_of_the_article():
+    page = '<html><body><nav><ul><li>Menu here</li></ul></nav><div class="ad">Buy</div><article><h1>T</h1><p class="lead">one two</p><p class="notice">no</p></article><div class="foot">x y</div></body></html>'
+    got = htmltext.count(page)
+    assert got["any p"] == [2, 0] and got["any li"] == [0, 2] and got["any div"] == [0, 3] and got["hint lead"] == [2, 0] and got["hint <nav"] == [0, 2] and got["hint foot"] == [0, 2]
+    assert got["tag html"] == [0, 2] and got["tag body"] == [0, 2] and got["tag p"][1] == 0 and got["tag h1"] == [2, 0] and got["tag li"] == [0, 2]
+    assert htmltext.count("<div><p>no mark</p></div>") == {}
+
+
+def test_pages_without_any_mark(spark):
+    """The articles of pages whose marks, classes and structure elements are all turned into plain div elements."""
+    root = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{root}/pages.parquet")
+    weights = htmltext.learn(pages)
+    right = neutral = total = 0
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
+        plain = re.sub(r"(</?)article\b", r"\1div", r["html"])
+        right += htmltext.extract(plain, weights) == want
+        neutral += htmltext.extract(re.sub(r'(</?)(nav|footer)\b', r"\1div", plain).replace(' class="ad"', ""), weights) == want
+        total += 1
+    assert right == total and neutral >= 0.96 * total, (right, neutral, total)
