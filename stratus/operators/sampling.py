@@ -14,24 +14,60 @@ from pyspark.sql import functions as F
 from stratus.operators.stats import row_hash60, uniform
 
 
+#: Copies that one array makes at most; more go through pieces of this many.
+PIECE = 1 << 16
+
+
+def pieces(rows: DataFrame, copies: str) -> DataFrame:
+    """``rows`` cut into pieces of at most ``PIECE`` copies: the counts ``copies`` of a
+    row's pieces add up to its own.  Each level makes at most ``PIECE`` pieces of
+    a piece of the level before, so no array grows with the count."""
+    for width in (PIECE**3, PIECE**2, PIECE):
+        many = F.expr(f"({copies} - 1) div {width}")
+        rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), many)))
+        rows = rows.withColumn(copies, F.least(F.lit(width).cast("long"), F.col(copies) - F.col("piece") * F.lit(width)))
+    return rows.drop("piece")
+
+
+def replicate(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row ``copies`` times (rows without copies go); the column is dropped.
+
+    A row of more than ``PIECE`` copies is cut into pieces first, which are
+    dealt evenly over the shuffle partitions, so its copies are made by many
+    tasks; the other rows aren't shuffled.
+    """
+    def exploded(df: DataFrame) -> DataFrame:
+        kept = [c for c in df.columns if c != copies]
+        return df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*kept)
+
+    few = rows.filter(F.col(copies).between(1, PIECE))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = pieces(rows.filter(F.col(copies) > PIECE), copies).repartition(parts)
+    return exploded(few).unionByName(exploded(many))
+
+
 def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int = 42) -> DataFrame:
     """SPL1: undersample every class to (about) the minority size.
 
     Equal rows are counted once (combined map-side, so a row repeated a
     billion times is one row of the shuffle); of ``c`` equal rows
     ``floor(c * rate + u)`` stay, ``u`` a hash of the row's ``key_cols`` in
-    [0, 1).  The expected number of a class is exact whatever repeats.  Rows
-    without a label belong to no class and all stay.  The class sizes come
-    from the counted rows, one row per class.
+    [0, 1).  The expected number of a class is exact whatever repeats, and the
+    copies of a very common row are made piece by piece in many tasks
+    (``replicate``).  Rows without a label belong to no class and all stay.
+    The class sizes come from the counted rows, one row per class.  Columns
+    pass through whatever their names.
     """
-    counted = df.groupBy(*[F.col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counted.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_label")).agg(F.sum("_n").alias("_class_n"))
-    sizes = sizes.withColumn("_rate", F.min("_class_n").over(Window.partitionBy()) / F.col("_class_n"))
-    rated = counted.join(sizes, F.col(label) == F.col("_label"), "left")
-    u = uniform([F.col(c) for c in key_cols], seed)
-    keep = F.floor(F.col("_n") * F.coalesce(F.col("_rate"), F.lit(1.0)) + F.when(F.col("_rate").isNull(), F.lit(0.0)).otherwise(u))
-    kept = rated.withColumn("_keep", keep.cast("long")).filter("_keep > 0")
-    return kept.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_keep")))).select(*df.columns)
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    counted = given.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    of = F.col("row")[label]
+    sizes = counted.filter(of.isNotNull()).groupBy(of.alias("class")).agg(F.sum("n").alias("class_n"))
+    sizes = sizes.select("class", (F.min("class_n").over(Window.partitionBy()) / F.col("class_n")).alias("rate"))
+    rated = counted.join(sizes, of == F.col("class"), "left")
+    u = uniform([F.col("row")[c] for c in key_cols], seed)
+    keep = F.floor(F.col("n") * F.coalesce(F.col("rate"), F.lit(1.0)) + F.when(F.col("rate").isNull(), F.lit(0.0)).otherwise(u))
+    copies = replicate(rated.select("row", keep.cast("long").alias("copies")), "copies")
+    return copies.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def hash_split(df: DataFrame, key_cols: list[str], train_pct: int = 80, seed: int = 1042) -> DataFrame:

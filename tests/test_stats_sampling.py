@@ -67,6 +67,24 @@ def test_balance_classes_with_repeated_rows_and_no_label(spark):
     assert counts[1] == 3000 and 2700 <= counts[0] <= 3300 and counts[None] == 100
 
 
+def test_copies_are_made_in_pieces(spark):
+    cut = S.pieces(spark.createDataFrame([("a", 5_000_000_000)], "row string, copies long"), "copies")
+    found = cut.agg(F.sum("copies"), F.max("copies"), F.count("*")).first()
+    assert tuple(found) == (5_000_000_000, S.PIECE, -(-5_000_000_000 // S.PIECE))
+    big = spark.createDataFrame([("a", 30_000_000), ("b", 3), ("c", 0), ("c", None)], "row string, copies long")
+    made = S.replicate(big, "copies").groupBy("row", F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in made if r.row == "a") == 30_000_000 and sum(r["count"] for r in made if r.row == "b") == 3
+    assert {r.row for r in made} == {"a", "b"} and len({r.task for r in made if r.row == "a"}) > 1
+    assert max(r["count"] for r in made) < 20_000_000
+
+
+def test_balance_classes_keeps_columns_of_any_name(spark):
+    names = ["_n", "_label", "_rate", "_keep", "_i", "row", "n", "class", "class_n", "rate", "copies", "copy", "piece", "a.b"]
+    df = spark.range(60).select((F.col("id") % 2).alias("label"), *[(F.col("id") * k).alias(c) for k, c in enumerate(names, 1)])
+    out = S.balance_classes(df, "label", ["_n"], 42)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_half_split_subtract_union(spark):
     days = spark.createDataFrame([(dt.date(2000, 1, d),) for d in range(1, 11)], "d date")
     h = {r.half: r["count"] for r in S.half_split(days, "d").groupBy("half").count().collect()}
