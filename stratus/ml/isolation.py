@@ -14,21 +14,23 @@ Spark plan:
 2. Growing: ``groupBy(tree_id).applyInPandas`` - one group per tree, each
    ~``psi`` rows, so every task's memory is bounded regardless of ``n``.
 3. The forest (``t * (2 psi - 1)`` nodes at most, independent of ``n``) is
-   collected and shipped to the executors with the scoring function.
-4. Scoring: ``mapInPandas`` over all rows; per Arrow batch, all trees are
-   walked together as (rows x trees) numpy arrays, one level per step.
+   shipped to the executors with the scoring function.
+4. Scoring: equal feature vectors are counted first (combined map-side); the
+   distinct ones walk all trees together in Arrow batches, as (rows x trees)
+   arrays, one level per step.  Rows get their vector's score by a join; the
+   label counts need no join.
 Rows with a NULL feature are not scored (label NULL), never dropped.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratus.session import checkpoint_root
 
@@ -135,20 +137,6 @@ def mean_path_length(x: np.ndarray, forest: tuple[np.ndarray, ...]) -> np.ndarra
     return (depth + leaf_c[trees, node]).mean(axis=1)
 
 
-def _scorer(features: list[str], forest, c_psi: float):
-    def score(batches):
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            ok = ~np.isnan(x).any(axis=1)
-            s = np.full(len(pdf), np.nan)
-            if ok.any():
-                s[ok] = np.power(2.0, -mean_path_length(x[ok], forest) / c_psi)
-            label = np.where(np.isnan(s), np.nan, np.where(s > 0.5, -1.0, 1.0))
-            yield pdf.assign(score=s, anomaly_score=pd.array(label, dtype="Int32"))
-
-    return score
-
-
 def tree_sample(clean: DataFrame, n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
     """Rows with the ``tree_id`` they are drawn for; ~``psi`` rows a tree."""
     checkpoint_root(clean.sparkSession)
@@ -157,38 +145,57 @@ def tree_sample(clean: DataFrame, n: int, n_trees: int, psi: int, seed: int) ->
     return drawn.withColumn("tree_id", F.explode(trees)).drop("_m").checkpoint(eager=True)
 
 
-def fit_forest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, seed: int = 0):
-    """Grow the forest; returns (packed forest, psi)."""
-    clean = df.select(*[F.col(c).cast("double").alias(c) for c in features]).dropna(subset=features)
+def grow_forest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, seed: int = 0) -> DataFrame:
+    """Node rows of the forest; no rows for an input without complete rows."""
+    clean = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features]).dropna(subset=features)
     n = clean.count()
     if n == 0:
-        return None, 0
+        return df.sparkSession.createDataFrame([], f"{NODE_SCHEMA}, psi long")
     psi = min(max_samples, n)
     depth = max(1, math.ceil(math.log2(max(psi, 2))))
     sample = tree_sample(clean, n, n_trees, psi, seed)
     nodes = sample.groupBy("tree_id").applyInPandas(_tree_builder(features, depth, seed), NODE_SCHEMA)
-    return _pack(nodes.toPandas()), psi
+    return nodes.withColumn("psi", F.lit(psi).cast("long"))
+
+
+def scored_vectors(df: DataFrame, features: list[str], nodes: DataFrame) -> DataFrame:
+    """Distinct complete feature vectors: ``(x, n, score, anomaly_score)``, n their rows.
+
+    The scores are null without trees, or with samples of one row."""
+    x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    vectors = df.select(x.alias("x")).filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    grown = nodes.toPandas()  # t * (2 psi - 1) nodes at most
+    forest = _pack(grown) if len(grown) else None
+    c_psi = c_factor(float(grown["psi"].max())) if len(grown) else 0.0
+
+    def score(batches):
+        for pdf in batches:
+            s = np.full(len(pdf), np.nan)
+            if c_psi > 0 and len(pdf):
+                s = np.power(2.0, -mean_path_length(np.array(pdf["x"].tolist(), dtype=float), forest) / c_psi)
+            yield pdf.assign(score=s)
+
+    scored = vectors.mapInPandas(score, "x array<double>, n long, score double").withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    return scored.withColumn("anomaly_score", F.when(F.col("score") > 0.5, -1).when(F.col("score").isNotNull(), 1))
 
 
 def isolation_forest(
-    df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, seed: int = 0,
-    partitions: int | None = None,
+    df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, seed: int = 0, nodes: DataFrame | None = None,
 ) -> DataFrame:
     """ANO1: every row of ``df`` with ``score`` and ``anomaly_score`` (-1 / 1).
 
-    ``partitions`` deals the rows anew before the CPU-bound scoring, for
-    inputs of few large splits."""
-    forest, psi = fit_forest(df, features, n_trees, max_samples, seed)
-    if psi == 0:
-        return df.withColumns({"score": F.lit(None).cast("double"), "anomaly_score": F.lit(None).cast("int")})
-    out_schema = T.StructType(
-        df.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("anomaly_score", T.IntegerType())]
-    )
-    if partitions:
-        df = df.repartition(partitions)
-    return df.mapInPandas(_scorer(features, forest, c_factor(psi)), out_schema)
-
-
-def anomaly_counts(scored: DataFrame) -> DataFrame:
-    """ANO2: rows per label."""
-    return scored.groupBy("anomaly_score").agg(F.count(F.lit(1)).alias("count"))
+    ``nodes`` is a grown forest (``grow_forest``); without it one is grown here.
+    Equal feature vectors are scored once and joined back."""
+    nodes = grow_forest(df, features, n_trees, max_samples, seed) if nodes is None else nodes
+    known = scored_vectors(df, features, nodes).drop("n")
+    given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("of"))
+    out = given.join(known, F.col("of") == F.col("x"), "left")
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns], "score", "anomaly_score")
+
+
+def anomaly_counts(df: DataFrame, features: list[str], nodes: DataFrame) -> DataFrame:
+    """ANO2: rows per label (NULL for rows with a missing feature), from the distinct vectors alone."""
+    known = scored_vectors(df, features, nodes).groupBy("anomaly_score").agg(F.sum("n").alias("count"))
+    missing = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double")) for c in features])
+    rest = df.filter(missing).groupBy(F.lit(None).cast("int").alias("anomaly_score")).agg(F.count(F.lit(1)).alias("count"))
+    return known.unionByName(rest).groupBy("anomaly_score").agg(F.sum("count").alias("count"))

@@ -7,12 +7,16 @@ value, ts)``; the per-target metric table is a pivot of it.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
+from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions.indexing import sequential_index
+from stratus.ml.models import Fitted
 from stratus.operators.sampling import concat_frames, drop_incomplete
 
 METRIC_NAMES = ["RMSE", "R2", "MAE"]
@@ -64,3 +68,51 @@ def save_model(model, path: str) -> str:
     """RUN5: persist the best model (Spark ML writer, overwrite)."""
     model.write().overwrite().save(path)
     return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Spark's own client of the store that holds ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def made_once(spark: SparkSession, path: str, make: Callable[[str], None]) -> str:
+    """``path``, made by ``make(folder)`` if it isn't there yet.
+
+    It is made in a folder beside it that gets its name when it is whole, so a
+    reader never sees a part of it and a failed maker leaves none.
+    """
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)):
+        draft = f"{path}-{uuid.uuid4().hex[:12]}"
+        make(draft)
+        if not fs.exists(at(path)):
+            fs.rename(at(draft), at(path))
+    return path
+
+
+def save_fitted(spark: SparkSession, fitted: Fitted, path: str) -> None:
+    """RUN5: the model by the ML writer, its parameters, metrics and held-out predictions beside it."""
+    save_model(fitted.model, f"{path}/model")
+    facts = json.dumps({"target": fitted.target, "params": fitted.params, "metrics": fitted.metrics})
+    spark.createDataFrame([(facts,)], "value string").write.text(f"{path}/facts")
+    if fitted.held_out is not None:
+        fitted.held_out.write.parquet(f"{path}/held_out")
+
+
+def load_fitted(spark: SparkSession, path: str) -> Fitted:
+    """What ``save_fitted`` wrote, ready to score."""
+    facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    fs, at = _file_system(spark, path)
+    held_out = spark.read.parquet(f"{path}/held_out") if fs.exists(at(f"{path}/held_out")) else None
+    return Fitted(facts["target"], PipelineModel.load(f"{path}/model"), facts["metrics"], facts["params"], held_out)
+
+
+def fitted_once(spark: SparkSession, path: str, fit: Callable[[], Fitted]) -> Fitted:
+    """The model stored at ``path``; it is fitted and stored by the first who asks."""
+    return load_fitted(spark, made_once(spark, path, lambda draft: save_fitted(spark, fit(), draft)))
+
+
+def table_once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table stored at ``path``; it is made and stored by the first who asks."""
+    return spark.read.parquet(made_once(spark, path, lambda draft: make().write.parquet(draft)))
