@@ -27,7 +27,8 @@ def test_isolation_forest_flags_planted_outliers(spark):
     rows = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(3000)]
     rows += [(10_000 + i, 12.0 + i, -12.0, 15.0) for i in range(5)]
     df = spark.createDataFrame(rows, "k long, a double, b double, c double")
-    scored = isolation.isolation_forest(df, ["a", "b", "c"], n_trees=100, seed=0)
+    nodes = isolation.grow_forest(df, ["a", "b", "c"], n_trees=100, seed=0).checkpoint()
+    scored = isolation.isolation_forest(df, ["a", "b", "c"], nodes=nodes)
     out = {r.k: r for r in scored.collect()}
     assert len(out) == 3005
     assert all(out[10_000 + i].anomaly_score == -1 for i in range(5))
@@ -36,8 +37,8 @@ def test_isolation_forest_flags_planted_outliers(spark):
     # planted points score above 99.5 % of the ordinary ones
     base = sorted(r.score for k, r in out.items() if k < 10_000)
     assert min(out[10_000 + i].score for i in range(5)) > base[int(0.995 * len(base))]
-    counts = {r.anomaly_score: r["count"] for r in isolation.anomaly_counts(scored).collect()}
-    assert sum(counts.values()) == 3005
+    counts = {r.anomaly_score: r["count"] for r in isolation.anomaly_counts(df, ["a", "b", "c"], nodes).collect()}
+    assert counts == {k: sum(r.anomaly_score == k for r in out.values()) for k in (1, -1)}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -54,6 +55,13 @@ def test_isolation_null_features_not_dropped(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 2.0), (4, 1.5)], "k long, a double")
     out = {r.k: r.anomaly_score for r in isolation.isolation_forest(df, ["a"], n_trees=10).collect()}
     assert len(out) == 4 and out[2] is None
+    nodes = isolation.grow_forest(df, ["a"], n_trees=10).checkpoint()
+    counts = {r.anomaly_score: r["count"] for r in isolation.anomaly_counts(df, ["a"], nodes).collect()}
+    assert counts[None] == 1 and sum(counts.values()) == 4
+    none = isolation.isolation_forest(df.filter("a is null"), ["a"]).collect()
+    assert [tuple(r) for r in none] == [(2, None, None, None)]
+    clash = df.withColumns({"x": F.lit(7), "n": F.lit("n"), "row": F.lit("r"), "of": F.lit(1)})
+    assert [r[2:6] for r in isolation.isolation_forest(clash, ["a"], nodes=nodes).collect()] == [(7, "n", "r", 1)] * 4
 
 
 def test_additive_recovers_trend_and_season(spark):
@@ -79,6 +87,48 @@ def test_additive_recovers_trend_and_season(spark):
     assert inside / pred.count() > 0.6
 
 
+def _series(spark, seed, days, slope, change=None):
+    import random
+
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(days):
+        d = dt.date(2000, 1, 1) + dt.timedelta(days=i)
+        bend = 0.03 * max(0, i - change) if change else 0.0
+        rows.append((d, 10 + slope * i + bend + 5 * math.sin(2 * math.pi * (d - dt.date(1970, 1, 1)).days / 365.25) + rnd.gauss(0, 1)))
+    return spark.createDataFrame(rows, "ds date, y double")
+
+
+def test_additive_interval_covers_and_widens(spark):
+    inside = total = 0
+    for seed in (1, 2, 3):
+        df = _series(spark, seed, 2600, 0.004)
+        score, info = fit_additive(df.filter("ds < '2006-06-01'"), "ds", "y", [])
+        out = score(df.filter("ds >= '2006-06-01'")).collect()
+        inside += sum(r.yhat_lower <= r.y <= r.yhat_upper for r in out)
+        total += len(out)
+    assert 0.75 <= inside / total <= 0.85
+    df = _series(spark, 4, 2343, 0.004, change=900)  # its trend has changed, so it may change again
+    score, info = fit_additive(df, "ds", "y", [])
+    future = score(forecast_calendar(spark, "2004-01-01", "2016-01-01").select(F.col("date").alias("ds"))).orderBy("ds").collect()
+    width = [r.yhat_upper - r.yhat_lower for r in future]
+    past = [w for r, w in zip(future, width) if r.ds < dt.date(2006, 6, 1)]
+    assert max(past) - min(past) < 1e-9 and abs(past[0] / info["sigma"] / 2 - 1.2816) < 1e-3
+    ahead = width[len(past) :]
+    assert all(b >= a - 1e-9 for a, b in zip(ahead[::365], ahead[365::365])) and ahead[-1] > 2 * past[0]
+    assert [tuple(r) for r in score(df.limit(0)).collect()] == []
+
+
+def test_additive_trend_is_sparse(spark):
+    """A straight series has no slope change, one bend few of them beside its place."""
+    straight = fit_additive(_series(spark, 4, 1800, 0.01), "ds", "y", [])[1]["changes"]
+    bent = fit_additive(_series(spark, 4, 1800, 0.01, change=700), "ds", "y", [])[1]["changes"]
+    assert sum(abs(c) > 0 for c in straight) <= 5
+    assert sum(abs(c) > 0 for c in bent) <= 12
+    place = [0.8 * j / 26 for j in range(1, 26)]
+    assert abs(sum(p * c for p, c in zip(place, bent)) / sum(bent) - 700 / 1799) < 0.06
+
+
 def test_rain_classifier_separable(spark):
     from stratus.ml import models as MD
 
@@ -149,6 +199,55 @@ def test_vectorised_paths_equal_per_row_walk():
     assert np.allclose(got, want)
 
 
+def _observations(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = []
+    for i in range(1500):
+        day = dt.date(2001, 1, 1) + dt.timedelta(days=rnd.randrange(500))
+        rows.append((str(rnd.randrange(9)), day, 10 + 8 * math.sin(day.timetuple().tm_yday / 58) + rnd.gauss(0, 1), rnd.choice((0.0, 0.0, 1.5, 4.0)), rnd.uniform(-5, 5)))
+    return spark.createDataFrame(rows + [rows[0]] * 30 + [("1", None, 3.0, 1.0, 1.0), ("2", rows[1][1], None, 1.0, 1.0)], "ClimateID string, Datetime date, MaxTempC double, TotalPrecipmm double, MinTempC double")
+
+
+def test_folded_errors_equal_errors_of_the_rows(spark):
+    from stratus.ml import models as MD
+
+    frame = MD._folds(MD.training_frame(_observations(spark)))
+    guess = F.round(F.col("day_of_year") / 20) + F.col("month")
+    cells = MD.fold_rows(frame, "MaxTempC", ["fold", *MD.BASE_FEATURES]).withColumn("prediction", guess)
+    got = MD.folded_errors(cells)
+    want = MD.quality(frame.withColumn("prediction", guess.cast("double")), "MaxTempC")
+    assert got["n"] == want["n"] and math.isclose(got["RMSE"], want["RMSE"], rel_tol=1e-9) and math.isclose(got["R2"], want["R2"], rel_tol=1e-9)
+    assert MD.FoldedRmse().evaluate(cells) == got["RMSE"] and not MD.FoldedRmse().isLargerBetter()
+    assert cells.count() < frame.count() and MD.folded_errors(cells.limit(0))["n"] == 0
+
+
+def test_stored_models_are_scored_without_fitting(spark, tmp_path):
+    from stratus.ml import models as MD
+    from stratus.ml.runs import fitted_once, load_fitted
+
+    frame = MD.training_frame(_observations(spark))
+    path = str(tmp_path / "models" / "MaxTempC")
+    first = fitted_once(spark, path, lambda: MD.fit_temperature(frame, "MaxTempC"))
+    assert set(first.metrics) == {"RMSE", "R2", "MAE", "n"} and first.metrics["R2"] > 0.8 and set(first.params) == {"numTrees", "maxDepth"}
+
+    def refuse():
+        raise AssertionError("fitted again")
+
+    again = fitted_once(spark.newSession(), path, refuse)
+    assert again.metrics == first.metrics and again.params == first.params
+    got = [r[0] for r in MD.score_as(again.model, frame, "p").orderBy("ClimateID", "date", "MinTempC").select("p").collect()]
+    assert got == [r[0] for r in MD.score_as(first.model, frame, "p").orderBy("ClimateID", "date", "MinTempC").select("p").collect()]
+    # a failed maker leaves nothing under the name
+    with pytest.raises(ZeroDivisionError):
+        fitted_once(spark, path + "-x", lambda: 1 / 0)
+    assert not (tmp_path / "models" / "MaxTempC-x").exists()
+    rain = fitted_once(spark, str(tmp_path / "rain"), lambda: MD.fit_rain_classifier(frame))
+    held = load_fitted(spark, str(tmp_path / "rain")).held_out
+    assert held.filter("prediction is null").count() == 0 and held.count() > 100 and 0 <= rain.metrics["AUC"] <= 1
+
+
 def test_additive_fit_equals_least_squares(spark):
     """Without regularisation the Spark fit equals numpy least squares on the same design."""
     import numpy as np
@@ -162,6 +261,7 @@ def test_additive_fit_equals_least_squares(spark):
     pred = np.array([r.yhat for r in score(df).orderBy("ds").collect()])
     x, names = design(df, "ds", F.lit(info["t0"]), F.lit(info["t1"]), [])
     pdf = x.orderBy("ds").select(*names, "y").toPandas()
+    assert score(spark.createDataFrame([(None,)], "ds date")).first()["yhat_upper"] is None
     a = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy()])
     coef, *_ = np.linalg.lstsq(a, pdf["y"].to_numpy(), rcond=None)
     assert np.allclose(pred, a @ coef, atol=1e-4)
