@@ -107,34 +107,77 @@ def same_day_history(
     return out
 
 
+#: Distinct history rows of one page, about: a station-day with more has several pages.
+PAGE_ROWS = 1000
+
+
 def station_days(history: DataFrame, value_col: str = "MaxTempC", date_col: str = "Datetime") -> DataFrame:
-    """Per station and day: sum and count of the value, and the day's rows, all of
-    them with all columns, as sorted JSON texts joined to one piece."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in history.columns]))
-    return history.groupBy(F.col("ClimateID"), F.col(date_col).alias("day")).agg(
-        F.sum(value_col).alias("_s"), F.count(value_col).alias("_n"),
-        F.concat_ws(", ", F.array_sort(F.collect_list(row))).alias("_text"),
-    )
+    """Per station and day: sum and count of the value; ``_m`` and ``_d`` are its month and day of month."""
+    days = history.groupBy(F.col("ClimateID"), F.col(date_col).alias("day")).agg(F.sum(value_col).alias("_s"), F.count(value_col).alias("_n"))
+    return days.withColumns({"_m": F.month("day"), "_d": F.dayofmonth("day")})
 
 
-def reading_normals(readings: DataFrame, days: DataFrame, years: int = 10, time_col: str = TIME) -> DataFrame:
-    """JON7: for each city and day of ``readings``, the mean of the same calendar
-    day in the ``years`` years up to it, and those days' rows as JSON array.
+def history_pages(history: DataFrame, cols: list[str] | None = None, key: str = "ClimateID", date_col: str = "Datetime", page_rows: int = PAGE_ROWS) -> DataFrame:
+    """The history rows as JSON texts, in pages of bounded size: ``(ClimateID, day, page, lines)``.
 
-    Distinct (city, day) pairs meet at most ``years + 1`` station days each;
-    the join is on station, month and day of month.
+    Equal rows are one line with its count (combined map-side); the distinct
+    lines of a station-day are dealt to as many pages as their number asks
+    for by a hash, so a hot station-day spreads over tasks and no fold grows
+    with it.  Who reads a day's evidence sorts its lines.
     """
-    asked = readings.select("City", F.col(time_col).cast("date").alias("on")).filter("on is not null").distinct()
-    days = days.withColumns({"_m": F.month("day"), "_d": F.dayofmonth("day")})
-    met = asked.join(
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in (cols or history.columns)]))
+    lines = history.groupBy(F.col(key).alias("ClimateID"), F.col(date_col).alias("day"), row.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    large = lines.groupBy("ClimateID", "day").agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("pages")).filter("pages > 1")
+    of = lines.alias("l").join(large.alias("p"), F.expr("l.ClimateID <=> p.ClimateID and l.day <=> p.day"), "left")
+    page = F.pmod(F.xxhash64("line"), F.coalesce("pages", F.lit(1))).cast("int")
+    dealt = of.select("l.ClimateID", "l.day", page.alias("page"), "line", "n")
+    return dealt.groupBy("ClimateID", "day", "page").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
+
+
+def _text(lines: Column) -> Column:
+    """Collected pages as one JSON array text, lines sorted, repeated ones written as often."""
+    each = F.transform(F.array_sort(F.flatten(lines)), lambda x: F.array_repeat(x["line"], x["n"].cast("int")))
+    return F.concat(F.lit("["), F.array_join(F.flatten(each), ", "), F.lit("]"))
+
+
+def same_days(asked: DataFrame, days: DataFrame, years: int) -> DataFrame:
+    """``asked(City, on)`` beside the rows of ``days`` of the same station and calendar day in
+    the ``years`` years up to it; the join is on station, month and day of month."""
+    return asked.join(
         days,
         (F.col("City") == F.col("ClimateID")) & (F.month("on") == F.col("_m")) & (F.dayofmonth("on") == F.col("_d"))
         & (F.col("day") <= F.col("on")) & (F.year("day") >= F.year("on") - F.lit(years)),
     )
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("day", "_text"))), lambda t: t["_text"])
-    return met.groupBy("City", "on").agg(
-        (F.sum("_s") / F.sum("_n")).alias("normal"), F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]")).alias("history")
-    )
+
+
+def asked_days(readings: DataFrame, time_col: str = TIME) -> DataFrame:
+    """Distinct ``(City, on)`` of the readings."""
+    return readings.select("City", F.col(time_col).cast("date").alias("on")).filter("on is not null").distinct()
+
+
+def reading_normals(readings: DataFrame, days: DataFrame, years: int = 10, time_col: str = TIME) -> DataFrame:
+    """JON7: for each city and day of ``readings``, the mean of the same calendar
+    day in the ``years`` years up to it: at most ``years + 1`` station days each."""
+    met = same_days(asked_days(readings, time_col), days, years)
+    return met.groupBy("City", "on").agg((F.sum("_s") / F.sum("_n")).alias("normal"))
+
+
+def with_evidence(alerts: DataFrame, pages: DataFrame, years: int = 10, time_col: str = TIME) -> DataFrame:
+    """Alerts with ``history``: the history rows of their calendar days as JSON array
+    text, folded from the pages of those days alone.  Each line begins with the
+    station, then the day: their order is the text's."""
+    days = pages.withColumns({"_m": F.month("day"), "_d": F.dayofmonth("day")})
+    met = same_days(asked_days(alerts, time_col), days, years)
+    told = met.groupBy(F.col("City").alias("_city"), "on").agg(F.array_sort(F.collect_list(F.struct("day", "lines"))).alias("_days"))
+    told = told.select("_city", "on", _day_texts("_days").alias("history"))
+    return alerts.join(told, (F.col("City") == F.col("_city")) & (F.col(time_col).cast("date") == F.col("on")), "left").drop("_city", "on")
+
+
+def _day_texts(days: str) -> Column:
+    """Pages of several days as one text: by day, then by line."""
+    lines = F.flatten(F.transform(days, lambda p: F.transform(p["lines"], lambda x: F.struct(p["day"].alias("day"), x["line"].alias("line"), x["n"].alias("n")))))
+    each = F.transform(F.array_sort(lines), lambda x: F.array_repeat(x["line"], x["n"].cast("int")))
+    return F.concat(F.lit("["), F.array_join(F.flatten(each), ", "), F.lit("]"))
 
 
 def deviation_alert(
@@ -143,9 +186,12 @@ def deviation_alert(
     threshold: float = 5.0,
     years: int = 10,
     value_col: str = "MaxTempC",
+    evidence: bool = True,
 ) -> DataFrame:
-    """STR3 deviation mode + JON7: |reading - normal of the reading's own day| >= threshold."""
-    return deviation_from_days(current, station_days(history, value_col), threshold, years)
+    """STR3 deviation mode + JON7: |reading - normal of the reading's own day| >= threshold.
+    With ``evidence`` the alerts' history rows stand in ``history``."""
+    out = deviation_from_days(current, station_days(history, value_col), threshold, years)
+    return with_evidence(out, history_pages(history), years) if evidence else out
 
 
 def deviation_from_days(current: DataFrame, days: DataFrame, threshold: float = 5.0, years: int = 10) -> DataFrame:
@@ -163,25 +209,14 @@ def deviation_from_days(current: DataFrame, days: DataFrame, threshold: float =
 def history_json(history: DataFrame, cols: list[str], key: str = "ClimateID", day: str = "Datetime") -> DataFrame:
     """AGG6: per station, the history rows as one sorted JSON array text.
 
-    Two levels, so no single task folds a whole station: (1) per station
-    and day, the day's row texts sorted and joined; (2) per station, the
-    (at most years + 1) day pieces joined in day order.  ``cols`` must start
-    with ``key`` and ``day``: every text then begins with the station and
-    the ISO day, so day order followed by in-day order equals sorting all
-    of the station's texts.  Empty input gives no row; an empty group's
-    fold is ``[]`` (``json_array``).
+    The rows come in pages of bounded size (``history_pages``); a station's
+    text is folded from them.  ``cols`` must start with ``key`` and ``day``:
+    every text then begins with the station and the ISO day.  Empty input
+    gives no row; an empty group's fold is ``[]`` (``json_array``).
     """
     if cols[:2] != [key, day]:
         raise ValueError(f"cols must start with {key!r}, {day!r}")
-    row_json = F.to_json(F.struct(*[F.col(c) for c in cols]))
-    per_day = history.groupBy(key, day).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.concat_ws(", ", F.array_sort(F.collect_list(row_json))).alias("_piece"),
-    )
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(day), F.col("_piece"))))
-    return per_day.groupBy(key).agg(
-        F.sum("_n").alias("n_rows"),
-        F.concat(F.lit("["), F.concat_ws(", ", F.transform(pieces, lambda p: p["_piece"])), F.lit("]")).alias(
-            "history_json"
-        ),
-    )
+    pages = history_pages(history, cols, key, day)
+    rows = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    folded = pages.groupBy(F.col("ClimateID").alias(key)).agg(F.sum(rows).alias("n_rows"), F.collect_list("lines").alias("_lines"))
+    return folded.select(key, "n_rows", _text(F.col("_lines")).alias("history_json"))

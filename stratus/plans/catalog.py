@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from stratus.operators import clean, star
 from stratus.plans import inputs as I
+from stratus.sources.tables import table_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,7 +110,7 @@ def deviation_alert(spark: SparkSession, root: str) -> DataFrame:
     from stratus.operators import live
 
     current = live.latest_per_city(I.live(spark, root))
-    out = live.deviation_alert(current, I.obs_values(spark, root), ALERT_THRESHOLD, DEVIATION_YEARS)
+    out = live.deviation_alert(current, I.obs_values(spark, root), ALERT_THRESHOLD, DEVIATION_YEARS, evidence=False)
     return out.select("City", "ObservationTime", "Temperature", "normal", "deviation").transform(_round)
 
 
@@ -419,7 +420,6 @@ def _round(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ machine learning
-_MODEL_CACHE: dict[tuple, dict] = {}
 ALL_TARGETS = ("Rain", "MaxTempC", "MinTempC", "TotalPrecipmm")
 
 
@@ -429,24 +429,32 @@ def _training(spark: SparkSession, root: str) -> DataFrame:
     return training_frame(I.obs_values(spark, root))
 
 
+def _store(spark: SparkSession, root: str, name: str) -> str:
+    """Folder of what is learned from the present state of the table (names, sizes
+    and times of its files), in the shared folder: a changed file asks for new models."""
+    import hashlib
+
+    from stratus.session import checkpoint_root, table_state
+
+    state = hashlib.sha256(repr(table_state(spark, f"{root}/lineitem.parquet")).encode()).hexdigest()[:24]
+    return f"{checkpoint_root(spark)}/stratus/models/{state}/{name}"
+
+
 def _fitted(spark: SparkSession, root: str, targets: tuple[str, ...]) -> dict:
-    """Fit each requested model once per application and state of the table:
-    a changed file (name, size or time) gives new models."""
+    """RUN5: the requested models, loaded from the store; the first who asks fits and stores them."""
     from stratus.ml import models as MD
-    from stratus.session import table_state
+    from stratus.ml.runs import fitted_once
 
-    cache = _MODEL_CACHE.setdefault((spark.sparkContext.applicationId, table_state(spark, f"{root}/lineitem.parquet")), {})
     frame = _training(spark, root)
-    for t in targets:
-        if t in cache:
-            continue
-        if t == "Rain":
-            cache[t] = MD.fit_rain_classifier(frame)
-        elif t == "TotalPrecipmm":
-            cache[t] = MD.fit_precipitation(frame, _fitted(spark, root, ("Rain",))["Rain"].model)
-        else:
-            cache[t] = MD.fit_temperature(frame, t)
-    return cache
+
+    def fit(target: str):
+        if target == "Rain":
+            return MD.fit_rain_classifier(frame)
+        if target == "TotalPrecipmm":
+            return MD.fit_precipitation(frame, _fitted(spark, root, ("Rain",))["Rain"].model)
+        return MD.fit_temperature(frame, target)
+
+    return {t: fitted_once(spark, _store(spark, root, t), lambda t=t: fit(t)) for t in targets}
 
 
 @query("rain_classifier")
@@ -506,21 +514,34 @@ def model_quality(spark: SparkSession, root: str) -> DataFrame:
     return metric_table(spark.read.parquet(path)).drop("run_id", "ts")
 
 
+ANOMALY_FEATURES = ["TotalPrecipmm", "MinTempC", "MaxTempC"]
+
+
+def _forest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The observations and their stored forest."""
+    from stratus.ml.isolation import grow_forest
+    from stratus.ml.runs import table_once
+
+    obs = I.obs_values(spark, root).select("ClimateID", "Datetime", *ANOMALY_FEATURES)
+    return obs, table_once(spark, _store(spark, root, "forest"), lambda: grow_forest(obs, ANOMALY_FEATURES, seed=0))
+
+
 @query("isolation_scores")
 def isolation_scores(spark: SparkSession, root: str) -> DataFrame:
     """ANO1: isolation forest over (precipitation, min, max temperature), every row scored."""
     from stratus.ml.isolation import isolation_forest
 
-    obs = I.obs_values(spark, root).select("ClimateID", "Datetime", "TotalPrecipmm", "MinTempC", "MaxTempC")
-    return isolation_forest(obs, ["TotalPrecipmm", "MinTempC", "MaxTempC"], seed=0)
+    obs, nodes = _forest(spark, root)
+    return isolation_forest(obs, ANOMALY_FEATURES, nodes=nodes)
 
 
 @query("anomaly_counts")
 def anomaly_counts(spark: SparkSession, root: str) -> DataFrame:
-    """ANO2: rows per anomaly label."""
+    """ANO2: rows per anomaly label, by the same forest."""
     from stratus.ml.isolation import anomaly_counts as ac
 
-    return ac(isolation_scores(spark, root))
+    obs, nodes = _forest(spark, root)
+    return ac(obs, ANOMALY_FEATURES, nodes)
 
 
 def _daily_weather(spark: SparkSession, root: str) -> DataFrame:
@@ -639,6 +660,21 @@ def csv_partition_range(spark: SparkSession, root: str) -> DataFrame:
     return found.select("ClimateID", "Datetime", "MaxTempC", "Year", "Month")
 
 
+@query("csv_partition_season")
+def csv_partition_season(spark: SparkSession, root: str) -> DataFrame:
+    """SRC5 + JON2: the Year/Month tree joined to the winter days of the Date dimension; folders are pruned at run time."""
+    from stratus.ml.features import calendar_for
+    from stratus.session import shared_dir
+    from stratus.sources import ingest
+
+    base = shared_dir(spark, "csv-season")
+    obs = I.obs_values(spark, root).select("ClimateID", "Datetime", "MaxTempC", F.year("Datetime").alias("Year"), F.month("Datetime").alias("Month"))
+    ingest.append_partitioned(obs, f"{base}/landed", ["Year", "Month"])
+    tree = ingest.load_partitioned(spark, f"{base}/landed")
+    winter = star.date_dimension(calendar_for(I.obs_values(spark, root), "Datetime")).filter((F.col("season") == "Winter") & (F.col("year") == 1996))
+    return ingest.load_days(tree, winter).select("ClimateID", "Datetime", "MaxTempC", "Year", "Month")
+
+
 @query("api_pages")
 def api_pages(spark: SparkSession, root: str) -> DataFrame:
     """SRC1 + SRC2 + SNK1: orders landed as API pages of <= 1000 results,
@@ -722,16 +758,17 @@ def precip_profile_text(spark: SparkSession, root: str) -> DataFrame:
 
 @query("staging_table")
 def staging_table(spark: SparkSession, root: str) -> DataFrame:
-    """SNK4 + SNK6: the cleaned table written by overwrite, then rewritten as a new
-    table with the added ``DatetimeStrg`` column (a Parquet table cannot
-    overwrite itself while being read)."""
+    """SNK4 + SNK6 + SRC7: the cleaned table written by overwrite, registered, and rewritten
+    by name with the added ``DatetimeStrg`` column; the rows are a scan of the named table."""
     from stratus.session import shared_dir
     from stratus.sources import ingest
 
     base = shared_dir(spark, "staging")
     ingest.overwrite_path(I.clean_obs(spark, root), f"{base}/clean")
-    out = ingest.rewrite_with_column(spark, f"{base}/clean", f"{base}/clean_v2", clean.with_date_string)
-    return out.transform(decimals_to_double)
+    name = "staging_" + base.rsplit("-", 1)[-1]
+    ingest.publish_table(spark.read.parquet(f"{base}/clean"), name, base)
+    ingest.rewrite_table(spark, name, clean.with_date_string, base)
+    return table_scan(spark, name).transform(decimals_to_double)
 
 
 @query("forecast_table")

@@ -504,6 +504,11 @@ SELECT ClimateID, Datetime, MaxTempC, CAST(year(Datetime) AS INTEGER) AS Year, C
 FROM obs WHERE year(Datetime) BETWEEN 1995 AND 1996 AND month(Datetime) BETWEEN 4 AND 6
 """
 
+ORACLE["csv_partition_season"] = with_(OBS_VALUES) + """
+SELECT ClimateID, Datetime, MaxTempC, CAST(year(Datetime) AS INTEGER) AS Year, CAST(month(Datetime) AS INTEGER) AS Month
+FROM obs WHERE year(Datetime) = 1996 AND month(Datetime) IN (12, 1, 2)
+"""
+
 ORACLE["api_pages"] = """
 SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date, o_totalprice AS value,
        CAST(o_custkey AS VARCHAR) AS station,

@@ -9,7 +9,8 @@ parameter: Parquet by default; Delta works where its package is installed.
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from stratus.functions.columns import col_of
 from stratus.operators.clean import drop_header_rows, retype, sanitize_columns
 from stratus.operators.sampling import concat_frames
 from stratus.schema import API_STATION, LIVE_JSON
+from stratus.session import checkpoint_root
 from stratus.sources.views import CSV_HEADERS
 
 
@@ -57,21 +59,46 @@ def load_station_catalogue(spark: SparkSession, path: str, multi_line: bool = Tr
 NULL_MARK = "\\N"
 
 
+def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, header)``: the first line of every file.
+
+    A task reads one split of one file and stops after its first line, so of a
+    long file a buffer is read, not the whole.
+    """
+
+    def head(parts):
+        for part in parts:
+            if part.num_rows:
+                yield part.slice(0, 1)
+                return
+
+    lines = spark.read.text(paths).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("header"))
+    # a split counts as a full partition: no two share a task; one row a batch: no more lines are read than asked for
+    held = {"spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        checkpoint_root(spark)
+        return lines.mapInArrow(head, "file string, start long, header string").filter("start = 0").select("file", "header").checkpoint(eager=True)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def load_daily_csv(spark: SparkSession, paths: str | Iterable[str], sanitize: bool = True,
                    null_value: str = NULL_MARK) -> DataFrame:
     """SRC4 (+PRJ2): daily climate CSV files, header row, every column a
     string; names cleaned of symbols.
 
     Each file is read by its own header: files are grouped by their header
-    line, one scan per distinct header, and united by name; a column that a
+    line (``first_lines``), one scan per distinct header, and united by name; a column that a
     file lacks is NULL there.  An empty field stays the empty string (as a CSV
     dictionary reader gives it), so the blank rules of the cleaning step apply;
     only ``null_value`` text reads as NULL.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.option("wholetext", "false").text(paths).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()  # file names, one list per header
+    groups = first_lines(spark, paths).groupBy("header").agg(F.collect_list("file").alias("files")).collect()  # file names, one list per header
     frames = []
     for group in sorted(groups, key=lambda g: g["header"]):
         names = next(csv.reader([group["header"].lstrip("\ufeff")]))
@@ -101,6 +128,17 @@ def load_partitioned(
     return df
 
 
+def load_days(tree: DataFrame, dates: DataFrame, date_col: str = "Datetime", year_col: str = "Year", month_col: str = "Month") -> DataFrame:
+    """SRC5 + JON2: rows of a ``Year=/Month=`` tree on the days of ``dates`` (date, year, month).
+
+    The folder columns stand in the join beside the day, so the folders to
+    read follow from the dimension's rows at run time (dynamic partition pruning).
+    """
+    days = dates.select(F.col("date").alias("_date"), F.col("year").alias("_year"), F.col("month").alias("_month"))
+    on = (F.col(date_col) == F.col("_date")) & (F.col(year_col) == F.col("_year")) & (F.col(month_col) == F.col("_month"))
+    return tree.join(days, on).drop("_date", "_year", "_month")
+
+
 def load_parquet_file(spark: SparkSession, path: str) -> DataFrame:
     """SRC6: a single parquet part file."""
     return spark.read.parquet(path)
@@ -232,12 +270,38 @@ def append_table(df: DataFrame, name: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).mode("append").saveAsTable(name)
 
 
+def publish_table(df: DataFrame, name: str, folder: str | None = None, fmt: str = "parquet") -> None:
+    """``df`` as the new content of the named table, whatever its schema.
+
+    The rows are written to a table beside it, then the name, a view, is turned
+    to it in one step of the catalog: readers by name see the old table or the
+    new one, and a failed writer changes nothing.  The table before stays for
+    readers under way, older ones are dropped.  ``folder`` is where the files
+    go (default: the warehouse).
+    """
+    spark = df.sparkSession
+    version = f"{name}__{uuid.uuid4().hex[:12]}"
+    before = spark.catalog.getTable(name).description if spark.catalog.tableExists(name) else None
+    writer = df.write.format(fmt)
+    (writer.option("path", f"{folder}/{version}") if folder else writer).saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} COMMENT '{version}' AS SELECT * FROM {version}")
+    for t in spark.catalog.listTables():
+        if t.name.startswith(f"{name}__") and t.name not in (version, before):
+            spark.sql(f"DROP TABLE {t.name}")
+
+
+def rewrite_table(spark: SparkSession, name: str, fn: Callable[[DataFrame], DataFrame], folder: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """SNK6: rewrite a named table with a changed schema, in place for all who read it by name."""
+    publish_table(fn(spark.table(name)), name, folder, fmt)
+    return spark.table(name)
+
+
 def rewrite_with_column(spark: SparkSession, source_path: str, target_path: str, fn, fmt: str = "parquet") -> DataFrame:
     """SNK6: rewrite a table with a changed schema.
 
-    A Parquet table cannot overwrite itself while being read, so the result
-    goes to a new path (the caller swaps names); Delta's overwriteSchema does
-    the same in place where available.
+    By path: a Parquet table cannot overwrite itself while being read, so the
+    result goes to a new path (``rewrite_table`` swaps by name); Delta's
+    overwriteSchema does the same in place where available.
     """
     out = fn(spark.read.format(fmt).load(source_path))
     out.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").save(target_path)

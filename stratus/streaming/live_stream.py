@@ -10,8 +10,9 @@
 * STR3-5 ``alert_stream``: per micro-batch, absolute or deviation alerts
   appended to an alert table partitioned by batch id; a replayed batch
   overwrites its own partition instead of adding duplicates (idempotent
-  ``foreachBatch``).  The history is summed to station days once per start
-  and checkpointed, not read again for every micro-batch.
+  ``foreachBatch``).  The history is summed to station days once per start,
+  into a bucketed table that no micro-batch shuffles; its rows are written in
+  pages once, and an alert's evidence text is folded from them on read.
 * SNK7: the sink is a ``format`` parameter of ``foreachBatch`` writers.
 
 Landing helpers write the driver's ``events`` table as nested live JSON
@@ -20,12 +21,15 @@ documents, so the streams can be checked against the batch operators.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.operators import live as L
 from stratus.schema import LIVE_JSON
-from stratus.session import checkpoint_root, shared_dir
+from stratus.session import shared_dir
 from stratus.sources.ingest import flatten_live
 
 
@@ -92,6 +96,13 @@ def latest_state_stream(spark: SparkSession, source: str, target: str, checkpoin
     state = L.latest_per_city(read_live_stream(spark, source, files_per_trigger))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # used on both sides below; the stateful plan runs once
+        try:
+            merge(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
         known = [v for v in versions(spark, target) if v < batch_id]
         out = batch
         if known:
@@ -142,15 +153,39 @@ def alert_batches(batch: DataFrame, threshold: float, days: DataFrame | None, ye
 def alert_schema(deviation: bool) -> str:
     """Columns of the alert table, so that it can be read before any alert was written."""
     base = "City string, ObservationTime timestamp_ntz, currentTemp decimal(10,2), text string, go int"
-    return base + (", normal double, deviation double" if deviation else "") + ", audit timestamp, batch_id bigint"
+    return base + (", normal double, deviation double, start string, years int" if deviation else "") + ", audit timestamp, batch_id bigint"
 
 
 def read_alerts(spark: SparkSession, target: str, deviation: bool = False, fmt: str = "parquet") -> DataFrame:
-    """The alert table; empty where no alert was written."""
+    """The alert table; empty where no alert was written.
+
+    Deviation alerts refer to the pages of history that their stream wrote
+    when it started; the evidence text is folded here, for the alerts' days.
+    """
     path, fs = _path(spark, target)
     if not fs.exists(path):
-        return spark.createDataFrame([], alert_schema(deviation))
-    return spark.read.format(fmt).schema(alert_schema(deviation)).load(target)
+        return spark.createDataFrame([], alert_schema(deviation)).drop("start", "years")
+    alerts = spark.read.format(fmt).schema(alert_schema(deviation)).load(target)
+    if not deviation:
+        return alerts
+    parts = []
+    for row in alerts.select("start", "years").distinct().collect():  # one per start of the stream
+        some = alerts.filter(F.col("start") == row["start"])
+        told = L.with_evidence(some, spark.read.parquet(f"{target}-history/{row['start']}"), row["years"])
+        text = F.concat(F.lit('{"current": '), F.col("text"), F.lit(', "history": '), F.coalesce("history", F.lit("[]")), F.lit("}"))
+        parts.append(told.withColumn("text", text).select(alerts.columns).drop("start", "years"))
+    return reduce(DataFrame.unionByName, parts) if parts else alerts.drop("start", "years")
+
+
+def bucketed_days(spark: SparkSession, history: DataFrame, path: str) -> str:
+    """Station days as a table in buckets of station, month and day of month: a join
+    of readings with their calendar days takes them as they lie.  Returns its name."""
+    name = f"stratus_days_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = ["ClimateID", "_m", "_d"]
+    days = L.station_days(history).repartition(buckets, *place)
+    days.write.bucketBy(buckets, *place).sortBy(*place).option("path", path).saveAsTable(name)
+    return name
 
 
 def alert_stream(
@@ -160,18 +195,23 @@ def alert_stream(
     """STR3-STR5 + SNK7: alerts appended per micro-batch with their audit time, idempotent by batch id.
 
     In deviation mode the history is summed to station days once, when the
-    stream starts, and checkpointed to the shared folder: a stream-static join
-    would otherwise re-read the whole history for every micro-batch.
+    stream starts, into a bucketed table that no micro-batch shuffles, and its
+    rows are written as pages beside the alerts (``<target>-history``), to
+    which the alerts refer by ``start`` (and ``years``, the evidence's span).
     """
-    days = None
+    name, start = None, uuid.uuid4().hex[:12]
     if history is not None:
-        checkpoint_root(spark)
-        days = L.station_days(history).checkpoint(eager=True)
+        name = bucketed_days(spark, history, shared_dir(spark, "station-days"))
+        L.history_pages(history).write.parquet(f"{target}-history/{start}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = alert_batches(batch, threshold, days, years).withColumns({"audit": F.current_timestamp(), "batch_id": F.lit(batch_id)})
+        # the table of the batch's own session: the stream runs in a copy of the caller's
+        days = batch.sparkSession.table(name) if name else None
+        out = alert_batches(batch, threshold, days, years)
+        out = out.withColumns({"start": F.lit(start), "years": F.lit(years)}) if name else out
         (
-            out.write.format(fmt)
+            out.withColumns({"audit": F.current_timestamp(), "batch_id": F.lit(batch_id)})
+            .write.format(fmt)
             .mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id")
@@ -186,6 +226,8 @@ def alert_stream(
         .start()
     )
     q.awaitTermination()
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return q
 
 

@@ -4,6 +4,7 @@ import json
 import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratus.operators import live as L
@@ -244,3 +245,86 @@ def test_evidence_holds_every_history_row_with_all_columns(spark, tmp_path):
         assert [r["Datetime"] for r in got] == sorted(r["Datetime"] for r in got)
         several += len(met) > len({d for d, _ in met})
     assert len(alerts) == L.deviation_alert(live_readings(events), hist, 5.0, years=30).count() and several > 0
+
+
+def test_hot_station_day_spreads_over_pages_and_tasks(spark):
+    hot = spark.range(60_000).select(F.lit("S").alias("ClimateID"), F.lit("2020-01-10").cast("date").alias("Datetime"), F.col("id").cast("double").alias("MaxTempC"))
+    same = spark.range(50_000).select(F.lit("S").alias("ClimateID"), F.lit("2020-01-10").cast("date").alias("Datetime"), F.lit(-1.0).alias("MaxTempC"))
+    hist = hot.unionByName(same).unionByName(hot.limit(1).withColumn("ClimateID", F.lit(None).cast("string")))
+    pages = L.history_pages(hist, page_rows=1000)
+    assert "page" in pages.columns
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = pages.withColumns({"task": F.spark_partition_id(), "size": F.size("lines")}).filter("ClimateID = 'S'").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(found) == 61 and max(r["size"] for r in found) < 1300 and len({r.task for r in found}) > 1
+    assert sum(x["n"] for r in found for x in r["lines"]) == 110_000
+    import datetime as dt
+
+    alerts = spark.createDataFrame([("S", dt.datetime(2023, 1, 10, 8)), ("S", dt.datetime(2023, 1, 11, 8))], "City string, ObservationTime timestamp_ntz")
+    told = {r.ObservationTime.day: r.history for r in L.with_evidence(alerts, pages).collect()}
+    lines = sorted(r.j for r in hist.filter("ClimateID = 'S'").select(F.to_json(F.struct("*")).alias("j")).collect())
+    assert told == {10: "[" + ", ".join(lines) + "]", 11: None}
+
+
+def test_micro_batches_do_not_shuffle_the_history(spark, tmp_path):
+    from stratus.sources.views import live_readings, observation_values
+
+    hist = observation_values(read_table(spark, SF_SMALL, "lineitem"))
+    name = LS.bucketed_days(spark, hist, str(tmp_path / "days"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        readings = live_readings(read_table(spark, SF_SMALL, "events"))
+        met = L.same_days(L.asked_days(readings), spark.table(name), 30)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Bucketed: true") == 1
+        history_side = plan[plan.index("Bucketed: true") - 600 : plan.index("Bucketed: true")]
+        assert "Exchange" not in history_side.split("SortMergeJoin")[-1].split("+- *(")[-1]
+        assert plan.count("Exchange") == 2  # the distinct readings and their move to the buckets
+        want = L.reading_normals(readings, L.station_days(hist), 30)
+        got = L.reading_normals(readings, spark.table(name), 30)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_header_discovery_reads_a_buffer_of_each_file(spark, tmp_path):
+    for k in range(3):
+        with open(tmp_path / f"{k}.csv", "w") as f:
+            f.write(f"Climate ID,h{k % 2}\n")
+            f.writelines(f"{i},{'x' * 300}\n" for i in range(9000))
+    (tmp_path / "one.csv").write_text("Climate ID,h0\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        found = {r.file.rsplit("/", 1)[-1]: r.header for r in ingest.first_lines(spark, [str(tmp_path)]).collect()}
+        rows = ingest.load_daily_csv(spark, str(tmp_path))
+        assert rows.count() == 27_000 and set(rows.columns) == {"ClimateID", "h0", "h1"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {"0.csv": "Climate ID,h0", "1.csv": "Climate ID,h1", "2.csv": "Climate ID,h0", "one.csv": "Climate ID,h0"}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "1"
+
+
+def test_named_table_is_rewritten_in_one_step(spark, tmp_path):
+    name = "stratus_test_named"
+    ingest.publish_table(spark.range(5).withColumn("d", F.lit("2020-01-02")), name, str(tmp_path))
+    reader = spark.table(name)
+    with pytest.raises(Exception, match="no such day"):
+        ingest.rewrite_table(spark, name, lambda x: x.withColumn("e", F.raise_error(F.lit("no such day"))), str(tmp_path))
+    assert spark.table(name).columns == ["id", "d"] and spark.table(name).count() == 5
+    for k in range(3):
+        out = ingest.rewrite_table(spark, name, lambda x, k=k: x.withColumn(f"e{k}", F.col("d").cast("date")), str(tmp_path))
+        assert out.columns[-1] == f"e{k}" and out.count() == 5
+        assert k or reader.count() == 5  # a reader under way still has the table before
+    assert sum(t.name.startswith(f"{name}__") for t in spark.catalog.listTables()) == 2
+    spark.sql(f"DROP VIEW {name}")
+
+
+def test_folders_are_pruned_by_the_dimension(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    plan = queries()["csv_partition_season"](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
