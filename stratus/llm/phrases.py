@@ -11,8 +11,10 @@ bound by its partition's mass, and the number of partitions follows the
 input.
 
 Second pass: the texts are read again, n-grams whose hash doesn't survive are
-dropped, by a bitmap of fixed size where the texts are and by a join on the
-hash after it, and the others are counted exactly, by their words.
+dropped where the texts are, by a filter of fixed size, and the others are
+counted exactly, by their words; those below the threshold go.  (Beyond some
+10^8 survivors the filter lets more and more through, which costs shuffle, not
+correctness.)
 
 The counts of a phrase's parts, cuts, scores and ranks are DataFrame steps.
 """
@@ -31,8 +33,8 @@ from stratus.llm.common import cut
 
 MASS = 4_000_000  # n-gram occurrences of a hash partition, about
 SLACK = 4  # capacity, in multiples of the least one: a larger summary lets fewer rare n-grams survive
-CHUNK = 10 << 20  # bytes of text counted together, about
-BITS = 26  # the bitmap has 2^BITS bits (8 MiB), whatever the input
+CHUNK = 20 << 20  # bytes of text counted together, about
+BITS, PROBES = 27, 3  # the filter has 2^BITS bits (16 MiB), whatever the input, PROBES of them for each hash
 
 #: A-Z to a-z; ends of pieces to \n.
 FOLD = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -58,16 +60,17 @@ class Words:
         known = packed.dictionary_encode()
         self.codes, self.known = known.indices.to_numpy().astype(np.int64), known.dictionary
 
-    def hashes(self, lang: str, longest: int) -> list[np.ndarray]:
+    def hashes(self, lang: str, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         """For n = 1 .. longest: the hash of the n words from each word on (those of one piece only count, see ``whole``)."""
         import xxhash
 
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8"))
         own = np.array([xxhash.xxh64_intdigest(w.as_py(), seed) for w in self.known], dtype=np.uint64)[self.codes]
-        out = [mixed(own)]
-        for n in range(2, longest + 1):
-            out.append(mixed(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + own[n - 1 :] + np.uint64(n)) if len(out[-1]) else out[-1])
-        return out
+        last = mixed(own)
+        for n in range(1, longest + 1):
+            if n > 1 and len(last):
+                last = mixed(last[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[n - 1 :] + np.uint64(n))
+            yield n, last
 
     def whole(self, n: int) -> np.ndarray:
         """Places from which n words stand in one piece."""
@@ -153,10 +156,7 @@ def _counted(partitions: int, longest: int):
 
     def run(parts):
         for lang, words in chunks(parts):
-            gram = words.hashes(lang, longest)
-            found = np.concatenate([gram[n - 1][words.whole(n)] for n in range(1, longest + 1)])
-            del gram
-            found = named(found, partitions)
+            found = np.concatenate([named(h[words.whole(n)], partitions) for n, h in words.hashes(lang, longest)])
             found.sort()
             new = np.flatnonzero(np.diff(found, prepend=~found[:1]) != 0)
             counts = np.diff(np.append(new, len(found))).astype(np.uint32)
@@ -226,11 +226,20 @@ def survivors(texts: DataFrame, longest: int, threshold: int, partitions: int) -
     return cut(counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_summarised(threshold), "h long, lang string, n long"))
 
 
+def places(h: np.ndarray) -> list[np.ndarray]:
+    """Bits of the filter for each hash."""
+    return [mixed(h + np.uint64(k)) >> np.uint64(64 - BITS) for k in range(1, PROBES + 1)]
+
+
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits of the surviving hashes, 2^BITS of them."""
-    at = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
-    found = words.toArrow()  # at most 2^(BITS - 6) rows
+    """The filter's bits of the surviving hashes."""
+
+    def run(parts):
+        for part in parts:
+            at = np.concatenate(places(part.column(0).to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["w", "b"])
+
+    found = hashes.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2^(BITS - 6) rows
     out = np.zeros(1 << (BITS - 6), dtype=np.int64)
     out[found.column("w").to_numpy()] = found.column("b").to_numpy()
     return out.view(np.uint64)
@@ -242,14 +251,14 @@ def _exact(bits, longest: int, partitions: int):
     def run(parts):
         held = bits.value
         for lang, words in chunks(parts):
-            gram = words.hashes(lang, longest)
             text, base = words.known.cast(pa.large_string()), len(words.known)
-            for n in range(1, longest + 1):
+            for n, gram in words.hashes(lang, longest):
                 at = words.whole(n)
-                h = named(gram[n - 1][at], partitions)
-                low = h & np.uint64((1 << BITS) - 1)
-                kept = (held[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                at, h = at[kept], h[kept]
+                h = named(gram[at], partitions)
+                for p in places(h):
+                    kept = (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+                    at = np.where(kept, at, -1)
+                at = at[at >= 0]
                 if not len(at):
                     continue
                 key = words.codes[at]
@@ -262,8 +271,8 @@ def _exact(bits, longest: int, partitions: int):
                     hi = min(lo + (1 << 16), len(place))
                     m = hi - lo
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[first[lo:hi]].view(np.int64)), pa.array([lang] * m, pa.string()), pa.array([n] * m, pa.int32()), phrase[lo:hi].cast(pa.string()), pa.array(many[lo:hi].astype(np.int64))],
-                        names=["h", "lang", "size", "phrase", "f"],
+                        [pa.array([lang] * m, pa.string()), pa.array([n] * m, pa.int32()), phrase[lo:hi].cast(pa.string()), pa.array(many[lo:hi].astype(np.int64))],
+                        names=["lang", "size", "phrase", "f"],
                     )
 
     return run
@@ -277,9 +286,9 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, threshold: int = 10, lan
     found = survivors(texts, longest, threshold, partitions)
     hashes = found.filter("h is not null").select("h")
     bits = spark.sparkContext.broadcast(bitmap(hashes))
-    rows = texts.mapInArrow(_exact(bits, longest, partitions), "h long, lang string, size int, phrase string, f long")
-    counts = rows.join(hashes, "h", "left_semi").groupBy("h", "lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= threshold)
-    return cut(counts.select("lang", "size", "phrase", "f")), found.filter("h is null").groupBy("lang").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(_exact(bits, longest, partitions), "lang string, size int, phrase string, f long")
+    counts = rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= threshold)
+    return cut(counts), found.filter("h is null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _part(phrase: str, first: Column, many: Column) -> Column:
@@ -319,8 +328,10 @@ def collocations(docs: DataFrame, longest: int = 3, threshold: int = 10, share:
     )
     asked = wide.select("lang", "phrase", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.k", "c.side", "c.part")
     known = counts.select("lang", F.col("phrase").alias("part"), F.col("f").alias("of"))
-    sides = asked.join(known, ["lang", "part"]).groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("side") == 0, F.col("of"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("of"))).alias("r"))
-    scored = sides.withColumn("score", cut_score()).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
+    # at most 2 (longest - 1) counts of a phrase
+    sides = asked.join(known, ["lang", "part"]).groupBy("lang", "phrase", "a").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k") * 2 + F.col("side"), F.col("of")))).alias("of"))
+    parts = sides.withColumn("k", F.explode(F.sequence(F.lit(1), F.expr("cast(size(of) / 2 as int)")))).select("lang", "phrase", "a", "k", F.element_at("of", F.col("k") * 2).alias("l"), F.element_at("of", F.col("k") * 2 + 1).alias("r"))
+    scored = parts.select("lang", "phrase", "a", F.struct(cut_score().alias("score"), "k", "l", "r").alias("best")).groupBy("lang", "phrase", "a").agg(F.min("best").alias("best"))
     inside = F.flatten(
         F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: _part("phrase", i, m)))
     )
