@@ -7,11 +7,12 @@
 3. A task per shard builds the graph: greedy searches from the shard's centre
    propose neighbours, and pruning keeps a neighbour only if no kept one is
    closer to it by the factor ``alpha``, so edges are diverse.
-4. Blocks of queries search each shard by beam search; the best of all shards
+4. A shard is one packed row.  Queries are dealt to all shards; a task holds a
+   shard and streams its queries past it by beam search.  The best of all shards
    are ranked by their exact cosine, which the scaled vectors give as well.
 
-A task holds one shard and one block of queries, both of bounded size; more
-data give more tasks.
+A task holds one shard and one batch of queries, both of bounded size; more
+data give more tasks, and no shard is copied.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratus.llm.common import cut
 
 SHARD = 4096  # points of a graph, about
-BLOCK = 4096  # queries of a task, about
+BLOCK = 512  # queries searched together
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 
 
@@ -185,60 +187,73 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     """
     points, sizes = points_of(vectors, id_col, vector_col, k, shard)
     asked = queries.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda c: c + F.lit(0.0)).alias("q")).distinct()
-    asked = cut(asked)
-    blocks = max(1, math.ceil(asked.count() / block))
     many = shard_counts(sizes, shard)
-    dealt = asked.withColumn("dim", F.size("q")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.element_at(many, F.col("dim")) - 1)))  # a length without vectors has no shards
-    index = cut(points.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, v array<double>, ids array<long>, edges array<int>, start boolean"))
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search(left, right, k, beam)
-
-    found = spread.groupBy("dim", "shard", "block").cogroup(dealt.groupBy("dim", "shard", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
+    index = cut(points.groupBy("dim", "shard").applyInPandas(_build, SHARD_ROW))
+    asked = asked.withColumn("dim", F.size("q"))  # a length without vectors has no shards
+    dealt = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.element_at(many, F.col("dim")) - 1))).withColumn("kind", F.lit(1))
+    rows = index.withColumn("kind", F.lit(0)).unionByName(dealt, allowMissingColumns=True).select("dim", "shard", "kind", "v", "owners", "owned", "edges", "start", "query_id", "q")
+    rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    found = rows.mapInArrow(_searched(k, beam, block), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+#: A shard as one row: vectors, ids of each point (``owners``, ``owned`` of them), out-neighbours, first point.
+SHARD_ROW = "dim int, shard int, v binary, owners binary, owned binary, edges binary, start int"
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(1, keepdims=True)  # first by the largest component: squares stay finite
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    points = unit(np.array(pdf["v"].tolist(), dtype=np.float64)).astype(np.float32)
-    order = np.lexsort(np.array(pdf["v"].tolist()).T[::-1])  # the same graph whatever order the rows came in
-    points = points[order]
-    graph, start = build_graph(points)
-    out = pdf.iloc[order].reset_index(drop=True)
-    return out.assign(edges=[e[e >= 0].tolist() for e in graph], start=np.arange(len(points)) == start)[["dim", "shard", "v", "ids", "edges", "start"]]
-
-
-def _search(shard: pd.DataFrame, queries: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
-    if not len(shard) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    # edges are row numbers in the sorted order of vectors, as the build left them
-    raw = np.array(shard["v"].tolist(), dtype=np.float64)
-    order = np.lexsort(raw.T[::-1])
-    shard, raw = shard.iloc[order].reset_index(drop=True), raw[order]
-    points = unit(raw).astype(np.float32)
-    graph = np.full((len(shard), DEGREE), -1)
-    for i, e in enumerate(shard["edges"]):
-        graph[i, : len(e)] = e
-    asked = np.array(queries["q"].tolist(), dtype=np.float64)
-    start = int(np.flatnonzero(shard["start"].to_numpy())[0])
-    owners = shard["ids"].tolist()
-    exact_points, exact_asked, names = unit(raw), unit(asked), queries["query_id"].tolist()
+    raw = np.array(pdf["v"].tolist(), dtype=np.float64)
+    order = np.lexsort(raw.T[::-1])  # the same graph whatever order the rows came in
+    raw, owners = raw[order], [pdf["ids"].iloc[i] for i in order]
+    graph, start = build_graph(unit(raw).astype(np.float32))
+    row = [int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), raw.tobytes(), np.concatenate(owners).astype(np.int64).tobytes(), np.array([len(o) for o in owners], dtype=np.int32).tobytes(), graph.astype(np.int32).tobytes(), start]
+    return pd.DataFrame([row], columns=["dim", "shard", "v", "owners", "owned", "edges", "start"])
+
+
+def _searched(k: int, beam: int, block: int):
+    """mapInArrow function over rows sorted by (dim, shard, kind): a task holds one shard and streams its queries."""
+
+    def run(parts):
+        held, shard = None, None
+        for part in parts:
+            place = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+            kinds = part.column(2).to_pylist()
+            lo = 0
+            while lo < len(place):
+                hi = lo + 1
+                while hi < len(place) and place[hi] == place[lo] and kinds[hi] == kinds[lo]:
+                    hi += 1
+                if kinds[lo] == 0:
+                    row = part.slice(lo, 1).to_pylist()[0]
+                    exact = unit(np.frombuffer(row["v"], np.float64).reshape(-1, row["dim"]))
+                    ends = np.cumsum(np.frombuffer(row["owned"], np.int32))
+                    owners = np.split(np.frombuffer(row["owners"], np.int64), ends[:-1])
+                    held, shard = place[lo], (exact, exact.astype(np.float32), np.frombuffer(row["edges"], np.int32).reshape(len(exact), -1).astype(np.int64), row["start"], owners)
+                elif place[lo] == held:
+                    some = part.slice(lo, hi - lo)
+                    yield _search(shard, some.column(8).to_pylist(), unit(np.array(some.column(9).to_pylist(), dtype=np.float64)), k, beam, block)
+                lo = hi
+
+    return run
+
+
+def _search(shard: tuple, names: list[int], asked: np.ndarray, k: int, beam: int, block: int) -> pa.RecordBatch:
+    exact, points, graph, start, owners = shard
     out_q, out_v, out_s = [], [], []
-    for lo in range(0, len(asked), 512):
-        found, _ = beam_search(points, graph, start, exact_asked[lo : lo + 512].astype(np.float32), beam)
+    for lo in range(0, len(asked), block):
+        found, _ = beam_search(points, graph, start, asked[lo : lo + block].astype(np.float32), beam)
         for i, ids in enumerate(found, start=lo):
             ids = ids[ids >= 0]
-            scores = exact_points[ids] @ exact_asked[i]
-            pairs = sorted(((-s, v) for s, p in zip(scores.tolist(), ids.tolist()) for v in owners[p] if v != names[i]))[:k]
+            scores = exact[ids] @ asked[i]
+            pairs = sorted(((-s, v) for s, p in zip(scores.tolist(), ids.tolist()) for v in owners[p].tolist() if v != names[i]))[:k]
             out_q += [names[i]] * len(pairs)
             out_v += [v for _, v in pairs]
             out_s += [-s for s, _ in pairs]
-    return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s})
+    return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
