@@ -43,3 +43,32 @@ def test_stages_and_run(spark, tmp_path):
     last = [tuple(r) for r in states[5].select("doc_id", "n_tokens", "decoded_sha256").collect()]
     assert sorted(last) == sorted((d, len(coder.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for d, t in texts.items())
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF_SMALL).select("doc_id", "n_tokens", "decoded_sha256").collect()) == sorted(last)
+
+
+NAMES = ["__key", "__id", "__of", "__gone", "__lines", "__said", "__text_key", "__keep_id", "__keep_key", "__stat_chars", "__score", "__k0", "__k1", "row", "id", "key", "of_id", "of_key", "gone", "lines", "said", "copies", "score", "text_key", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Null, empty, repeated and very long texts under extra columns named like those the operators make."""
+    from stratus.llm import decontaminate, linededup, quality, simhash
+
+    passage = "\n".join(f"line {i} of a passage that stands in two documents" for i in range(4))
+    item = "one two three four five six seven eight nine ten"
+    texts = [(1, passage), (2, f"before\n{passage}\nafter"), (3, None), (4, ""), (5, "same text here"), (5, "same text here"), (6, f"x {item} y"), (None, "no id"), (7, "long words " * 20_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs = docs.select("*", *[(F.coalesce("doc_id", F.lit(0)) * 1.5 + k).alias(c) for k, c in enumerate(NAMES)])
+    extra = {tuple(r) for r in docs.drop("text").collect()}
+    labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = {
+        "lines": linededup.dedup_lines(docs),
+        "near": simhash.drop_near_duplicates(docs, 4, 0),
+        "bench": decontaminate.drop_contaminated(docs, items),
+        "good": quality.keep_good(docs, labels, threshold=0.0),
+    }
+    rows = {k: v.collect() for k, v in out.items()}
+    for k, df in out.items():
+        assert df.columns == docs.columns and {tuple(x for c, x in zip(df.columns, r) if c != "text") for r in rows[k]} <= extra
+    assert len(rows["lines"]) == len(rows["good"]) == 9 and len(rows["bench"]) == 8 and len(rows["near"]) == 7
+    said = {r["doc_id"]: r["text"] for r in rows["lines"]}
+    assert said[2] == "before\nafter" and said[1] == passage and said[3] is None
