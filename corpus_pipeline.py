@@ -16,32 +16,52 @@ from stratus.session import shared_dir
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules learned from ``labels.quality`` score 0.3 or more."""
+    """Documents that the rules learned from ``labels.quality`` score 0.3 or more.
+
+    Null and empty texts are scored like others, repeated rows each; no labels
+    give every row 0.5, so all stay; an empty table gives an empty one.
+    """
     start(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines of repeated three-line windows; every document stays, ``n_chars`` follows its text."""
+    """Texts without the lines of repeated three-line windows; every document stays, ``n_chars`` follows its text.
+
+    Null texts stay null; rows that repeat id and text are one document; an
+    empty table gives an empty one.
+    """
     start(spark)
     kept = linededup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash: 4-word shingles, at most 4 bits apart."""
+    """One document of each group linked by SimHash: 4-word shingles, at most 4 bits apart.
+
+    Texts without words (null ones too) are one group; of rows that repeat id
+    and text one stays; null ids come last; an empty table gives an empty one.
+    """
     start(spark)
     return simhash.drop_near_duplicates(docs, shingle=4, distance=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no ten-word window of a benchmark item."""
+    """Documents that contain no ten-word window of a benchmark item.
+
+    Null and empty texts contain none; rows that repeat id and text go or stay
+    together; an empty table gives an empty one.
+    """
     start(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document (little-endian 32-bit, base64) with digests of ids and decoded bytes."""
+    """Token ids of every document (little-endian 32-bit, base64) with digests of ids and decoded bytes.
+
+    Null and empty texts have no tokens; repeated rows have their ids each; an
+    empty table gives an empty result.
+    """
     start(spark)
     coder = tokenizer(spark)
     back = coder.decode(coder.encode(docs.select("doc_id", "text")).drop("text"))
