@@ -55,15 +55,16 @@ def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int =
     [0, 1).  The expected number of a class is exact whatever repeats, and the
     copies of a very common row are made piece by piece in many tasks
     (``replicate``).  Rows without a label belong to no class and all stay.
-    The class sizes come from the counted rows, one row per class.  Columns
-    pass through whatever their names.
+    The class sizes, one row per class, are broadcast, so the rows aren't
+    shuffled by class.  Columns pass through whatever their names.
     """
     given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     counted = given.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     of = F.col("row")[label]
-    sizes = counted.filter(of.isNotNull()).groupBy(of.alias("class")).agg(F.sum("n").alias("class_n"))
+    sizes = df.select(F.col(f"`{label}`").alias("class")).filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("class_n"))
     sizes = sizes.select("class", (F.min("class_n").over(Window.partitionBy()) / F.col("class_n")).alias("rate"))
-    rated = counted.join(sizes, of == F.col("class"), "left")
+    # one row per class: a shuffle of the counted rows by class would put a class into one task
+    rated = counted.join(F.broadcast(sizes), of == F.col("class"), "left")
     u = uniform([F.col("row")[c] for c in key_cols], seed)
     keep = F.floor(F.col("n") * F.coalesce(F.col("rate"), F.lit(1.0)) + F.when(F.col("rate").isNull(), F.lit(0.0)).otherwise(u))
     copies = replicate(rated.select("row", keep.cast("long").alias("copies")), "copies")

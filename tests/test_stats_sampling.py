@@ -67,6 +67,19 @@ def test_balance_classes_with_repeated_rows_and_no_label(spark):
     assert counts[1] == 3000 and 2700 <= counts[0] <= 3300 and counts[None] == 100
 
 
+def test_balance_classes_shuffles_no_class_into_one_task(spark):
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("label"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the rows were many
+    try:
+        out = S.balance_classes(df, "label", ["id"], 42)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert {r.label: r["count"] for r in out.groupBy("label").count().collect()}[1] == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_copies_are_made_in_pieces(spark):
     cut = S.pieces(spark.createDataFrame([("a", 5_000_000_000)], "row string, copies long"), "copies")
     found = cut.agg(F.sum("copies"), F.max("copies"), F.count("*")).first()
