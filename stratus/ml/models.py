@@ -3,8 +3,9 @@
 Training runs on executors (Spark ML random forests aggregate split
 statistics with tree aggregation, so they scale with rows).  Models on
 calendar features alone are trained on folded cells (sufficient statistics per
-day), not on rows; the precipitation model's training frame is persisted once
-because cross-validation scans it many times.  The split and the class balancing are hashes of row columns, so they are
+day), not on rows; the precipitation model, whose features hold the
+temperatures, on cells of its features' bins, as many as its trees tell apart.
+The split and the class balancing are hashes of row columns, so they are
 deterministic and recompute identically after an executor loss.
 
 Differences from the reference, on purpose (documented defects):
@@ -20,11 +21,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -42,6 +42,8 @@ MAX_DEPTH = [5, 10]
 FOLDS = 3
 SEED = 42
 PRECIP_FEATURES = BASE_FEATURES + ["MaxTempC", "MinTempC"]
+BINS = 32  # of a feature: a tree of Spark ML tells no more apart (its default ``maxBins``)
+QUANTILES = 1000
 KEY = ["ClimateID", "date", "MaxTempC", "MinTempC", "TotalPrecipmm"]
 
 
@@ -76,8 +78,8 @@ def score_all(model: PipelineModel, df: DataFrame, cols: list[str]) -> DataFrame
     whole = F.lit(True)
     for c in cols:
         whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    keeping = model.stages[0].copy().setHandleInvalid("keep")
-    scored = strip_ml(PipelineModel(stages=[keeping, *model.stages[1:]]).transform(df))
+    keeping = [s.copy().setHandleInvalid("keep") if isinstance(s, VectorAssembler) else s for s in model.stages]
+    scored = strip_ml(PipelineModel(stages=keeping).transform(df))
     return scored.withColumn("prediction", F.when(whole, F.col("prediction")))
 
 
@@ -186,25 +188,57 @@ def fit_temperature(frame: DataFrame, target: str) -> Fitted:
     return Fitted(target, model, metrics | {"MAE": error}, params)
 
 
+def bin_edges(rows: DataFrame, features: list[str]) -> list[list[float]]:
+    """Inner edges of at most ``BINS`` bins of each feature, from one pass: a bin per value
+    where there are few, else of about equal numbers of rows."""
+    shares = [k / QUANTILES for k in range(QUANTILES + 1)]
+    found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10 * QUANTILES).alias(c) for c in features]).first()
+    edges = []
+    for c in features:
+        at = found[c] or [0.0]
+        if len(set(at)) > BINS:
+            at = [at[0], *(at[QUANTILES * k // BINS] for k in range(1, BINS))]
+        edges.append(sorted(set(at))[1:])
+    return edges
+
+
+def binned(edges: list[list[float]], features: list[str]) -> Bucketizer:
+    """Features to bin numbers ``bin_<feature>``."""
+    # a feature of one value keeps one edge above it: Bucketizer asks for two bins
+    splits = [[-math.inf, *(e or [math.nextafter(math.inf, 0)]), math.inf] for e in edges]
+    return Bucketizer(splitsArray=splits, inputCols=features, outputCols=[f"bin_{c}" for c in features], handleInvalid="keep")
+
+
 def fit_precipitation(frame: DataFrame, rain_model: PipelineModel) -> Fitted:
-    """REG2: trained on rainy rows; evaluated on test rows predicted rainy and truly rainy."""
-    split = _folds(hash_split(frame.filter(F.col("TotalPrecipmm").isNotNull()), KEY, 80)).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    try:
-        train = split.filter((F.col("split") == "train") & (F.col("TotalPrecipmm") > 0))
-        model, params = _cv_regressor(train, "TotalPrecipmm", PRECIP_FEATURES)
-        test = split.filter(F.col("split") == "test")
-        rainy = strip_ml(rain_model.transform(test)).filter(F.col("prediction") == 1).drop("prediction")
-        metrics = quality(model.transform(rainy.filter(F.col("TotalPrecipmm") > 0)), "TotalPrecipmm")
-    finally:
-        split.unpersist()
+    """REG2: trained on rainy rows; evaluated on test rows predicted rainy and truly rainy.
+
+    A tree tells at most ``BINS`` bins of a feature apart, so all training rows
+    are folded to (fold, bins) cells, whose number doesn't grow with the rows;
+    cross-validation (12 fits and the refit) reads the cells, weighted by their
+    rows.  Bagging draws cells.  The stored model bins what it scores; the test
+    rows are scored one by one, in one pass.
+    """
+    checkpoint_root(frame.sparkSession)
+    split = _folds(hash_split(frame.filter(F.col("TotalPrecipmm").isNotNull()), KEY, 80))
+    train = split.filter((F.col("split") == "train") & (F.col("TotalPrecipmm") > 0))
+    for c in PRECIP_FEATURES:
+        train = train.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    bins = binned(bin_edges(train, PRECIP_FEATURES), PRECIP_FEATURES)
+    by = ["fold", *bins.getOutputCols()]
+    cells = fold_rows(bins.transform(train), "TotalPrecipmm", by)
+    parts = frame.sparkSession.sparkContext.defaultParallelism
+    cells = cells.repartition(parts, *by).sortWithinPartitions(*by).checkpoint(eager=True)  # bagging draws in this order
+    model, params = _cv_regressor(cells, "label", bins.getOutputCols(), weight="weight")
+    model = PipelineModel(stages=[_assembler(PRECIP_FEATURES, "given_features"), bins, *model.stages])
+    test = split.filter(F.col("split") == "test")
+    rainy = strip_ml(rain_model.transform(test)).filter(F.col("prediction") == 1).drop("prediction")
+    metrics = quality(model.transform(rainy.filter(F.col("TotalPrecipmm") > 0)), "TotalPrecipmm")
     return Fitted("TotalPrecipmm", model, metrics, params)
 
 
 def strip_ml(df: DataFrame) -> DataFrame:
-    """Drop the vector / probability columns a model adds (keeps ``prediction``)."""
-    return df.drop("features", "rawPrediction", "probability")
+    """Drop the vector / probability / bin columns a model adds (keeps ``prediction``)."""
+    return df.drop("features", "rawPrediction", "probability", "given_features", *[f"bin_{c}" for c in PRECIP_FEATURES])
 
 
 def score_as(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:

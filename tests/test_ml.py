@@ -223,6 +223,44 @@ def test_folded_errors_equal_errors_of_the_rows(spark):
     assert cells.count() < frame.count() and MD.folded_errors(cells.limit(0))["n"] == 0
 
 
+def test_precipitation_is_fitted_on_cells_that_do_not_grow_with_the_rows(spark, monkeypatch):
+    from stratus.ml import models as MD
+
+    seen = []
+    fit = MD._cv_regressor
+    monkeypatch.setattr(MD, "_cv_regressor", lambda train, *a, **k: seen.append((train.count(), train.agg(F.sum("weight")).first()[0])) or fit(train, *a, **k))
+    monkeypatch.setattr(MD, "NUM_TREES", [3])
+    monkeypatch.setattr(MD, "MAX_DEPTH", [3])
+    monkeypatch.setattr(MD, "BINS", 4)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(0, 360, 3)]
+    one = spark.createDataFrame([(d,) for d in days], "Datetime date").crossJoin(spark.range(40).withColumnRenamed("id", "k"))
+    temp = F.pmod(F.hash("Datetime", "k"), F.lit(1000)) / 25.0  # hardly two rows share both temperatures
+    obs = one.select(F.col("k").cast("string").alias("ClimateID"), "Datetime", temp.alias("MaxTempC"), (temp - F.pmod(F.hash("k", "Datetime", F.lit(1)), F.lit(97)) / 9.0).alias("MinTempC"), F.when(temp > 20, 8.0).otherwise(2.0).alias("TotalPrecipmm"))
+    odd = spark.createDataFrame([("n", days[0], None, 1.0, 5.0), ("m", days[1], 1.0, float("nan"), 5.0), ("r", days[2], 1.0, 1.0, None)], "ClimateID string, Datetime date, MaxTempC double, MinTempC double, TotalPrecipmm double")
+    frame = MD.training_frame(obs.unionByName(odd))
+    rain = MD.fit_rain_classifier(MD.training_frame(obs.unionByName(obs.limit(500).withColumn("TotalPrecipmm", F.lit(0.0))))).model
+    fitted = MD.fit_precipitation(frame, rain)
+    (cells, rows), = seen
+    assert cells <= 3 * 4**4 and 0.7 * 4800 < rows < 0.9 * 4800  # every whole training row, in folded cells
+    scored = MD.score_as(fitted.model, frame, "p").collect()
+    assert len(scored) == 4803 and {r.ClimateID for r in scored if r.p is None} == {"n", "m"}
+    known = [r for r in scored if r.p is not None and r.ClimateID != "r"]
+    low, high = [r.p for r in known if r.MaxTempC < 19], [r.p for r in known if r.MaxTempC > 21]
+    assert max(low) < 5 < min(high) and set(scored[0].asDict()) == {*frame.columns, "p"}
+    assert fitted.params["maxDepth"] == 3 and fitted.metrics["n"] is not None
+
+
+def test_bins_are_values_or_shares(spark):
+    from stratus.ml import models as MD
+
+    df = spark.range(10_000).select((F.col("id") % 5).alias("few"), F.col("id").cast("double").alias("many"), F.lit(7).alias("one"), F.lit(None).cast("double").alias("none"))
+    few, many, one, none = MD.bin_edges(df, df.columns)
+    assert few == [1.0, 2.0, 3.0, 4.0] and one == none == [] and len(many) == MD.BINS - 1
+    sizes = MD.binned([few, many, one, none], df.columns).transform(df)
+    assert {r["count"] for r in sizes.groupBy("bin_few").count().collect()} == {2000}
+    assert all(250 < r["count"] < 380 for r in sizes.groupBy("bin_many").count().collect())
+
+
 def test_stored_models_are_scored_without_fitting(spark, tmp_path):
     from stratus.ml import models as MD
     from stratus.ml.runs import fitted_once, load_fitted
