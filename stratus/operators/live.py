@@ -117,21 +117,44 @@ def station_days(history: DataFrame, value_col: str = "MaxTempC", date_col: str
     return days.withColumns({"_m": F.month("day"), "_d": F.dayofmonth("day")})
 
 
+def history_lines(history: DataFrame, cols: list[str] | None = None, key: str = "ClimateID", date_col: str = "Datetime") -> DataFrame:
+    """The distinct history rows with their counts, in lists of one: ``(ClimateID, day, lines)``.
+
+    ``line`` holds the row's columns as they are: they shuffle and store in a
+    fraction of their JSON text, which who reads the evidence makes.  Equal
+    rows are counted map-side.
+    """
+    names = cols or history.columns
+    # equal numbers group as one: which zeros of a row are negative is kept beside it
+    floats = {f.name: k for k, f in enumerate(f for f in history.schema.fields if f.name in names and f.dataType.typeName() in ("double", "float"))}
+    minus = F.filter(F.array(*[F.when((F.col(f"`{c}`") == 0) & (F.col(f"`{c}`").cast("string") == "-0.0"), F.lit(k)) for c, k in floats.items()]).cast("array<int>"), lambda k: k.isNotNull())
+    lines = history.select(F.col(key).alias("ClimateID"), F.col(date_col).alias("day"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("line"), minus.alias("minus"))
+    lines = lines.groupBy("ClimateID", "day", "line", "minus").agg(F.count(F.lit(1)).alias("n"))
+    given = {c: F.col("line")[c] for c in names}
+    shown = {c: F.when(F.array_contains("minus", floats[c]), -v).otherwise(v) if c in floats else v for c, v in given.items()}
+    line = F.struct(*[v.alias(c) for c, v in shown.items()])
+    return lines.select("ClimateID", "day", F.array(F.struct(line.alias("line"), "n")).alias("lines"))
+
+
 def history_pages(history: DataFrame, cols: list[str] | None = None, key: str = "ClimateID", date_col: str = "Datetime", page_rows: int = PAGE_ROWS) -> DataFrame:
-    """The history rows as JSON texts, in pages of bounded size: ``(ClimateID, day, page, lines)``.
+    """The history rows in pages of bounded size: ``(ClimateID, day, page, lines)``.
 
     Equal rows are one line with its count (combined map-side); the distinct
     lines of a station-day are dealt to as many pages as their number asks
     for by a hash, so a hot station-day spreads over tasks and no fold grows
-    with it.  Who reads a day's evidence sorts its lines.
+    with it.  Who reads a day's evidence writes its lines as JSON and sorts them.
     """
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in (cols or history.columns)]))
-    lines = history.groupBy(F.col(key).alias("ClimateID"), F.col(date_col).alias("day"), row.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    lines = history_lines(history, cols, key, date_col).select("ClimateID", "day", F.col("lines")[0].alias("x"))
     large = lines.groupBy("ClimateID", "day").agg(F.ceil(F.count(F.lit(1)) / page_rows).cast("int").alias("pages")).filter("pages > 1")
     of = lines.alias("l").join(large.alias("p"), F.expr("l.ClimateID <=> p.ClimateID and l.day <=> p.day"), "left")
-    page = F.pmod(F.xxhash64("line"), F.coalesce("pages", F.lit(1))).cast("int")
-    dealt = of.select("l.ClimateID", "l.day", page.alias("page"), "line", "n")
-    return dealt.groupBy("ClimateID", "day", "page").agg(F.collect_list(F.struct("line", "n")).alias("lines"))
+    page = F.pmod(F.xxhash64("x.line"), F.coalesce("pages", F.lit(1))).cast("int")
+    dealt = of.select("l.ClimateID", "l.day", page.alias("page"), "x")
+    return dealt.groupBy("ClimateID", "day", "page").agg(F.collect_list("x").alias("lines"))
+
+
+def _told(lines: Column) -> Column:
+    """Lines as ``(line, n)`` with the row's JSON text."""
+    return F.transform(lines, lambda x: F.struct(F.to_json(x["line"]).alias("line"), x["n"].alias("n")))
 
 
 def _text(lines: Column) -> Column:
@@ -165,9 +188,13 @@ def reading_normals(readings: DataFrame, days: DataFrame, years: int = 10, time_
 def with_evidence(alerts: DataFrame, pages: DataFrame, years: int = 10, time_col: str = TIME) -> DataFrame:
     """Alerts with ``history``: the history rows of their calendar days as JSON array
     text, folded from the pages of those days alone.  Each line begins with the
-    station, then the day: their order is the text's."""
+    station, then the day: their order is the text's.  Pages of calendar days
+    (at most 366) that no alert asks for go before the join."""
+    asked = asked_days(alerts, time_col)
+    dates = asked.select(F.month("on").alias("_m"), F.dayofmonth("on").alias("_d")).distinct()
     days = pages.withColumns({"_m": F.month("day"), "_d": F.dayofmonth("day")})
-    met = same_days(asked_days(alerts, time_col), days, years)
+    met = same_days(asked, days.join(F.broadcast(dates), ["_m", "_d"], "left_semi"), years)
+    met = met.select("City", "on", "day", _told(F.col("lines")).alias("lines"))
     told = met.groupBy(F.col("City").alias("_city"), "on").agg(F.array_sort(F.collect_list(F.struct("day", "lines"))).alias("_days"))
     told = told.select("_city", "on", _day_texts("_days").alias("history"))
     return alerts.join(told, (F.col("City") == F.col("_city")) & (F.col(time_col).cast("date") == F.col("on")), "left").drop("_city", "on")
@@ -218,5 +245,5 @@ def history_json(history: DataFrame, cols: list[str], key: str = "ClimateID", da
         raise ValueError(f"cols must start with {key!r}, {day!r}")
     pages = history_pages(history, cols, key, day)
     rows = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    folded = pages.groupBy(F.col("ClimateID").alias(key)).agg(F.sum(rows).alias("n_rows"), F.collect_list("lines").alias("_lines"))
+    folded = pages.groupBy(F.col("ClimateID").alias(key)).agg(F.sum(rows).alias("n_rows"), F.collect_list(_told(F.col("lines"))).alias("_lines"))
     return folded.select(key, "n_rows", _text(F.col("_lines")).alias("history_json"))

@@ -11,8 +11,8 @@
   appended to an alert table partitioned by batch id; a replayed batch
   overwrites its own partition instead of adding duplicates (idempotent
   ``foreachBatch``).  The history is summed to station days once per start,
-  into a bucketed table that no micro-batch shuffles; its rows are written in
-  pages once, and an alert's evidence text is folded from them on read.
+  into a bucketed table that no micro-batch shuffles; its distinct rows are written
+  once, as columns, and an alert's evidence text is folded from them on read.
 * SNK7: the sink is a ``format`` parameter of ``foreachBatch`` writers.
 
 Landing helpers write the driver's ``events`` table as nested live JSON
@@ -159,7 +159,7 @@ def alert_schema(deviation: bool) -> str:
 def read_alerts(spark: SparkSession, target: str, deviation: bool = False, fmt: str = "parquet") -> DataFrame:
     """The alert table; empty where no alert was written.
 
-    Deviation alerts refer to the pages of history that their stream wrote
+    Deviation alerts refer to the rows of history that their stream wrote
     when it started; the evidence text is folded here, for the alerts' days.
     """
     path, fs = _path(spark, target)
@@ -196,13 +196,14 @@ def alert_stream(
 
     In deviation mode the history is summed to station days once, when the
     stream starts, into a bucketed table that no micro-batch shuffles, and its
-    rows are written as pages beside the alerts (``<target>-history``), to
-    which the alerts refer by ``start`` (and ``years``, the evidence's span).
+    distinct rows are written with their counts beside the alerts
+    (``<target>-history``), to which the alerts refer by ``start`` (and
+    ``years``, the evidence's span).
     """
     name, start = None, uuid.uuid4().hex[:12]
     if history is not None:
         name = bucketed_days(spark, history, shared_dir(spark, "station-days"))
-        L.history_pages(history).write.parquet(f"{target}-history/{start}")
+        L.history_lines(history).write.parquet(f"{target}-history/{start}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # the table of the batch's own session: the stream runs in a copy of the caller's

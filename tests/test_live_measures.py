@@ -111,3 +111,16 @@ def test_sort_by_aggregate_directions(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (2.0,)], "v double")
     assert [r.v for r in L.sort_by_aggregate(df, "v", 2).collect()] == [3.0, 2.0, 1.0]
     assert [r.v for r in L.sort_by_aggregate(df, "v", 1).collect()] == [1.0, 2.0, 3.0]
+
+
+def test_history_lines_keep_columns_and_make_json_on_read(spark):
+    rows = [("a", dt.date(2001, 1, 2), 1.5, 0.0, "x"), ("a", dt.date(2001, 1, 2), 1.5, -0.0, "x"), ("a", dt.date(2001, 1, 2), 1.5, 0.0, "x"), ("a", dt.date(2001, 1, 2), None, float("nan"), None), ("a", dt.date(2001, 3, 4), 1.0, 1.0, "y"), (None, dt.date(2001, 1, 2), 2.0, 2.0, "z")]
+    hist = spark.createDataFrame(rows, "ClimateID string, Datetime date, MaxTempC double, `odd. name` double, t string")
+    lines = L.history_lines(hist)
+    assert dict(lines.dtypes)["lines"].startswith("array<struct<line:struct<ClimateID:string,Datetime:date,MaxTempC:double")  # no JSON is shuffled or stored
+    assert sorted(r.lines[0].n for r in lines.collect()) == [1, 1, 1, 1, 2]
+    alerts = spark.createDataFrame([("a", dt.datetime(2003, 1, 2, 8))], "City string, ObservationTime timestamp_ntz")
+    told = L.with_evidence(alerts, lines).first().history
+    json = sorted(r.j for r in hist.filter("ClimateID = 'a' and month(Datetime) = 1").select(F.to_json(F.struct("*")).alias("j")).collect())
+    assert told == "[" + ", ".join(json) + "]" and "-0.0" in told
+    assert L.with_evidence(alerts, L.history_pages(hist)).first().history == told
