@@ -33,7 +33,9 @@ from stratus.llm.common import cut
 
 MASS = 4_000_000  # n-gram occurrences of a hash partition, about
 SLACK = 4  # capacity, in multiples of the least one: a larger summary lets fewer rare n-grams survive
-CHUNK = 20 << 20  # bytes of text counted together, about
+CHUNK = 12 << 20  # bytes of text counted together, about (of short words fewer: a word counts as WORD bytes at least)
+WORD = 6
+SLICE = 1 << 18  # n-grams looked up in the filter together
 BITS, PROBES = 27, 3  # the filter has 2^BITS bits (16 MiB), whatever the input, PROBES of them for each hash
 
 #: A-Z to a-z; ends of pieces to \n.
@@ -50,15 +52,24 @@ class Words:
     """The words of some texts: codes into a dictionary, and the piece each stands in."""
 
     def __init__(self, texts: list[bytes]):
-        raw = np.frombuffer(b"\n".join(texts).translate(FOLD) + b"\n", dtype=np.uint8)
+        joined = b"\n".join(texts)
+        texts.clear()
+        raw = np.frombuffer((joined + b"\n").translate(FOLD), dtype=np.uint8)
+        del joined
         gap = (raw == 32) | (raw == 9) | (raw == 10)
-        edge = np.flatnonzero(np.diff(gap, prepend=True))
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.concatenate([[0], edge])
         begin, end = edge[0::2], edge[1::2]
-        self.piece = np.searchsorted(np.flatnonzero(raw == 10), begin)
-        offsets = np.concatenate([[0], np.cumsum(end - begin)])
-        packed = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[~gap])])
+        self.piece = np.searchsorted(np.flatnonzero(raw == 10), begin).astype(np.int32)
+        offsets = np.zeros(len(begin) + 1, dtype=np.int64)
+        np.cumsum(end - begin, out=offsets[1:])
+        del begin, end, edge
+        letters = raw[~gap]
+        del raw, gap
+        packed = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
         known = packed.dictionary_encode()
-        self.codes, self.known = known.indices.to_numpy().astype(np.int64), known.dictionary
+        self.codes, self.known = known.indices.to_numpy(), known.dictionary
 
     def hashes(self, lang: str, longest: int) -> Iterator[tuple[int, np.ndarray]]:
         """For n = 1 .. longest: the hash of the n words from each word on (those of one piece only count, see ``whole``)."""
@@ -82,15 +93,21 @@ def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
     """Texts of one language, about CHUNK bytes at a time."""
     held: dict[str, list[bytes]] = {}
     size = 0
+
+    def dealt():  # a language's texts go as its words come
+        while held:
+            lang, texts = held.popitem()
+            yield lang, Words(texts)
+
     for part in parts:
         for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
             raw = text.as_py().encode("utf-8")
             held.setdefault(lang, []).append(raw)
-            size += len(raw) + 64
+            size += max(len(raw), WORD * sum(map(raw.count, (b" ", b"\t", b"\n")))) + 64
             if size >= CHUNK:
-                yield from ((k, Words(v)) for k, v in held.items())
-                held, size = {}, 0
-    yield from ((k, Words(v)) for k, v in held.items())
+                yield from dealt()
+                size = 0
+    yield from dealt()
 
 
 def named(x: np.ndarray, partitions: int) -> np.ndarray:
@@ -151,16 +168,26 @@ class Summary:
         return self.keys[self.counts + self.lost >= threshold]
 
 
+def grams(words: Words, lang: str, longest: int, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Named hashes of the n-grams of 1 to ``longest`` words, sorted, with their counts."""
+    found = np.empty(longest * len(words.codes), dtype=np.uint64)
+    many = 0
+    for n, h in words.hashes(lang, longest):
+        at = words.whole(n)
+        found[many : many + len(at)] = named(h[at], partitions)
+        many += len(at)
+    found = found[:many]
+    found.sort()
+    new = np.flatnonzero(np.concatenate([np.ones(min(many, 1), dtype=bool), found[1:] != found[:-1]]))
+    return found[new], np.diff(new, append=many).astype(np.uint32)
+
+
 def _counted(partitions: int, longest: int):
     """mapInArrow function: mass rows (kind 0), counts by hash (kind 1) and words of each language (kind 2)."""
 
     def run(parts):
         for lang, words in chunks(parts):
-            found = np.concatenate([named(h[words.whole(n)], partitions) for n, h in words.hashes(lang, longest)])
-            found.sort()
-            new = np.flatnonzero(np.diff(found, prepend=~found[:1]) != 0)
-            counts = np.diff(np.append(new, len(found))).astype(np.uint32)
-            found = found[new]
+            found, counts = grams(words, lang, longest, partitions)
             some, first = np.unique(found >> np.uint64(32), return_index=True)
             some, ends = some.astype(np.int64), [*first[1:].tolist(), len(found)]
             spans = list(zip(first.tolist(), ends))
@@ -231,6 +258,14 @@ def places(h: np.ndarray) -> list[np.ndarray]:
     return [mixed(h + np.uint64(k)) >> np.uint64(64 - BITS) for k in range(1, PROBES + 1)]
 
 
+def present(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have all their bits in the filter."""
+    kept = np.ones(len(h), dtype=bool)
+    for p in places(h):
+        kept &= (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return kept
+
+
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """The filter's bits of the surviving hashes."""
 
@@ -254,14 +289,10 @@ def _exact(bits, longest: int, partitions: int):
             text, base = words.known.cast(pa.large_string()), len(words.known)
             for n, gram in words.hashes(lang, longest):
                 at = words.whole(n)
-                h = named(gram[at], partitions)
-                for p in places(h):
-                    kept = (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-                    at = np.where(kept, at, -1)
-                at = at[at >= 0]
+                at = np.concatenate([at[:0], *(some[present(held, named(gram[some], partitions))] for some in (at[lo : lo + SLICE] for lo in range(0, len(at), SLICE)))])
                 if not len(at):
                     continue
-                key = words.codes[at]
+                key = words.codes[at].astype(np.int64)
                 for k in range(1, n):  # one number for equal word sequences
                     key = np.unique(key, return_inverse=True)[1] * base + words.codes[at + k]
                 _, first, many = np.unique(key, return_index=True, return_counts=True)

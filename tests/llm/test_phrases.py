@@ -110,3 +110,24 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert phrases.collocations(empty).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert phrases.collocations(empty).count() == 0
+
+
+def test_chunks_of_short_words_are_bounded_by_their_words(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "CHUNK", 600_000)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdef", k=1000)) for _ in range(400)] + [None, ""]
+    part = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 201), pa.array([t or "" for t in texts])], names=["lang", "text"])
+    sizes = [(lang, len(w.codes)) for lang, w in phrases.chunks(iter([part]))]
+    assert sum(n for _, n in sizes) == 400_000 and {lang for lang, _ in sizes} == {"en", "de"}
+    assert max(n for _, n in sizes) <= 600_000 // phrases.WORD + 1000  # as many words as 6-byte words would be
+    words = phrases.Words([t.encode() for t in texts[:100]])
+    tracemalloc.start()
+    found, counts = phrases.grams(words, "en", 3, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == 3 * 100_000 - 3 * 100 and len(found) == 6 + 36 + 216
+    assert peak < 90 * len(words.codes)  # bytes a word
