@@ -6,7 +6,9 @@ calendar features alone are trained on folded cells (sufficient statistics per
 day), not on rows; the precipitation model, whose features hold the
 temperatures, on cells of its features' bins, as many as its trees tell apart.
 The split and the class balancing are hashes of row columns, so they are
-deterministic and recompute identically after an executor loss.
+deterministic and recompute identically after an executor loss.  All models
+share one split and its folds, so a stored frame (``split_rows``) is hashed
+once for all of them.
 
 Differences from the reference, on purpose (documented defects):
 * one feature list is used for fitting and scoring (FEA3);
@@ -19,14 +21,19 @@ Differences from the reference, on purpose (documented defects):
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import accumulate
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, RegressionEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +41,7 @@ from stratus.functions.columns import rain_flag
 from stratus.ml.features import BASE_FEATURES, calendar_features
 from stratus.operators.sampling import balance_classes, hash_split
 from stratus.operators.stats import regression_quality, row_hash60
-from stratus.session import checkpoint_root
+from stratus.session import checkpoint_root, shared_dir
 
 # Grid of the reference (fixed values): numTrees x maxDepth, 3 folds, RMSE.
 NUM_TREES = [10, 20]
@@ -44,6 +51,7 @@ SEED = 42
 PRECIP_FEATURES = BASE_FEATURES + ["MaxTempC", "MinTempC"]
 BINS = 32  # of a feature: a tree of Spark ML tells no more apart (its default ``maxBins``)
 QUANTILES = 1000
+CELLS = 50_000  # of a task: each holds statistics of all nodes of a level, so a few cells a task would cost more than they save
 KEY = ["ClimateID", "date", "MaxTempC", "MinTempC", "TotalPrecipmm"]
 
 
@@ -53,7 +61,7 @@ class Fitted:
     model: object
     metrics: dict = field(default_factory=dict)
     params: dict = field(default_factory=dict)
-    held_out: DataFrame | None = None  # predictions on the test split, checkpointed
+    held_out: DataFrame | None = None  # predictions on the test split
 
 
 def training_frame(obs: DataFrame, date_col: str = "Datetime") -> DataFrame:
@@ -64,9 +72,27 @@ def training_frame(obs: DataFrame, date_col: str = "Datetime") -> DataFrame:
         F.col("MaxTempC").cast("double").alias("MaxTempC"),
         F.col("MinTempC").cast("double").alias("MinTempC"),
         F.col("TotalPrecipmm").cast("double").alias("TotalPrecipmm"),
-        rain_flag(F.col("TotalPrecipmm")).cast("double").alias("Rain"),
     ).filter(F.col("date").isNotNull())
-    return calendar_features(base, "date")
+    return _with_features(base)
+
+
+def _with_features(base: DataFrame) -> DataFrame:
+    return calendar_features(base.withColumn("Rain", rain_flag(F.col("TotalPrecipmm")).cast("double")), "date")
+
+
+def split_rows(frame: DataFrame) -> DataFrame:
+    """The rows of a training frame with their ``split`` and ``fold``, to be stored for all models."""
+    return _split(frame).select(*KEY, "split", "fold")
+
+
+def stored_frame(rows: DataFrame) -> DataFrame:
+    """The training frame behind stored ``split_rows``."""
+    return _with_features(rows)
+
+
+def _split(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``split`` and ``fold``; a stored one has them."""
+    return frame if {"split", "fold"} <= set(frame.columns) else _folds(hash_split(frame, KEY, 80))
 
 
 def _assembler(cols: list[str], out: str = "features") -> VectorAssembler:
@@ -90,18 +116,20 @@ def fit_rain_classifier(frame: DataFrame) -> Fitted:
     row per (split, features, label) with its weight; trees and AUC use the
     weights.  The held-out rows meet their cell's prediction by a join.
     """
-    split = hash_split(balance_classes(frame, "Rain", KEY, SEED), KEY, 80)
-    cells = split.groupBy("split", "Rain", *BASE_FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    checkpoint_root(frame.sparkSession)
-    cells = cells.filter("Rain is not null").checkpoint(eager=True)
+    spark = frame.sparkSession
+    rows = _split(frame.filter(F.col("Rain").isNotNull())).select(*KEY, "Rain", "split")
+    path = shared_dir(spark, "balanced")
+    balance_classes(rows, "Rain", KEY, SEED).write.parquet(path)
+    split = calendar_features(spark.read.parquet(path), "date")
+    cells = split.groupBy("split", "Rain", *BASE_FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")).checkpoint(eager=True)
     rf = RandomForestClassifier(labelCol="Rain", featuresCol="features", weightCol="weight", seed=SEED)
     assembler = _assembler(BASE_FEATURES)
     pipeline = PipelineModel(stages=[assembler, rf.fit(assembler.transform(cells.filter("split = 'train'")))])
     preds = pipeline.transform(cells.filter("split = 'test'"))
     auc = BinaryClassificationEvaluator(labelCol="Rain", rawPredictionCol="rawPrediction", weightCol="weight").evaluate(preds)
     known = strip_ml(preds).select(*BASE_FEATURES, "prediction").distinct()
-    test = split.filter((F.col("split") == "test") & F.col("Rain").isNotNull())
-    held_out = test.join(known, BASE_FEATURES).select(*KEY, "Rain", "prediction").checkpoint(eager=True)
+    # one row per day
+    held_out = split.filter("split = 'test'").join(F.broadcast(known), BASE_FEATURES).select(*KEY, "Rain", "prediction")
     return Fitted("Rain", pipeline, {"AUC": auc}, held_out=held_out)
 
 
@@ -140,24 +168,35 @@ class FoldedRmse(Evaluator):
         return False
 
 
-def _cv_regressor(train: DataFrame, label: str, features: list[str], weight: str | None = None, parallelism: int = 4) -> tuple[PipelineModel, dict]:
+def _cv_regressor(train: DataFrame, label: str, features: list[str], weight: str | None = None, parallelism: int = 6) -> tuple[PipelineModel, dict]:
     """REG1: random-forest regressor chosen by 3-fold CV (column ``fold``) over the grid (RMSE).
-    With ``weight`` the rows are folded cells (``fold_rows``)."""
+    With ``weight`` the rows are folded cells (``fold_rows``).
+
+    ``parallelism`` of the 12 fits run at once, whatever their fold: a forest
+    is many short jobs, one a level, that leave most cores idle when only the
+    fits of one fold run (``CrossValidator``).
+    """
     assembler = _assembler(features)
     rf = RandomForestRegressor(labelCol=label, featuresCol="features", seed=SEED)
     if weight:
         rf = rf.setWeightCol(weight)
+    evaluator = FoldedRmse() if weight else RegressionEvaluator(labelCol=label, metricName="rmse")
     grid = ParamGridBuilder().addGrid(rf.numTrees, NUM_TREES).addGrid(rf.maxDepth, MAX_DEPTH).build()
-    cv = CrossValidator(
-        estimator=rf,
-        estimatorParamMaps=grid,
-        evaluator=FoldedRmse() if weight else RegressionEvaluator(labelCol=label, metricName="rmse"),
-        numFolds=FOLDS,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    cv_model = cv.fit(assembler.transform(train))
-    best = cv_model.bestModel
+    data = assembler.transform(train)
+    folds = {r["fold"] for r in data.select("fold").distinct().collect()}  # at most FOLDS
+    if folds != set(range(FOLDS)):
+        raise ValueError(f"cross-validation needs rows in each of {FOLDS} folds; there are rows in {sorted(folds)}")
+
+    def error(at: tuple[int, int]) -> float:
+        k, fold = at
+        model = rf.fit(data.filter(F.col("fold") != fold), grid[k])
+        return evaluator.evaluate(model.transform(data.filter(F.col("fold") == fold)))
+
+    runs = [(k, fold) for k in reversed(range(len(grid))) for fold in range(FOLDS)]  # the largest forests first
+    with ThreadPoolExecutor(parallelism) as pool:
+        # wrapped one by one: a wrapper holds the local properties of one thread
+        errors = {at: found.result() for at, found in [(at, pool.submit(inheritable_thread_target(error), at)) for at in runs]}
+    best = rf.fit(data, min(enumerate(grid), key=lambda g: sum(errors[g[0], fold] for fold in range(FOLDS)))[1])
     params = {"numTrees": best.getNumTrees, "maxDepth": best.getOrDefault("maxDepth")}
     return PipelineModel(stages=[assembler, best]), params
 
@@ -178,24 +217,47 @@ def fit_temperature(frame: DataFrame, target: str) -> Fitted:
     which meet their cell's prediction by a join.
     """
     checkpoint_root(frame.sparkSession)
-    split = _folds(hash_split(frame.filter(F.col(target).isNotNull()), KEY, 80))
+    split = _split(frame.filter(F.col(target).isNotNull()))
     cells = fold_rows(split, target, ["split", "fold", *BASE_FEATURES]).checkpoint(eager=True)
     model, params = _cv_regressor(cells.filter("split = 'train'"), "label", BASE_FEATURES, weight="weight")
     preds = strip_ml(model.transform(cells.filter("split = 'test'")))
     metrics = folded_errors(preds)
     known = preds.select(*BASE_FEATURES, "prediction").distinct()
-    error = split.filter("split = 'test'").join(known, BASE_FEATURES).agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
+    error = split.filter("split = 'test'").join(F.broadcast(known), BASE_FEATURES).agg(F.avg(F.abs(F.col("prediction") - F.col(target)))).first()[0]
     return Fitted(target, model, metrics | {"MAE": error}, params)
 
 
+def value_quantiles(rows: DataFrame, features: list[str], shares: list[float]) -> dict[str, list[float]]:
+    """Exact quantiles of features of few distinct values, by counting the values (which are collected)."""
+    seen = rows.unpivot([], features, "feature", "value").filter("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts: dict[str, list] = {}
+    for r in sorted(seen.collect()):
+        counts.setdefault(r["feature"], []).append((r["value"], r["n"]))
+    out = {}
+    for c, found in counts.items():
+        values, upto = [v for v, _ in found], list(accumulate(n for _, n in found))
+        out[c] = [values[bisect_left(upto, max(1, math.ceil(s * upto[-1])))] for s in shares]
+    return out
+
+
 def bin_edges(rows: DataFrame, features: list[str]) -> list[list[float]]:
-    """Inner edges of at most ``BINS`` bins of each feature, from one pass: a bin per value
-    where there are few, else of about equal numbers of rows."""
+    """Inner edges of at most ``BINS`` bins of each feature: a bin per value where
+    there are few, else of about equal numbers of rows.
+
+    Values of a feature with about ``10 * QUANTILES`` distinct ones at most are
+    counted; sketches, which cost more a row, are for the others.
+    """
     shares = [k / QUANTILES for k in range(QUANTILES + 1)]
-    found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10 * QUANTILES).alias(c) for c in features]).first()
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in features])
+    distinct = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in features]).first()
+    few = [c for c in features if distinct[c] <= 10 * QUANTILES]
+    many = [c for c in features if c not in few]
+    found = value_quantiles(rows, few, shares) if few else {}
+    if many:
+        found |= rows.agg(*[F.percentile_approx(c, shares, 10 * QUANTILES).alias(c) for c in many]).first().asDict()
     edges = []
     for c in features:
-        at = found[c] or [0.0]
+        at = found.get(c) or [0.0]
         if len(set(at)) > BINS:
             at = [at[0], *(at[QUANTILES * k // BINS] for k in range(1, BINS))]
         edges.append(sorted(set(at))[1:])
@@ -209,8 +271,9 @@ def binned(edges: list[list[float]], features: list[str]) -> Bucketizer:
     return Bucketizer(splitsArray=splits, inputCols=features, outputCols=[f"bin_{c}" for c in features], handleInvalid="keep")
 
 
-def fit_precipitation(frame: DataFrame, rain_model: PipelineModel) -> Fitted:
+def fit_precipitation(frame: DataFrame, rain_model: PipelineModel | Callable[[], PipelineModel]) -> Fitted:
     """REG2: trained on rainy rows; evaluated on test rows predicted rainy and truly rainy.
+    The rain model (or who gets it) is asked for the evaluation alone, day by day.
 
     A tree tells at most ``BINS`` bins of a feature apart, so all training rows
     are folded to (fold, bins) cells, whose number doesn't grow with the rows;
@@ -219,20 +282,23 @@ def fit_precipitation(frame: DataFrame, rain_model: PipelineModel) -> Fitted:
     rows are scored one by one, in one pass.
     """
     checkpoint_root(frame.sparkSession)
-    split = _folds(hash_split(frame.filter(F.col("TotalPrecipmm").isNotNull()), KEY, 80))
+    split = _split(frame.filter(F.col("TotalPrecipmm").isNotNull()))
     train = split.filter((F.col("split") == "train") & (F.col("TotalPrecipmm") > 0))
     for c in PRECIP_FEATURES:
         train = train.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     bins = binned(bin_edges(train, PRECIP_FEATURES), PRECIP_FEATURES)
     by = ["fold", *bins.getOutputCols()]
     cells = fold_rows(bins.transform(train), "TotalPrecipmm", by)
-    parts = frame.sparkSession.sparkContext.defaultParallelism
+    cells = cells.checkpoint(eager=True)
+    parts = max(4, -(-cells.count() // CELLS))
     cells = cells.repartition(parts, *by).sortWithinPartitions(*by).checkpoint(eager=True)  # bagging draws in this order
     model, params = _cv_regressor(cells, "label", bins.getOutputCols(), weight="weight")
     model = PipelineModel(stages=[_assembler(PRECIP_FEATURES, "given_features"), bins, *model.stages])
-    test = split.filter(F.col("split") == "test")
-    rainy = strip_ml(rain_model.transform(test)).filter(F.col("prediction") == 1).drop("prediction")
-    metrics = quality(model.transform(rainy.filter(F.col("TotalPrecipmm") > 0)), "TotalPrecipmm")
+    test = split.filter((F.col("split") == "test") & (F.col("TotalPrecipmm") > 0))
+    rain = rain_model() if callable(rain_model) else rain_model
+    days = rain.transform(test.select(*BASE_FEATURES).distinct()).filter(F.col("prediction") == 1).select(*BASE_FEATURES)
+    rainy = test.join(F.broadcast(days), BASE_FEATURES, "left_semi")
+    metrics = quality(model.transform(rainy), "TotalPrecipmm")
     return Fitted("TotalPrecipmm", model, metrics, params)
 
 

@@ -76,6 +76,11 @@ def _file_system(spark: SparkSession, path: str):
     return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def is_made(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at(path))
+
+
 def made_once(spark: SparkSession, path: str, make: Callable[[str], None]) -> str:
     """``path``, made by ``make(folder)`` if it isn't there yet.
 
@@ -95,7 +100,7 @@ def save_fitted(spark: SparkSession, fitted: Fitted, path: str) -> None:
     """RUN5: the model by the ML writer, its parameters, metrics and held-out predictions beside it."""
     save_model(fitted.model, f"{path}/model")
     facts = json.dumps({"target": fitted.target, "params": fitted.params, "metrics": fitted.metrics})
-    spark.createDataFrame([(facts,)], "value string").write.text(f"{path}/facts")
+    spark.range(1).select(F.lit(facts).alias("value")).coalesce(1).write.text(f"{path}/facts")
     if fitted.held_out is not None:
         fitted.held_out.write.parquet(f"{path}/held_out")
 

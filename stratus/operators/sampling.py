@@ -29,20 +29,24 @@ def pieces(rows: DataFrame, copies: str) -> DataFrame:
     return rows.drop("piece")
 
 
-def replicate(rows: DataFrame, copies: str) -> DataFrame:
+def replicate(rows: DataFrame, copies: str, most: str | None = None) -> DataFrame:
     """Each row ``copies`` times (rows without copies go); the column is dropped.
 
     A row of more than ``PIECE`` copies is cut into pieces first, which are
     dealt evenly over the shuffle partitions, so its copies are made by many
-    tasks; the other rows aren't shuffled.
+    tasks; the other rows aren't shuffled.  ``most``, a column no smaller than
+    ``copies`` and dropped like it, tells them apart where the copies are dear
+    to compute.
     """
+    upto = F.col(most or copies)
+
     def exploded(df: DataFrame) -> DataFrame:
-        kept = [c for c in df.columns if c != copies]
-        return df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*kept)
+        kept = [c for c in df.columns if c not in (copies, most)]
+        return df.withColumn("copy", F.explode(F.array_repeat(F.lit(True), F.col(copies).cast("int")))).select(*kept)
 
-    few = rows.filter(F.col(copies).between(1, PIECE))
+    few = rows.filter(upto <= PIECE)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = pieces(rows.filter(F.col(copies) > PIECE), copies).repartition(parts)
+    many = pieces(rows.filter((upto > PIECE) & (F.col(copies) > 0)), copies).repartition(parts)
     return exploded(few).unionByName(exploded(many))
 
 
@@ -67,7 +71,7 @@ def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int =
     rated = counted.join(F.broadcast(sizes), of == F.col("class"), "left")
     u = uniform([F.col("row")[c] for c in key_cols], seed)
     keep = F.floor(F.col("n") * F.coalesce(F.col("rate"), F.lit(1.0)) + F.when(F.col("rate").isNull(), F.lit(0.0)).otherwise(u))
-    copies = replicate(rated.select("row", keep.cast("long").alias("copies")), "copies")
+    copies = replicate(rated.select("row", "n", keep.cast("long").alias("copies")), "copies", "n")
     return copies.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 

@@ -424,9 +424,14 @@ ALL_TARGETS = ("Rain", "MaxTempC", "MinTempC", "TotalPrecipmm")
 
 
 def _training(spark: SparkSession, root: str) -> DataFrame:
-    from stratus.ml.models import training_frame
+    """The training rows with their split and folds, stored by the first who asks: every fit reads them."""
+    from stratus.ml import models as MD
+    from stratus.ml.runs import table_once
+
+    def make() -> DataFrame:
+        return MD.split_rows(MD.training_frame(I.obs_values(spark, root)))
 
-    return training_frame(I.obs_values(spark, root))
+    return MD.stored_frame(table_once(spark, _store(spark, root, "rows"), make))
 
 
 def _store(spark: SparkSession, root: str, name: str) -> str:
@@ -441,20 +446,33 @@ def _store(spark: SparkSession, root: str, name: str) -> str:
 
 
 def _fitted(spark: SparkSession, root: str, targets: tuple[str, ...]) -> dict:
-    """RUN5: the requested models, loaded from the store; the first who asks fits and stores them."""
+    """RUN5: the requested models, loaded from the store; the first who asks fits and stores
+    them, side by side (their fits are many short jobs)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from stratus.ml import models as MD
-    from stratus.ml.runs import fitted_once
+    from stratus.ml.runs import fitted_once, is_made
 
-    frame = _training(spark, root)
+    paths = {t: _store(spark, root, t) for t in targets}
+    frame = _training(spark, root) if not all(is_made(spark, p) for p in paths.values()) else None
+    ready = {}
+
+    def rain():
+        return (ready["Rain"].result() if "Rain" in ready else _fitted(spark, root, ("Rain",))["Rain"]).model
 
     def fit(target: str):
         if target == "Rain":
             return MD.fit_rain_classifier(frame)
         if target == "TotalPrecipmm":
-            return MD.fit_precipitation(frame, _fitted(spark, root, ("Rain",))["Rain"].model)
+            return MD.fit_precipitation(frame, rain)
         return MD.fit_temperature(frame, target)
 
-    return {t: fitted_once(spark, _store(spark, root, t), lambda t=t: fit(t)) for t in targets}
+    with ThreadPoolExecutor(len(targets)) as pool:
+        for t in targets:  # ALL_TARGETS' order: rain before the model that asks for it
+            ready[t] = pool.submit(inheritable_thread_target(fitted_once), spark, paths[t], lambda t=t: fit(t))
+        return {t: ready[t].result() for t in targets}
 
 
 @query("rain_classifier")
@@ -489,11 +507,17 @@ def temp_forecast(spark: SparkSession, root: str) -> DataFrame:
 @query("precip_forecast")
 def precip_forecast(spark: SparkSession, root: str) -> DataFrame:
     """REG2 + FOR5 + FOR6: full forecast chain with rain-gated precipitation."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from stratus.ml.additive import fit_additive
     from stratus.ml.models import forecast_frame
 
-    m = _fitted(spark, root, ALL_TARGETS)
-    additive, _ = fit_additive(_daily_weather(spark, root).persist(), "ds", "y", ["Rain"])
+    with ThreadPoolExecutor(1) as pool:  # beside the other models
+        beside = pool.submit(inheritable_thread_target(fit_additive), _daily_weather(spark, root).persist(), "ds", "y", ["Rain"])
+        m = _fitted(spark, root, ALL_TARGETS)
+        additive, _ = beside.result()
     return forecast_frame(
         _forecast_calendar(spark, root), m["Rain"].model, m["MaxTempC"].model, m["MinTempC"].model,
         m["TotalPrecipmm"].model, additive,
