@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from stratus.functions.columns import rain_flag
 from stratus.ml.features import BASE_FEATURES, calendar_features
-from stratus.operators.sampling import balance_classes, hash_split
+from stratus.operators.sampling import class_draw, hash_split, replicate
 from stratus.operators.stats import regression_quality, row_hash60
 from stratus.session import checkpoint_root, shared_dir
 
@@ -112,16 +112,17 @@ def score_all(model: PipelineModel, df: DataFrame, cols: list[str]) -> DataFrame
 def fit_rain_classifier(frame: DataFrame) -> Fitted:
     """CLS1 + AGG14: balanced rain classifier (random forest defaults), AUC on the test split.
 
-    The features are calendar values, so the balanced rows are folded to one
-    row per (split, features, label) with its weight; trees and AUC use the
-    weights.  The held-out rows meet their cell's prediction by a join.
+    The draw of the balanced rows is stored once.  The features are calendar
+    values, so its rows are folded to one row per (split, features, label) with
+    its weight; trees and AUC use the weights.  The held-out rows meet their
+    cell's prediction by a join.
     """
     spark = frame.sparkSession
     rows = _split(frame.filter(F.col("Rain").isNotNull())).select(*KEY, "Rain", "split")
     path = shared_dir(spark, "balanced")
-    balance_classes(rows, "Rain", KEY, SEED).write.parquet(path)
+    class_draw(rows, "Rain", KEY, SEED).filter("copies > 0").select("row.*", "n", "copies").write.parquet(path)
     split = calendar_features(spark.read.parquet(path), "date")
-    cells = split.groupBy("split", "Rain", *BASE_FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")).checkpoint(eager=True)
+    cells = split.groupBy("split", "Rain", *BASE_FEATURES).agg(F.sum("copies").cast("double").alias("weight")).checkpoint(eager=True)
     rf = RandomForestClassifier(labelCol="Rain", featuresCol="features", weightCol="weight", seed=SEED)
     assembler = _assembler(BASE_FEATURES)
     pipeline = PipelineModel(stages=[assembler, rf.fit(assembler.transform(cells.filter("split = 'train'")))])
@@ -129,7 +130,7 @@ def fit_rain_classifier(frame: DataFrame) -> Fitted:
     auc = BinaryClassificationEvaluator(labelCol="Rain", rawPredictionCol="rawPrediction", weightCol="weight").evaluate(preds)
     known = strip_ml(preds).select(*BASE_FEATURES, "prediction").distinct()
     # one row per day
-    held_out = split.filter("split = 'test'").join(F.broadcast(known), BASE_FEATURES).select(*KEY, "Rain", "prediction")
+    held_out = replicate(split.filter("split = 'test'"), "copies", "n").join(F.broadcast(known), BASE_FEATURES).select(*KEY, "Rain", "prediction")
     return Fitted("Rain", pipeline, {"AUC": auc}, held_out=held_out)
 
 
@@ -279,26 +280,27 @@ def fit_precipitation(frame: DataFrame, rain_model: PipelineModel | Callable[[],
     are folded to (fold, bins) cells, whose number doesn't grow with the rows;
     cross-validation (12 fits and the refit) reads the cells, weighted by their
     rows.  Bagging draws cells.  The stored model bins what it scores; the test
-    rows are scored one by one, in one pass.
+    rows meet the prediction of their bins by a join.
     """
     checkpoint_root(frame.sparkSession)
-    split = _split(frame.filter(F.col("TotalPrecipmm").isNotNull()))
-    train = split.filter((F.col("split") == "train") & (F.col("TotalPrecipmm") > 0))
+    split = _split(frame.filter(F.col("TotalPrecipmm") > 0))
     for c in PRECIP_FEATURES:
-        train = train.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+        split = split.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    train = split.filter("split = 'train'")
     bins = binned(bin_edges(train, PRECIP_FEATURES), PRECIP_FEATURES)
-    by = ["fold", *bins.getOutputCols()]
-    cells = fold_rows(bins.transform(train), "TotalPrecipmm", by)
-    cells = cells.checkpoint(eager=True)
+    places = bins.getOutputCols()
+    by = ["fold", *places]
+    cells = fold_rows(bins.transform(train), "TotalPrecipmm", by).checkpoint(eager=True)
     parts = max(4, -(-cells.count() // CELLS))
     cells = cells.repartition(parts, *by).sortWithinPartitions(*by).checkpoint(eager=True)  # bagging draws in this order
-    model, params = _cv_regressor(cells, "label", bins.getOutputCols(), weight="weight")
-    model = PipelineModel(stages=[_assembler(PRECIP_FEATURES, "given_features"), bins, *model.stages])
-    test = split.filter((F.col("split") == "test") & (F.col("TotalPrecipmm") > 0))
+    forest, params = _cv_regressor(cells, "label", places, weight="weight")
+    model = PipelineModel(stages=[_assembler(PRECIP_FEATURES, "given_features"), bins, *forest.stages])
+    test = split.filter("split = 'test'")
     rain = rain_model() if callable(rain_model) else rain_model
     days = rain.transform(test.select(*BASE_FEATURES).distinct()).filter(F.col("prediction") == 1).select(*BASE_FEATURES)
-    rainy = test.join(F.broadcast(days), BASE_FEATURES, "left_semi")
-    metrics = quality(model.transform(rainy), "TotalPrecipmm")
+    rainy = bins.transform(test.join(F.broadcast(days), BASE_FEATURES, "left_semi")).select(*places, "TotalPrecipmm")
+    known = forest.transform(rainy.select(*places).distinct()).select(*places, "prediction")
+    metrics = quality(rainy.join(known, places), "TotalPrecipmm")
     return Fitted("TotalPrecipmm", model, metrics, params)
 
 

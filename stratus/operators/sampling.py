@@ -53,14 +53,23 @@ def replicate(rows: DataFrame, copies: str, most: str | None = None) -> DataFram
 def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int = 42) -> DataFrame:
     """SPL1: undersample every class to (about) the minority size.
 
+    Of equal rows ``class_draw`` says how many stay; the copies of a very
+    common row are made piece by piece in many tasks (``replicate``).  Columns
+    pass through whatever their names.
+    """
+    copies = replicate(class_draw(df, label, key_cols, seed), "copies", "n")
+    return copies.select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
+def class_draw(df: DataFrame, label: str, key_cols: list[str], seed: int = 42) -> DataFrame:
+    """How many ``copies`` of the ``n`` equal rows ``row`` stay when classes are balanced.
+
     Equal rows are counted once (combined map-side, so a row repeated a
     billion times is one row of the shuffle); of ``c`` equal rows
     ``floor(c * rate + u)`` stay, ``u`` a hash of the row's ``key_cols`` in
-    [0, 1).  The expected number of a class is exact whatever repeats, and the
-    copies of a very common row are made piece by piece in many tasks
-    (``replicate``).  Rows without a label belong to no class and all stay.
-    The class sizes, one row per class, are broadcast, so the rows aren't
-    shuffled by class.  Columns pass through whatever their names.
+    [0, 1).  The expected number of a class is exact whatever repeats.  Rows
+    without a label belong to no class and all stay.  The class sizes, one row
+    per class, are broadcast, so the rows aren't shuffled by class.
     """
     given = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     counted = given.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
@@ -71,8 +80,7 @@ def balance_classes(df: DataFrame, label: str, key_cols: list[str], seed: int =
     rated = counted.join(F.broadcast(sizes), of == F.col("class"), "left")
     u = uniform([F.col("row")[c] for c in key_cols], seed)
     keep = F.floor(F.col("n") * F.coalesce(F.col("rate"), F.lit(1.0)) + F.when(F.col("rate").isNull(), F.lit(0.0)).otherwise(u))
-    copies = replicate(rated.select("row", "n", keep.cast("long").alias("copies")), "copies", "n")
-    return copies.select(*[F.col("row")[c].alias(c) for c in df.columns])
+    return rated.select("row", "n", keep.cast("long").alias("copies"))
 
 
 def hash_split(df: DataFrame, key_cols: list[str], train_pct: int = 80, seed: int = 1042) -> DataFrame:

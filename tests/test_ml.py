@@ -303,3 +303,55 @@ def test_additive_fit_equals_least_squares(spark):
     a = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy()])
     coef, *_ = np.linalg.lstsq(a, pdf["y"].to_numpy(), rcond=None)
     assert np.allclose(pred, a @ coef, atol=1e-4)
+
+
+def test_stored_rows_carry_the_split_of_all_models(spark, tmp_path):
+    from stratus.ml import models as MD
+
+    frame = MD.training_frame(_observations(spark))
+    MD.split_rows(frame).write.parquet(str(tmp_path / "rows"))
+    stored = MD.stored_frame(spark.read.parquet(str(tmp_path / "rows")))
+    assert MD._split(stored) is stored  # hashed once, by the writer
+    assert "md5" not in MD._split(stored).filter("split = 'test'")._jdf.queryExecution().optimizedPlan().toString()
+    want = MD._split(frame)
+    assert sorted(map(str, stored.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_fits_of_all_folds_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from stratus.ml import models as MD
+
+    cells = MD.fold_rows(MD._split(MD.training_frame(_observations(spark))), "MaxTempC", ["fold", *MD.BASE_FEATURES]).checkpoint()
+    monkeypatch.setattr(MD, "NUM_TREES", [2])
+    monkeypatch.setattr(MD, "MAX_DEPTH", [1, 4])
+    rf = RandomForestRegressor(labelCol="label", featuresCol="features", seed=MD.SEED, weightCol="weight", numTrees=2)
+    grid = ParamGridBuilder().addGrid(rf.maxDepth, [1, 4]).build()
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=MD.FoldedRmse(), numFolds=MD.FOLDS, foldCol="fold")
+    data = MD._assembler(MD.BASE_FEATURES).transform(cells)
+    want = cv.fit(data).bestModel
+    all_at_once = threading.Barrier(2 * MD.FOLDS, timeout=120)
+
+    class Meeting(MD.FoldedRmse):
+        def _evaluate(self, dataset):
+            all_at_once.wait()
+            return super()._evaluate(dataset)
+
+    monkeypatch.setattr(MD, "FoldedRmse", Meeting)
+    model, params = MD._cv_regressor(cells, "label", MD.BASE_FEATURES, weight="weight")
+    assert params == {"numTrees": 2, "maxDepth": want.getOrDefault("maxDepth")}
+    assert [r.prediction for r in model.transform(cells).orderBy("fold", *MD.BASE_FEATURES).collect()] == [r.prediction for r in want.transform(data).orderBy("fold", *MD.BASE_FEATURES).collect()]
+    with pytest.raises(ValueError, match="fold"):
+        MD._cv_regressor(cells.filter("fold > 0"), "label", MD.BASE_FEATURES, weight="weight")
+
+
+def test_quantiles_by_counts_equal_the_sketch(spark):
+    from stratus.ml import models as MD
+
+    df = spark.range(3000).select((F.col("id") * 7 % 113).cast("double").alias("a"), F.pow(F.col("id") % 40, F.lit(2)).alias("b"), F.lit(None).cast("double").alias("none"))
+    shares = [k / MD.QUANTILES for k in range(MD.QUANTILES + 1)]
+    want = df.agg(*[F.percentile_approx(c, shares, 10 * MD.QUANTILES).alias(c) for c in ("a", "b")]).first().asDict()
+    assert MD.value_quantiles(df, df.columns, shares) == want

@@ -170,3 +170,13 @@ def test_profile_query_holds_every_column(spark):
     for c, r in described.items():
         want = {k: pytest.approx(v, abs=1e-4) if isinstance(v, float) else v for k, v in r.asDict().items() if v is not None}
         assert got[c] == want
+
+
+def test_copies_are_drawn_once_and_told_apart_by_their_rows(spark):
+    rows = spark.createDataFrame([("a", 1, 0), ("b", 3, 2), ("c", S.PIECE + 5, 3), ("d", S.PIECE + 9, 0), ("e", S.PIECE + 9, S.PIECE + 2)], "row string, n long, copies long")
+    made = {r["row"]: r["count"] for r in S.replicate(rows, "copies", "n").groupBy("row").count().collect()}
+    assert made == {"b": 2, "c": 3, "e": S.PIECE + 2} and S.replicate(rows, "copies", "n").columns == ["row"]
+    df = spark.range(600).select((F.col("id") % 200).alias("k"), F.when(F.col("id") % 200 < 150, 0).when(F.col("id") % 200 < 195, 1).alias("label"))
+    drawn = {(r["row"]["k"], r["row"]["label"]): r["copies"] for r in S.class_draw(df, "label", ["k"]).collect() if r["copies"]}
+    kept = {(r["k"], r["label"]): r["count"] for r in S.balance_classes(df, "label", ["k"]).groupBy("k", "label").count().collect()}
+    assert kept == drawn and sum(n for (_, c), n in kept.items() if c is None) == 15
