@@ -21,11 +21,9 @@ Differences from the reference, on purpose (documented defects):
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
@@ -118,10 +116,10 @@ def fit_rain_classifier(frame: DataFrame) -> Fitted:
     cell's prediction by a join.
     """
     spark = frame.sparkSession
-    rows = _split(frame.filter(F.col("Rain").isNotNull())).select(*KEY, "Rain", "split")
+    rows = frame.filter(F.col("Rain").isNotNull()).drop("split", "fold")
     path = shared_dir(spark, "balanced")
     class_draw(rows, "Rain", KEY, SEED).filter("copies > 0").select("row.*", "n", "copies").write.parquet(path)
-    split = calendar_features(spark.read.parquet(path), "date")
+    split = hash_split(spark.read.parquet(path), KEY, 80)
     cells = split.groupBy("split", "Rain", *BASE_FEATURES).agg(F.sum("copies").cast("double").alias("weight")).checkpoint(eager=True)
     rf = RandomForestClassifier(labelCol="Rain", featuresCol="features", weightCol="weight", seed=SEED)
     assembler = _assembler(BASE_FEATURES)
@@ -228,37 +226,14 @@ def fit_temperature(frame: DataFrame, target: str) -> Fitted:
     return Fitted(target, model, metrics | {"MAE": error}, params)
 
 
-def value_quantiles(rows: DataFrame, features: list[str], shares: list[float]) -> dict[str, list[float]]:
-    """Exact quantiles of features of few distinct values, by counting the values (which are collected)."""
-    seen = rows.unpivot([], features, "feature", "value").filter("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    counts: dict[str, list] = {}
-    for r in sorted(seen.collect()):
-        counts.setdefault(r["feature"], []).append((r["value"], r["n"]))
-    out = {}
-    for c, found in counts.items():
-        values, upto = [v for v, _ in found], list(accumulate(n for _, n in found))
-        out[c] = [values[bisect_left(upto, max(1, math.ceil(s * upto[-1])))] for s in shares]
-    return out
-
-
 def bin_edges(rows: DataFrame, features: list[str]) -> list[list[float]]:
-    """Inner edges of at most ``BINS`` bins of each feature: a bin per value where
-    there are few, else of about equal numbers of rows.
-
-    Values of a feature with about ``10 * QUANTILES`` distinct ones at most are
-    counted; sketches, which cost more a row, are for the others.
-    """
+    """Inner edges of at most ``BINS`` bins of each feature, from one pass: a bin per value
+    where there are few, else of about equal numbers of rows."""
     shares = [k / QUANTILES for k in range(QUANTILES + 1)]
-    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in features])
-    distinct = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in features]).first()
-    few = [c for c in features if distinct[c] <= 10 * QUANTILES]
-    many = [c for c in features if c not in few]
-    found = value_quantiles(rows, few, shares) if few else {}
-    if many:
-        found |= rows.agg(*[F.percentile_approx(c, shares, 10 * QUANTILES).alias(c) for c in many]).first().asDict()
+    found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10 * QUANTILES).alias(c) for c in features]).first()
     edges = []
     for c in features:
-        at = found.get(c) or [0.0]
+        at = found[c] or [0.0]
         if len(set(at)) > BINS:
             at = [at[0], *(at[QUANTILES * k // BINS] for k in range(1, BINS))]
         edges.append(sorted(set(at))[1:])
